@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 400
 #: Largest side, in rows of a few integers, that is broadcast after it has been counted.
 BROADCAST_ROWS = 1_000_000
+#: Links that a task of the component search handles at least.
+LINKS_A_TASK = 200_000
 
 MASK = (1 << 64) - 1
 
@@ -23,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """df's schema and further fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of text small; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -149,7 +157,7 @@ def running_totals(df: DataFrame, order: list[str], value: str) -> DataFrame:
     """
     at = [c for c in df.columns].index(value)
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    schema = ranged.schema.add("row", "long").add("before", "long")
+    schema = with_fields(ranged, "row long, before long")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = total = 0

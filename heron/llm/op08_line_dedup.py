@@ -185,7 +185,7 @@ def edit_links(members: DataFrame, edits: int) -> DataFrame:
 
 def line_classes(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """(node, component): keys (MD5) of lines that are within `edits` of some other line, and their class, closed over chains."""
-    loose = saved(components(signature_links(line_signatures(docs, text_col, edits, min_chars))))
+    loose = components(signature_links(line_signatures(docs, text_col, edits, min_chars)))
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
     lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= min_chars)
     texts = lines.withColumn("node", F.xxhash64("line")).join(small_side(loose), "node").select("component", "line").distinct()
@@ -204,7 +204,7 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null text has no lines, an empty one has one empty line. Rows that repeat both id and text count as the same
     place, so that all of them keep or lose the same lines. Null ids come first. Other columns are ignored.
     """
-    classes = saved(line_classes(docs, text_col, edits, min_chars))
+    classes = line_classes(docs, text_col, edits, min_chars)
     places = _lines(docs, id_col, text_col)
     long = places.where(F.length("line") >= min_chars).select("id", "text_hash", "at", F.unhex(F.md5("line")).alias("key"))
     distinct = long.groupBy("key").agg(F.min(F.struct("id", "text_hash", "at")).alias("first"), F.count("*").alias("n"))

@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = components(sketch_links(pairs, most_bits(percent / 100)))
 
     sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    sets = _sets(docs, id_col, text_col, k, saved(loose))
+    sets = _sets(docs, id_col, text_col, k, loose)
     units = block_pairs(sets.join(sizes, "component"), "component", F.col("node"), "size", SET_BLOCK)
     groups = components(set_links(units, percent).unionByName(copies))
     return (
