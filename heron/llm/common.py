@@ -71,22 +71,24 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v) of one orderable type: (node, component), the component being its smallest node.
 
-    Alternating large-star and small-star steps; each ends in a checkpoint, and a star forest ends the loop.
+    Alternating large-star and small-star steps; each ends in a checkpoint, and a star forest ends the loop. Links are
+    few beside the rows they come from, so steps run in as many tasks as their counted links need.
     Nodes without an edge to another node don't appear.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     links = saved(edges.where(F.col("u") != F.col("v")).select(high, low).distinct())
-    mark = None
+    most, mark = shuffle_partitions(edges.sparkSession), None
     while (now := _mark(links)) != mark:
-        mark = now
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        mark, tasks = now, max(1, min(most, now[0] // LINKS_A_TASK))
+        links = links.coalesce(tasks)
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
-        small = near.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = saved(small.distinct())
-    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        links = saved(small.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks))
+    nodes = links.unionByName(links.select(F.col("v").alias("u"), "v")).coalesce(max(1, min(most, (mark[0] or 0) // LINKS_A_TASK)))
+    return saved(nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
 
 
 def _mark(links: DataFrame) -> tuple:
