@@ -83,7 +83,8 @@ def zero_shot(vector: Column, labels: dict[str, list[float]]) -> Column:
 def keyword_class(text: Column, keywords: dict[str, list[str]], default: str) -> Column:
     """The label whose keywords occur most often in the text; the first of equals, default without any."""
     words = tokens(text)
-    counts = F.array(*[F.struct(F.size(F.filter(words, lambda w, k=ks: w.isin(k))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, ks) in enumerate(keywords.items())])
+    among = lambda ks: lambda w: w.isin(ks)
+    counts = F.array(*[F.struct(F.size(F.filter(words, among(ks))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, ks) in enumerate(keywords.items())])
     best = F.array_max(counts)
     return F.when(best["n"] > 0, best["label"]).otherwise(default)
 

@@ -53,7 +53,7 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.9, id_col: str = "id", v
     known = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), vector.alias("v"))
     keyed = known.withColumn("first", F.min("id").over(Window.partitionBy(F.xxhash64("v"), "v")))
     copies = keyed.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-    single = keyed.where("id = first").select("id", "v")
+    single = keyed.where("id = first").select("id", V.normalize(F.col("v")).alias("v"))
     if exact:
         left, right = single.select(F.col("id").alias("a"), F.col("v").alias("va")), single.select(F.col("id").alias("b"), F.col("v").alias("vb"))
         pairs = left.join(right, F.col("a") < F.col("b"))
@@ -61,7 +61,7 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.9, id_col: str = "id", v
         s = signatures(single, "id", "v")
         candidates = s.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), ["band", "signature"]).where("a < b").select("a", "b").distinct()
         pairs = candidates.join(single.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(single.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return pairs.select("a", "b", V.cosine_similarity(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= threshold).unionByName(copies)
+    return pairs.select("a", "b", V.dot(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= threshold).unionByName(copies)
 
 
 def similar_groups(rows: DataFrame, threshold: float = 0.9, id_col: str = "id", vector_col: str = "vector", exact: bool = False) -> DataFrame:

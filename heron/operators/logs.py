@@ -82,7 +82,7 @@ def evicted(rows: DataFrame, by: str, size: str, used: str, key: str, needed: in
     return rows.withColumn("freed_before", running_before(rows, by, size, F.asc(used), F.asc(key))).where(F.col("freed_before") < needed)
 
 
-def evicted_all(rows: DataFrame, size: str, used: str, key: str, needed: int, buckets: int = 4096) -> DataFrame:
+def evicted_all(rows: DataFrame, size: str, used: str, key: str, needed: int, buckets: int = 256) -> DataFrame:
     """The same for one store of any size, without a window over all of it.
 
     Bytes are summed by ranges of `used` first (approximate quantiles); whole ranges go while they fit, and only the

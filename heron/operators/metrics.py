@@ -100,7 +100,7 @@ def bleu(pairs: DataFrame, longest: int = 4) -> DataFrame:
         o = _overlap(pairs, n).select("pair_id", ratio(F.col("hits"), F.col("of_candidate")).alias(f"p{n}"))
         out = out.join(o, "pair_id", "left")
         logs = logs + F.log(F.coalesce(f"p{n}", F.lit(0.0))) / longest
-    least = F.least(*[F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, longest + 1)])
+    least = F.array_min(F.array(*[F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, longest + 1)]))
     penalty = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.col("c")))
     return out.select("pair_id", F.when((F.col("c") == 0) | (least == 0), F.lit(0.0)).otherwise(penalty * F.exp(logs)).alias("bleu"))
 

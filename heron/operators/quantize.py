@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heron.operators.search import fit_centroids
-
 
 def calibrate(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
     """One row with arrays low and high, the least and greatest value of each dimension. Fewer than two vectors are refused, as they would make one code of everything."""
@@ -66,8 +64,25 @@ def compression_stats(rows: DataFrame, vector_col: str = "vector", bytes_each: i
     return rows.where(F.col(vector_col).isNotNull()).agg(F.count("*").alias("n_vectors"), (values * 4).alias("original_bytes"), (values * bytes_each).alias("compressed_bytes")).withColumn("ratio", F.col("original_bytes") / F.col("compressed_bytes"))
 
 
+def lloyd(x: np.ndarray, k: int, seed: int = 7, rounds: int = 20, move: float = 1e-6) -> np.ndarray:
+    """K-means centroids of the rows of x: seeded distinct starts; an empty cluster starts again at a random row."""
+    rng = np.random.default_rng(seed)
+    distinct = np.unique(x, axis=0)
+    c = distinct[rng.permutation(len(distinct))[:k]]
+    for _ in range(rounds):
+        own = ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        counts = np.bincount(own, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.integers(len(x), size=len(c))])
+        moved, c = ((new - c) ** 2).sum(axis=1).max(), new
+        if moved < move:
+            break
+    return c
+
+
 class ProductQuantizer:
-    """Codes of m sub-vectors, each the nearest of up to k centroids that Spark's k-means found in a bounded sample."""
+    """Codes of m sub-vectors, each the nearest of up to k centroids, fitted to a bounded sample (about `sample` rows): a task for each sub-space."""
 
     def __init__(self, codebooks: list[np.ndarray]):
         self.codebooks = codebooks
@@ -77,8 +92,17 @@ class ProductQuantizer:
         size = rows.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()[0]
         if size % m or k > 256:
             raise ValueError("dimensions must be a multiple of m, and k at most 256")
-        part = size // m
-        return cls([fit_centroids(rows.select(F.slice(vector_col, i * part + 1, part).alias("vector")), k, sample=sample, seed=seed) for i in range(m)])
+        part, known = size // m, rows.where(F.col(vector_col).isNotNull())
+        n = max(1, known.count())
+        chosen = known if n <= sample else known.sample(sample / n, seed=seed)
+        subs = chosen.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.slice(F.col(vector_col).cast("array<double>"), i * part + 1, part).alias("v")) for i in range(m)])).alias("s")).select("s.*")
+
+        def fitted(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            book = lloyd(np.stack(group["v"].to_numpy()), k, seed)
+            return pd.DataFrame({"i": [key[0]] * len(book), "centroid": list(book)})
+
+        books = subs.groupBy("i").applyInPandas(fitted, "i int, centroid array<double>").collect()  # m * k centroids
+        return cls([np.array([r.centroid for r in books if r.i == i]) for i in range(m)])
 
     def encode(self, vector: Column) -> Column:
         books = self.codebooks

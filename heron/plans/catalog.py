@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from heron.plans import log_queries, text_queries, vector_queries
+
+QUERIES = vector_queries.QUERIES | text_queries.QUERIES | log_queries.QUERIES
+SQL = vector_queries.SQL | text_queries.SQL | log_queries.SQL
