@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heron.operators.graph import components  # noqa: F401
+from heron.operators.staging import saved, shared_dir, shuffle_partitions, small_side, written  # noqa: F401  the operators import them from here
+
 #: Rows in an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 400
-#: Largest side, in rows of a few integers, that is broadcast after it has been counted.
-BROADCAST_ROWS = 1_000_000
-#: Links that a task of the component search handles at least.
-LINKS_A_TASK = 200_000
 
 MASK = (1 << 64) - 1
 
@@ -38,63 +35,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heron-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Small intermediate rows, computed once and kept in the shared folder; Spark removes them when they are no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Wide intermediate rows as a Parquet table in the shared folder, so that later steps read only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/heron-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small; else as it is, for a shuffled join. Use on saved rows."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v) of one orderable type: (node, component), the component being its smallest node.
-
-    Alternating large-star and small-star steps; each ends in a checkpoint, and a star forest ends the loop. Links are
-    few beside the rows they come from, so steps run in as many tasks as their counted links need.
-    Nodes without an edge to another node don't appear.
-    """
-    high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    links = saved(edges.where(F.col("u") != F.col("v")).select(high, low).distinct())
-    most, mark = shuffle_partitions(edges.sparkSession), None
-    while (now := _mark(links)) != mark:
-        mark, tasks = now, max(1, min(most, now[0] // LINKS_A_TASK))
-        links = links.coalesce(tasks)
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        links = saved(small.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks))
-    nodes = links.unionByName(links.select(F.col("v").alias("u"), "v")).coalesce(max(1, min(most, (mark[0] or 0) // LINKS_A_TASK)))
-    return saved(nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
-
-
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-
 def block_pairs(df: DataFrame, group: str, member: Column, size: int, block: int) -> DataFrame:
     """Rows of df once for each pair of blocks they belong to: columns block_a <= block_b and in_a, in_b are added.
 
