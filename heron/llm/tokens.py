@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-#: Two kinds of white space next to each other, or at an end: cutting at single blanks is then not enough.
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
-#: A blank between two characters that aren't white space, where the tokenizer always begins a new piece.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones are themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of the vocabulary in a `tokenizers` file, without special tokens added.
+    """Ids of the vocabulary in a `tokenizers` file of byte-level BPE, without special tokens added.
 
-    A byte-level tokenizer never joins across a blank that stands between two non-blanks, so texts are cut there and
-    each distinct part is encoded once: parts that aren't remembered go to the library in one call. At most `most`
-    parts are remembered, which bounds memory; others are encoded whenever they come. `check` compares with the plain way.
+    Texts are encoded whole. The faster of two public libraries does it with ranks made of the same file: in such a
+    vocabulary a merge's rank is its id, so the ids are the same, as tests check. Texts in which the string of a special token
+    occurs, and texts that the faster library refuses, are encoded by the `tokenizers` library itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in self.special}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def widths(self) -> np.ndarray:
         """UTF-8 bytes of each id's text; in a byte-level vocabulary each character of a token stands for a byte."""
@@ -36,39 +40,20 @@ class Encoder:
             out[i] = len(token)
         return out
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        return _CUT.split(text) if _RUN.search(text) else text.split(" ")
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, parts: set[str], lead: str, held: dict[str, bytes]) -> dict[str, bytes]:
-        new = list(parts)
-        found = {p: np.array(e.ids, self.dtype).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False))}
-        if len(held) < self.most:
-            held.update(found)
-        return found
+    def ids(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.plain(text)
+        try:
+            return self.fast.encode_ordinary(text)
+        except (ValueError, RecursionError):
+            return self.plain(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of `dtype`; null and empty texts have none."""
-        cut = [self.parts(t) if t else [] for t in texts]
-        tails = [p[1:] for p in cut]
-        known, heads = self.known, self.heads
-        new = {p[0] for p in cut if p} - heads.keys()
-        fresh_heads = self._learn(new, "", heads) if new else {}
-        new = set().union(*tails) - known.keys()
-        fresh = self._learn(new, " ", known) if new else {}
-        out = []
-        for p, tail in zip(cut, tails):
-            if not p:
-                out.append(b"")
-                continue
-            head = heads.get(p[0])
-            if head is None:
-                head = fresh_heads[p[0]]
-            ids = list(map(known.get, tail))
-            if None in ids:
-                ids = [fresh[x] if i is None else i for x, i in zip(tail, ids)]
-            out.append(head + b"".join(ids))
-        return out
+        return [np.array(self.ids(t), self.dtype).tobytes() if t else b"" for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

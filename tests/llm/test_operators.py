@@ -240,7 +240,7 @@ TRICKY = ["", " ", "a", " a", "a ", "a  b", "a \n b", "it's we'll\n\nx", "tab\th
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(public_path()), Encoder(public_path(), most=3)
+    plain, own = Tokenizer.from_file(public_path()), Encoder(public_path())
     rng = random.Random(2)
     texts = TRICKY + ["".join(rng.choice("ab  \n.'1é😀s") for _ in range(60)) for _ in range(300)]
     for chunk in (texts[:50], texts[50:]):
