@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,6 +239,53 @@ def semantic_groups(segments: DataFrame, by: str, at: str, vector: str, threshol
     return s.withColumn("chunk", F.coalesce(before, F.lit(0))).drop("__break")
 
 
+def resized(breaks: list[bool], similarities: list[float], lengths: list[int], most: int, least: int) -> list[int]:
+    """Chunk of each segment once chunks longer than `most` are split and those shorter than `least` are merged.
+
+    breaks[i] and similarities[i] belong to the boundary behind segment i. A chunk's length counts a blank between its
+    segments. Too long chunks are cut at their least similar boundary, the first of equals, until they fit or are one
+    segment; then the first too short chunk joins its more similar neighbour (the earlier of equals) until none is left.
+    """
+    n, ends = len(lengths), np.concatenate([[0], np.cumsum(lengths)])
+    size = lambda a, b: int(ends[b] - ends[a]) + b - a - 1
+    starts = [0, *(i + 1 for i in range(n - 1) if breaks[i])]
+    open_, fitting = list(zip(starts, [*starts[1:], n])), []
+    while open_:
+        a, b = open_.pop()
+        if b - a > 1 and size(a, b) > most:
+            cut = a + 1 + int(np.argmin(similarities[a : b - 1]))
+            open_ += [(a, cut), (cut, b)]
+        else:
+            fitting.append(a)
+    edges, i = [*sorted(fitting), n], 0
+    while i < len(edges) - 1 and len(edges) > 2:
+        if size(edges[i], edges[i + 1]) >= least:
+            i += 1
+            continue
+        left = i == len(edges) - 2 or i > 0 and similarities[edges[i] - 1] >= similarities[edges[i + 1] - 1]
+        del edges[i if left else i + 1]
+        i -= left
+    return (np.searchsorted(edges, np.arange(n), "right") - 1).tolist()
+
+
+def semantic_chunks(segments: DataFrame, by: str, at: str, text: str, vector: str, threshold: float | None = None, most: int = 2000, least: int = 100) -> DataFrame:
+    """(by, chunk, first, last, text): the segments of each text in semantic groups of `least` to `most` characters (see resized).
+
+    The segments of one text are handled together, so a task holds a text at a time.
+    """
+    grouped = semantic_groups(segments.select(by, at, text, vector), by, at, vector, threshold).select(by, at, text, "similarity", "chunk")
+    schema = T.StructType([segments.schema[by], T.StructField("chunk", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("text", T.StringType())])
+
+    def build(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(at)
+        texts, chunk = x[text].fillna("").tolist(), x["chunk"].tolist()
+        found = resized([a != b for a, b in zip(chunk, chunk[1:])], x["similarity"].fillna(0.0).tolist(), [len(t) for t in texts], most, least)
+        x = pd.DataFrame({by: x[by], "chunk": found, "at": x[at], "text": texts})
+        return x.groupby("chunk", as_index=False).agg(**{by: (by, "first"), "first": ("at", "min"), "last": ("at", "max"), "text": ("text", " ".join)})[[by, "chunk", "first", "last", "text"]]
+
+    return grouped.groupBy(by).applyInPandas(build, schema)
+
+
 def chunked(docs: DataFrame, chunker: Callable[[Column], Column], id_col: str = "id", text_col: str = "text", prefix: str = "chunk") -> DataFrame:
     """(chunk_id, id, at, text, kind, path): a row for each chunk of each document."""
     c = docs.select(F.col(id_col).alias("id"), F.explode(chunker(F.col(text_col))).alias("c"))
