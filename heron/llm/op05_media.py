@@ -44,12 +44,17 @@ def padded(text: str | None) -> bytes:
     return data + bytes(-len(data) % UNIT if data else UNIT)
 
 
+def framed(samples: np.ndarray) -> np.ndarray:
+    """Overlapping frames of all samples: HOP of silence before them and, up to a whole frame, at least HOP after them, as the window is 0 at a frame's ends."""
+    x = samples.astype(np.float32) - 128
+    after = HOP + -len(x) % HOP
+    x = np.concatenate([np.zeros(HOP, np.float32), x, np.zeros(after, np.float32)])
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of up to PEAKS strongest local maxima of each frame of the power spectrogram that exceed its mean, in order of time."""
-    x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     times, bins = [], []
     for i in range(0, len(frames), CHUNK):
         spectrum = np.fft.rfft(frames[i : i + CHUNK] * _WINDOW, axis=1)

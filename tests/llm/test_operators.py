@@ -203,6 +203,20 @@ def test_media(spark, data):
         assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
 
 
+@pytest.mark.parametrize("n", (64, 256, 320, 448, 512, 1088))
+def test_media_frames_cover_all_samples(n):
+    rng = np.random.default_rng(n)
+    loud = rng.integers(0, 256, n).astype(np.uint8)
+    frames = op05_media.framed(loud) * op05_media._WINDOW
+    for place in (0, n // 2, n - 65, n - 64, n - 2, n - 1):
+        other = loud.copy()
+        other[place] ^= 128
+        assert (op05_media.framed(other) * op05_media._WINDOW != frames).any(), place
+    tail = loud.copy()
+    tail[-64:] = rng.integers(0, 256, 64)
+    assert [x.tolist() for x in op05_media.landmarks(tail)] != [x.tolist() for x in op05_media.landmarks(loud)]
+
+
 def test_landmarks_survive_gain():
     t = np.arange(16000) / 8000
     tune = 60 * np.sin(2 * np.pi * (500 + 300 * np.floor(t * 4) % 1700) * t)
