@@ -117,29 +117,32 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
 def regions(lines: list[tuple[str, int, bool, int]]) -> list[int]:
     """Places of the lines in content regions.
 
-    A line's ratio is its length by its tags, 0 in a part that is never content. Smoothed ratios of at least the
-    threshold (their mean less half a deviation, or the largest) form the content cluster. A region is the article that
-    a member of the cluster stands in, and outside articles a run of lines from one member to the next; only where no
-    article has a member do lines outside count. Lines that are never content are left out of every region.
+    A line's ratio is its length by its tags; lines in a part that is never content are not smoothed in. Smoothed
+    ratios of at least the threshold (their mean less half a deviation, or the largest) form the content cluster. A region is the article that
+    a member of the cluster stands in, and outside articles a run of lines from one member to the next, with the lines
+    of few tags right before and after it; only where no article has a member do lines outside count. Lines that are
+    never content are left out of every region.
     """
     if not lines:
         return []
     apart = np.array([x[2] for x in lines])
     article = np.array([x[3] for x in lines])
-    ratios = np.array([0.0 if x[2] else len(x[0]) / max(1, x[1]) for x in lines])
-    score = np.where(apart, 0.0, smoothed(ratios))
-    if not score.any():
+    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines])
+    if apart.all():
         return []
-    held = score[~apart]
+    held = smoothed(ratios[~apart])
+    score = np.zeros(len(lines))
+    score[~apart] = held
     core = (score >= min(held.max(), max(held.mean() - held.std() / 2, 1e-9))) & ~apart
     if (inside := core & (article > 0)).any():
         chosen = np.isin(article, np.unique(article[inside]))
     else:
         at = np.flatnonzero(core)
         chosen = (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1]) & (article == 0)
-        while at[0] > 0 and not apart[at[0] - 1] and lines[at[0] - 1][1] <= 4:  # a heading or a short first line
-            at[0] -= 1
-            chosen[at[0]] = True
+        for i, step in ((at[0] - 1, -1), (at[-1] + 1, 1)):  # a heading or a short first line; short or last lines
+            while 0 <= i < len(lines) and not apart[i] and not article[i] and lines[i][1] <= 4:
+                chosen[i] = True
+                i += step
     return np.flatnonzero(chosen & ~apart).tolist()
 
 

@@ -109,6 +109,16 @@ def test_html_main_text():
     assert op02_html.main_text(f"<body><ul><li><a>x</a><li><a>y</a></ul><div><h2>Head</h2>{body}</div><div class='sidebar'>other</div></body>").count("\n") == 4
 
 
+@pytest.mark.parametrize("n", (1, 3, 10, 30))
+@pytest.mark.parametrize("closing", ("", "A closing line of about forty characters", "End."))
+@pytest.mark.parametrize("foot", ("<footer>" + "<p>Foot line</p>" * 4 + "</footer>", "<div class='sidebar'><p>Other</p></div>"))
+def test_html_without_article_keeps_the_end(n, closing, foot):
+    want = ["Heading", *(f"Paragraph {i} {'words ' * 48}".strip() for i in range(n)), *[closing] * bool(closing)]
+    body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{x}</p>" for x in want[1:])
+    page = f"<body><nav>{'<p><a>Menu</a></p>' * 4}</nav><div>{body}</div>{foot}</body>"
+    assert op02_html.main_text(page).split("\n") == want
+
+
 def test_html_pages(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     import html as h
