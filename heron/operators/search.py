@@ -103,14 +103,14 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
 # ---- inverted file -------------------------------------------------------------------------------------------------
 
 
-def fit_centroids(rows: DataFrame, lists: int, vector_col: str = "vector", sample: int = 50_000, seed: int = 7) -> np.ndarray:
-    """Centroids of a bounded sample (about `sample` rows), by Spark's k-means."""
+def fit_centroids(rows: DataFrame, lists: int, vector_col: str = "vector", sample: int | None = 50_000, seed: int = 7) -> np.ndarray:
+    """Centroids of a bounded sample (about `sample` rows; None: of all rows), by Spark's k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     chosen = rows.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    n = max(1, chosen.count())
-    chosen = chosen if n <= sample else chosen.sample(sample / n, seed=seed)
+    if sample is not None and (n := chosen.count()) > sample:
+        chosen = chosen.sample(sample / n, seed=seed)
     return np.array(KMeans(k=lists, seed=seed, maxIter=10, initMode="k-means||").fit(chosen).clusterCenters())
 
 

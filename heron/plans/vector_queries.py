@@ -201,7 +201,7 @@ def noisy(spark, d):
 def centroids(spark, d):
     """K-means centroids of all vectors (seeded), with their sizes."""
     rows = _rows(spark, d)
-    c = search.fit_centroids(rows, 10)
+    c = search.fit_centroids(rows, 10, sample=None)
     sizes = search.assign(rows, c).groupBy("cid").agg(F.count("*").alias("n"))
     norms = spark.createDataFrame([(i, float(np.linalg.norm(x))) for i, x in enumerate(c)], "cid int, norm double")
     return sizes.join(F.broadcast(norms), "cid")
