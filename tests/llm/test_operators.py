@@ -253,6 +253,35 @@ def test_language_evidence_is_fused(spark):
     assert found["z"].language is None and not found["z"].kept
 
 
+def test_language_rare_many_and_unknown(spark):
+    rng = random.Random(6)
+
+    def speaker(k):
+        """Texts of words of a vocabulary of its own."""
+        own = random.Random(k)
+        words = ["".join(own.choice("abcdefghijklmnopqrstuvwxyzåäöéñ") for _ in range(own.randrange(3, 8))) for _ in range(60)]
+        return lambda: " ".join(rng.choice(words) for _ in range(40))
+
+    speakers = {f"l{k}": speaker(k) for k in range(20)}
+    rows = [(f"{x}-{i}", speakers[x](), x) for k, x in enumerate(speakers) for i in range(400 if k < 2 else 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = op06_language_id.fit(df, most=100)
+    assert model.languages == [*sorted(speakers), "other"]
+    unknown = [(f"n{i}", speaker(100 + i % 3)(), "l0") for i in range(60)]
+    unknown += [(f"r{i}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)), "l1") for i in range(60)]
+    unknown += [(f"c{i}", "все люди рождаются свободными и равными в своем достоинстве и правах", "l0") for i in range(5)]
+    found = {r.id: r for r in op06_language_id.identified(df.union(spark.createDataFrame(unknown, df.schema)), model, declared=F.col("lang")).collect()}
+    assert all(found[i].language == x and found[i].kept for i, _, x in rows)
+    assert all(found[i].language == "other" and not found[i].kept for i, _, _ in unknown)
+
+
+def test_language_bound_is_an_error(spark):
+    df = spark.createDataFrame([(i, "some text", f"label{i}") for i in range(op06_language_id.MOST_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        op06_language_id.fit(df)
+    assert len(op06_language_id.fit(df.where("doc_id > 0")).languages) == op06_language_id.MOST_LANGUAGES + 1
+
+
 def test_pages_language(spark, data):
     rows = registry.queries()["pages_language"](spark, data).collect()
     assert len(rows) == 50 and sum(r.kept for r in rows) >= 48
