@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from heron.llm.common import Forest, block_pairs, components, saved, small_batches, small_side, sorted_groups, table
 
-#: Edits up to which two lines are one; lines of fewer characters are left alone.
+#: Edits up to which two lines are one; lines of fewer characters aren't matched by edits.
 EDITS, MIN_CHARS = 2, 25
 BLOCK = 512
 HISTOGRAM = 32
@@ -193,12 +193,13 @@ def line_classes(docs: DataFrame, text_col: str, edits: int, min_chars: int) ->
     return components(edit_links(block_pairs(members, "component", F.col("key"), "size", BLOCK), edits))
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, equal_short: bool = False) -> DataFrame:
     """A row for each line: id, text_hash, at (from 0), class_id, class_at (the first occurrence of its class by id and place), n_class, kept.
 
     A class holds the lines of at least `min_chars` code points that are joined by chains of pairs whose edit distance
-    is at most `edits`; its first occurrence is kept, every other one is a duplicate. Shorter lines are kept and are
-    classes of their own. Lines end at \\n and are compared as they are; the search is exact: any such pair shares a
+    is at most `edits`; its first occurrence is kept, every other one is a duplicate. With
+    equal_short the equal ones of shorter lines are a class too, but for empty lines, which have no text to repeat;
+    otherwise shorter lines are kept and are classes of their own. Lines end at \\n and are compared as they are; the search is exact: any such pair shares a
     segment, and every pair found is verified.
 
     A null text has no lines, an empty one has one empty line. Rows that repeat both id and text count as the same
@@ -206,12 +207,13 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     classes = line_classes(docs, text_col, edits, min_chars)
     places = _lines(docs, id_col, text_col)
-    long = places.where(F.length("line") >= min_chars).select("id", "text_hash", "at", F.unhex(F.md5("line")).alias("key"))
+    least = min(1, min_chars) if equal_short else min_chars
+    long = places.where(F.length("line") >= least).select("id", "text_hash", "at", F.unhex(F.md5("line")).alias("key"))
     distinct = long.groupBy("key").agg(F.min(F.struct("id", "text_hash", "at")).alias("first"), F.count("*").alias("n"))
     classed = distinct.join(classes, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("class"))
     firsts = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n_class")).where("n_class > 1")
     known = classed.select("key", "class").join(firsts, "class").select("key", F.col("first.id").alias("class_id"), F.col("first.text_hash").alias("class_hash"), F.col("first.at").alias("class_at"), "n_class")
-    key = F.when(F.length("line") >= min_chars, F.unhex(F.md5("line")))
+    key = F.when(F.length("line") >= least, F.unhex(F.md5("line")))
     found = places.select("id", "text_hash", "at", key.alias("key")).join(known, "key", "left")
     single = F.col("n_class").isNull()
     same = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")) & (F.col("at") == F.col("class_at"))
@@ -250,5 +252,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = line_duplicates(table(spark, sf_dir, "documents"))
+    found = line_duplicates(table(spark, sf_dir, "documents"), equal_short=True)
     return found.select(F.col("id").alias("doc_id"), F.col("at").cast("long").alias("line"), F.col("class_id").alias("class_doc"), F.col("class_at").cast("long").alias("class_line"), "n_class", "kept")

@@ -176,3 +176,15 @@ def test_line_dedup_rewrites(spark):
     assert out.columns == docs.columns
     got = out.collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text or "") for r in got)
+
+
+def test_line_query_classes_short_lines_by_equality(spark, tmp_path):
+    rows = line_rows() + [(200 + i, f"Read more\n\nShare this page\nown {i}\nRead  more") for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, first = brute_lines(rows, lines.EDITS, lines.MIN_CHARS), {}
+    short = [((i, at), x) for i, t in sorted(rows) if t is not None for at, x in enumerate(t.split("\n")) if 0 < len(x) < lines.MIN_CHARS]
+    n = {x: sum(y == x for _, y in short) for _, x in short}
+    for place, x in short:
+        want[place] = (*first.setdefault(x, place), n[x], first[x] == place)
+    found = {(r.doc_id, r.line): (r.class_doc, r.class_line, r.n_class, r.kept) for r in lines.query(spark, str(tmp_path)).collect()}
+    assert found == want and found[203, 2] == (200, 2, 4, False) and found[203, 1] == (203, 1, 1, True)
