@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heron.llm.common import Forest, block_pairs, components, saved, small_batches, small_side, sorted_groups, table
+from heron.llm.common import components, forest, group_links, saved, small_batches, small_side, table
 
 #: Edits up to which two lines are one; lines of fewer characters aren't matched by edits.
 EDITS, MIN_CHARS = 2, 25
-BLOCK = 512
+#: Lines of a block of a signature; characters that a segment has at least when a large signature is dealt anew.
+BLOCK, LEAST_SEGMENT = 256, 3
 HISTOGRAM = 32
-#: Bits of a column, 2 * edits + 2 at least.
-BAND = 32
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -45,36 +44,36 @@ def probes(length: int, edits: int, shortest: int) -> list[tuple[int, int, int,
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance of a and b is at most `edits`: bit-parallel columns in a band of 2 * edits + 1 diagonals.
 
-    After Hyyro (2003). Equal ends are cut off first. A column's differences are bits of one word that slides down a
-    row with each column; the score follows the lowest diagonal of the band, then the last row.
+    After Hyyro (2003). Equal ends are cut off first. A column's differences are the bits of a word as wide as the band,
+    which slides down a row with each column, so the work grows with the length only; the score follows the lowest
+    diagonal of the band, then the last row.
     """
     if abs(len(a) - len(b)) > edits:
         return False
     n = min(len(a), len(b))
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    k = 0
-    while k < n - i and a[-1 - k] == b[-1 - k]:
-        k += 1
+    i = _equal_start(a, b, n)
+    k = _equal_start(a[i:][::-1], b[i:][::-1], n - i)
     a, b = a[i : len(a) - k], b[i : len(b) - k]
     if not a or not b:
         return max(len(a), len(b)) <= edits
     if len(a) < len(b):
         a, b = b, a
     most, m = min(edits, len(a)), len(a)
-    rows: dict[str, int] = {}
-    for r, c in enumerate(a):
-        rows[c] = rows.get(c, 0) | 1 << r
-    full, last, level, score = (1 << BAND) - 1, 1 << (BAND - 1), 1 << (BAND - 2), most
-    up, down = full & ~((1 << (BAND - most - 1)) - 1), 0
+    width = 2 * most + 2
+    full, last, level, score = (1 << width) - 1, 1 << (width - 1), 1 << (width - 2), most
+    up, down = full & ~((1 << (width - most - 1)) - 1), 0
     for j, c in enumerate(b):
-        at = most + 1 - BAND + j  # the row of bit 0
-        match = (rows.get(c, 0) >> at if at >= 0 else rows.get(c, 0) << -at) & full
+        at = most + 1 - width + j  # the row of bit 0
+        match = 0
+        for r in range(max(0, at), min(m, at + width)):
+            if a[r] == c:
+                match |= 1 << (r - at)
         diagonal = ((((match & up) + up) & full) ^ up) | match | down
         right_up, right_down = down | full & ~(diagonal | up), diagonal & up
         if j < m - most:  # the band's lowest diagonal runs down to the last row
             score += not diagonal & last
+            if score > edits + most:  # it can't come back
+                return False
         else:  # which is then followed to its end
             score += bool(right_up & level) - bool(right_down & level)
             level >>= 1
@@ -83,6 +82,18 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
+def _equal_start(a: str, b: str, n: int) -> int:
+    """How many of the first n characters are equal, by halving."""
+    low, high = 0, n
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, at, line: the lines of each document; null has none."""
     text = F.col(text_col).cast("string")
@@ -91,17 +102,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def plan(length: int, edits: int, shortest: int, short: int | None = None) -> list[tuple[int, int, int, int, bool]]:
+    """(indexed length, segment, start, size, own) of the substrings that a line signs; own ones are its segments, by which it is found.
+
+    With `short`, only what meets lines of that length.
+    """
+    own = {(length, i, p, size) for i, (p, size) in enumerate(segments(length, edits))}
+    found = sorted(own | set(probes(length, edits, shortest)))
+    return [(*x, x in own) for x in found if short is None or x[0] == short]
+
+
 def line_signatures(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(signature, line) for each segment that a line indexes and each substring it probes; line is its 64-bit hash."""
+    """(group, line, own) for each segment that a line indexes and each substring it probes; group is the signature, line a 64-bit hash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-        plans: dict[int, list[tuple[int, int, int]]] = {}
+        plans: dict[int, tuple[list[tuple[int, int, int]], list[bool]]] = {}
         seen: set[int] = set()
         for batch in batches:
-            signatures, lines, counts = [], [], []
+            signatures, lines, counts, owns = [], [], [], []
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     n = len(line)
@@ -113,84 +134,93 @@ def line_signatures(docs: DataFrame, text_col: str, edits: int, min_chars: int)
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
-                    if (plan := plans.get(n)) is None:
-                        own = {(n, i, p, size) for i, (p, size) in enumerate(segments(n, edits))}
-                        plan = plans[n] = [(length * (edits + 1) + i, 4 * p, 4 * (p + size)) for length, i, p, size in sorted(own | set(probes(n, edits, min_chars)))]
+                    if (known := plans.get(n)) is None:
+                        found = plan(n, edits, min_chars)
+                        known = plans[n] = [(length * (edits + 1) + i, 4 * p, 4 * (p + size)) for length, i, p, size, _ in found], [x[4] for x in found]
                         if len(plans) > 5_000:
                             plans.clear()
                     wide = line.encode("utf-32-le")
-                    signatures += [xxh3_64_intdigest(wide[a:b], seed) for seed, a, b in plan]
-                    lines.append(key), counts.append(len(plan))
+                    signatures += [xxh3_64_intdigest(wide[a:b], seed) for seed, a, b in known[0]]
+                    owns += known[1]
+                    lines.append(key), counts.append(len(known[1]))
             if lines:
                 repeated = np.repeat(np.array(lines, np.uint64).view(np.int64), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(signatures, np.uint64).view(np.int64)), pa.array(repeated)], names=["signature", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(signatures, np.uint64).view(np.int64)), pa.array(repeated), pa.array(owns, pa.bool_())], names=["group", "line", "own"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "signature long, line long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "group long, line long, own boolean")
 
 
-def signature_links(rows: DataFrame) -> DataFrame:
-    """(u, v): each other line of a signature with its first line."""
+def shared(rows: DataFrame, line: str) -> DataFrame:
+    """Rows of the groups that two lines or more have, one of which is found by it.
+
+    Groups are counted with partial sums, so a frequent one costs no task; rows are read twice and joined to those groups.
+    """
+    live = rows.groupBy("group").agg(F.min(line).alias("a"), F.max(line).alias("b"), F.max("own").alias("own")).where("own AND a != b").select("group")
+    return rows.join(small_side(saved(live)), "group", "left_semi")
+
+
+def dealt_anew(rows: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of lines that share a segment, dealt by the segments of what is left of the lines without it; first come the groups whose rests are too short for that.
+
+    The edits of a pair that meets in a group stand before and behind the shared segment, so the rests of both are
+    within the same edits of each other and share a segment again.
+    """
+    names = ["group", "node", "text", "rest", "short", "own", "seed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, 0
+        from xxhash import xxh3_64_intdigest
+
+        def signed(rest: str, salt: int, short: int | None) -> Iterator[tuple[int, int, int, int, bool]]:
+            wide = rest.encode("utf-32-le")
+            for length, i, p, size, own in plan(len(rest), edits, 1, short):
+                key = xxh3_64_intdigest(wide[4 * p : 4 * (p + size)], (length * (edits + 1) + i) ^ (salt & (1 << 64) - 1))
+                yield key - (key >> 63 << 64), length, p, size, own
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.concatenate([[last is None or s[0] != last], s[1:] != s[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            heads = np.where(at >= 0, x[at], head)
-            last, head = s[-1], heads[-1]
-            linked = x != heads
-            pairs = np.unique(np.stack([heads[linked], x[linked]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            out: list[tuple] = []
+            for group, node, text, rest, short, own, salt in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, length, p, size, indexed in signed(rest, salt, short):
+                    if key == group:  # the substring that led here
+                        left = rest[:p] + rest[p + size :]
+                        out += [(k, node, text, left, length - size, own and indexed and mine, group) for k, *_, mine in signed(left, group, length - size)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
 
-    return rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(run, "u long, v long")
+    types = [pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64()]
+    least = LEAST_SEGMENT * (edits + 1)
+    long = saved(rows.groupBy("group").agg(F.min(F.length("rest")).alias("least")).where(F.col("least") >= least).select("group"))
+    anew = rows.join(small_side(long), "group", "left_semi").select(*names).mapInArrow(run, "group long, node binary, text string, rest string, short int, own boolean, seed long")
+    once = shared(anew, "node").groupBy("group", "node", "text", "rest", "short", "seed").agg(F.max("own").alias("own"))
+    return rows.join(small_side(long), "group", "left_anti"), once
 
 
-def edit_links(members: DataFrame, edits: int) -> DataFrame:
-    """Of each (group, block pair) a spanning forest (u, v), in line keys, of the lines within `edits` of each other."""
+def edit_links(rows: DataFrame, edits: int) -> DataFrame:
+    """(u, v), in line keys, that join the lines (group, node, text, ...) of a group that are within `edits` of each other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in sorted_groups(batches, 3):
-            if len(rows) < 2:
-                continue
-            us, vs = [], []
-            rows.sort(key=lambda r: len(r[1]))
-            keys, lines, sizes = [r[0] for r in rows], [r[1] for r in rows], np.array([len(r[1]) for r in rows])
-            in_b = np.array([r[3] for r in rows])
-            counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % HISTOGRAM, minlength=HISTOGRAM) for x in lines]).astype(np.int32)
-            forest, roots = Forest(len(rows)), np.arange(len(rows))
-            for a in range(len(rows)):
-                if forest.left == 1:
-                    break
-                if not rows[a][2]:
-                    continue
-                low, high = np.searchsorted(sizes, sizes[a] - edits), np.searchsorted(sizes, sizes[a] + edits, "right")
-                near = (np.abs(counts[low:high] - counts[a]).sum(axis=1) <= 2 * edits) & in_b[low:high] & (roots[low:high] != roots[a])
-                merged = False
-                for b in (np.flatnonzero(near) + low).tolist():
-                    if forest.find(a) != forest.find(b) and within(lines[a], lines[b], edits):
-                        forest.union(a, b)
-                        us.append(keys[a]), vs.append(keys[b])
-                        merged = True
-                if merged:
-                    roots = forest.roots()
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
-
-    keys = ["component", "block_a", "block_b"]
-    return members.select(*keys, "key", "line", "in_a", "in_b").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u binary, v binary")
+    def verify(columns: list[list], in_a: np.ndarray, in_b: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+        lines, own = columns[0], np.array(columns[1])
+        if len(lines) == 2:
+            return [(0, 1)] if within(lines[0], lines[1], edits) else []
+        sizes = np.array([len(x) for x in lines])
+        counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % HISTOGRAM, minlength=HISTOGRAM) for x in lines]).astype(np.int32)
+
+        def near(a: int) -> np.ndarray:
+            return (own | own[a]) & (np.abs(sizes - sizes[a]) <= edits) & (np.abs(counts - counts[a]).sum(axis=1) <= 2 * edits)
+
+        return forest(in_a, in_b, classes, near, lambda a, b: within(lines[a], lines[b], edits))
+
+    return group_links(rows, ["text", "own", "rest", "short", "seed"], verify, BLOCK, weight=F.length("text"), split=lambda x: dealt_anew(x, edits))
 
 
 def line_classes(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(node, component): keys (MD5) of lines that are within `edits` of some other line, and their class, closed over chains."""
-    loose = components(signature_links(line_signatures(docs, text_col, edits, min_chars)))
-    sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line")).where(F.length("line") >= min_chars)
-    texts = lines.withColumn("node", F.xxhash64("line")).join(small_side(loose), "node").select("component", "line").distinct()
-    members = texts.join(sizes, "component").withColumn("key", F.unhex(F.md5("line")))
-    return components(edit_links(block_pairs(members, "component", F.col("key"), "size", BLOCK), edits))
+    """(node, component): keys (MD5) of lines that are within `edits` of some other line, and their class, closed over chains.
+
+    Only lines that share a signature with another one get their text back, and only pairs of one signature are verified.
+    """
+    meets = saved(shared(line_signatures(docs, text_col, edits, min_chars), "line").groupBy("group", "line").agg(F.max("own").alias("own")))
+    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("text")).where(F.length("text") >= min_chars)
+    texts = lines.withColumn("line", F.xxhash64("text")).join(small_side(saved(meets.select("line").distinct())), "line", "left_semi").distinct()
+    members = meets.join(texts, "line").select("group", F.unhex(F.md5("text")).alias("node"), "text", "own", F.col("text").alias("rest"), F.lit(None).cast("int").alias("short"), F.lit(0).cast("long").alias("seed"))
+    return components(edit_links(saved(members), edits))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, equal_short: bool = False) -> DataFrame:
@@ -203,7 +233,9 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segment, and every pair found is verified.
 
     A null text has no lines, an empty one has one empty line. Rows that repeat both id and text count as the same
-    place, so that all of them keep or lose the same lines. Null ids come first. Other columns are ignored.
+    place, so that all of them keep or lose the same lines. Null ids come first; ids are of any type with an order. A
+    very long line takes about 200 bytes of memory for each of its characters while it is signed. An empty table gives
+    no rows. Other columns, whatever their names, are ignored.
     """
     classes = line_classes(docs, text_col, edits, min_chars)
     places = _lines(docs, id_col, text_col)
@@ -213,7 +245,8 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = distinct.join(classes, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("class"))
     firsts = classed.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n_class")).where("n_class > 1")
     known = classed.select("key", "class").join(firsts, "class").select("key", F.col("first.id").alias("class_id"), F.col("first.text_hash").alias("class_hash"), F.col("first.at").alias("class_at"), "n_class")
-    key = F.when(F.length("line") >= least, F.unhex(F.md5("line")))
+    # A line that is no member of a class gets a key of eight bytes, which matches none of sixteen, so that such lines are spread over all tasks.
+    key = F.when(F.length("line") >= least, F.unhex(F.md5("line"))).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("id", "text_hash", "at")), 16, "0")))
     found = places.select("id", "text_hash", "at", key.alias("key")).join(known, "key", "left")
     single = F.col("n_class").isNull()
     same = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")) & (F.col("at") == F.col("class_at"))
@@ -236,19 +269,20 @@ def _without(text, gone):
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with duplicate lines taken out of the text; a document that loses every line goes, one without lines stays.
 
-    The columns are those of docs; where n_chars is among them, it is set to the new length of a changed text.
+    Lines of fewer than min_chars characters stay. The columns, of any names, are those of docs; where n_chars is among
+    them, it is set to the new length of a changed text. Nulls, repeated rows and empty tables: see line_duplicates.
     """
     marks = line_duplicates(docs, id_col, text_col, edits, min_chars)
-    gone = marks.where(~F.col("kept")).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_distinct(F.collect_list("at")).alias("__gone"))
-    here = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
-    joined = here.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
-    cut = F.col("__gone").isNotNull()
-    joined = joined.where(~cut | (F.size("__gone") < F.size(F.split(F.col(text_col).cast("string"), "\n", -1))))
-    joined = joined.withColumn("__new", _without(F.when(cut, F.col(text_col).cast("string")), F.col("__gone")))
-    out = joined.withColumn(text_col, F.coalesce("__new", text_col))
+    gone = marks.where(~F.col("kept")).groupBy("id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    text = F.col(text_col).cast("string")
+    here = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    joined = here.alias("a").join(gone.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left").select("doc", "gone")
+    text, cut = F.col("doc").getField(text_col).cast("string"), F.col("gone").isNotNull()
+    joined = joined.where(~cut | (F.size("gone") < F.size(F.split(text, "\n", -1)))).withColumn("new", _without(F.when(cut, text), F.col("gone")))
+    changed = F.col("doc").withField(text_col, F.coalesce("new", text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed = changed.withField("n_chars", F.when(cut, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars")))
+    return joined.select(changed.alias("doc")).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

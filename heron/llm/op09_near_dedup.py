@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heron.llm.common import Forest, block_pairs, components, constants, mix, saved, shingles, small_batches, small_side, sorted_groups, table, text_bytes, written
+from heron.llm.common import components, constants, forest, group_links, mix, saved, shingles, small_batches, small_side, table, with_fields, written
 
 ROWS, BANDS = 5, 30
 SKETCH_BITS = 512
-SKETCH_BLOCK, SET_BLOCK = 1024, 512
+#: Rows of a block of a band, and of a group of candidates.
+SKETCH_BLOCK, SET_BLOCK = 1024, 256
+#: Rows with sketches that are broadcast at most.
+SKETCHES = 300_000
 
 
 def signature(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -43,7 +46,7 @@ def most_bits(threshold: float, slack: float = 0.3) -> int:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n_shingles, set_key (equal sets, equal keys; null for an empty set), bands, sketch."""
+    """id, text_key, n_shingles, set_key (equal sets, equal keys; null for an empty set), bands, sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         bands_of = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             n, keys, bands, sketches = [], [], [], []
-            for values in shingles(batch.column(1), k):
+            for values in shingles(batch.column(2), k):
                 n.append(len(values))
                 if not len(values):
                     keys.append(None), bands.append(None), sketches.append(None)
@@ -62,122 +65,97 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()))
                 bands.append(mix((samples.reshape(BANDS, ROWS) * turns).sum(axis=1) + bands_of).view(np.int64))
                 sketches.append(odd_sketch(samples, salts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "set_key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "text_key", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return slim.mapInArrow(run, with_fields(slim.drop("text"), "n_shingles long, set_key binary, bands array<long>, sketch binary"))
+
+
+def differing_bits(sketches: list[bytes]) -> Callable[[int], np.ndarray]:
+    """Of a row's sketch and all the others the population count of their XOR."""
+    bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    return lambda a: np.bitwise_count(bits ^ bits[a]).sum(axis=1)
 
 
 def sketch_links(buckets: DataFrame, most: int) -> DataFrame:
-    """Of each (band, block pair) a spanning forest (u, v) of the members whose odd sketches differ in at most `most` bits."""
+    """(u, v) that join the members (group, node, sketch) of each band whose odd sketches differ in at most `most` bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        for _, rows in sorted_groups(batches, 3):
-            ids = [r[0] for r in rows]
-            if len(ids) == 2 and rows[0][2] and rows[1][2]:
-                if rows[0][1] == rows[1][1] or (int.from_bytes(rows[0][1]) ^ int.from_bytes(rows[1][1])).bit_count() <= most:
-                    us.append(ids[0]), vs.append(ids[1])
-            elif len(ids) > 1:
-                sketches = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(ids), -1)
-                in_b = np.array([r[3] for r in rows])
-                forest = Forest(len(ids))
-                for a in range(len(ids)):
-                    if forest.left == 1:
-                        break
-                    if not rows[a][2]:
-                        continue
-                    near = np.bitwise_count(sketches ^ sketches[a]).sum(axis=1) <= most
-                    for b in np.flatnonzero(near & in_b).tolist():
-                        if forest.union(a, b):
-                            us.append(ids[a]), vs.append(ids[b])
-            if len(us) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-                us, vs = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    keys = ["band", "block_a", "block_b"]
-    return buckets.select(*keys, "id", "sketch", "in_a", "in_b").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
-
-
-def set_links(members: DataFrame, percent: int) -> DataFrame:
-    """Of each (group, block pair) a spanning forest (u, v) of the exact graph: 100 * intersection >= percent * union of the whole sets."""
+    def verify(columns: list[list], in_a: np.ndarray, in_b: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+        sketches = columns[0]
+        if len(sketches) == 2:
+            near = sketches[0] == sketches[1] or (int.from_bytes(sketches[0]) ^ int.from_bytes(sketches[1])).bit_count() <= most
+            return [(0, 1)] if near else []
+        bits = differing_bits(sketches)
+        return forest(in_a, in_b, classes, lambda a: bits(a) <= most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        for _, rows in sorted_groups(batches, 3):
-            if len(rows) < 2:
-                continue
-            ids, sets = [r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]
-            sizes = np.array([len(x) for x in sets])
-            in_b = np.array([r[3] for r in rows])
-            vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            forest, roots = Forest(len(ids)), np.arange(len(ids))
-            held = np.zeros(len(vocabulary), np.int32)
-            for a in range(len(ids)):
-                if forest.left == 1:
-                    break
-                if not rows[a][2] or not ((roots != roots[a]) & in_b).any():
-                    continue
-                own = codes[starts[a] : starts[a] + sizes[a]]
-                held[own] = 1
-                both = np.add.reduceat(held[codes], starts)
-                held[own] = 0
-                linked = 100 * both >= percent * (sizes + sizes[a] - both)
-                merged = False
-                for b in np.flatnonzero(linked & in_b & (roots != roots[a])).tolist():
-                    if forest.union(a, b):
-                        us.append(ids[a]), vs.append(ids[b])
-                        merged = True
-                if merged:
-                    roots = forest.roots()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    keys = ["component", "block_a", "block_b"]
-    return members.select(*keys, "node", "shingles", "in_a", "in_b").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    return group_links(buckets, ["sketch"], verify, SKETCH_BLOCK)
+
+
+def set_links(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(u, v) that join the members (group, node, sketch, shingles) as the exact graph does: 100 * intersection >= percent * union of the whole sets.
+
+    Pairs whose sketches differ in more than `most` bits, or whose sizes alone forbid a link, are not intersected.
+    """
+
+    def verify(columns: list[list], in_a: np.ndarray, in_b: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+        bits, sets = differing_bits(columns[0]), [np.frombuffer(x, np.uint64) for x in columns[1]]
+        sizes = np.array([len(x) for x in sets])
+
+        def near(a: int) -> np.ndarray:
+            return (bits(a) <= most) & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a]))
+
+        def linked(a: int, b: int) -> bool:
+            both = int(np.isin(sets[a], sets[b], assume_unique=True).sum()) if sizes[a] < 64 else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            return 100 * both >= percent * (sizes[a] + sizes[b] - both)
+
+        return forest(in_a, in_b, classes, near, linked)
+
+    return group_links(members, ["sketch", "shingles"], verify, SET_BLOCK, weight=F.octet_length("shingles"))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, nodes: DataFrame) -> DataFrame:
-    """node, component, shingles (sorted 64-bit hashes as bytes) of the documents in nodes."""
+    """node, group, sketch, shingles (sorted 64-bit hashes as bytes) of the documents in nodes (node, text_key, group, sketch), repeated rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in shingles(batch.column(2), k)], pa.binary())], names=["node", "component", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in shingles(batch.column(3), k)], pa.binary())], names=["node", "group", "sketch", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(small_side(nodes), "node")
-    return texts.select("node", "component", "text").mapInArrow(run, "node long, component long, shingles binary").where(F.length("shingles") > 0)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("node"), F.xxhash64(text).alias("text_key"), text.alias("text")).join(small_side(nodes, SKETCHES), ["node", "text_key"])
+    slim = texts.dropDuplicates(["node", "text_key"]).select("node", "group", "sketch", "text")
+    return slim.mapInArrow(run, with_fields(slim.drop("text"), "shingles binary"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicate documents: (id, n_shingles, component_id, kept), a row for each row of docs.
 
     Two documents are linked if the Jaccard similarity of their sets of k-word shingles is percent/100 or more; a
-    group is a connected component of links and is named by its smallest id, whose row has kept = true.
-    Rows with equal sets are collapsed before the search, so copies cost no pairs. A pair at the very threshold of 0.8
-    is missed by the bands with a probability under 1e-5 (0.85: 2e-8); every link found is confirmed on the whole sets.
+    group is a connected component of links and is named by its smallest id, whose row has kept = true. Ids are of any
+    type with an order. Rows with equal sets are collapsed before the search, so copies cost no pairs. A pair at the
+    very threshold of 0.8 is missed by the bands with a probability under 1e-5 (0.85: 2e-8); every link found is
+    confirmed on the whole sets. Bands and groups of candidates of any size are dealt into blocks (see group_links).
 
     Null or blank texts have an empty set and are linked with nothing. A row without id stays alone, with a null
-    component and kept = true. Rows that repeat an id count as one node, with the links of all of them. An empty table
-    gives no rows. Other columns of docs, whatever their names, are ignored.
+    component and kept = true. Rows that repeat an id count as one node, with the links of all of them. A very long
+    text takes about 16 bytes of memory for each of its words. An empty table gives no rows. Other columns of docs,
+    whatever their names, are ignored.
     """
-    feats = written(features(docs, id_col, text_col, k))
+    feats = written(features(docs, id_col, text_col, k).withColumn("row", F.monotonically_increasing_id()))
     known = feats.where("id IS NOT NULL AND set_key IS NOT NULL")
-    firsts = known.groupBy("set_key").agg(F.min("id").alias("first"))
-    copies = known.select("id", "set_key").join(firsts, "set_key").where("id != first").select(F.col("first").alias("u"), F.col("id").alias("v"))
-
-    alone = known.join(firsts.withColumnRenamed("set_key", "key"), (F.col("set_key") == F.col("key")) & (F.col("id") == F.col("first")), "left_semi")
-    alone = written(alone.select("id", "bands", "sketch"))
-    banded = alone.select("id", F.explode("bands").alias("band"))
-    live = banded.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("a != b")
-    live = saved(live.select("band", "size"))
-    in_live = alone.select("id", "sketch", F.explode("bands").alias("band")).join(small_side(live), "band")
-    pairs = block_pairs(in_live, "band", F.col("id"), "size", SKETCH_BLOCK)
-    loose = components(sketch_links(pairs, most_bits(percent / 100)))
-
-    sizes = loose.groupBy("component").agg(F.count("*").alias("size"))
-    sets = _sets(docs, id_col, text_col, k, loose)
-    units = block_pairs(sets.join(sizes, "component"), "component", F.col("node"), "size", SET_BLOCK)
-    groups = components(set_links(units, percent).unionByName(copies))
+    firsts = known.groupBy("set_key").agg(F.min(F.struct("id", "row")).alias("first"))
+    copies = known.select("id", "row", "set_key").join(firsts, "set_key").where("row != first.row").select(F.col("first.id").alias("u"), F.col("id").alias("v"))
+
+    alone = known.join(firsts.select(F.col("set_key").alias("key"), F.col("first.row").alias("at")), (F.col("set_key") == F.col("key")) & (F.col("row") == F.col("at")), "left_semi")
+    alone = written(alone.select("id", "text_key", "bands", "sketch"))
+    live = alone.select("id", F.explode("bands").alias("group")).groupBy("group").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("group")
+    buckets = written(alone.select(F.col("id").alias("node"), "sketch", F.explode("bands").alias("group")).join(small_side(saved(live)), "group"))
+    most = most_bits(percent / 100)
+    loose = components(sketch_links(buckets, most))
+
+    nodes = loose.join(alone, loose["node"] == alone["id"]).select("node", "text_key", F.col("component").alias("group"), "sketch")
+    sets = written(_sets(docs, id_col, text_col, k, saved(nodes)))
+    groups = components(set_links(sets, percent, most).unionByName(copies))
     return (
         feats.select("id", "n_shingles").join(groups, F.col("id") == F.col("node"), "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -186,9 +164,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates: that with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col, k, percent).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(small_side(saved(gone)), docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with one document of each group of near duplicates: that with the smallest id. Rows of that id all stay, as do rows without id; all columns are those of docs."""
+    gone = near_duplicates(docs, id_col, text_col, k, percent).where(~F.col("kept")).select("id").distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
+    return rows.join(small_side(saved(gone)), "id", "left_anti").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from heron.llm import op08_line_dedup as lines
 from heron.llm import op09_near_dedup as near
-from heron.llm.common import components
+from heron.llm.common import components, forest, group_links, word_hashes
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -100,6 +102,39 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("family", [0.0, 0.5, 0.95])
+def test_group_links_join_what_all_pairs_join(spark, family):
+    """Groups of numbers on a circle, linked if close by; a part of a group is one family around zero."""
+    rng = random.Random(int(family * 100))
+    rows = [(g, g * 1000 + i, rng.uniform(0, 0.01) if rng.random() < family else rng.uniform(0, 1)) for g, n in enumerate((1, 2, 9, 60, 150)) for i in range(n)]
+    linked = lambda x, y: abs(x - y) < 0.012
+
+    def verify(columns, in_a, in_b, classes):
+        assert len(in_a) <= 60  # two blocks of about 20
+        x = columns[0]
+        return forest(in_a, in_b, classes, lambda a: abs(np.array(x) - x[a]) < 0.02, lambda a, b: linked(x[a], x[b]))
+
+    found = components(group_links(spark.createDataFrame(rows, "group long, node long, x double"), ["x"], verify, 20)).collect()
+    where = {n: (g, x) for g, n, x in rows}
+    want = groups(list(where), lambda a, b: where[a][0] == where[b][0] and linked(where[a][1], where[b][1]))
+    assert {n: c for n, c in want.items() if sum(v == c for v in want.values()) > 1} == {r.node: r.component for r in found}
+
+
+def test_string_ids(spark):
+    rows = [(f"id {i:04d}", t) for i, t in near_rows()]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), k=3, percent=85).collect()
+    assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_near(rows, 3, 85)
+
+
+def test_shingles_of_long_texts_in_parts():
+    text = (" ".join(f"w{i % 77}x{i}" for i in range(3000)) + "\t\n " + "y" * 5000 + " end").encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = word_hashes(data, np.array([0, len(data)]))[0]
+    for most in (1, 100, 7777):
+        part, first = word_hashes(data, np.array([0, len(data)]), most)
+        assert part.tolist() == whole.tolist() and first.tolist() == [0, len(whole)]
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -127,6 +162,28 @@ def test_within_and_probes():
             assert any((length, i, long[p : p + n]) in index for length, i, p, n in lines.probes(len(long), e, 0))
 
 
+def test_within_long_lines():
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcd") for _ in range(200_000))
+    for cut in (0, 1, 2, 3):
+        b = a[:100] + "z" + a[100 + cut : 150_000] + "y" + a[150_001:]
+        began = time.time()
+        assert lines.within(a, b, 2) == (cut < 2) and lines.within(b, a, 3) == (cut < 3) and time.time() - began < 5
+
+
+def test_large_signatures_are_dealt_anew(spark, monkeypatch):
+    """Many lines share a beginning; some pairs of them are near each other."""
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    dealt, anew = [], lines.dealt_anew
+    monkeypatch.setattr(lines, "dealt_anew", lambda rows, edits: dealt.append(1) or anew(rows, edits))
+    rng = random.Random(11)
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(24)) for _ in range(60)]
+    ends += [x[:3] + "z" + x[4:] for x in ends[:10]] + [x[:20] + x[21:] + "y" for x in ends[10:20]] + ["abab" * 6, "baba" * 6]
+    rows = [(i, "the same words, " + x) for i, x in enumerate(ends)]
+    found = lines.line_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, r.at): (r.class_id, r.class_at, r.n_class, r.kept) for r in found} == brute_lines(rows, lines.EDITS, lines.MIN_CHARS) and dealt
+
+
 def brute_lines(rows, edits, least):
     places = [(i, at, x) for i, t in rows if t is not None for at, x in enumerate(t.split("\n"))]
     texts = sorted({x for _, _, x in places if len(x) >= least})
