@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: A run of white space of this length or more is beyond the stack of the faster library.
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones are themselves, the others follow from 256 on."""
@@ -17,7 +23,8 @@ class Encoder:
 
     Texts are encoded whole. The faster of two public libraries does it with ranks made of the same file: in such a
     vocabulary a merge's rank is its id, so the ids are the same, as tests check. Texts in which the string of a special token
-    occurs, and texts that the faster library refuses, are encoded by the `tokenizers` library itself.
+    occurs, texts with LONG_SPACE characters of white space in a row, and texts that the faster library refuses, by an error
+    or by a panic, are encoded by the `tokenizers` library itself.
     """
 
     def __init__(self, path: str):
@@ -44,12 +51,14 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_SPACE and _LONG_SPACE.search(text):
             return self.plain(text)
         try:
             return self.fast.encode_ordinary(text)
-        except (ValueError, RecursionError):
-            return self.plain(text)
+        except BaseException as e:  # a panic of the library derives from BaseException only
+            if isinstance(e, (ValueError, RecursionError)) or type(e).__name__ == "PanicException":
+                return self.plain(text)
+            raise
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of `dtype`; null and empty texts have none."""
