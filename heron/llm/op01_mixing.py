@@ -35,8 +35,8 @@ def distribution(mean: float, terms: int = TERMS) -> list[float]:
     return sums
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, total: float | None = None) -> DataFrame:
-    """docs replicated so that sources have their target shares of the bytes: its columns and copy (from 0), n_copies, shuffle_key.
+def replicated(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, total: float | None = None) -> DataFrame:
+    """(doc, copy, n_copies, shuffle_key): rows of docs, as a struct, replicated so that sources have their target shares of the bytes.
 
     A source's mean repetition rate is weight * total / bytes, `total` being the bytes of the mixture (that of docs if
     not given) and weights being normed over the sources that are there; those not named, and null, are one source of
@@ -47,28 +47,38 @@ def mixed(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = RE
 
     Only the bytes of the named sources and of the rest, a row each, are gathered; the rates become constants of the
     plan, so no join is needed and a hot source needs no care. Null texts have no bytes, yet are drawn; a source without any
-    bytes has rate 0. Rows that repeat an id draw the same count, null ids draw by their text. An empty table gives no
-    rows. Columns of docs named copy, n_copies or shuffle_key are replaced.
+    bytes has rate 0. Rows that repeat an id draw the same count, null ids draw by their text. Texts of any length are
+    only measured and moved. An empty table gives no rows. Columns of docs may have any names.
     """
     named = sorted(weights)
-    bucket = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit("*")) if named else F.lit("*")
-    size = F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))
+    source, text = F.col(source_col).cast("string"), F.col(text_col).cast("string")
+    bucket = F.coalesce(*[F.when(source == s, F.lit(i)) for i, s in enumerate(named)], F.lit(-1))  # the rest: -1
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
     sizes = {x.bucket: x.bytes for x in docs.groupBy(bucket.alias("bucket")).agg(size.alias("bytes")).collect() if x.bytes}  # a row for each named source and the rest
-    shares = {s: float(weights.get(s, rest)) for s in sizes}
+    shares = {i: float(weights[named[i]] if i >= 0 else rest) for i in sizes}
     whole, sums, parts = total or sum(sizes.values()), F.lit(None).cast("array<double>"), F.lit(None).cast("int")
-    for s in sizes:
-        rate = shares[s] / sum(shares.values()) * whole / sizes[s]
+    for i in sizes:
+        rate = shares[i] / sum(shares.values()) * whole / sizes[i]
         n = max(1, math.ceil(rate / PART))
-        sums, parts = F.when(bucket == s, F.lit(distribution(rate / n))).otherwise(sums), F.when(bucket == s, F.lit(n)).otherwise(parts)
-
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    drawn = docs.drop("copy", "n_copies", "shuffle_key").withColumns({"__sums": sums, "__parts": parts, "__key": key}).where(F.col("__parts").isNotNull())
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(str(seed)), F.col("__key"), j.cast("string")))
-    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("__sums"), lambda s: s <= u)))
-    counted = drawn.withColumn("n_copies", count).where("n_copies > 0").drop("__sums", "__parts")
-    copies = counted.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_copies"))).alias("copy", "__zero")).drop("__zero")
-    shuffle = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}s"), "__key", F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
-    return copies.withColumn("shuffle_key", shuffle).drop("__key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        sums, parts = F.when(F.col("bucket") == i, F.lit(distribution(rate / n))).otherwise(sums), F.when(F.col("bucket") == i, F.lit(n)).otherwise(parts)
+
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    drawn = docs.select(F.struct("*").alias("doc"), bucket.alias("bucket"), key.alias("key")).select("doc", "key", sums.alias("sums"), parts.alias("parts")).where("parts IS NOT NULL")
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
+    count = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("sums"), lambda s: s <= u)))
+    counted = drawn.select("doc", "key", count.alias("n_copies")).where("n_copies > 0")
+    copies = counted.select("doc", "key", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    shuffle = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}s"), "key", F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
+    return copies.select("doc", "copy", "n_copies", shuffle.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+ADDED = ("copy", "n_copies", "shuffle_key")
+
+
+def mixed(docs: DataFrame, *args, **options) -> DataFrame:
+    """replicated() with the columns of docs and copy (from 0), n_copies and shuffle_key, which take the place of columns of these names."""
+    out = replicated(docs, *args, **options)
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
