@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from heron.llm.common import constants, mix, shuffle_partitions, small_batches,
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, SIZE = 8, 2, 64
+#: Elements that are ranked at once; no image of an element is above this.
+SPAN, MOST = 1024, np.uint32(0xFFFFFFFF)
 
 
 def kmers(text: str, k: int = K) -> np.ndarray:
@@ -30,33 +33,65 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return mix(h.copy() if h is points else h)
 
 
+@lru_cache(maxsize=1)
+def scratch(n: int) -> np.ndarray:
+    """A buffer of this process that is written anew by each use."""
+    return np.empty(n, np.uint32)
+
+
+def least_places(h: np.ndarray, orders: np.ndarray, take: int) -> np.ndarray:
+    """For each order, a multiplication of the 32-bit hashes by an odd number, the places of its `take` least elements: (orders, take).
+
+    Elements are looked at in blocks; each block's least ones stay candidates. Of equal images the first counts.
+    """
+    lines, buffer, at, least = np.arange(len(orders)), scratch(len(orders) * SPAN), [], []
+    for i in range(0, len(h), SPAN):
+        part = h[i : i + SPAN]
+        images = np.multiply(orders[:, None], part[None, :], out=buffer[: len(orders) * len(part)].reshape(len(orders), -1))
+        for _ in range(min(take, len(part))):
+            place = images.argmin(axis=1)
+            at.append(place + i), least.append(images[lines, place])
+            images[lines, place] = MOST
+        if len(at) >= 64 * take:
+            at, least = _best(at, least, take)
+    return np.stack(at if len(at) == take else _best(at, least, take)[0], axis=1)
+
+
+def _best(at: list[np.ndarray], least: list[np.ndarray], take: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    found = np.stack(least)
+    best = np.argsort(found, axis=0, kind="stable")[:take]
+    return list(np.take_along_axis(np.stack(at), best, 0)), list(np.take_along_axis(found, best, 0))
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-numbered k-mers: the n-th occurrence of a k-mer, n > 0, is an element of its own."""
+    order = np.argsort(h, kind="stable")
+    ranked = h[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+    if not len(same):
+        return h
+    new = np.ones(len(h), bool)
+    new[same] = False
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    number = (same - first[same]).astype(np.uint64)
+    out = h.copy()
+    out[order[same]] = mix(ranked[same] + number * np.uint64(0xA0761D6478BD642F))
+    return out
+
+
 def order_minhash(text: str, k: int = K, tuple_size: int = TUPLE, size: int = SIZE) -> np.ndarray:
     """The fingerprint's tuple hashes (16 bits each).
 
-    The j-th order of the occurrence-numbered k-mers (the n-th occurrence of a k-mer is an element of its own) is that
-    of their hashes counted from the j-th of `size` even points of the hash circle, so one sort serves all orders. Its
+    Each of `size` independent orders of the occurrence-numbered k-mers ranks them by a hash of its own; its
     `tuple_size` least elements, in text order, make the tuple. Hence two fingerprints agree in a place if the same
     k-mers are minimal and follow each other in the same order, as they do in texts that few edits part.
     """
     if not text:
         return np.zeros(size, np.uint16)
     h = kmers(text, k)
-    order = np.argsort(h, kind="stable")
-    ranked = h[order]
-    same = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
-    if len(same):  # number the occurrences
-        new = np.ones(len(h), bool)
-        new[same] = False
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        number = (same - first[same]).astype(np.uint64)
-        ranked = ranked.copy()
-        ranked[same] = mix(ranked[same] + number * np.uint64(0xA0761D6478BD642F))
-        again = np.argsort(ranked, kind="stable")
-        ranked, order = ranked[again], order[again]
-    points = np.arange(size, dtype=np.uint64) * np.uint64((1 << 64) // size)
-    at = np.searchsorted(ranked, points)
     take = min(tuple_size, len(h))
-    places = np.sort(order[(at[:, None] + np.arange(take)) % len(h)], axis=1)
+    orders, elements = (constants(size, 43) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (numbered(h) >> np.uint64(32)).astype(np.uint32)
+    places = np.sort(least_places(elements, orders, take), axis=1)
     tuples = (h[places] * constants(take, 37)).sum(axis=1) + constants(size, 41)
     return (mix(tuples) >> np.uint64(48)).astype(np.uint16)
 
@@ -73,8 +108,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, tuple_size: int = TUPLE, size: int = SIZE) -> DataFrame:
     """(id, fingerprint): a hex string of `size` tuple hashes for each row.
 
-    Null and empty texts have the fingerprint of the empty text; equal texts have equal ones. An empty table gives no
-    rows; rows are not compared with each other, so repeated ids and other columns don't matter.
+    Null and empty texts have the fingerprint of the empty text; equal texts have equal ones. A very long text takes
+    about 50 bytes of memory for each of its characters. An empty table gives no rows; rows are not compared with each
+    other, so repeated ids, ids of other types and other columns don't matter.
     """
     small_batches(docs.sparkSession)
 
