@@ -103,7 +103,9 @@ def media_features(media: DataFrame, keep_landmarks: bool = True) -> DataFrame:
 
     payload_bytes, payload_sha256, tail_crc32 (of the last 64 samples), media_bytes, media_sha256, n_landmarks, feature
     (a digest of the landmarks), and with keep_landmarks the landmark arrays landmark_at (frames) and landmark (codes).
-    Null media gives nulls; equal media, equal values. An empty table gives no rows.
+    Null media gives nulls; equal media, equal values, so repeated rows repeat theirs. The spectrum of a very long text
+    is made CHUNK frames at a time; its landmarks (up to 9 for each 128 samples) are one row. An empty table gives no
+    rows. Other columns are ignored.
     """
     small_batches(media.sparkSession)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_landmarks", "feature", "landmark_at", "landmark"]
@@ -131,5 +133,5 @@ def media_features(media: DataFrame, keep_landmarks: bool = True) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Contract of operator 5."""
-    return media_features(with_media(table(spark, sf_dir, "documents")), keep_landmarks=False).withColumnRenamed("id", "doc_id")
+    """Contract of operator 5, with the time-coded arrays."""
+    return media_features(with_media(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
