@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,55 +25,80 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|alert|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|disclaimer|dialog|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|pagination|pager|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?=$|[\s_-])",
     re.I,
 )
+HEADERS = frozenset(("header", "masthead"))
+ARTICLES, HEADINGS = ("article", "main"), frozenset("h1 h2 h3 h4 h5 h6".split())
+HEAD, APART_WHOLLY = 1, 2
 SPACE = re.compile(r"\s+")
 #: Lines on each side that the Gaussian reaches, and its width.
 RADIUS, SIGMA = 3, 1.5
-#: Tags that a line counts more if most of it is links.
-LINKED = 8
+#: Tags that a line counts more if most of it is links; tags of a short line that may still be content.
+LINKED, FEW = 8, 4
+
+
+class Line(NamedTuple):
+    """A line of a page: its text, the tags it took, whether its text is links for the most part, whether it stands in a part that is never content, and in which article (0: none)."""
+
+    text: str
+    tags: int
+    linked: bool
+    apart: bool
+    article: int
+
+
+def apartness(tag: str, attrs: dict[str, str | None], in_article: bool) -> int:
+    """0: may be content; HEAD: the header of an article, whose headings may be content; APART_WHOLLY: never content."""
+    marks = set() if tag in ("html", "body", *ARTICLES) else {m[0].strip(" _-\t\n").lower() for k in ("class", "id", "role") for m in MARKS.finditer(attrs.get(k) or "")}
+    if tag in APART - {"header"} or "hidden" in attrs or attrs.get("aria-hidden") == "true" or marks - HEADERS:
+        return APART_WHOLLY
+    if tag == "header" or marks:
+        return HEAD if in_article else APART_WHOLLY
+    return 0
 
 
 class Lines(HTMLParser):
-    """Streams a page's events into lines: [text, tags, apart, article], the last two telling whether the line stands in a part that is never content and in which article (0: none)."""
+    """Streams a page's events into lines. Text in an inline part that is never content, such as an advert inside a paragraph, is no part of the line around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
+        self.other: list[str] = []  # text of parts that are never content
         self.tags = 0
-        self.open: list[tuple[str, bool, int]] = []  # name, apart, article
-        self.apart, self.article, self.articles = False, 0, 0
+        self.open: list[tuple[str, int, int]] = []  # name, and apartness and article around it
+        self.apart, self.article, self.articles = 0, 0, 0
         self.links = self.linked = 0  # open links, characters in them
 
     def end_line(self) -> None:
-        if self.text:
-            text = SPACE.sub(" ", "".join(self.text)).strip()
+        for parts, apart in ((self.text, False), (self.other, True)):
+            text = SPACE.sub(" ", "".join(parts)).strip() if parts else ""
             if text:
-                self.lines.append((text, self.tags + LINKED * (2 * self.linked > len(text)), self.apart, self.article))
+                self.lines.append(Line(text, self.tags, not apart and 2 * self.linked > len(text), apart, self.article))
                 self.tags = 0
-            self.linked = 0
-            self.text = []
+        if self.text or self.other:
+            self.linked, self.text, self.other = 0, [], []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            (self.other if self.apart else self.text).append(" ")
         if tag in VOID:
             return
         if tag == "a":
             self.links = 1
-        if tag in ("article", "main") and self.apart and not any(name in ("article", "main") for name, *_ in self.open):
+        inside = any(name in ARTICLES for name, *_ in self.open)
+        if tag in ARTICLES and self.apart and not inside:
             self.open = [x for x in self.open if not x[1]]  # a menu or head that was never closed
         self.open.append((tag, self.apart, self.article))
-        if tag in ("article", "main"):
+        if tag in ARTICLES:
             if not self.article:
                 self.articles += 1
             self.article = self.article or self.articles
-            self.apart = any(x[1] for x in self.open)
-        a = dict(attrs)
-        if tag in APART or "hidden" in a or a.get("aria-hidden") == "true" or (tag not in ("html", "body", "article", "main") and any(MARKS.search(a.get(k) or "") for k in ("class", "id", "role"))):
-            self.apart = True
+            self.apart = max(x[1] for x in self.open)
+        self.apart = max(self.apart, apartness(tag, dict(attrs), inside))
+        if inside and tag in HEADINGS and self.apart == HEAD:
+            self.apart = 0  # the title of an article may stand in its header
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -94,12 +120,12 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
-        if self.links:
+        (self.other if self.apart else self.text).append(data)
+        if self.links and not self.apart:
             self.linked += len(data)
 
 
-def read_lines(html: str) -> list[tuple[str, int, bool, int]]:
+def read_lines(html: str) -> list[Line]:
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -114,46 +140,66 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
     return (sums / weights)[radius : radius + len(ratios)]
 
 
-def regions(lines: list[tuple[str, int, bool, int]]) -> list[int]:
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Characters by tags of each line; a line of links counts LINKED tags more."""
+    return np.array([len(x.text) / max(1, x.tags + LINKED * x.linked) for x in lines])
+
+
+def regions(lines: list[Line]) -> list[int]:
     """Places of the lines in content regions.
 
-    A line's ratio is its length by its tags; lines in a part that is never content are not smoothed in. Smoothed
-    ratios of at least the threshold (their mean less half a deviation, or the largest) form the content cluster. A region is the article that
-    a member of the cluster stands in, and outside articles a run of lines from one member to the next, with the lines
-    of few tags right before and after it; only where no article has a member do lines outside count. Lines that are
-    never content are left out of every region.
+    Lines in a part that is never content are neither smoothed in nor chosen. Of the others, those with a smoothed ratio
+    of at least the threshold (their mean less half a deviation, or the largest) are the content cluster. Where some of
+    it stands in articles, only lines in those articles count, else only lines outside. A region is a run of such lines:
+    in an article from its first to its last line of the cluster, outside articles from the first to the last of all.
+    A run loses lines of links at its ends and is extended there over lines that are no links and have FEW tags, up to a
+    line of links or, outside articles, a part that is never content.
     """
     if not lines:
         return []
-    apart = np.array([x[2] for x in lines])
-    article = np.array([x[3] for x in lines])
-    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines])
+    apart = np.array([x.apart for x in lines])
+    article = np.array([x.article for x in lines])
+    linked = np.array([x.linked for x in lines])
     if apart.all():
         return []
-    held = smoothed(ratios[~apart])
     score = np.zeros(len(lines))
-    score[~apart] = held
+    score[~apart] = held = smoothed(ratios(lines)[~apart])
     core = (score >= min(held.max(), max(held.mean() - held.std() / 2, 1e-9))) & ~apart
-    if (inside := core & (article > 0)).any():
-        chosen = np.isin(article, np.unique(article[inside]))
-    else:
-        at = np.flatnonzero(core)
-        chosen = (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1]) & (article == 0)
-        for i, step in ((at[0] - 1, -1), (at[-1] + 1, 1)):  # a heading or a short first line; short or last lines
-            while 0 <= i < len(lines) and not apart[i] and not article[i] and lines[i][1] <= 4:
-                chosen[i] = True
-                i += step
-    return np.flatnonzero(chosen & ~apart).tolist()
+    within = np.unique(article[core & (article > 0)])
+    chosen: list[int] = []
+    for number in within.tolist() or [0]:
+        at = np.flatnonzero((article == number) & ~apart) if number else np.flatnonzero(article == 0)
+        inner = np.flatnonzero(core[at])
+        first, last = int(inner[0]), int(inner[-1])
+        while first < last and linked[at[first]]:
+            first += 1
+        while last > first and linked[at[last]]:
+            last -= 1
+        while first > 0 and _plain(lines[at[first - 1]]):
+            first -= 1
+        while last < len(at) - 1 and _plain(lines[at[last + 1]]):
+            last += 1
+        chosen += at[first : last + 1].tolist()
+    return [i for i in sorted(chosen) if not apart[i]]
+
+
+def _plain(line: Line) -> bool:
+    """Whether a line at the end of a region may belong to it: a heading, or a short first or last line."""
+    return not line.apart and not line.linked and (line.article > 0 or line.tags <= FEW)
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page: lines of its content regions in page order, joined by one line feed; null is empty."""
     lines = read_lines(html or "")
-    return "\n".join(lines[i][0] for i in regions(lines))
+    return "\n".join(lines[i].text for i in regions(lines))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text, n_lines): a row for each page. Null, blank or wholly menu-like pages have an empty text; repeated rows are read each; other columns are ignored."""
+    """(id, text, n_lines): a row for each page, with the lines of its content regions joined by line feeds.
+
+    Null, blank or wholly menu-like pages have an empty text; repeated rows and ids are read each. A very long page is
+    read whole and takes memory for its lines. An empty table gives no rows. Other columns are ignored.
+    """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +208,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
             for html in batch.column(1).to_pylist():
                 lines = read_lines(html or "")
                 chosen = regions(lines)
-                texts.append("\n".join(lines[i][0] for i in chosen)), counts.append(len(chosen))
+                texts.append("\n".join(lines[i].text for i in chosen)), counts.append(len(chosen))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["id", "text", "n_lines"])
 
     schema = with_fields(pages.select(F.col(id_col).alias("id")), "text string, n_lines long")

@@ -32,11 +32,13 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+CLASHING = """id row before part at bucket component node line band key __key __id __hash __gone __new copy n_copies shuffle_key tail size text_hash row_hash host shard
+doc gone new sums parts group own unit class sketch a.b count""".split()
+
+
 def clashing(df):
     """Extra columns with the names that operators use inside."""
-    for name in ("id", "row", "before", "part", "at", "bucket", "component", "node", "line", "band", "key", "copy", "tail", "size", "text_hash", "host", "shard"):
-        df = df.withColumn(name, F.lit("extra"))
-    return df
+    return df.select("*", *[F.lit(f"extra {name}").alias(name) for name in CLASHING])
 
 
 OPERATORS = {
@@ -63,17 +65,24 @@ def test_odd_tables(spark, name):
         assert len(plain) == len(ODD)
     extra = apply(clashing(odd(spark)))
     if name == "mixing":
-        plain, extra = [r[:5] for r in plain], extra.select("doc_id", "text", "lang", "source", "n_chars")
+        assert [c for c in extra.columns if c in CLASHING] == [*[c for c in CLASHING if c not in op01_mixing.ADDED], *op01_mixing.ADDED]
+        extra = extra.select(*plain[0].asDict())
     assert sorted(map(repr, map(tuple, extra.collect()))) == sorted(map(repr, map(tuple, plain)))
 
 
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_odd_tables(spark, tmp_path, k):
     name, stage = corpus_pipeline.STAGES[k]
-    for df in (odd(spark), empty(spark)):
+    found = []
+    for df in (odd(spark), empty(spark), clashing(odd(spark))):
         out = stage(spark, df, "")
         assert k == 4 or out.columns == df.columns
         out.write.mode("overwrite").parquet(str(tmp_path / "out"))
+        found.append(spark.read.parquet(str(tmp_path / "out")).collect())
+    plain, none, extra = found
+    assert not none and (plain or k < 2)
+    assert sorted(map(repr, map(tuple, plain))) == sorted(repr(tuple(r)[: len(plain[0])]) for r in extra)
+    assert k == 4 or all(tuple(r)[5:] == tuple(f"extra {name}" for name in CLASHING) for r in extra)
 
 
 def test_mixing_reaches_weights(spark):
@@ -119,6 +128,65 @@ def test_html_without_article_keeps_the_end(n, closing, foot):
     assert op02_html.main_text(page).split("\n") == want
 
 
+def brute_regions(lines):
+    """The regions from their definition, in plain loops over (text, tags, linked, apart, article)."""
+    from math import exp
+
+    free = [i for i, x in enumerate(lines) if not x.apart]
+    if not free:
+        return []
+    ratio = [len(lines[i].text) / max(1, lines[i].tags + 8 * lines[i].linked) for i in free]
+    smooth = []
+    for i in range(len(free)):
+        near = [(exp(-0.5 * ((j - i) / 1.5) ** 2), ratio[j]) for j in range(max(0, i - 3), min(len(free), i + 4))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    spread = (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5
+    limit = min(max(smooth), max(mean - spread / 2, 1e-9))
+    core = {i for i, x in zip(free, smooth) if x >= limit - 1e-12}
+    numbers = sorted({lines[i].article for i in core} - {0}) or [0]
+    out = []
+    for number in numbers:
+        at = [i for i, x in enumerate(lines) if x.article == number and (number == 0 or not x.apart)]
+        ends = [k for k, i in enumerate(at) if i in core]
+        first, last = ends[0], ends[-1]
+        while first < last and lines[at[first]].linked:
+            first += 1
+        while last > first and lines[at[last]].linked:
+            last -= 1
+        plain = lambda x: not x.apart and not x.linked and (x.article > 0 or x.tags <= 4)
+        while first > 0 and plain(lines[at[first - 1]]):
+            first -= 1
+        while last + 1 < len(at) and plain(lines[at[last + 1]]):
+            last += 1
+        out += [i for i in at[first : last + 1] if not lines[i].apart]
+    return sorted(out)
+
+
+def test_html_regions_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(600):
+        articles = rng.choice(([0], [0, 1], [0, 1, 2], [1]))
+        lines = [op02_html.Line("x" * rng.choice((3, 20, 80, 400)), rng.randint(0, 9), rng.random() < 0.2, rng.random() < 0.25, rng.choice(articles)) for _ in range(rng.randint(0, 25))]
+        assert op02_html.regions(lines) == brute_regions(lines)
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} with a good number of words in it, and then some more.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page, start, end", [
+    (f'<article><p>One <span class="ad">Buy now</span>two, a long paragraph of the text here.</p>{PARAGRAPHS}<p><a href=x>Next</a></p></article>', "One two, a", "some more."),
+    (f"<body><div>{PARAGRAPHS}<p><a href=x>Next</a></p></div><footer>f</footer></body>", "Paragraph 0", "some more."),
+    (f"<article><header><h1>Title</h1><p>By someone</p></header>{PARAGRAPHS}<div class='share'>x</div></article>", "Title\nParagraph 0", "some more."),
+    (f"<article><h1 class='entry-header'>Title</h1>{PARAGRAPHS}<p>End.</p></article>", "Title\nParagraph 0", "End."),
+    (f"<header><h1>Site</h1></header><main><h2>Head</h2>{PARAGRAPHS}<ul><li>a</li><li>b</li></ul></main>", "Head\nParagraph 0", "a\nb"),
+    ("<article><p>foo <b class='notice'>nota</b> bar</article>", "foo bar", "foo bar"),
+])
+def test_html_inline_parts_and_ends(page, start, end):
+    text = op02_html.main_text(page)
+    assert text.startswith(start) and text.endswith(end) and "Buy" not in text and "someone" not in text
+
+
 def test_html_pages(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     import html as h
@@ -161,10 +229,10 @@ def brute_order_minhash(text, k, tuple_size, size):
     for place, x in enumerate(h):
         n = seen[x] = seen.get(x, -1) + 1
         e = x if not n else int(op04_order_minhash.mix(np.array([(x + n * 0xA0761D6478BD642F) % 2**64], np.uint64))[0])
-        elements.append((e, place))
+        elements.append((e >> 32, place))
     out = []
-    for j in range(size):
-        least = sorted(elements, key=lambda e: (e[0] - j * (2**64 // size)) % 2**64)[:tuple_size]
+    for j, order in enumerate(op04_order_minhash.constants(size, 43).tolist()):
+        least = sorted(elements, key=lambda e: (e[0] * (order >> 32 | 1) % 2**32, e[1]))[:tuple_size]
         places = sorted(p for _, p in least)
         c, s = op04_order_minhash.constants(len(places), 37), op04_order_minhash.constants(size, 41)
         t = (sum(h[p] * int(w) for p, w in zip(places, c)) + int(s[j])) % 2**64
@@ -173,10 +241,21 @@ def brute_order_minhash(text, k, tuple_size, size):
 
 
 def test_order_minhash_definition():
-    for text in ("a", "abcdefgh", "abcabcabcabcabcabcabc" * 4, "the quick brown fox jumps over the lazy dog " * 3, "é😀" * 30):
+    for text in ("a", "abcdefgh", "abcabcabcabcabcabcabc" * 4, "the quick brown fox jumps over the lazy dog " * 3, "é😀" * 30, "".join(random.Random(3).choice("abcd ef") for _ in range(5000))):
         assert op04_order_minhash.order_minhash(text).tolist() == brute_order_minhash(text, 8, 2, 64)
 
 
+def test_order_minhash_orders_are_independent():
+    """The likeness of texts that share a part of their k-mers varies as a mean of independent draws does."""
+    rng, found = random.Random(8), []
+    for _ in range(150):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(12)]
+        a, b = (op04_order_minhash.order_minhash(" ".join(x)) for x in (words, words[:8] + words[4:0:-1]))
+        found.append(op04_order_minhash.likeness(a, b))
+    p = np.mean(found)
+    assert 0.05 < p < 0.95 and np.var(found) < 1.6 * p * (1 - p) / op04_order_minhash.SIZE
+
+
 def test_order_minhash_tells_edits_from_shuffles():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
@@ -213,6 +292,30 @@ def test_media(spark, data):
         assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
 
 
+def brute_landmarks(payload):
+    """Peaks and pairs in plain loops: frames of 256 samples every 128 between 128 samples of silence, three strongest peaks, three next peaks within 16 frames."""
+    x = [0.0] * 128 + [float(v) - 128 for v in payload]
+    x += [0.0] * (128 + -len(payload) % 128)
+    peaks = []
+    for t in range((len(x) - 256) // 128 + 1):
+        frame = np.array(x[t * 128 : t * 128 + 256], np.float32) * np.hanning(256).astype(np.float32)
+        power = np.abs(np.fft.rfft(frame)) ** 2
+        mean = power[1:-1].mean()
+        top = sorted(((power[b], b) for b in range(1, 128) if power[b] > power[b - 1] and power[b] >= power[b + 1] and power[b] > 1 + mean), reverse=True)[:3]
+        peaks += sorted((t, b) for _, b in top)
+    return sorted((t, b << 16 | c << 8 | u - t) for i, (t, b) in enumerate(peaks) for u, c in peaks[i + 1 : i + 4] if u - t <= 16)
+
+
+def test_media_landmarks_equal_brute_force(spark):
+    texts = ["", "short", "a" * 300, "the quick brown fox jumps over the lazy dog, " * 60, "".join(random.Random(2).choice("abc dé😀,.") for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op05_media.media_features(op05_media.with_media(docs)).collect():
+        want = brute_landmarks(op05_media.padded(texts[r.id]))
+        assert list(zip(r.landmark_at, r.landmark)) == want and r.n_landmarks == len(want)
+        arrays = [np.array(x, "<i4").tobytes() for x in (r.landmark_at, r.landmark)]
+        assert r.feature == f"{len(want)}:{hashlib.sha256(b''.join(arrays)).hexdigest()}"
+
+
 @pytest.mark.parametrize("n", (64, 256, 320, 448, 512, 1088))
 def test_media_frames_cover_all_samples(n):
     rng = np.random.default_rng(n)
@@ -253,6 +356,63 @@ def test_language_evidence_is_fused(spark):
     assert found["z"].language is None and not found["z"].kept
 
 
+def brute_language(rows, model):
+    """rows (id, text, declared, host, suffix) to {id: (language, posterior, kept)}, the fusion in plain Python."""
+    from collections import Counter
+    from math import exp, log
+
+    names, n, lean = model.languages, len(model.languages), op06_language_id.LEAN
+    scored = [(i, *model.score(t), d if d is None or d in names else "other", h or "", s or "") for i, t, d, h, s in rows]
+    best = [names[int(np.argmax(s))] if k else None for _, s, k, *_ in scored]
+    overall, by_suffix, by_host, told = Counter(), {}, {}, Counter()
+    for (_, _, _, d, h, s), b in zip(scored, best):
+        if b:
+            overall[b] += 1
+            by_suffix.setdefault(s, Counter())[b] += 1
+            by_host.setdefault((h, s), Counter())[b] += 1
+            told[d, b] += d is not None
+    total, all_told = max(1, sum(overall.values())), sum(told.values())
+    base = {a: (overall[a] + 1) / (total + n) for a in names}
+    leaned = lambda own, up: {a: (own[a] + lean * up[a]) / (sum(own.values()) + lean) for a in names}
+    out = {}
+    for (i, s, k, d, h, suffix), b in zip(scored, best):
+        up = base if suffix == "" or suffix not in by_suffix else leaned(by_suffix[suffix], base)
+        prior = base if (h, suffix) not in by_host else up if h == "" else leaned(by_host[h, suffix], up)
+        logs = []
+        for j, a in enumerate(names):
+            share = (sum(told[d, x] for x in names) + 1) / (all_told + n)
+            evidence = 0 if d is None else log((told[d, a] + lean * share) / (sum(told[x, a] for x in names) + lean))
+            logs.append(float(s[j] - s.max()) + evidence + log(prior[a]))
+        if not k:
+            out[i] = (None, None, False)
+            continue
+        top = max(logs)
+        p, language = 1 / sum(exp(x - top) for x in logs), names[logs.index(top)]
+        out[i] = (language, p, p >= op06_language_id.CERTAIN and language != "other")
+    return out
+
+
+def test_language_equals_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model, rng = op06_language_id.fit(docs), random.Random(4)
+    rows = [(r.doc_id, r.text[: rng.choice((5, 20, 2000))], rng.choice((r.lang, r.lang, None, "xx", "en")), rng.choice(("a.de", "b.de", "c.com", None)), None) for r in docs.collect()]
+    rows = [(i, t, d, h, h.split(".")[1] if h else None) for i, t, d, h, _ in rows] + [(-1, "", "de", "a.de", "de"), (-2, None, None, None, None), (-3, "12 34", "de", "a.de", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    want = brute_language(rows, model)
+    for r in op06_language_id.identified(df, model, declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix")).collect():
+        language, posterior, kept = want[r.id]
+        assert (r.language, r.kept) == (language, kept) and (posterior is None) == (r.posterior is None) and abs((posterior or 0) - (r.posterior or 0)) < 1e-4
+
+
+def test_trigram_runs_meet():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("aé .9ñ") for _ in range(rng.randint(0, 40)))
+        want = op06_language_id.trigrams(text).tolist()
+        for run in (1, 2, 3, 7):
+            assert [x for r in op06_language_id.trigram_runs(text, run) for x in r.tolist()] == want
+
+
 def test_language_rare_many_and_unknown(spark):
     rng = random.Random(6)
 
@@ -287,6 +447,12 @@ def test_pages_language(spark, data):
     assert len(rows) == 50 and sum(r.kept for r in rows) >= 48
 
 
+def test_encoder_reads_long_white_space():
+    own = Encoder(public_path())
+    for text in (" " * 2_000_000, "a" + "\n" * 1_200_000 + "b"):
+        assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == own.plain(text)
+
+
 TRICKY = ["", " ", "a", " a", "a ", "a  b", "a \n b", "it's we'll\n\nx", "tab\there", "  lead", "é 😀 ñ", "12 345", "a b  c", "x" * 3000, "!! ?? .", "a\x1cb \x85c", "end\n", "<|endoftext|> a <|endoftext|>", "don 't 's"]
 
 
