@@ -15,8 +15,8 @@ from heron.functions import vectors as V
 
 SIZE, OVERLAP, LEAST = 500, 50, 50
 #: Separators from the coarsest to the finest; the empty one cuts anywhere.
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
-CHUNKS = "array<struct<at:int,text:string,kind:string,path:array<string>>>"
+SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
+CHUNKS = "array<struct<at:int,text:string,start:int,end:int,kind:string,path:array<string>>>"
 
 
 def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -68,7 +68,7 @@ def recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int =
 
 
 def _pack(blocks: Iterator[tuple[str, str, tuple[str, ...]]], size: int, least: int) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """Neighbouring blocks of one kind and path joined up to `size`; larger ones are cut, chunks under `least` are dropped."""
+    """Neighbouring blocks of one kind and path joined up to `size`; larger ones are cut. Chunks under `least` characters are dropped, by definition of these chunkers; least=0 keeps all."""
     now: list[str] = []
     key = None
     for text, kind, path in [*blocks, ("", "end", ())]:
@@ -154,29 +154,55 @@ def code_blocks(text: str, language: str) -> Iterator[tuple[str, str, tuple[str,
         yield "\n".join(now).strip("\n"), kind, name
 
 
-def _chunker(split: Callable[[str], Iterator[tuple[str, str, tuple[str, ...]]]]) -> Callable[[Column], Column]:
+def placed(text: str, chunks: Iterator[tuple[str, str, tuple[str, ...]]], overlap: int = 0) -> Iterator[tuple[tuple[str, str, tuple[str, ...]], tuple[int, int]]]:
+    """Chunks with the places (start, end) of the text that they were made of, white space apart.
+
+    A chunk differs from its text in white space only, so it is looked for among the text's other characters; it begins
+    at most `overlap` characters before the end of the one before.
+    """
+    solid = [i for i, c in enumerate(text) if not c.isspace()]
+    squeezed, after = "".join(text[i] for i in solid), 0
+    for chunk in chunks:
+        own = "".join(chunk[0].split())
+        found = squeezed.find(own, after) if own else -1
+        if found < 0:
+            yield chunk, (0, 0) if not solid else (solid[min(after, len(solid) - 1)],) * 2
+            continue
+        after = found + max(0, len(own) - overlap)
+        yield chunk, (solid[found], solid[found + len(own) - 1] + 1)
+
+
+def _chunker(split: Callable[[str], Iterator[tuple[str, str, tuple[str, ...]]]], overlap: int = 0) -> Callable[[Column], Column]:
     @F.pandas_udf(CHUNKS)
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: [{"at": i, "text": x, "kind": kind, "path": list(path)} for i, (x, kind, path) in enumerate(split(t or ""))])
+            yield texts.map(lambda t: [{"at": i, "text": x, "start": a, "end": b, "kind": kind, "path": list(path)} for i, ((x, kind, path), (a, b)) in enumerate(placed(t or "", split(t or ""), overlap))])
 
     return chunks
 
 
 def recursive_chunks(size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Callable[[Column], Column]:
-    return _chunker(lambda t: ((x, "text", ()) for x in recursive(t, size, overlap, least)))
+    return _chunker(lambda t: ((x, "text", ()) for x in recursive(t, size, overlap, least)), overlap)
 
 
 def markdown_chunks(size: int = SIZE, least: int = LEAST) -> Callable[[Column], Column]:
     return _chunker(lambda t: _pack(markdown_blocks(t), size, least))
 
 
+def chunker(strategy: str, **options) -> Callable[[Column], Column]:
+    """The chunker of a strategy: markdown, code (with language=), else recursive, which sentence, paragraph and semantic also mean."""
+    made = {"markdown": markdown_chunks, "code": code_chunks, **dict.fromkeys(("recursive", "sentence", "paragraph", "semantic"), recursive_chunks)}
+    if strategy not in made:
+        raise ValueError(f"strategy must be one of {sorted(made)}")
+    return made[strategy](**options)
+
+
 def code_chunks(language: str, size: int = 1000, least: int = LEAST) -> Callable[[Column], Column]:
     return _chunker(lambda t: _pack(code_blocks(t, language), size, least))
 
 
 #: Abbreviations that end no sentence.
-ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e a.m p.m u.s u.k no fig inc ltd co approx dept est min max".split())
+ABBREVIATIONS = ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "e.g.", "i.e.", "etc.", "vs.", "u.s.", "u.k.", "ph.d.", "m.d.", "a.m.", "p.m.", "no.")
 
 
 def clauses(text: str, least: int = 4, most: int = 24) -> list[str]:
@@ -185,7 +211,7 @@ def clauses(text: str, least: int = 4, most: int = 24) -> list[str]:
     for w in text.split():
         words.append(w)
         bare = w.rstrip("\"')]}»”")
-        if bare[-1:] in "!?" and bare or bare.endswith(".") and bare[:-1].lower() not in ABBREVIATIONS and not re.fullmatch(r"\d+\.", bare):
+        if bare[-1:] in "!?" and bare or bare.endswith(".") and bare.lower() not in ABBREVIATIONS and not re.fullmatch(r"\d+\.", bare):
             sentences.append(words)
             words = []
     sentences += [words] if words else []

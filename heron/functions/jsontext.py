@@ -54,27 +54,45 @@ def find_json(text: str) -> str | None:
     return None
 
 
+#: A token of JSON: brackets, comma, colon, a whole string, a number or a word; and an open string up to its last whole character.
+_TOKEN = re.compile(r'\s*(?:([\[{])|([\]}])|(,)|(:)|("(?:[^"\\]|\\.)*")|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.S)
+_OPEN_STRING = re.compile(r'\s*"(?:[^"\\]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*')
+_CLOSER = {"{": "}", "[": "]"}
+
+
 def repaired(text: str) -> str | None:
-    """A JSON value that breaks off, closed: an open string ends, dangling keys and commas go, open brackets close."""
-    ok, value = _loads(text)
-    for cut in range(0 if ok else len(text), -1, -1):
-        if ok:
+    """A JSON value that breaks off, closed: an open string ends, dangling keys and commas go, open brackets close.
+
+    One pass over the tokens remembers the last place where the value could end; null if there is none.
+    """
+    at, stack, state, good = 0, [], "value", None  # state: what may come next
+    while token := _TOKEN.match(text, at):
+        opened, closed, comma, colon, string, plain = token.groups()
+        at, in_object = token.end(), bool(stack) and stack[-1] == "{"
+        if opened and state in ("value", "value or end"):
+            stack.append(opened)
+            state = "key or end" if opened == "{" else "value or end"
+        elif closed and stack and _CLOSER[stack[-1]] == closed and state in ("next", "key or end", "value or end"):
+            stack.pop()
+            state = "next"
+        elif comma and state == "next" and stack:
+            state = "key" if in_object else "value"
+        elif colon and state == "colon":
+            state = "value"
+        elif string and state in ("key", "key or end"):
+            state = "colon"
+        elif (string or plain) and state in ("value", "value or end"):
+            state = "next"
+        else:
             break
-        part, stack, quoted, skip = text[:cut], [], False, False
-        for c in part:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
-        ok, value = _loads((part[:-1] if skip else part) + '"' * quoted + "".join(reversed(stack)))
-        if len(text) - cut > 4096:
-            return None
+        if state in ("next", "key or end", "value or end"):
+            good = text[:at] + "".join(_CLOSER[x] for x in reversed(stack))
+            if not stack:
+                break
+    else:
+        if state in ("value", "value or end") and (begun := _OPEN_STRING.match(text, at)):
+            good = begun[0].join((text[:at], '"')) + "".join(_CLOSER[x] for x in reversed(stack))
+    ok, value = _loads(good) if good is not None else (False, None)
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False) if ok else None
 
 

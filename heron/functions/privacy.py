@@ -61,13 +61,18 @@ def budgeted(spends: DataFrame, by: str, order: str, epsilon: str, most: float)
     return spends.withColumn("spent", F.sum(epsilon).over(w)).withColumn("allowed", F.col("spent") < most)
 
 
-def sensitivity(vectors: DataFrame, vector_col: str = "vector", tolerance: float = 1e-3) -> DataFrame:
-    """One row: 2 if all vectors have unit length, else 2.2 times the greatest length.
+def sensitivity(vectors: DataFrame, vector_col: str = "vector", tolerance: float = 0.01) -> DataFrame:
+    """One row for a calibration set: 2 if all vectors have unit length within the tolerance, else 1.1 times their greatest distance.
 
-    The greatest distance of two vectors is at most twice the greatest length, so no pairs are formed; the margin is a tenth.
+    Distances are looked at in blocks (search.farthest), so the set may be large, yet the work grows with its square:
+    give a sample, such as step_sample's, of a large table.
     """
-    n = V.norm(F.col(vector_col))
-    return vectors.agg(F.max(F.abs(n - 1)).alias("off"), F.max(n).alias("most")).select(F.when(F.col("off") <= tolerance, F.lit(2.0)).otherwise(F.col("most") * 2.2).alias("sensitivity"))
+    from heron.operators.search import farthest
+
+    off = vectors.agg(F.max(F.abs(V.norm(F.col(vector_col)) - 1)).alias("off")).first().off  # one number
+    if off is None or off <= tolerance:
+        return vectors.sparkSession.range(1).select(F.lit(2.0).alias("sensitivity"))
+    return farthest(vectors, vector_col).select((F.col("distance") * 1.1).alias("sensitivity"))
 
 
 def derived_key(password: str, salt: bytes, rounds: int = 100_000) -> bytes:

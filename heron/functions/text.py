@@ -40,7 +40,7 @@ def stem(word: Column) -> Column:
 
 def tokens(text: Column, least: int = 2, stemming: bool = False, stop_words: tuple[str, ...] | list[str] = ()) -> Column:
     """Lower-case runs of a-z and 0-9 of at least `least` characters, stemmed, then without stop words; null gives an empty array."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least)
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0))
     if stemming:
         words = F.transform(words, stem)
     return F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
@@ -57,6 +57,20 @@ def redact(text: Column, kinds: tuple[str, ...] = DEFAULT_PII, replacement: str
     return text
 
 
+def redact_plain(text: str, kinds: tuple[str, ...] = DEFAULT_PII, replacement: str | None = None) -> str:
+    """redact() of one string, for functions that see texts in Python."""
+    for kind, pattern in PII.items():
+        if kind in kinds:
+            new = replacement or REPLACEMENTS[kind]
+            text = re.sub(pattern, lambda _, new=new: new, text, flags=re.ASCII)
+    return text
+
+
+def redact_metadata(metadata: Column, **options) -> Column:
+    """A map of strings with every value redacted."""
+    return F.transform_values(metadata, lambda _, v: redact(v, **options))
+
+
 def has_pii(text: Column, kinds: tuple[str, ...] = DEFAULT_PII) -> Column:
     found = F.lit(False)
     for kind in kinds:
@@ -105,6 +119,46 @@ def parse_age(text: Column) -> Column:
     return F.when(n != "", F.try_to_number(n, F.lit("999999999.999")).cast("double") * scale)
 
 
+def parse_quota_age(text: Column) -> Column:
+    """Milliseconds of whole ages like 30d, 1W, 24h, 60m, 30s in any case, where M is a minute too; null if it is no such age."""
+    n, unit = F.regexp_extract(text, r"(?i)^(\d+)\s*(d|w|h|m|s)$", 1), F.lower(F.regexp_extract(text, r"(?i)^(\d+)\s*(d|w|h|m|s)$", 2))
+    sizes = {"s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
+    return F.when(n != "", n.cast("long") * F.coalesce(*[F.when(unit == u, F.lit(ms)) for u, ms in sizes.items()]))
+
+
+#: English names of languages by their codes.
+LANGUAGES = {
+    "af": "Afrikaans", "am": "Amharic", "ar": "Arabic", "az": "Azerbaijani", "be": "Belarusian", "bg": "Bulgarian", "bn": "Bengali", "bs": "Bosnian", "ca": "Catalan", "ceb": "Cebuano",
+    "co": "Corsican", "cs": "Czech", "cy": "Welsh", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "eo": "Esperanto", "es": "Spanish", "et": "Estonian", "eu": "Basque",
+    "fa": "Persian", "fi": "Finnish", "fr": "French", "fy": "Frisian", "ga": "Irish", "gd": "Scots Gaelic", "gl": "Galician", "gu": "Gujarati", "ha": "Hausa", "haw": "Hawaiian",
+    "he": "Hebrew", "hi": "Hindi", "hmn": "Hmong", "hr": "Croatian", "ht": "Haitian Creole", "hu": "Hungarian", "hy": "Armenian", "id": "Indonesian", "ig": "Igbo", "is": "Icelandic",
+    "it": "Italian", "ja": "Japanese", "jv": "Javanese", "ka": "Georgian", "kk": "Kazakh", "km": "Khmer", "kn": "Kannada", "ko": "Korean", "ku": "Kurdish", "ky": "Kyrgyz", "la": "Latin",
+    "lb": "Luxembourgish", "lo": "Lao", "lt": "Lithuanian", "lv": "Latvian", "mg": "Malagasy", "mi": "Maori", "mk": "Macedonian", "ml": "Malayalam", "mn": "Mongolian", "mr": "Marathi",
+    "ms": "Malay", "mt": "Maltese", "my": "Burmese", "ne": "Nepali", "nl": "Dutch", "no": "Norwegian", "ny": "Nyanja", "pa": "Punjabi", "pl": "Polish", "ps": "Pashto", "pt": "Portuguese",
+    "ro": "Romanian", "ru": "Russian", "sd": "Sindhi", "si": "Sinhala", "sk": "Slovak", "sl": "Slovenian", "sm": "Samoan", "sn": "Shona", "so": "Somali", "sq": "Albanian", "sr": "Serbian",
+    "st": "Sesotho", "su": "Sundanese", "sv": "Swedish", "sw": "Swahili", "ta": "Tamil", "te": "Telugu", "tg": "Tajik", "th": "Thai", "tl": "Tagalog", "tr": "Turkish", "uk": "Ukrainian",
+    "ur": "Urdu", "uz": "Uzbek", "vi": "Vietnamese", "xh": "Xhosa", "yi": "Yiddish", "yo": "Yoruba", "zh": "Chinese", "zu": "Zulu",
+}
+
+
+def language_name(code: Column) -> Column:
+    """The English name of a language code, or the code itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), code), code)
+
+
+def content_text(content: Column) -> Column:
+    """The text of a message that is a plain string, or a JSON array of parts of which those of type text are joined by blanks."""
+    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), " ")
+    return F.when(content.startswith("[") & parts.isNotNull(), joined).otherwise(content)
+
+
+def content_parts(content: Column) -> Column:
+    """A message as parts array<struct<type, text>>: a plain string is one part of type text."""
+    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    return F.when(content.startswith("[") & parts.isNotNull(), parts).otherwise(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"))))
+
+
 def format_bytes(n: Column) -> Column:
     """B to TB with up to two decimals."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
+from heron.operators import search
 from heron.operators.graph import components
-from heron.operators.staging import saved
+from heron.operators.staging import saved, small_side
 
-#: Random hyperplanes of a signature, and signatures: a pair at cosine 0.9 meets in some one with a probability of 0.9998 and more.
-PLANES, SIGNATURES = 8, 32
+#: Rows of a bucket that are meant to meet at most; probability that a pair at the threshold meets in no signature.
+BUCKET, MISSED = 512, 1e-3
 
 
 def exact_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -24,7 +26,14 @@ def exact_groups(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return groups.where("n > 1").select("first_id", "n", "chars")
 
 
-def signatures(rows: DataFrame, id_col: str, vector_col: str, planes: int = PLANES, n: int = SIGNATURES, seed: int = 7) -> DataFrame:
+def plan_signatures(n: int, threshold: float) -> tuple[int, int]:
+    """Hyperplanes of a signature (log2 of n / BUCKET, 8 at least) and the signatures it takes to miss a pair at the threshold with MISSED."""
+    planes = max(8, math.ceil(math.log2(max(1, n) / BUCKET)))
+    meets = (1 - math.acos(threshold) / math.pi) ** planes
+    return planes, math.ceil(math.log(MISSED) / math.log1p(-meets)) if meets < 1 else 1
+
+
+def signatures(rows: DataFrame, id_col: str, vector_col: str, planes: int, n: int, seed: int = 7) -> DataFrame:
     """(id, band, signature): on which side of random hyperplanes each vector lies, `planes` bits for each band."""
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -45,22 +54,30 @@ def signatures(rows: DataFrame, id_col: str, vector_col: str, planes: int = PLAN
 def similar_pairs(rows: DataFrame, threshold: float = 0.9, id_col: str = "id", vector_col: str = "vector", exact: bool = False) -> DataFrame:
     """(a, b, score), a < b, of the pairs with a cosine of at least `threshold`.
 
-    Candidates share a hyperplane signature, so only buckets are joined; every pair is then verified. exact = True joins
-    all pairs instead, for small sets. Equal vectors are collapsed first, so copies cost no pairs among themselves:
+    Candidates share a hyperplane signature, so only buckets are joined; every pair is then verified. Signatures grow
+    with the table, so buckets don't. exact = True compares all pairs in blocks instead. Equal vectors are collapsed first, so copies cost no pairs among themselves:
     each copy is paired with its first row.
     """
     vector = F.col(vector_col).cast("array<float>")
     known = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), vector.alias("v"))
-    keyed = known.withColumn("first", F.min("id").over(Window.partitionBy(F.xxhash64("v"), "v")))
-    copies = keyed.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-    single = keyed.where("id = first").select("id", V.normalize(F.col("v")).alias("v"))
+    keyed = known.withColumn("key", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
+    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"))  # partial sums, so a third of all rows may be equal
+    matched = keyed.join(firsts, "key")
+    copies = matched.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    single = matched.where("id = first").select("id", "v")
     if exact:
-        left, right = single.select(F.col("id").alias("a"), F.col("v").alias("va")), single.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-        pairs = left.join(right, F.col("a") < F.col("b"))
-    else:
-        s = signatures(single, "id", "v")
-        candidates = s.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), ["band", "signature"]).where("a < b").select("a", "b").distinct()
-        pairs = candidates.join(single.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(single.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+        return search.similar_pairs(single, threshold, "id", "v").unionByName(copies)
+    single = saved(single.select("id", V.normalize(F.col("v")).alias("v")))
+    planes, bands = plan_signatures(single.count(), threshold)
+    s = saved(signatures(single, "id", "v", planes, bands))
+    sizes = s.groupBy("band", "signature").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks")).where("blocks > 1")
+    # A bucket of more than BUCKET rows is dealt into blocks, and each pair of blocks is a key of its own.
+    dealt = s.join(small_side(saved(sizes)), ["band", "signature"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "signature", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id")
+    keys = ["band", "signature", "x", "y"]
+    left, right = keyed.where("own = x").select(*keys, F.col("id").alias("a")), keyed.where("own = y").select(*keys, F.col("id").alias("b"))
+    met = left.join(right, keys).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.join(single.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(single.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     return pairs.select("a", "b", V.dot(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= threshold).unionByName(copies)
 
 

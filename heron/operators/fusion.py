@@ -1,10 +1,11 @@
-"""Fusion of a vector leg and a keyword leg, each (query_id, id, score)."""
+"""Fusion of a vector leg and a keyword leg, each (query_id, id, score). Scores are ordered by PLACES decimals, so that ties don't hang on the order of sums."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heron.operators.keyword import PLACES
 from heron.operators.search import ranked
 
 
@@ -19,7 +20,7 @@ def weighted(vector: DataFrame, keyword: DataFrame, k: int = 10, vector_weight:
     """(query_id, rank, id, score, vector_score, keyword_score): weighted sums of scaled scores, 0 for a leg that misses the row."""
     v = min_max(vector).select("query_id", "id", F.col("scaled").alias("v"), F.col("score").alias("vector_score"))
     b = min_max(keyword).select("query_id", "id", F.col("scaled").alias("b"), F.col("score").alias("keyword_score"))
-    both = v.join(b, ["query_id", "id"], "full_outer").withColumn("score", vector_weight * F.coalesce("v", F.lit(0.0)) + keyword_weight * F.coalesce("b", F.lit(0.0)))
+    both = v.join(b, ["query_id", "id"], "full_outer").withColumn("score", F.round(vector_weight * F.coalesce("v", F.lit(0.0)) + keyword_weight * F.coalesce("b", F.lit(0.0)), PLACES))
     both = both if threshold is None else both.where(F.col("score") >= threshold)
     return ranked(both, k, "query_id").select("query_id", "rank", "id", "score", "vector_score", "keyword_score")
 
@@ -28,10 +29,10 @@ def reciprocal_rank(legs: list[DataFrame], k: int = 10, constant: int = 60) -> D
     """(query_id, rank, id, score): sums of 1 / (constant + rank) over the legs."""
     ranks = None
     for leg in legs:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), F.asc("id"))
         part = leg.select("query_id", "id", (1 / (constant + F.row_number().over(w))).alias("part"))
         ranks = part if ranks is None else ranks.unionByName(part)
-    summed = ranks.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    summed = ranks.groupBy("query_id", "id").agg(F.round(F.sum("part"), PLACES).alias("score"))
     return ranked(summed, k, "query_id").select("query_id", "rank", "id", "score")
 
 

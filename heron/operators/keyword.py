@@ -1,29 +1,66 @@
-"""Keyword search: postings, BM25 and its statistics."""
+"""Keyword search: a stored index of postings, BM25 over it, and its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions.text import tokens
 from heron.operators.search import ranked
+from heron.operators.staging import small_side, spread
 
 K1, B = 1.2, 0.75
+#: Folders of a stored index, by a hash of the term; more for larger ones.
+BUCKETS = 16
+#: Decimals of a score: sums of doubles depend on their order beyond that, and ties must not.
+PLACES = 9
+
+
+@dataclass
+class Index:
+    """postings (bucket, term, id, tf, dl) and lengths (id, dl), a row for each document, also one without terms."""
+
+    postings: DataFrame
+    lengths: DataFrame
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens) -> DataFrame:
-    """(id, term, tf, dl): how often each term occurs in a document, and the document's length in terms."""
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
+def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens, buckets: int = BUCKETS) -> Index:
+    """The index of docs, computed when it is used; a null text has no terms. Ids name documents: give each once."""
+    words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", tokenize(F.col("text")).alias("terms"))
     exploded = words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    counted = exploded.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return Index(counted.select(F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term", "id", "tf", "dl"), words.select("id", F.size("terms").alias("dl")))
+
+
+def write_index(index: Index, path: str) -> None:
+    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts."""
+    index.postings.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
-def corpus_stats(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens) -> DataFrame:
+def removed(index: Index, ids: DataFrame) -> Index:
+    """The index without the documents in ids (id)."""
+    gone = ids.select("id").distinct()
+    return Index(index.postings.join(gone, "id", "left_anti"), index.lengths.join(gone, "id", "left_anti"))
+
+
+def added(index: Index, docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens, buckets: int = BUCKETS) -> Index:
+    """The index with docs, which replace documents with their ids; `buckets` is that of the index."""
+    new, left = built(docs, id_col, text_col, tokenize, buckets), removed(index, docs.select(F.col(id_col).alias("id")))
+    columns = index.postings.columns
+    return Index(left.postings.unionByName(new.postings.select(*columns)), left.lengths.unionByName(new.lengths))
+
+
+def corpus_stats(index: Index) -> DataFrame:
     """One row: n_docs, avg_dl, vocabulary."""
-    words = docs.select(tokenize(F.col(text_col)).alias("terms"))
-    sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_dl"))
-    vocabulary = words.select(F.explode("terms").alias("term")).agg(F.countDistinct("term").alias("vocabulary"))
-    return sizes.join(F.broadcast(vocabulary), F.lit(True))
+    sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return sizes.join(F.broadcast(index.postings.agg(F.countDistinct("term").alias("vocabulary"))), F.lit(True))
 
 
 def weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column, k1: float = K1, b: float = B) -> Column:
@@ -31,18 +68,24 @@ def weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column, k
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_dl))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str = "id", text_col: str = "text", tokenize=tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, rank, id, score) for queries (query_id, text); without k, all matches. A term counts as often as the query has it.
+def search(index: Index, queries: DataFrame, k: int | None = 10, tokenize=tokens, k1: float = K1, b: float = B, buckets: int = BUCKETS) -> DataFrame:
+    """(query_id, rank, id, score) of the k best documents for each of queries (query_id, text); without k, all matches.
 
-    Only the postings of query terms are joined, by term; sizes and document frequencies are aggregates of the whole corpus.
+    A term counts as often as the query has it. Only the folders and terms of the queries are read; document
+    frequencies come from the same postings. Scores have PLACES decimals; ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
-    sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_dl"))
-    terms = asked.select("term").distinct()
-    hits = words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = small_side(asked.select(F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term").distinct())
+    hits = index.postings.join(terms, ["bucket", "term"], "left_semi").select("term", "id", "tf", "dl")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(hits, "term").join(frequency, "term").join(F.broadcast(sizes), F.lit(True))
+    sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    factors = small_side(asked.join(frequency, "term"))
+    scored = hits.join(factors, "term").join(F.broadcast(sizes), F.lit(True))
     scored = scored.withColumn("part", F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"), k1, b))
-    found = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0")
+    found = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), PLACES).alias("score")).where("score > 0")
     return found if k is None else ranked(found, k, "query_id").select("query_id", "rank", "id", "score")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str = "id", text_col: str = "text", tokenize=tokens, k1: float = K1, b: float = B) -> DataFrame:
+    """search() in documents that have no stored index."""
+    return search(built(docs, id_col, text_col, tokenize), queries, k, tokenize, k1, b)

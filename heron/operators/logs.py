@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heron.operators.ranges import numbered
 
@@ -45,7 +50,6 @@ def last_minute(logs: DataFrame, ts: str) -> DataFrame:
 
 def sessions(logs: DataFrame, by: str, ts: str, gap_ms: int) -> DataFrame:
     """(key, session, start_ms, end_ms, n): runs of a key's rows with no gap of more than gap_ms."""
-    w = Window.partitionBy(by).orderBy("at")
     rows = logs.select(F.col(by).alias("key"), millis(F.col(ts)).alias("at"))
     w = Window.partitionBy("key").orderBy("at")
     new = F.when(F.col("at") - F.lag("at").over(w) > gap_ms, 1).otherwise(0)
@@ -90,7 +94,7 @@ def evicted_all(rows: DataFrame, size: str, used: str, key: str, needed: int, bu
     """
     cuts = rows.select(F.percentile_approx(used, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("q")).first().q or []
     cuts = sorted(set(cuts))
-    slot = F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + (c <= F.col(used)).cast("int")) if cuts else F.lit(0)
+    slot = slot_of(F.col(used), cuts)
     placed = rows.withColumn("slot", slot)
     sums = placed.groupBy("slot").agg(F.sum(size).alias("bytes"))
     w = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,6 +104,18 @@ def evicted_all(rows: DataFrame, size: str, used: str, key: str, needed: int, bu
     return inside.withColumn("freed_before", F.col("before") + F.coalesce(F.sum(size).over(own), F.lit(0))).where(F.col("freed_before") < needed).drop("slot", "before")
 
 
+def slot_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are no greater than the value, by halving: a nest of comparisons, log2 of their number deep."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(cuts[middle]), among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(cuts))
+
+
 def expired(rows: DataFrame, created: str, key: str, cutoff_ms: int | None = None, usage_percent: float | None = None, keep_least: int = 0) -> DataFrame:
     """Rows to remove, oldest first: those older than the cutoff, or the oldest share beyond usage_percent; keep_least rows stay. The two rules exclude each other."""
     placed, n = numbered(rows, created, key)
@@ -132,9 +148,78 @@ def repeated_runs(rows: DataFrame, by: str, order: str, value: str, least: int =
     return runs.groupBy("key", "run", "value").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("run")
 
 
-def chain_hash(previous: Column, *fields: Column) -> Column:
-    """SHA-256 in hex of the previous hash and the fields as canonical JSON (fixed key order)."""
-    return F.sha2(F.concat(F.coalesce(previous, F.lit("")), F.to_json(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(fields)]))), 256)
+def chain_body(*fields: Column) -> Column:
+    """The fields of an entry as canonical JSON (fixed key order)."""
+    return F.to_json(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(fields)]), {"ignoreNullFields": "false"})
+
+
+def chain_hash(previous: Column, body: Column) -> Column:
+    """SHA-256 in hex of the previous hash (empty for the first entry) and the body."""
+    return F.sha2(F.concat(F.coalesce(previous, F.lit("")), body), 256)
+
+
+def chained(rows: DataFrame, by: str, order: str, body: str) -> DataFrame:
+    """rows with previous_hash and hash: in each chain every hash covers the one before it.
+
+    A chain is sequential, so its rows stream through one task in their order, with constant memory; chains are made in
+    parallel, and verified (chain_verdict) row by row.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("previous_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    key_at, body_at = rows.columns.index(by), rows.columns.index(body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), None
+        for batch in batches:
+            before, own = [], []
+            for k, text in zip(batch.column(key_at).to_pylist(), batch.column(body_at).to_pylist()):
+                if k != key:
+                    key, last = k, None
+                before.append(last)
+                last = hashlib.sha256(((last or "") + (text or "")).encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*batch.schema.names, "previous_hash", "hash"])
+
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def token_bucket(rows: DataFrame, by: str, at: str, key: str, most: float, refill: float, every_ms: int, cost: str | None = None) -> DataFrame:
+    """rows with allowed and tokens (left after the row): a bucket of `most` tokens for each key gets `refill` tokens for each whole every_ms since its last refill.
+
+    Rows of a key are handled in the order of `at` (milliseconds) and `key`, in one task with constant memory. The
+    streaming twin is streaming.limits.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
+    by_at, at_at, cost_at = rows.columns.index(by), rows.columns.index(at), rows.columns.index(cost) if cost else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # key, tokens, last refill
+        for batch in batches:
+            n = batch.num_rows
+            allowed, left = [], []
+            for k, t, c in zip(batch.column(by_at).to_pylist(), batch.column(at_at).to_pylist(), batch.column(cost_at).to_pylist() if cost else [1] * n):
+                if state is None or state[0] != k:
+                    state = (k, float(most), t)
+                tokens, since = refilled(state[1], state[2], t, most, refill, every_ms)
+                ok = tokens >= c
+                state = (k, tokens - c if ok else tokens, since)
+                allowed.append(ok), left.append(state[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(left, pa.float64())], names=[*batch.schema.names, "allowed", "tokens"])
+
+    return rows.repartition(by).sortWithinPartitions(by, at, key).mapInArrow(run, schema)
+
+
+def refilled(tokens: float, since: int, now: int, most: float, refill: float, every_ms: int) -> tuple[float, int]:
+    """Tokens and time of the last refill once `now` is there."""
+    whole = (now - since) // every_ms
+    return (min(most, tokens + whole * refill), now) if whole > 0 else (tokens, since)
+
+
+def logged(df: DataFrame, name: str):
+    """df that counts its rows while a job runs, and the Observation that holds the count once the job has ended."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def chain_verdict(entries: DataFrame, seq: str, previous: str, own: str, recomputed: Column, by: str | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heron.functions.text import words
 
@@ -93,27 +95,44 @@ def rouge_n(pairs: DataFrame, n: int = 1) -> DataFrame:
 
 
 def bleu(pairs: DataFrame, longest: int = 4) -> DataFrame:
-    """(pair_id, bleu): geometric mean of clipped precisions of 1 to `longest` words, unsmoothed, times the brevity penalty, for (pair_id, candidate, reference)."""
-    out = pairs.select("pair_id", F.size(words(F.col("candidate"))).alias("c"), F.size(words(F.col("reference"))).alias("r"))
-    logs = F.lit(0.0)
+    """(pair_id, bleu): geometric mean of clipped precisions of 1 to `longest` words, unsmoothed, times the brevity penalty.
+
+    pairs: (pair_id, candidate, reference), or (pair_id, candidate, references) with an array of them: an n-gram counts up
+    to the greatest number that a reference has, and the penalty goes by the reference nearest in length, the first of equals.
+    """
+    many = F.col("references") if "references" in pairs.columns else F.array("reference")
+    rows = pairs.select("pair_id", "candidate", many.alias("references"))
+    c, lengths = F.size(words(F.col("candidate"))), F.transform("references", lambda r: F.size(words(r)))
+    nearest = F.array_min(F.transform(lengths, lambda n, i: F.struct(F.abs(n - c).alias("d"), i.alias("i"), n.alias("n"))))["n"]
+    out, logs, least = rows.select("pair_id", c.alias("c"), nearest.alias("r")), F.lit(0.0), []
     for n in range(1, longest + 1):
-        o = _overlap(pairs, n).select("pair_id", ratio(F.col("hits"), F.col("of_candidate")).alias(f"p{n}"))
-        out = out.join(o, "pair_id", "left")
+        own = rows.select("pair_id", F.explode(ngrams(F.col("candidate"), n)).alias("g")).groupBy("pair_id", "g").agg(F.count("*").alias("c"))
+        told = rows.select("pair_id", F.posexplode("references").alias("ref", "text")).select("pair_id", "ref", F.explode(ngrams(F.col("text"), n)).alias("g")).groupBy("pair_id", "ref", "g").agg(F.count("*").alias("n"))
+        most = told.groupBy("pair_id", "g").agg(F.max("n").alias("r"))
+        hits = own.join(most, ["pair_id", "g"], "left").groupBy("pair_id").agg((F.sum(F.least("c", F.coalesce("r", F.lit(0)))) / F.sum("c")).alias(f"p{n}"))
+        out = out.join(hits, "pair_id", "left")
         logs = logs + F.log(F.coalesce(f"p{n}", F.lit(0.0))) / longest
-    least = F.array_min(F.array(*[F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, longest + 1)]))
+        least.append(F.coalesce(f"p{n}", F.lit(0.0)))
     penalty = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.col("c")))
-    return out.select("pair_id", F.when((F.col("c") == 0) | (least == 0), F.lit(0.0)).otherwise(penalty * F.exp(logs)).alias("bleu"))
+    return out.select("pair_id", F.when((F.col("c") == 0) | (F.array_min(F.array(*least)) == 0), F.lit(0.0)).otherwise(penalty * F.exp(logs)).alias("bleu"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two word arrays: a row of the table is folded for each word of a."""
-    start = F.transform(b, lambda _: F.lit(0))
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: the columns of the table are the bits of one number."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full  # a bit is 0 where the length goes up by one
+    for x in a:
+        met = row & at.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
 
-    def row(last: Column, x: Column) -> Column:
-        step = lambda acc, i: F.concat(acc, F.array(F.when(F.element_at(b, i) == x, F.when(i > 1, F.element_at(last, F.greatest(i - 1, F.lit(1)))).otherwise(0) + 1).otherwise(F.greatest(F.element_at(last, i), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array().cast("array<int>"), step)
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(a, start, row), -1))
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_length(x, y) for x, y in zip(a.map(list), b.map(list))], dtype="int32")
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
@@ -153,5 +172,13 @@ def chunk_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum(n), F.lit(0)).alias("total_chars"), F.coalesce(F.floor(F.avg(n) + 0.5), F.lit(0)).alias("avg_size"), F.coalesce(F.min(n), F.lit(0)).alias("min_size"), F.coalesce(F.max(n), F.lit(0)).alias("max_size"))
 
 
+def ingestion_estimate(docs: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row of what an ingestion would store: documents, chunks, chars, avg_chunk (rounded); 0 without any."""
+    stored = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"))
+    given = docs.agg(F.count("*").alias("documents"))
+    average = F.when(F.col("chunks") > 0, F.floor(F.col("chars") / F.col("chunks") + 0.5)).otherwise(F.lit(0))
+    return given.join(F.broadcast(stored), F.lit(True)).select("documents", "chunks", "chars", average.cast("long").alias("avg_chunk"))
+
+
 def estimate_chunks(length: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.when(length <= 0, F.lit(0)).when(length <= size, F.lit(1)).otherwise(F.ceil(length / max(1, size - overlap)))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heron.functions import vectors as V
+
 
 def calibrate(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
     """One row with arrays low and high, the least and greatest value of each dimension. Fewer than two vectors are refused, as they would make one code of everything."""
@@ -18,7 +20,7 @@ def calibrate(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
 
 def merge_calibrations(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.unionByName(b).agg(F.collect_list("low").alias("l"), F.collect_list("high").alias("h"))
-    least = lambda pick, xs: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), xs[0], lambda p, q: F.zip_with(p, q, pick))
+    least = lambda pick, xs: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), xs[0], lambda p, q: F.zip_with(p, q, lambda x, y: pick(x, y)))
     return both.select(least(F.least, F.col("l")).alias("low"), least(F.greatest, F.col("h")).alias("high"))
 
 
@@ -58,6 +60,27 @@ def delta_decode(rows: DataFrame, by: str, order: str, delta_col: str = "delta")
     return parts.withColumn("x", running).groupBy(by, order).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("vector"))
 
 
+def delta_codes(rows: DataFrame, by: str, order: str, vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """(by, order, first, codes), and their calibration: deltas in 8 bits, the first vector of each group as it is (codes are null there)."""
+    deltas = delta_encode(rows, by, order, vector_col).withColumn("begins", F.row_number().over(Window.partitionBy(by).orderBy(order)) == 1)
+    scale = calibrate(deltas.where("NOT begins"), "delta")
+    coded = deltas.join(F.broadcast(scale), F.lit(True)).withColumn("codes", F.when(~F.col("begins"), scalar_codes(F.col("delta"), F.col("low"), F.col("high"))))
+    return coded.select(by, order, F.when(F.col("begins"), F.col("delta")).alias("first"), "codes"), scale
+
+
+def delta_vectors(coded: DataFrame, scale: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, vector) of delta_codes."""
+    back = coded.join(F.broadcast(scale), F.lit(True)).withColumn("delta", F.coalesce("first", scalar_vector(F.col("codes"), F.col("low"), F.col("high"))))
+    return delta_decode(back, by, order)
+
+
+def recalibrated(coded: DataFrame, scale: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """coded (with codes) coded anew by the calibration of the vectors that its codes stand for, and that calibration."""
+    back = coded.join(F.broadcast(scale), F.lit(True)).withColumn("vector", scalar_vector(F.col("codes"), F.col("low"), F.col("high"))).drop("low", "high", "codes")
+    new = calibrate(back)
+    return back.join(F.broadcast(new), F.lit(True)).withColumn("codes", scalar_codes(F.col("vector"), F.col("low"), F.col("high"))).drop("low", "high", "vector"), new
+
+
 def compression_stats(rows: DataFrame, vector_col: str = "vector", bytes_each: int = 1) -> DataFrame:
     """n_vectors, original_bytes (4 a value), compressed_bytes, ratio."""
     values = F.sum(F.size(vector_col))
@@ -121,3 +144,28 @@ class ProductQuantizer:
     def decode(self, codes: Column) -> Column:
         books = F.lit([[[float(x) for x in c] for c in book] for book in self.codebooks])
         return F.flatten(F.transform(codes, lambda c, i: F.element_at(F.element_at(books, i + 1), c.cast("int") + 1)))
+
+
+def coded_top_k(rows: DataFrame, coder: ProductQuantizer, queries: DataFrame, k: int = 10, wider: int = 20, metric: str = "cosine") -> DataFrame:
+    """(query_id, rank, id, score): the `wider` * k best rows (id, vector) by their product codes, ranked anew by their vectors.
+
+    In a stored table the codes are what is scanned; only the few best rows are read whole.
+    """
+    from heron.operators.search import batch_top_k, ranked
+
+    decoded = rows.select("id", coder.decode(coder.encode(F.col("vector"))).alias("vector"))
+    best = batch_top_k(decoded, queries, wider * k, metric).select("query_id", "id")
+    whole = best.join(rows.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+    scored = whole.select("query_id", "id", V.score(metric, F.col("vector"), F.col("asked")).alias("score"))
+    return ranked(scored, k, "query_id").select("query_id", "rank", "id", "score")
+
+
+def inertia(rows: DataFrame, centroids: np.ndarray, vector_col: str = "vector") -> DataFrame:
+    """(inertia): the sum of the squared distances of all vectors to their nearest centroids."""
+
+    @F.pandas_udf("double")
+    def squared(batch: pd.Series) -> pd.Series:
+        v = np.stack(batch.to_numpy()).astype(np.float64)
+        return pd.Series(np.maximum(((v * v).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * v @ centroids.T).min(axis=1), 0))
+
+    return rows.where(F.col(vector_col).isNotNull()).agg(F.sum(squared(F.col(vector_col))).alias("inertia"))

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heron.operators.staging import saved
+
 
 def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """rows with `place`, gapless from 0 in the given order, and their number.
 
     Rows are range-partitioned and sorted; the low bits of monotonically_increasing_id number them within a
-    partition, and the partitions' counts (a row each) are summed on the driver. The sorted rows are checkpointed, or
-    cached where no checkpoint folder is set, so that both passes see the same ranges.
+    partition, and the partitions' counts (a row each) are summed on the driver. The sorted rows are checkpointed, so
+    that both passes see the same ranges.
     """
     placed = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    placed = placed.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = saved(placed)
     starts, n = [], 0
     for part, count in sorted(tuple(r) for r in placed.groupBy("__part").count().collect()):
         starts.append((part, n))

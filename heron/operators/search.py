@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     """
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
-    found, block = [], []
+    found, block, query_kind = [], [], "string" if queries.schema["query_id"].dataType.simpleString() == "string" else "long"
     id_type = rows.select(F.col(id_col).alias("id")).schema["id"]
     slim = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
 
@@ -66,17 +68,16 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
             for b in batches:
                 if not b.num_rows:
                     continue
-                v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 s = _scores(metric, q, v)
                 n = min(k, b.num_rows)
                 keep = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < b.num_rows else np.tile(np.arange(n), (len(q), 1))
                 edge = np.take_along_axis(s, keep, 1).min(axis=1, keepdims=True)
                 at = np.nonzero(s >= (edge if threshold is None else np.maximum(edge, threshold)))  # ties at the edge stay for the merge
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[0]], query_type), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(at[0])), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "id", "score"])
 
-        query_type = pa.infer_type(ids) if not all(isinstance(i, int) for i in ids) else pa.int64()
-        query_ddl = "string" if pa.types.is_string(query_type) else "long"
-        found.append(slim.mapInArrow(run, f"query_id {query_ddl}, id {id_type.dataType.simpleString()}, score double"))
+        known = pa.array(ids, pa.int64()) if all(isinstance(i, int) for i in ids) else pa.array(ids)
+        found.append(slim.mapInArrow(run, f"query_id {query_kind}, id {id_type.dataType.simpleString()}, score double"))
         block.clear()
 
     for row in queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).toLocalIterator():
@@ -85,7 +86,7 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
             flush()
     if block or not found:
         if not block:
-            return rows.sparkSession.createDataFrame([], f"query_id long, rank int, id {id_type.dataType.simpleString()}, score double")
+            return rows.sparkSession.createDataFrame([], f"query_id {query_kind}, rank int, id {id_type.dataType.simpleString()}, score double")
         flush()
     out = found[0]
     for more in found[1:]:
@@ -93,11 +94,91 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     return ranked(out, k, "query_id").select("query_id", "rank", "id", "score")
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """batch_top_k in SQL functions only, for small sets of queries: (query_id, rank, id, score)."""
-    pairs = rows.join(F.broadcast(queries.select("query_id", F.col("vector").alias("__query"))), F.col(vector_col).isNotNull())
-    scored = pairs.select("query_id", F.col(id_col).alias("id"), V.score(metric, F.col(vector_col), F.col("__query")).alias("score"))
-    return ranked(scored, k, "query_id").select("query_id", "rank", "id", "score")
+def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block: int = 2048) -> DataFrame:
+    """(a, b, score), a < b: all pairs with a cosine of at least `threshold`, for tables up to some millions of vectors.
+
+    Vectors are dealt into blocks by a hash of their ids; each pair of blocks is a unit of work, a matrix product of
+    which only the pairs found leave the task. A row is sent once for each block, not for each row.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+    known = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    n = max(1, -(-known.count() // block))
+    own = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(n)).cast("int")
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    units = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v").repartition("x", "y").sortWithinPartitions("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, parts = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            both = pa.Table.from_batches(parts)
+            v = np.asarray(pc.list_flatten(both["v"]).combine_chunks(), np.float64).reshape(both.num_rows, -1)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            home = both["own"].to_numpy()
+            a, b = np.flatnonzero(home == unit[0]), np.flatnonzero(home == unit[1])
+            for i in range(0, len(a), block):  # a block may have some more rows than the mean
+                s = v[a[i : i + block]] @ v[b].T
+                p, q = np.nonzero(s >= threshold)
+                ids = both["id"]
+                left, right = ids.take(pa.array(a[i + p])), ids.take(pa.array(b[q]))
+                keep = pc.less(left, right) if unit[0] == unit[1] else pc.not_equal(left, right)
+                swap = pc.greater(left, right)
+                out = pa.table({"a": pc.if_else(swap, right, left), "b": pc.if_else(swap, left, right), "score": pa.array(s[p, q])}).filter(keep)
+                yield from out.combine_chunks().to_batches()
+
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                if unit is not None and unit != (x[lo], y[lo]):
+                    yield from found()
+                    parts = []
+                unit = (x[lo], y[lo])
+                parts.append(batch.slice(lo, hi - lo).select(["own", "id", "v"]))
+        if parts:
+            yield from found()
+
+    return units.mapInArrow(run, f"a {kind}, b {kind}, score double")
+
+
+def farthest(rows: DataFrame, vector_col: str = "vector", block: int = 2048) -> DataFrame:
+    """(distance): the greatest Euclidean distance of two vectors, by blocks that meet in matrix products; 0 for one vector."""
+    known = rows.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
+    n = max(1, -(-known.count() // block))
+    dealt = known.withColumn("own", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    units = dealt.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "v")
+
+    def greatest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        v, home = np.stack(group["v"].to_numpy()), group["own"].to_numpy()
+        a, b, most = v[home == key[0]], v[home == key[1]], 0.0
+        for i in range(0, len(a), block):
+            part = a[i : i + block]
+            if len(b):
+                most = max(most, float(((part * part).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * part @ b.T).max()))
+        return pd.DataFrame({"squared": [most]})
+
+    return units.groupBy("x", "y").applyInPandas(greatest, "squared double").agg(F.sqrt(F.greatest(F.coalesce(F.max("squared"), F.lit(0.0)), F.lit(0.0))).alias("distance"))
+
+
+def semantic_search(rows: DataFrame, queries: DataFrame, embedder=None, k: int = 10, where: Column | None = None, threshold: float | None = None, text_col: str | None = None, **options) -> DataFrame:
+    """(query_id, rank, id, score[, text]) for queries (query_id, text): each is embedded, then compared with the rows that pass the filter."""
+    from heron.functions.models import embed
+
+    asked = queries.select("query_id", (embedder or embed())(F.col("text")).alias("vector"))
+    kept = rows if where is None else rows.where(where)
+    found = batch_top_k(kept, asked, k, threshold=threshold, **options)
+    return found if text_col is None else found.join(kept.select(F.col(options.get("id_col", "id")).alias("id"), F.col(text_col).alias("text")), "id").select("query_id", "rank", "id", "score", "text")
+
+
+def search_stream(queries: DataFrame, rows: DataFrame, path: str, checkpoint: str, **options):
+    """Answers a stream of queries (query_id, text): each micro-batch is searched in `rows` and written to a folder of its own, which a rerun writes anew."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        semantic_search(rows, batch, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # ---- inverted file -------------------------------------------------------------------------------------------------

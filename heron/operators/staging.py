@@ -13,15 +13,18 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, a local session gets a temporary one; on a cluster that is an error, as executors don't share such a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heron-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heron-"))
     return sc.getCheckpointDir()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Small intermediate rows, computed once and kept in the shared folder; Spark removes them when they are no longer used."""
+    """Small intermediate rows, computed once and kept in the shared folder; with spark.cleaner.referenceTracking.cleanCheckpoints Spark removes them when they are no longer used."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -33,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is read in fewer parts than that, as a small file with one row group is; else as it is. For heavy work by row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,10 +108,8 @@ def voice_batch(spark, d):
 def voice_stream(spark, d):
     """The same from the keyed state machine over a stream of the table's folder, read to its end."""
     shared = shared_dir(spark)
-    source = spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.startswith("viewfs") else None
-    if source is None:
-        return voice_batch(spark, d)
-    out = tempfile.mktemp(prefix="voice-", dir="").rsplit("/", 1)[-1]
+    source = spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = f"voice-{uuid.uuid4().hex}"
     q = voice.voice_activity(_frames(source), "stream", "at", "level").writeStream.format("parquet").option("checkpointLocation", f"{shared}/{out}-log").option("path", f"{shared}/{out}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("key long, at long, kind string, level double").parquet(f"{shared}/{out}")

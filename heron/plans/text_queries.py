@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,44 +11,71 @@ from heron.functions import chunking, jsontext, models, privacy
 from heron.functions import text as X
 from heron.functions import vectors as V
 from heron.operators import duplicates, fusion, keyword, metrics, search
+from heron.operators.staging import shared_dir, small_side, spread
 from heron.plans.tables import table
 from heron.sources import formats, html
 from heron.streaming import ingest
 
-QUERY = "the and of information"
+_INDEXES: dict[tuple, str] = {}
 
 
 def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
 
 
-def _asked(spark) -> DataFrame:
-    return spark.createDataFrame([(0, QUERY), (1, "der die und")], "query_id long, text string")
+def _text(spark, d) -> DataFrame:
+    """id and text of the documents, dealt to all cores."""
+    return spread(_docs(spark, d).select("id", "text"))
+
+
+def _index(spark, d) -> keyword.Index:
+    """The keyword index of the documents, written once in an application for each state of the table's files."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, d, *state)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/keyword-{uuid.uuid4().hex}"
+        keyword.write_index(keyword.built(_docs(spark, d)), path)
+        _INDEXES[key] = path
+    return keyword.read_index(spark, _INDEXES[key])
+
+
+def _asked(spark, d) -> DataFrame:
+    """The benchmark's texts whose ids are divisible by 20, as queries."""
+    return table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25(spark, d):
-    return keyword.bm25(_docs(spark, d), _asked(spark), 10).withColumn("score", F.round("score", 6))
+    return keyword.search(_index(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 def bm25_stats(spark, d):
-    return keyword.corpus_stats(_docs(spark, d)).withColumn("avg_dl", F.round("avg_dl", 6))
+    return keyword.corpus_stats(_index(spark, d)).withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+def maintained(spark, d):
+    """The index after every third document was removed and every sixth one came back with another text: its postings by term."""
+    docs = _docs(spark, d).select("id", "text")
+    index = keyword.removed(_index(spark, d), docs.where("id % 3 = 0"))
+    index = keyword.added(index, docs.where("id % 6 = 0 OR id % 6 = 1").withColumn("text", F.concat("text", F.lit(" newword"))))
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def postings(spark, d):
-    p = keyword.postings(_docs(spark, d))
+    p = _index(spark, d).postings
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def stems(spark, d):
     """Stemmed tokens without stop words, counted."""
-    words = _docs(spark, d).select(F.explode(X.tokens(F.col("text"), stemming=True, stop_words=X.STOP_WORDS)).alias("stem"))
+    words = _text(spark, d).select(F.explode(X.tokens(F.col("text"), stemming=True, stop_words=X.STOP_WORDS)).alias("stem"))
     return words.groupBy("stem").agg(F.count("*").alias("n"))
 
 
 def _legs(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = rows.where("id < 2").select(F.col("id").alias("query_id"), "vector")
-    return search.neighbours(rows, queries, 30), keyword.bm25(_docs(spark, d), _asked(spark), 30)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return search.batch_top_k(rows, queries, 30), keyword.search(_index(spark, d), _asked(spark, d), 30)
 
 
 def hybrid_weighted(spark, d):
@@ -60,12 +89,12 @@ def hybrid_rrf(spark, d):
 
 def search_documents(spark, d):
     """Hits joined to their documents."""
-    hits = keyword.bm25(_docs(spark, d), _asked(spark), 10)
+    hits = small_side(keyword.search(_index(spark, d), _asked(spark, d), 10))
     return hits.join(_docs(spark, d).select("id", "lang", "source"), "id").select("query_id", "rank", "id", "lang", "source")
 
 
 def reranked(spark, d):
-    hits = keyword.bm25(_docs(spark, d), _asked(spark), 10).join(_docs(spark, d).select("id", "n_chars"), "id")
+    hits = small_side(keyword.search(_index(spark, d), _asked(spark, d), 10)).join(_docs(spark, d).select("id", "n_chars"), "id")
     return models.rerank(hits, -F.col("n_chars").cast("double"), 5).select("query_id", "rank", "id", "score")
 
 
@@ -78,11 +107,11 @@ def prompt_cache(spark, d):
 
 def pii_counts(spark, d):
     kinds = list(X.PII)
-    return _docs(spark, d).agg(*[F.sum(X.count_pii(F.col("text"), k)).alias(k) for k in kinds], F.count(F.when(X.has_pii(F.col("text")), 1)).alias("documents"))
+    return _text(spark, d).agg(*[F.sum(X.count_pii(F.col("text"), k)).alias(k) for k in kinds], F.count(F.when(X.has_pii(F.col("text")), 1)).alias("documents"))
 
 
 def pii_redact(spark, d):
-    return _docs(spark, d).select("id", F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
+    return _text(spark, d).select("id", F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
 
 
 def pii_mask(spark, d):
@@ -91,7 +120,7 @@ def pii_mask(spark, d):
 
 
 def pii_find(spark, d):
-    return _docs(spark, d).select("id", F.explode(X.find_pii("text")).alias("m")).select("id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.value").alias("value"))
+    return _text(spark, d).select("id", F.explode(X.find_pii("text")).alias("m")).select("id", F.col("m.kind").alias("kind"), F.col("m.start").alias("start"), F.col("m.value").alias("value"))
 
 
 def dup_exact(spark, d):
@@ -144,7 +173,7 @@ def bleu(spark, d):
 
 
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.md5(html.html_text(F.col("html"))).alias("text_md5"), html.html_title(F.col("html")).alias("title"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.md5(html.html_text(F.col("html"))).alias("text_md5"), html.html_title(F.col("html")).alias("title"))
 
 
 def html_meta(spark, d):
@@ -157,7 +186,7 @@ def html_slug(spark, d):
 
 
 def chunk_windows(spark, d):
-    c = _docs(spark, d).select("id", F.explode(chunking.windows(F.col("text"))).alias("c"))
+    c = _text(spark, d).select("id", F.explode(chunking.windows(F.col("text"))).alias("c"))
     return c.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.length("c.text")).alias("chars"), F.max("c.start").cast("long").alias("last"))
 
 
@@ -166,11 +195,11 @@ def chunk_estimate(spark, d):
 
 
 def chunk_recursive(spark, d):
-    return chunking.chunked(_docs(spark, d), chunking.recursive_chunks()).select("chunk_id", "id", "at", "text")
+    return chunking.chunked(_text(spark, d), chunking.chunker("recursive")).select("chunk_id", "id", "at", "start", "end", "text")
 
 
 def chunk_markdown(spark, d):
-    return chunking.chunked(_docs(spark, d), chunking.markdown_chunks()).select("chunk_id", "id", "at", "kind", "text")
+    return chunking.chunked(_text(spark, d), chunking.chunker("markdown")).select("chunk_id", "id", "at", "start", "end", "kind", "text")
 
 
 def chunk_code(spark, d):
@@ -179,7 +208,7 @@ def chunk_code(spark, d):
 
 
 def chunk_stats(spark, d):
-    c = chunking.chunked(_docs(spark, d), chunking.recursive_chunks())
+    c = chunking.chunked(_text(spark, d), chunking.recursive_chunks())
     return metrics.chunk_stats(c)
 
 
@@ -192,13 +221,13 @@ def code_languages(spark, d):
 
 
 def text_language(spark, d):
-    found = _docs(spark, d).select(F.col("lang"), models.text_language(F.col("text")).alias("found"))
+    found = spread(_docs(spark, d)).select(F.col("lang"), models.text_language(F.col("text")).alias("found"))
     return found.groupBy("lang", "found").agg(F.count("*").alias("n"))
 
 
 def ingest_documents(spark, d):
     """Chunks and their vectors, stored by no one: what ingestion writes."""
-    return ingest.ingested(_docs(spark, d)).select("chunk_id", "id", "at", F.size("vector").alias("dimensions"), F.round(V.norm(F.col("vector")), 3).alias("norm"))
+    return ingest.ingested(_text(spark, d)).select("chunk_id", "id", "at", F.size("vector").alias("dimensions"), F.round(V.norm(F.col("vector")), 3).alias("norm"))
 
 
 def zero_shot(spark, d):
@@ -293,7 +322,7 @@ def ranked_sources(spark, d):
 
 
 QUERIES = {
-    "bm25_search": bm25, "bm25_stats": bm25_stats, "bm25_postings": postings, "stem_counts": stems, "hybrid_weighted": hybrid_weighted, "hybrid_rrf": hybrid_rrf, "search_documents": search_documents, "search_rerank": reranked, "prompt_cache": prompt_cache,
+    "bm25_search": bm25, "bm25_stats": bm25_stats, "bm25_postings": postings, "bm25_maintained": maintained, "stem_counts": stems, "hybrid_weighted": hybrid_weighted, "hybrid_rrf": hybrid_rrf, "search_documents": search_documents, "search_rerank": reranked, "prompt_cache": prompt_cache,
     "pii_counts": pii_counts, "pii_redact": pii_redact, "pii_mask": pii_mask, "pii_find": pii_find, "dup_exact": dup_exact, "clf_confusion": clf_confusion, "clf_accuracy": clf_accuracy, "clf_scores": clf_scores, "clf_averages": clf_averages,
     "rouge_1": rouge_1, "rouge_2": rouge_2, "rouge_l": rouge_l, "bleu_1": bleu, "html_text": html_text, "html_meta": html_meta, "html_slug": html_slug, "chunk_windows": chunk_windows, "chunk_estimate": chunk_estimate,
     "chunk_recursive": chunk_recursive, "chunk_markdown": chunk_markdown, "chunk_code": chunk_code, "chunk_stats": chunk_stats, "clauses": clause_lists, "code_language": code_languages, "text_language": text_language, "ingest": ingest_documents,
@@ -302,12 +331,12 @@ QUERIES = {
 }
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: len(w) >= 2)"
-_ASKED = "asked(query_id, term, times) AS (VALUES (0::BIGINT, 'the', 1), (0, 'and', 1), (0, 'of', 1), (0, 'information', 1), (1, 'der', 1), (1, 'die', 1), (1, 'und', 1))"
+_ASKED = f"asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL)"
 _BM25 = f"""WITH {_ASKED}, t AS (SELECT doc_id AS id, {_TOKENS} AS terms FROM documents), s AS (SELECT count(*) AS n, avg(len(terms)) AS avg_dl FROM t),
     p AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM t), h AS (SELECT id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM asked) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-    b AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))) AS score FROM asked JOIN h USING (term) JOIN f USING (term), s GROUP BY query_id, id HAVING score > 0),
+    b AS (SELECT query_id, id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 9) AS score FROM asked JOIN h USING (term) JOIN f USING (term), s GROUP BY query_id, id HAVING score > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
-_VEC = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), vr AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.id) AS rank FROM e, e q WHERE q.id < 2)"
+_VEC = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), vr AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.id) AS rank FROM e, e q WHERE q.id % 20 = 0)"
 _LABELLED = "p AS (SELECT quality AS label, CASE WHEN length(text) >= 1000 THEN 1 ELSE 0 END AS prediction FROM documents JOIN labels USING (doc_id))"
 _SCORES = f"""WITH {_LABELLED}, c AS (SELECT unnest([0, 1]) AS class), k AS (SELECT class, count(*) FILTER (label = class AND prediction = class) AS tp, count(*) FILTER (label != class AND prediction = class) AS fp,
     count(*) FILTER (label = class AND prediction != class) AS fn, count(*) FILTER (label != class AND prediction != class) AS tn, count(*) FILTER (label = class) AS support FROM p, c GROUP BY class),
@@ -351,13 +380,14 @@ _WINDOWS = "w AS (SELECT doc_id AS id, s AS start, trim(substr(text, s + 1, 500)
 SQL = {
     "bm25_search": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
     "bm25_stats": f"WITH t AS (SELECT {_TOKENS} AS terms FROM documents) SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM t)) AS vocabulary FROM t",
+    "bm25_maintained": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS.replace("text", "body")}) AS term FROM (SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN text || ' newword' ELSE text END AS body FROM documents WHERE doc_id % 6 != 3)) GROUP BY term",
     "bm25_postings": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",
     "stem_counts": "WITH t AS (SELECT unnest(" + _TOKENS + ") AS w FROM documents), s AS (SELECT CASE " + " ".join(f"WHEN length(w) > {len(s) + 2} AND ends_with(w, '{s}') THEN left(w, length(w) - {len(s)})" for s in X.SUFFIXES) + " ELSE w END AS stem FROM t) SELECT stem, count(*) AS n FROM s WHERE stem NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ") GROUP BY stem",
     "hybrid_weighted": f"""{_BM25}, {_VEC}, v AS (SELECT query_id, id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM vr WHERE rank <= 30 WINDOW w AS (PARTITION BY query_id)),
         k AS (SELECT query_id, id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM r WHERE rank <= 30 WINDOW w AS (PARTITION BY query_id)),
-        z AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.id, k.id) AS id, 0.7 * coalesce(v.x, 0) + 0.3 * coalesce(k.x, 0) AS score, v.score AS vector_score, k.score AS keyword_score FROM v FULL JOIN k ON v.query_id = k.query_id AND v.id = k.id)
+        z AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.id, k.id) AS id, round(0.7 * coalesce(v.x, 0) + 0.3 * coalesce(k.x, 0), 9) AS score, v.score AS vector_score, k.score AS keyword_score FROM v FULL JOIN k ON v.query_id = k.query_id AND v.id = k.id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""",
-    "hybrid_rrf": f"""{_BM25}, {_VEC}, u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS p FROM vr WHERE rank <= 30 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM r WHERE rank <= 30), z AS (SELECT query_id, id, sum(p) AS score FROM u GROUP BY ALL)
+    "hybrid_rrf": f"""{_BM25}, {_VEC}, u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS p FROM vr WHERE rank <= 30 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM r WHERE rank <= 30), z AS (SELECT query_id, id, round(sum(p), 9) AS score FROM u GROUP BY ALL)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""",
     "search_documents": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, lang, source FROM r JOIN documents ON doc_id = id WHERE rank <= 10",
     "search_rerank": f"{_BM25}, x AS (SELECT query_id, id, -n_chars::DOUBLE AS score FROM r JOIN documents ON doc_id = id WHERE rank <= 10) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 5",

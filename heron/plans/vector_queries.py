@@ -64,8 +64,9 @@ def batch_topk(spark, d):
 
 
 def neighbours(spark, d):
+    """Euclidean neighbours of every vector whose id is divisible by 20."""
     rows = _rows(spark, d)
-    return _rounded(search.neighbours(rows, _query(rows, "id < 5"), K))
+    return _rounded(search.batch_top_k(rows, _query(rows, "id % 20 = 0"), K, metric="euclidean"))
 
 
 def distances(spark, d):
@@ -92,8 +93,8 @@ def ivf_recall(spark, d):
 
 
 def pairwise(spark, d):
-    """Distribution of the similarities of all pairs in a calibration sample of 200 vectors (the feature's own limit)."""
-    rows = _rows(spark, d).where("id < 200")
+    """Distribution of the similarities of all pairs in a calibration sample: 200 vectors, evenly stepped over all (the feature's own limit)."""
+    rows = quantize.step_sample(_rows(spark, d), 200)
     a, b = rows.select(F.col("id").alias("a"), F.col("vector").alias("va")), F.broadcast(rows.select(F.col("id").alias("b"), F.col("vector").alias("vb")))
     scores = a.join(b, F.col("a") < F.col("b")).select(V.cosine_similarity(F.col("va"), F.col("vb")).alias("score"))
     return scores.agg(F.count("*").alias("n"), *[F.round(c, 6).alias(n) for n, c in (("mean", F.avg("score")), ("median", F.percentile("score", 0.5)), ("p95", metrics.percentile_disc(0.95)), ("stddev", F.stddev_pop("score")), ("least", F.min("score")), ("most", F.max("score")))])
@@ -138,12 +139,10 @@ def delta_roundtrip(spark, d):
 
 
 def pq_recall(spark, d):
-    """Recall at 10 of search over product codes."""
+    """Recall at 10 of search over product codes, the best of which are ranked anew by their vectors."""
     rows = _rows(spark, d)
-    pq = quantize.ProductQuantizer.fit(rows, m=16, k=64)
-    decoded = rows.withColumn("vector", pq.decode(pq.encode(F.col("vector"))))
     queries = _query(rows, "id % 20 = 0")
-    best, found = search.batch_top_k(rows, queries, K), search.batch_top_k(decoded, queries, K)
+    best, found = search.batch_top_k(rows, queries, K), quantize.coded_top_k(rows, quantize.ProductQuantizer.fit(rows, m=16, k=64), queries, K)
     return best.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("got")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("got", F.lit(0))).alias("recall"))
 
 
@@ -156,6 +155,7 @@ def stepped(spark, d):
 
 
 def similar_pairs(spark, d):
+    """All pairs of at least 0.5, compared in blocks."""
     return _rounded(duplicates.similar_pairs(_rows(spark, d), 0.5, exact=True))
 
 
@@ -204,7 +204,7 @@ def centroids(spark, d):
     c = search.fit_centroids(rows, 10, sample=None)
     sizes = search.assign(rows, c).groupBy("cid").agg(F.count("*").alias("n"))
     norms = spark.createDataFrame([(i, float(np.linalg.norm(x))) for i, x in enumerate(c)], "cid int, norm double")
-    return sizes.join(F.broadcast(norms), "cid")
+    return sizes.join(F.broadcast(norms), "cid").join(F.broadcast(quantize.inertia(rows, c)), F.lit(True))
 
 
 QUERIES = {
@@ -223,6 +223,7 @@ _RANKED = f"WITH e AS ({_E}), r AS (SELECT query_id, id, rank - 1 AS rank FROM (
 _CAL = f"e AS ({_E}), u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e), c AS (SELECT dim, min(x) AS low, max(x) AS high FROM u GROUP BY dim)"
 _CODES = f"WITH {_CAL}, k AS (SELECT id, dim, x, low, high, CASE WHEN high = low THEN 128 ELSE greatest(0, least(255, floor((x - low) / (high - low) * 255 + 0.5))) END::BIGINT AS code FROM u JOIN c USING (dim))"
 _PAIRS = f"e AS ({_E}), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id < b.id)"
+_STEPS = "SELECT id FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) WHERE n <= {n} OR place IN (SELECT floor(i * (SELECT count(*) FROM embeddings) / {n}.0) FROM range({n}) t(i))"
 
 SQL = {
     "vec_topk_cosine": _TOP.format(score=_COS, where=""),
@@ -231,10 +232,10 @@ SQL = {
     "vec_dot": _TOP.format(score="list_inner_product(e.v, q.v)", where=""),
     "vec_threshold": f"WITH e AS ({_E}) SELECT e.id, round({_COS}, 6) AS score FROM e, (SELECT v FROM e WHERE id = 0) q WHERE {_COS} >= 0.2",
     "vec_batch_topk": f"WITH e AS ({_E}) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM ({_BATCH} WHERE q.id % 20 = 0) WHERE rank <= {K}",
-    "vec_neighbours": f"WITH e AS ({_E}) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM ({_BATCH} WHERE q.id < 5) WHERE rank <= {K}",
+    "vec_neighbours": f"WITH e AS ({_E}) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM ({_BATCH.replace(_COS, _EUC)} WHERE q.id % 20 = 0) WHERE rank <= {K}",
     "vec_distances": f"WITH e AS ({_E}) SELECT e.id, round({_COS}, 6) AS cosine, round(list_distance(e.v, q.v), 6) AS euclidean, round(list_inner_product(e.v, q.v), 6) AS dot, round({_EUC}, 6) AS euclidean_score FROM e, (SELECT v FROM e WHERE id = 0) q",
     "vec_normalize": f"WITH e AS ({_E}), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM e) SELECT id, round(n, 6) AS norm, round(v[1] / n, 6) AS first, round(1.0::DOUBLE, 6) AS unit FROM n",
-    "pairwise_distribution": f"WITH {_PAIRS} SELECT count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_disc(score, 0.95), 6) AS p95, round(stddev_pop(score), 6) AS stddev, round(min(score), 6) AS least, round(max(score), 6) AS most FROM p WHERE a < 200 AND b < 200",
+    "pairwise_distribution": f"WITH {_PAIRS}, k AS ({_STEPS.format(n=200)}) SELECT count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_disc(score, 0.95), 6) AS p95, round(stddev_pop(score), 6) AS stddev, round(min(score), 6) AS least, round(max(score), 6) AS most FROM p WHERE a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)",
     "auto_threshold": f"WITH e AS ({_E}) SELECT round(avg({_COS}) - stddev_pop({_COS}), 6) AS threshold FROM e, (SELECT v FROM e WHERE id = 0) q",
     "semantic_groups": f"""WITH e AS ({_E}), s AS (SELECT label, id, list_cosine_similarity(v, lead(v) OVER (PARTITION BY label ORDER BY id)) AS s FROM e),
         t AS (SELECT *, CASE WHEN s < CASE count(s) OVER (PARTITION BY label) WHEN 1 THEN avg(s) OVER (PARTITION BY label) - 0.01 ELSE avg(s) OVER (PARTITION BY label) - stddev_pop(s) OVER (PARTITION BY label) END THEN 1 ELSE 0 END AS b FROM s)
@@ -244,7 +245,7 @@ SQL = {
     "sq8_roundtrip_error": f"{_CODES}, r AS (SELECT id, sqrt(sum((x - (code / 255.0::DOUBLE * (high - low) + low)) ** 2)) AS e FROM k GROUP BY id) SELECT round(avg(e), 6) AS mean_error, round(max(e), 6) AS max_error FROM r",
     "delta_roundtrip": "SELECT count(*) AS n, 0.0::DOUBLE AS max_error FROM embeddings",
     "compression_stats": "SELECT count(*) AS n_vectors, CAST(sum(len(embedding)) * 4 AS BIGINT) AS original_bytes, CAST(sum(len(embedding)) AS BIGINT) AS compressed_bytes, 4.0::DOUBLE AS ratio FROM embeddings",
-    "step_sample": "SELECT id FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) WHERE n <= 100 OR place IN (SELECT floor(i * (SELECT count(*) FROM embeddings) / 100.0) FROM range(100) t(i))",
+    "step_sample": _STEPS.format(n=100),
     "dup_pairs": f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.5",
     "dup_components": f"""WITH RECURSIVE {_PAIRS}, l AS MATERIALIZED (SELECT a AS u, b AS v FROM p WHERE score >= 0.5 UNION SELECT b, a FROM p WHERE score >= 0.5),
         r(id, c) AS (SELECT u, u FROM l UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v) SELECT id, min(c) AS component FROM r GROUP BY id""",

@@ -25,8 +25,8 @@ def separator_pattern(separator: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in separator)
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], text_columns: list[str] | None = None, joined_by: str = " ", id_column: str | None = None, header: bool = True) -> DataFrame:
-    """(id, text, metadata): the trimmed, non-empty text columns joined; every column goes to the metadata map; rows without text are left out.
+def read_csv(spark: SparkSession, paths: str | list[str], text_columns: list[str] | None = None, joined_by: str = " ", id_column: str | None = None, header: bool = True, skip_empty: bool = True) -> DataFrame:
+    """(id, text, metadata): the trimmed, non-empty text columns joined; every column goes to the metadata map; with skip_empty rows without text are left out.
 
     Without text_columns, the first usual text column, else the first column. Quoted fields may hold line ends.
     """
@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], text_columns: list[str
     trimmed = {c: F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in rows.columns}
     text = F.array_join(F.filter(F.array(*[trimmed[c] for c in chosen]), lambda x: x != ""), joined_by)
     metadata = F.create_map(*[x for c, v in trimmed.items() for x in (F.lit(c), v)])
-    return rows.select((trimmed[id_column] if id_column else F.lit(None).cast("string")).alias("id"), text.alias("text"), metadata.alias("metadata")).where("text != ''")
+    return rows.select((trimmed[id_column] if id_column else F.lit(None).cast("string")).alias("id"), text.alias("text"), metadata.alias("metadata")).where(F.lit(not skip_empty) | (F.col("text") != ""))
 
 
 def read_json_records(spark: SparkSession, paths: str | list[str], records: str | None = None) -> DataFrame:
@@ -161,6 +161,20 @@ def read_vectors(spark: SparkSession, path: str, form: str | None = None) -> Dat
     return {"nested": parse_nested, "parallel": parse_parallel}[form](spark.read.text(path, wholetext=True))
 
 
+def convert(spark: SparkSession, source: str, target: str, to: str, form: str | None = None, batch: Column | None = None) -> None:
+    """Vectors of one format written in another; nested and parallel ones in files of a batch key's records (a hash of the id, if none is given)."""
+    records = read_vectors(spark, source, form)
+    if to == "csv":
+        return to_csv(records).write.mode("overwrite").csv(target, header=True, escape='"')
+    if to == "jsonl":
+        return to_jsonl(records).write.mode("overwrite").text(target)
+    if to not in ("nested", "parallel"):
+        raise ValueError(f"unknown format: {to}")
+    key = F.pmod(F.xxhash64("id"), F.lit(256)) if batch is None else batch
+    out = {"nested": to_nested, "parallel": to_parallel}[to](records, key)
+    return out.repartition("batch").write.partitionBy("batch").mode("overwrite").option("lineSep", "\n").text(target)
+
+
 def import_counts(records: DataFrame) -> DataFrame:
     """One row: records, with a vector, with text only, dimensions (least and most)."""
     has = F.col("vector").isNotNull()
@@ -186,19 +200,19 @@ def to_csv(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return records.select("id", "text", F.to_json("vector").alias("vector"), *[_value(F.try_element_at("metadata", F.lit(k))).alias(k) for k in keys if k not in ("id", "text", "vector")])
 
 
-def to_nested(records: DataFrame, batch: Column | None = None) -> DataFrame:
+def to_nested(records: DataFrame, batch: Column) -> DataFrame:
     """(batch, value): {"vectors": [...]} for each batch of records; give a batch key that bounds their number."""
     text = F.when(F.col("text").isNotNull(), F.map_from_arrays(F.array(F.lit("text")), F.array(F.to_json(F.struct(F.col("text").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("v")))) - 6)))).otherwise(F.create_map().cast("map<string,string>"))
     metadata = F.map_concat(F.map_filter("metadata", lambda k, _: k != "text"), text)
     entries = F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
     one = F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","values":'), F.to_json("vector"), F.lit(',"metadata":{'), entries, F.lit("}}"))
-    rows = records.where("vector IS NOT NULL").select((batch if batch is not None else F.lit(0)).alias("batch"), "id", one.alias("one"))
+    rows = records.where("vector IS NOT NULL").select(batch.alias("batch"), "id", one.alias("one"))
     return rows.groupBy("batch").agg(F.concat(F.lit('{"vectors":['), F.array_join(F.array_sort(F.collect_list(F.struct("id", "one")))["one"], ","), F.lit("]}")).alias("value"))
 
 
-def to_parallel(records: DataFrame, batch: Column | None = None) -> DataFrame:
+def to_parallel(records: DataFrame, batch: Column) -> DataFrame:
     """(batch, value): parallel arrays for each batch of records; give a batch key that bounds their number."""
-    rows = records.select((batch if batch is not None else F.lit(0)).alias("batch"), F.struct("id", "vector", "text", "metadata").alias("r"))
+    rows = records.select(batch.alias("batch"), F.struct("id", "vector", "text", "metadata").alias("r"))
     meta = lambda m: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
     sorted_rows = F.array_sort(F.collect_list(F.struct(F.col("r.id").alias("id"), F.col("r.vector").alias("vector"), F.col("r.text").alias("text"), meta(F.col("r.metadata")).alias("metadata"))))
     return rows.groupBy("batch").agg(sorted_rows.alias("x")).select("batch", F.concat(F.lit('{"ids":'), F.to_json(F.col("x")["id"]), F.lit(',"embeddings":'), F.to_json(F.col("x")["vector"]), F.lit(',"documents":'), F.to_json(F.col("x")["text"]), F.lit(',"metadatas":['), F.array_join(F.col("x")["metadata"], ","), F.lit("]}")).alias("value"))

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def voice_activity(frames: DataFrame, by: str, at: str, level: str, threshold: float = -45.0, least_ms: int = 200, end_ms: int = 900) -> DataFrame:
     """(key, at, kind, level), as operators.logs.voice_activity, over a stream: the state of a key is whether it speaks and since when it has been loud or quiet.
 
-    Frames of a key are handled in the order of `at` within a micro-batch; a frame older than the last one handled is dropped.
+    Frames of a key are handled in the order of `at` within a micro-batch. A frame older than the last one handled can't
+    change what was decided: it gives a row of kind late.
     """
     kind = frames.select(by).schema[0].dataType.simpleString()
 
@@ -23,6 +24,7 @@ def voice_activity(frames: DataFrame, by: str, at: str, level: str, threshold: f
         out = []
         for t, x in zip(rows["at"].tolist(), rows["level"].tolist()):
             if last is not None and t < last:
+                out.append((key[0], t, "late", x))
                 continue
             last = t
             if x >= threshold:
