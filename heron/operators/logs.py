@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,15 +106,13 @@ def evicted_all(rows: DataFrame, size: str, used: str, key: str, needed: int, bu
 
 
 def slot_of(value: Column, cuts: list) -> Column:
-    """How many of the sorted cuts are no greater than the value, by halving: a nest of comparisons, log2 of their number deep."""
-
-    def among(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= F.lit(cuts[middle]), among(middle + 1, high)).otherwise(among(low, middle))
-
-    return among(0, len(cuts))
+    """How many of the sorted cuts are no greater than the value: first whole blocks of about the square root of their number are counted, then the cuts of one block."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    count = lambda among: F.aggregate(among, F.lit(0), lambda n, c: n + (c <= value).cast("int"))
+    whole = count(F.lit(cuts[size - 1 :: size])) if len(cuts) >= size else F.lit(0)
+    return whole * size + count(F.slice(F.lit(cuts), whole * size + 1, F.lit(size)))
 
 
 def expired(rows: DataFrame, created: str, key: str, cutoff_ms: int | None = None, usage_percent: float | None = None, keep_least: int = 0) -> DataFrame:

@@ -36,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of intermediate rows that are no longer read, by the file system that it is in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores if it is read in fewer parts than that, as a small file with one row group is; else as it is. For heavy work by row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -99,8 +99,10 @@ def reranked(spark, d):
 
 
 def prompt_cache(spark, d):
-    """User turns that an earlier turn with the same normal form answers."""
-    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.md5(X.normalize_prompt(F.col("text"))).alias("key"))
+    """User turns, and copies of them with other white space, that an earlier turn with the same normal form answers."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    copies = asked.select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", F.concat(F.lit("  "), F.regexp_replace("text", " ", " \n ")).alias("text"))
+    turns = asked.unionByName(copies).select("conv_id", "turn", F.md5(X.normalize_prompt(F.col("text"))).alias("key"))
     first = turns.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("f"), F.count("*").alias("n"))
     return turns.join(first.where("n > 1"), "key").where("conv_id != f.conv_id OR turn != f.turn").select("conv_id", "turn", F.col("f.conv_id").alias("hit_conv"), F.col("f.turn").alias("hit_turn"))
 
@@ -177,8 +179,12 @@ def html_text(spark, d):
 
 
 def html_meta(spark, d):
-    m = table(spark, d, "pages").select("page_id", F.explode(html.html_meta(F.col("html"))).alias("name", "content"))
-    return m.groupBy("name").agg(F.count("*").alias("n"))
+    """Meta elements of the pages, to whose heads two are added."""
+    i = F.col("page_id")
+    added = F.concat(F.lit("<meta name='author' content='a"), i % 3, F.lit("'><META property=\"og:kind\" content=\"k"), i % 2, F.lit('">'))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.substring_index("html", "</head>", 1), added, F.lit("</head>"), F.col("html")).alias("html"))
+    m = pages.select("page_id", F.explode(html.html_meta(F.col("html"))).alias("name", "content"))
+    return m.groupBy("name", "content").agg(F.count("*").alias("n"))
 
 
 def html_slug(spark, d):
@@ -391,7 +397,7 @@ SQL = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""",
     "search_documents": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, lang, source FROM r JOIN documents ON doc_id = id WHERE rank <= 10",
     "search_rerank": f"{_BM25}, x AS (SELECT query_id, id, -n_chars::DOUBLE AS score FROM r JOIN documents ON doc_id = id WHERE rank <= 10) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 5",
-    "prompt_cache": "WITH t AS (SELECT conv_id, turn, md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS k FROM conversations WHERE role = 'user'), f AS (SELECT *, first_value(conv_id) OVER w AS hit_conv, first_value(turn) OVER w AS hit_turn FROM t WINDOW w AS (PARTITION BY k ORDER BY conv_id, turn)) SELECT conv_id, turn, hit_conv, hit_turn FROM f WHERE conv_id != hit_conv OR turn != hit_turn",
+    "prompt_cache": "WITH t AS (SELECT conv_id, turn, md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS k FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id + 1000000, turn, '  ' || replace(text, ' ', E' \\n ') FROM conversations WHERE role = 'user')), f AS (SELECT *, first_value(conv_id) OVER w AS hit_conv, first_value(turn) OVER w AS hit_turn FROM t WINDOW w AS (PARTITION BY k ORDER BY conv_id, turn)) SELECT conv_id, turn, hit_conv, hit_turn FROM f WHERE conv_id != hit_conv OR turn != hit_turn",
     "pii_counts": "SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{_re(p)}'))) AS BIGINT) AS {k}" for k, p in X.PII.items()) + ", count(*) FILTER (" + " OR ".join(f"regexp_matches(text, '{_re(X.PII[k])}')" for k in X.DEFAULT_PII) + ") AS documents FROM documents",
     "pii_redact": f"SELECT doc_id AS id, md5({_redacted()}) AS redacted_md5 FROM documents",
     "pii_mask": f"WITH m AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '{_re(X.PII['email'])}')) AS match FROM documents) SELECT id, match, CASE WHEN length(match) <= 4 THEN repeat('*', length(match)) WHEN instr(match, '@') > 3 THEN left(match, 1) || repeat('*', instr(match, '@') - 3) || substr(match, instr(match, '@') - 1) ELSE repeat('*', length(match)) END AS masked FROM m",
@@ -406,6 +412,7 @@ SQL = {
         m AS (SELECT a.item_id, sum(least(a.n, b.n)) AS m FROM k a JOIN k b ON b.item_id = a.item_id + 1 AND a.g = b.g GROUP BY a.item_id)
         SELECT a.item_id AS pair_id, round(coalesce(m, 0) / len(a.w) * CASE WHEN len(a.w) >= len(b.w) THEN 1.0 ELSE exp(1 - len(b.w) / len(a.w)) END, 6)::DOUBLE AS bleu FROM b a JOIN b ON b.item_id = a.item_id + 1 LEFT JOIN m ON m.item_id = a.item_id""",
     "html_text": f"SELECT page_id, md5({_html()}) AS text_md5, {_TITLE} AS title FROM pages",
+    "html_meta": "SELECT 'author' AS name, 'a' || page_id % 3 AS content, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT 'og:kind', 'k' || page_id % 2, count(*) FROM pages GROUP BY ALL",
     "html_slug": f"SELECT page_id, left(regexp_replace(regexp_replace(lower({_TITLE}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 50) AS slug FROM pages",
     "chunk_windows": f"WITH {_WINDOWS} SELECT id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, max(start)::BIGINT AS last FROM w WHERE length(t) > 0 GROUP BY id",
     "chunk_estimate": "SELECT doc_id AS id, CAST(CASE WHEN length(text) <= 0 THEN 0 WHEN length(text) <= 500 THEN 1 ELSE ceil(length(text) / 450.0) END AS BIGINT) AS chunks FROM documents",

@@ -155,17 +155,20 @@ def stepped(spark, d):
 
 
 def similar_pairs(spark, d):
-    """All pairs of at least 0.5, compared in blocks."""
-    return _rounded(duplicates.similar_pairs(_rows(spark, d), 0.5, exact=True))
+    """All pairs of at least 0.4, compared in blocks."""
+    return _rounded(duplicates.similar_pairs(_rows(spark, d), 0.4, exact=True))
 
 
 def similar_groups(spark, d):
-    return duplicates.similar_groups(_rows(spark, d), 0.5, exact=True)
+    return duplicates.similar_groups(_rows(spark, d), 0.4, exact=True)
 
 
 def similar_groups_lsh(spark, d):
-    """Groups at 0.9 by hyperplane signatures, for tables of any size."""
-    return duplicates.similar_groups(_rows(spark, d), 0.9)
+    """Groups at 0.9 by hyperplane signatures, for tables of any size: the vectors with an exact copy of each tenth and a slightly changed copy of each one."""
+    rows = _rows(spark, d).select("id", "vector")
+    shifted = lambda x, i: (x + 0.02 * (F.pmod(i + F.col("id"), F.lit(3)) - 1)).cast("float")
+    copies = rows.select((F.col("id") + 1_000_000).alias("id"), F.transform("vector", shifted).alias("vector"))
+    return duplicates.similar_groups(rows.unionByName(copies).unionByName(rows.where("id % 10 = 0").withColumn("id", F.col("id") + 2_000_000)), 0.9)
 
 
 def mrr(spark, d):
@@ -223,6 +226,8 @@ _RANKED = f"WITH e AS ({_E}), r AS (SELECT query_id, id, rank - 1 AS rank FROM (
 _CAL = f"e AS ({_E}), u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e), c AS (SELECT dim, min(x) AS low, max(x) AS high FROM u GROUP BY dim)"
 _CODES = f"WITH {_CAL}, k AS (SELECT id, dim, x, low, high, CASE WHEN high = low THEN 128 ELSE greatest(0, least(255, floor((x - low) / (high - low) * 255 + 0.5))) END::BIGINT AS code FROM u JOIN c USING (dim))"
 _PAIRS = f"e AS ({_E}), p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id < b.id)"
+_COMPONENTS = """l AS MATERIALIZED (SELECT a AS u, b AS v FROM p WHERE score >= {limit} UNION SELECT b, a FROM p WHERE score >= {limit}),
+        r(id, c) AS (SELECT u, u FROM l UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v) SELECT id, min(c) AS component FROM r GROUP BY id"""
 _STEPS = "SELECT id FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings) WHERE n <= {n} OR place IN (SELECT floor(i * (SELECT count(*) FROM embeddings) / {n}.0) FROM range({n}) t(i))"
 
 SQL = {
@@ -246,9 +251,10 @@ SQL = {
     "delta_roundtrip": "SELECT count(*) AS n, 0.0::DOUBLE AS max_error FROM embeddings",
     "compression_stats": "SELECT count(*) AS n_vectors, CAST(sum(len(embedding)) * 4 AS BIGINT) AS original_bytes, CAST(sum(len(embedding)) AS BIGINT) AS compressed_bytes, 4.0::DOUBLE AS ratio FROM embeddings",
     "step_sample": _STEPS.format(n=100),
-    "dup_pairs": f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.5",
-    "dup_components": f"""WITH RECURSIVE {_PAIRS}, l AS MATERIALIZED (SELECT a AS u, b AS v FROM p WHERE score >= 0.5 UNION SELECT b, a FROM p WHERE score >= 0.5),
-        r(id, c) AS (SELECT u, u FROM l UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v) SELECT id, min(c) AS component FROM r GROUP BY id""",
+    "dup_pairs": f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.4",
+    "dup_components": f"WITH RECURSIVE {_PAIRS}, {_COMPONENTS.format(limit=0.4)}",
+    "dup_components_lsh": f"""WITH RECURSIVE e0 AS ({_E}), e AS (SELECT id, v FROM e0 UNION ALL SELECT id + 1000000, list_transform(v, lambda x, i: (x + 0.02 * ((i - 1 + id) % 3 - 1))::FLOAT::DOUBLE) FROM e0 UNION ALL SELECT id + 2000000, v FROM e0 WHERE id % 10 = 0),
+        p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id < b.id), {_COMPONENTS.format(limit=0.9)}""",
     "rank_mrr": f"{_RANKED}, f AS (SELECT r.query_id, min(r.rank) FILTER (rel.id IS NOT NULL) AS first FROM r LEFT JOIN rel USING (query_id, id) GROUP BY r.query_id) SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f",
     "rank_ndcg": f"""{_RANKED}, g AS (SELECT r.query_id, coalesce(sum(gain / log2(rank + 1)), 0) AS dcg FROM r LEFT JOIN rel USING (query_id, id) WHERE rank <= {K} GROUP BY r.query_id),
         i AS (SELECT query_id, sum(gain / log2(k + 1)) AS idcg FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM rel) WHERE k <= {K} GROUP BY query_id)

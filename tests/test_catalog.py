@@ -39,11 +39,9 @@ def one(duck, sql):
 WITHOUT_SQL = {
     "vec_ivf_recall": lambda rows, duck: sum(r.recall for r in rows) / len(rows) >= 0.9 and len(rows) == one(duck, "SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0"),
     "pq_recall": lambda rows, duck: rows[0].recall >= 0.9,
-    "dup_components_lsh": lambda rows, duck: all(r.component <= r.id for r in rows),
     "kmeans_centroids": lambda rows, duck: sum(r.n for r in rows) == one(duck, "SELECT count(*) FROM embeddings") and 0 < rows[0].inertia < one(duck, "SELECT sum(list_inner_product(embedding, embedding)) FROM embeddings"),
     "pii_find": lambda rows, duck: sum(r.kind == "email" for r in rows) == one(duck, "SELECT sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}'))) FROM documents"),
     "rouge_l": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) - 1 FROM benchmark") and all(0 <= r.rouge < 1 for r in rows),
-    "html_meta": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) FROM (SELECT 1 FROM pages WHERE regexp_matches(html, '<meta [^>]*(name|property)=') LIMIT 1)"),
     "chunk_recursive": lambda rows, duck: len({r.id for r in rows}) == one(duck, "SELECT count(*) FROM documents WHERE trim(text, E' \\n\\t') != ''") and all(r.start < r.end for r in rows),
     "chunk_markdown": lambda rows, duck: len(rows) > 0 and all(r.start < r.end and len(r.text) >= 50 for r in rows),
     "chunk_code": lambda rows, duck: len({r.id for r in rows}) == one(duck, "SELECT count(*) FROM pages"),

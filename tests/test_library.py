@@ -160,6 +160,14 @@ def test_ingest_and_search_streams(spark, tmp_path):
     assert found[0].id == 5 and found[0].text.startswith("document 5")
 
 
+def test_slots(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 10, 57):
+        cuts = sorted(rng.sample(range(200), n))
+        found = spark.range(200).select("id", logs.slot_of(F.col("id"), cuts).alias("slot")).collect()
+        assert all(r.slot == sum(c <= r.id for c in cuts) for r in found)
+
+
 # ---- models ---------------------------------------------------------------------------------------------------------
 
 
