@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heron.operators.graph import components  # noqa: F401
-from heron.operators.staging import saved, shared_dir, shuffle_partitions, small_side, written  # noqa: F401  the operators import them from here
+from heron.operators.staging import remove, saved, shared_dir, shuffle_partitions, small_side, written  # noqa: F401  the operators import them from here
 
 #: Rows in an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 400

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.llm.common import constants, mix, shuffle_partitions, small_batches, table, with_fields
+from heron.operators.logs import slot_of
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, SIZE = 8, 2, 64
+#: Bits of the hash by which rows without id are cut.
+NULL_BITS = 6
 #: Elements that are ranked at once; no image of an element is above this.
 SPAN, MOST = 1024, np.uint32(0xFFFFFFFF)
 
@@ -125,23 +128,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, tail, id, text) in partitions where each row, but those with tail = true, stands right before the next by descending id.
 
-    Ids are cut into ranges at approximate quantiles, which a scan of the ids alone gives. The row after a range's last
-    one is the row with the greatest id below the range (for the lowest range, of all): it is added to the range as its
-    tail. So texts are shuffled once, and only a row for each range twice.
+    Ids (integers) are cut into ranges at approximate quantiles, which a scan of the ids alone gives; rows without id are
+    cut by the hash of their text, which also orders rows of one id. The row after a range's last one is the row with the
+    greatest id below the range (for the lowest range, of all): it is added to the range as its tail. So texts are
+    shuffled once, and only a row for each range twice.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key")
-    keys, ranges = docs.select(key), 4 * shuffle_partitions(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    key, order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("order")
+    keys, ranges = docs.select(F.col(id_col).cast("long").alias("key")), 4 * shuffle_partitions(docs.sparkSession)
     cuts = sorted(set(keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first().q or []))
-    bucket = F.aggregate(F.lit(cuts), F.lit(0), lambda n, c: n + (c <= F.col("key")).cast("int")) if cuts else F.lit(0)
-    tops = sorted((x.bucket, x.top) for x in keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("key").alias("top")).collect())  # a row for each range
-    rows = docs.select(key, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = rows.select(bucket.alias("bucket"), F.lit(False).alias("tail"), "key", "id", "text")
+    bucket = F.when(F.col("key") == -(1 << 63), F.shiftright("order", 64 - NULL_BITS).cast("int") - (1 << NULL_BITS)).otherwise(slot_of(F.col("key"), cuts))
+    placed = docs.select(key, order).select("key", "order", bucket.alias("bucket"))
+    tops = sorted((x.bucket, x.top.key, x.top.order) for x in placed.groupBy("bucket").agg(F.max(F.struct("key", "order")).alias("top")).collect())  # a row for each range
+    rows = docs.select(key, order, F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    own = rows.select(bucket.alias("bucket"), F.lit(False).alias("tail"), "key", "order", "id", "text")
     if tops:
-        tails = [(b, tops[i - 1][1]) for i, (b, _) in enumerate(tops)]  # the lowest range gets the greatest of all
-        wanted = docs.sparkSession.createDataFrame(tails, "bucket int, key long")
-        extra = rows.where(F.col("key").isin(sorted({t for _, t in tails}))).join(F.broadcast(wanted), "key").select("bucket", F.lit(True).alias("tail"), "key", "id", "text")
+        tails = [(b, *tops[i - 1][1:]) for i, (b, *_) in enumerate(tops)]  # the lowest range gets the greatest of all
+        wanted = docs.sparkSession.createDataFrame(tails, "bucket int, key long, order long")
+        extra = rows.where(F.col("key").isin(sorted({k for _, k, _ in tails}))).join(F.broadcast(wanted), ["key", "order"]).select("bucket", F.lit(True).alias("tail"), "key", "order", "id", "text")
         own = own.unionByName(extra)
-    return own.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.xxhash64("text")).select("bucket", "tail", "id", "text")
+    return own.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), F.desc("order")).select("bucket", "tail", "id", "text")
 
 
 def edited(text: str, following: str) -> str:

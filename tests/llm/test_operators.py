@@ -280,6 +280,15 @@ def test_compared(spark, data):
         assert (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (a.astype(">u2").tobytes().hex(), b.astype(">u2").tobytes().hex(), (a == b).mean(), (a == c).mean())
 
 
+def test_compared_rows_without_id(spark):
+    """Rows without id stand below all others, in the descending order of their texts' hashes."""
+    rows = [(i if i % 3 else None, f"text {i} of the table " * (i % 5 + 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.text for r in df.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()]
+    want = sorted(hashlib.sha256(op04_order_minhash.edited(t, u).encode()).hexdigest() for t, u in zip(order, order[1:] + order[:1]))
+    assert sorted(r.edited_sha256 for r in op04_order_minhash.compared(df).collect()) == want
+
+
 def test_media(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     stored = {r.id: bytes(r.media) for r in op05_media.with_media(spark.read.parquet(f"{data}/documents.parquet")).collect()}
