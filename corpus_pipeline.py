@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from heron.llm import op01_mixing, op06_language_id, op07_packing, op08_line_dedup, op09_near_dedup
-from heron.llm.common import shared_dir
+from heron.llm.common import remove, shared_dir
 
 
 # Every stage takes documents whose columns may hold nulls, repeated rows and ids, empty and very long texts, and further
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's docs."""
+    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's docs; a stage's rows are removed once the next ones are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
