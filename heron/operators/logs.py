@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -235,6 +236,45 @@ def chain_verdict(entries: DataFrame, seq: str, previous: str, own: str, recompu
     return rows.groupBy("key").agg(F.count("*").alias("checked"), broken.alias("b")).select("key", "checked", F.col("b.seq").alias("broken_at"), F.col("b.reason").alias("reason"))
 
 
+def committed(log: DataFrame, txn: str, kind: str, commit: str = "commit", rollback: str = "rollback") -> DataFrame:
+    """The entries of transactions that were committed and not rolled back, without the entries that say so; entries of no transaction (null) count as committed.
+
+    Only the transactions' verdicts, one row each, are joined to the log.
+    """
+    said = log.where(F.col(kind).isin(commit, rollback)).groupBy(F.col(txn).alias("__txn")).agg((F.max((F.col(kind) == commit).cast("int")) - F.max((F.col(kind) == rollback).cast("int")) == 1).alias("__done"))
+    entries = log.where(~F.col(kind).isin(commit, rollback))
+    return entries.join(said, F.col(txn) == F.col("__txn"), "left").where(F.col(txn).isNull() | F.coalesce("__done", F.lit(False))).select(*log.columns)
+
+
+def replayed(log: DataFrame, txn: str, order: str, key: str, kind: str, delete: str = "delete") -> DataFrame:
+    """The state after the committed entries of a log are applied in their order."""
+    return compacted(committed(log, txn, kind), key, order, kind, delete)
+
+
+def admitted(rows: DataFrame, by: str, at: str, key: str, limit: int, window_ms: int) -> DataFrame:
+    """rows with allowed: at most `limit` allowed rows of a key in any trailing window; refused ones don't count.
+
+    Rows of a key are handled in the order of `at` (milliseconds) and `key`; a task holds the times of `limit` rows.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType())])
+    by_at, at_at = rows.columns.index(by), rows.columns.index(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, times = object(), deque(maxlen=limit)
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(by_at).to_pylist(), batch.column(at_at).to_pylist()):
+                if k != current:
+                    current, times = k, deque(maxlen=limit)
+                ok = len(times) < limit or t - times[0] >= window_ms
+                if ok:
+                    times.append(t)
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=[*batch.schema.names, "allowed"])
+
+    return rows.repartition(by).sortWithinPartitions(by, at, key).mapInArrow(run, schema)
+
+
 def compacted(changes: DataFrame, key: str, order: str, kind: str, delete: str = "delete") -> DataFrame:
     """State after a change log: the last change of each key, unless it is a deletion."""
     last = changes.groupBy(F.col(key)).agg(F.max_by(F.struct(*[F.col(c) for c in changes.columns if c != key]), F.col(order)).alias("last"))

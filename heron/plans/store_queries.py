@@ -99,6 +99,19 @@ def buckets_stream(spark, d):
     return spark.read.schema("by long, key long, at long, allowed boolean, tokens double").parquet(out).select(F.col("key").alias("event_id"), "allowed", "tokens")
 
 
+def admitted(spark, d):
+    """At most three requests of a user in any hour; refused ones don't count."""
+    return logs.admitted(_requests(spark, d), "user_id", "at", "event_id", 3, 3_600_000).select("event_id", "allowed")
+
+
+def replayed(spark, d):
+    """Events as a log of transactions of ten entries: an error rolls its transaction back, others are committed; the last write of each user counts."""
+    e, i = table(spark, d, "events").where("user_id IS NOT NULL"), F.col("event_id")
+    entries = e.select(F.floor(i / 10).alias("txn"), (i * 2).alias("seq"), "user_id", F.when(F.col("event_type") == "error", "rollback").when(F.col("event_type") == "signup", "delete").otherwise("put").alias("kind"), "value")
+    ends = table(spark, d, "events").where("event_id % 10 = 9").select(F.floor(i / 10).alias("txn"), (i * 2 + 1).alias("seq"), F.lit(None).cast("long").alias("user_id"), F.lit("commit").alias("kind"), F.lit(None).cast("double").alias("value"))
+    return logs.replayed(entries.unionByName(ends), "txn", "seq", "user_id", "kind").select("user_id", "seq", "value")
+
+
 # ---- loaders and formats --------------------------------------------------------------------------------------------
 
 
@@ -384,7 +397,7 @@ def stepped(spark, d):
 
 
 QUERIES = {
-    "cache_lookup": cache_lookup, "cache_stats": cache_stats, "cache_eviction": cache_eviction, "cache_expiry": cache_expiry, "chain_heads": chain_heads, "chain_links": chain_links, "token_bucket": buckets, "token_bucket_stream": buckets_stream,
+    "cache_lookup": cache_lookup, "cache_stats": cache_stats, "cache_eviction": cache_eviction, "cache_expiry": cache_expiry, "chain_heads": chain_heads, "chain_links": chain_links, "token_bucket": buckets, "token_bucket_stream": buckets_stream, "rate_limit_admitted": admitted, "log_replay": replayed,
     "load_csv": load_csv, "load_json": load_json, "load_text": load_text, "convert_formats": converted, "import_report": import_report, "import_table": import_table, "table_export": exported, "table_migrate": migrated, "table_copy": copied,
     "table_encrypt": encrypted, "table_redact": redacted, "filter_lists": lists, "json_fits": fitting, "validate": validated, "text_field": text_fields, "vec_include": with_vectors, "vec_index_file": indexed, "sq8_merge": merged_calibration,
     "sq8_recalibrate": recalibrated, "delta_sq8": delta_sq8, "dp_sensitivity_scaled": scaled_sensitivity, "dp_laplace": laplace_noise, "classify_vectors": classified, "model_check": compatible, "recommend_models": recommended, "pii_masks": masks,
@@ -439,6 +452,8 @@ SQL = {
     "chain_heads": "SELECT user_id, count(*) AS n, list_reduce(list_prepend('', list(body ORDER BY event_id)), lambda a, x: sha256(a || x)) AS head FROM (SELECT user_id, event_id, concat_ws('|', event_id::VARCHAR, event_type, props) AS body FROM events) GROUP BY user_id",
     "chain_links": "SELECT user_id, count(*) + count(*) FILTER (event_id % 701 = 700) AS checked, min(event_id * 2 + 1) FILTER (event_id % 701 = 700) AS broken_at, CASE WHEN count(*) FILTER (event_id % 701 = 700) > 0 THEN 'previous hash' END AS reason FROM events GROUP BY user_id",
     "token_bucket": _BUCKETS, "token_bucket_stream": _BUCKETS,
+    "log_replay": """WITH e AS (SELECT *, event_id // 10 AS txn FROM events), g AS (SELECT txn FROM e GROUP BY txn HAVING count(*) FILTER (event_type = 'error' AND user_id IS NOT NULL) = 0 AND count(*) FILTER (event_id % 10 = 9) > 0)
+        SELECT user_id, seq, value FROM (SELECT user_id, event_id * 2 AS seq, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM e JOIN g USING (txn) WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type != 'signup'""",
     "load_csv": "SELECT doc_id AS id, md5(lang || CASE WHEN trim(text, ' ') = '' THEN '' ELSE ': ' || trim(text, ' ') END) AS text_md5, lang FROM documents",
     "load_json": "SELECT event_id AS id, event_type || coalesce(' ' || user_id, '') AS text, event_type AS title FROM events",
     "load_text": "SELECT conv_id, count(*) AS parts, count(*) AS n FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') != '' GROUP BY conv_id",

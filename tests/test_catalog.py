@@ -51,6 +51,7 @@ WITHOUT_SQL = {
     "text_language": lambda rows, duck: sum(r.n for r in rows if r.lang == r.found) > 0.7 * sum(r.n for r in rows),
     "ingest": lambda rows, duck: len({r.chunk_id for r in rows}) == len(rows) > 0 and all(r.dimensions == 256 for r in rows),
     "ages_and_sizes": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) FROM events") and all(r.ms >= 0 for r in rows),
+    "rate_limit_admitted": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) FROM events") and sum(r.allowed for r in rows) >= one(duck, "SELECT count(*) FROM (SELECT count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n <= 3"),
     "semantic_sized": lambda rows, duck: sum(r.last - r.first + 1 for r in rows) == one(duck, "SELECT count(*) FROM conversations"),
 }
 

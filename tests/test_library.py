@@ -137,6 +137,18 @@ def test_token_bucket_of_batch_and_stream(spark, tmp_path):
     assert {r[1]: (r[3], r[4]) for r in found} == want
 
 
+def test_admitted_requests(spark):
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(3000), i % 2, i) for i in range(150))
+    want, past = {}, {}
+    for t, user, i in rows:
+        recent = [x for x in past.get(user, []) if t - x < 500]
+        want[i] = len(recent) < 4
+        past[user] = recent + [t] * want[i]
+    df = spark.createDataFrame(rows, "at long, user long, i long")
+    assert {r.i: r.allowed for r in logs.admitted(df, "user", "at", "i", 4, 500).collect()} == want
+
+
 def test_voice_of_a_stream_keeps_state_and_marks_late_frames(spark, tmp_path):
     frames = [(1, t * 100, -20.0 if 5 <= t < 12 else -60.0) for t in range(30)]
     want = [(1, 700, "start", -20.0), (1, 2100, "end", -60.0)]
