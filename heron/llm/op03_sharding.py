@@ -35,3 +35,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Contract of operator 3, law `bytes`."""
     found = sharded(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum of the bytes of a text, as its table is defined: eight steps for each byte value.
+SQL = f"""
+WITH RECURSIVE bits(i, k, x) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, x: xor(a // 256, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least({SHARDS - 1}, (2 * before + size) * {SHARDS} // (2 * total)) AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""

@@ -174,3 +174,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Contract of operator 9: 3-word shingles, similarity 0.85."""
     found = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+#: All pairs that share a shingle, on whole sets; equal sets are one.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+n AS (SELECT doc_id, len(g) AS n_shingles, list_sort(g)::VARCHAR AS whole FROM s),
+f AS (SELECT whole, min(doc_id) AS first FROM n WHERE n_shingles > 0 GROUP BY whole),
+u AS (SELECT s.doc_id, n_shingles AS n, unnest(g) AS g FROM s JOIN n ON n.doc_id = s.doc_id JOIN f ON f.whole = n.whole AND f.first = s.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p UNION SELECT first, doc_id FROM n JOIN f USING (whole) WHERE first != doc_id UNION SELECT doc_id, first FROM n JOIN f USING (whole) WHERE first != doc_id),
+r(id, c) AS (SELECT u, u FROM l UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.id WHERE r.c < l.v),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM n LEFT JOIN c ON id = doc_id
+"""

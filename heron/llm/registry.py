@@ -16,7 +16,7 @@ from heron.llm import (
     op10_token_counts,
 )
 
-SQL = {"op1_mixing": op01_mixing.SQL}
+SQL = {"op1_mixing": op01_mixing.SQL, "op3_sharding": op03_sharding.SQL, "op9_near_dedup": op09_near_dedup.SQL}
 
 
 def queries() -> dict:

@@ -103,6 +103,20 @@ def test_mixing_draws_are_poisson(spark):
         assert abs(n.mean() / (total / 4000) - 1) < 0.06 and abs(n.var() / (total / 4000) - 1) < 0.1
 
 
+@pytest.mark.parametrize("name", registry.oracle_sql())
+def test_operator_equals_sql(spark, data, name):
+    import duckdb
+
+    from tests.test_catalog import rows_of
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    cur = con.execute(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, data)
+    columns = [x[0] for x in cur.description]
+    assert sorted(columns) == sorted(df.columns) and rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href=/>Home</a></li></ul></nav><header>Top of   site</header><div class="ad">Buy now, it is very cheap today and only today</div>
 <article><h1>Title &amp; more</h1><p><b>First&nbsp;block <br> goes
@@ -494,6 +508,8 @@ def test_packing(spark, data):
             assert start == at
             at += n
         assert at == len(x)
+    along = [p.curve for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))]
+    assert along == sorted(along)  # neighbours in a sequence are neighbours on the curve
     for s, x in by_sequence.items():
         at = 0
         for start, n in sorted(x):
