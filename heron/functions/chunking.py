@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,29 +114,34 @@ def markdown_blocks(text: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
         yield "\n".join(rows), "fence" if fence else "table", tuple(t for _, t in path)
 
 
-#: What begins a definition, by language.
+#: What begins a definition, by language; rules of our own.
 CODE = {
     "python": r"(?:async )?(?:def|class) |@", "javascript": r"(?:export )?(?:default )?(?:async )?(?:function|class|const \w+ = )", "typescript": r"(?:export )?(?:default )?(?:async )?(?:function|class|interface|type|enum) ",
     "java": r"(?:public|private|protected|class|interface|enum) ", "go": r"(?:func|type) ", "rust": r"(?:pub )?(?:fn|struct|enum|trait|impl|mod) ", "c": r"\w[\w\s*]+\(", "cpp": r"(?:class|struct|template|namespace) |\w[\w\s*:<>]+\(",
     "csharp": r"(?:public|private|internal|namespace|class) ", "ruby": r"(?:def|class|module) ", "php": r"(?:function|class|interface) ", "swift": r"(?:func|class|struct|enum|protocol|extension) ", "kotlin": r"(?:fun|class|object|interface) ",
 }
-#: Texts in the first lines that give a language away, the first that fits.
-TELLTALES = (
-    ("python", ("def ", "import ", ":\n")), ("rust", ("fn ", "let ")), ("go", ("package ", "func ")), ("java", ("public class ",)), ("csharp", ("using System", "namespace ")), ("swift", ("import Foundation",)), ("kotlin", ("fun ", "val ")),
-    ("cpp", ("#include", "std::")), ("c", ("#include",)), ("php", ("<?php",)), ("ruby", ("def ", "end\n")), ("typescript", ("interface ", ": string")), ("javascript", ("function ",)), ("javascript", ("const ", "=>")),
+#: What the first lines contain, in lower case, of texts in a language; the first that fits decides. Then what the whole text contains.
+REACT = ("import react", 'from "react"')
+FIRST_LINES = (
+    ("go", ("package main", "func main()")), ("rust", ("fn main()", "impl ")), ("python", ("def __init__", "import numpy")), ("java", ("public static void main", "package ")),
+    ("csharp", ("namespace ", "using System")), ("cpp", ("#include <",)), ("php", ("<?php",)), ("swift", ("import Foundation", "import UIKit")),
 )
+KOTLIN = ("fun ", "val ")
+WHOLE_TEXT = (("typescript", ("interface ", ": ")), ("javascript", ("function ", "=>")), ("python", ("def ", "class ")))
 
 
 def code_language(text: Column) -> Column:
-    """The programming language of a text by what its first 50 lines contain, as a Column; null if none fits."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n")
-    out = F.lit(None).cast("string")
-    for name, marks in reversed(TELLTALES):
-        fits = F.lit(True)
-        for m in marks:
-            fits = fits & head.contains(m)
-        out = F.when(fits, name).otherwise(out)
-    return out
+    """The programming language of a text, by its first 50 lines, then by all of it; generic if nothing fits, null for null."""
+    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n"))
+    some = lambda where, marks: reduce(lambda a, b: a | b, [where.contains(m) for m in marks])
+    typed = text.contains(": ") & some(text, ("interface ", ": React."))
+    out = F.when(text.isNull(), F.lit(None).cast("string")).when(some(head, REACT), F.when(typed, "typescript").otherwise("javascript"))
+    for name, marks in FIRST_LINES:
+        out = out.when(some(head, marks), F.when(some(head, KOTLIN), "kotlin").otherwise(name) if name == "java" else F.lit(name))
+    out = out.when(head.contains("require ") & head.contains("end"), "ruby")
+    for name, marks in WHOLE_TEXT:
+        out = out.when(some(text, marks), name)
+    return out.otherwise("generic")
 
 
 def code_blocks(text: str, language: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
@@ -172,11 +178,11 @@ def placed(text: str, chunks: Iterator[tuple[str, str, tuple[str, ...]]], overla
         yield chunk, (solid[found], solid[found + len(own) - 1] + 1)
 
 
-def _chunker(split: Callable[[str], Iterator[tuple[str, str, tuple[str, ...]]]], overlap: int = 0) -> Callable[[Column], Column]:
+def _chunker(split: Callable[[str], Iterator[tuple[str, str, tuple[str, ...]]]], overlap: int = 0, context: Callable[[str, str], str] = lambda text, kind: "") -> Callable[[Column], Column]:
     @F.pandas_udf(CHUNKS)
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: [{"at": i, "text": x, "start": a, "end": b, "kind": kind, "path": list(path)} for i, ((x, kind, path), (a, b)) in enumerate(placed(t or "", split(t or ""), overlap))])
+            yield texts.map(lambda t: [{"at": i, "text": context(t or "", kind) + x, "start": a, "end": b, "kind": kind, "path": list(path)} for i, ((x, kind, path), (a, b)) in enumerate(placed(t or "", split(t or ""), overlap))])
 
     return chunks
 
@@ -197,8 +203,14 @@ def chunker(strategy: str, **options) -> Callable[[Column], Column]:
     return made[strategy](**options)
 
 
-def code_chunks(language: str, size: int = 1000, least: int = LEAST) -> Callable[[Column], Column]:
-    return _chunker(lambda t: _pack(code_blocks(t, language), size, least))
+def code_chunks(language: str, size: int = 1000, least: int = LEAST, with_imports: bool = False) -> Callable[[Column], Column]:
+    """Chunks of code; with_imports puts a text's imports in front of each chunk of a definition (its place is that of the definition)."""
+
+    def imports(text: str, kind: str) -> str:
+        found = "\n".join(x for x, k, _ in code_blocks(text, language) if k == "import") if with_imports and kind == "definition" else ""
+        return f"{found}\n\n" if found else ""
+
+    return _chunker(lambda t: _pack(code_blocks(t, language), size, least), context=imports)
 
 
 #: Abbreviations that end no sentence.

@@ -169,7 +169,7 @@ def keyword_class(text: Column, keywords: dict[str, list[str]], default: str) ->
     return F.when(best["n"] > 0, best["label"]).otherwise(default)
 
 
-#: Frequent words of some languages.
+#: Frequent words of some languages, a choice of our own.
 FREQUENT = {
     "en": "the and of to in that is was for with it as on be at by".split(), "de": "der die und das den von zu mit ist nicht ein eine auch auf dem sich".split(),
     "fr": "le la les de des et un une dans est que pour qui pas sur au".split(), "es": "el la los las de que y en un una por con para es no se".split(),

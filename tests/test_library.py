@@ -257,8 +257,11 @@ def test_markdown_and_code_chunks(spark):
     code = "import os\nimport sys\n\nX = 1\n\ndef f():\n    return 1\n\nclass A:\n    def g(self):\n        pass\n"
     kinds = [(kind, path) for _, kind, path in chunking.code_blocks(code, "python")]
     assert kinds == [("import", ()), ("code", ()), ("definition", ("def f():",)), ("definition", ("class A:",))]
-    df = spark.createDataFrame([("def f():\n    import os\n",), ("fn main() { let x = 1; }",), ("package a\nfunc b() {}",), ("plain words",)], "t string")
-    assert [r[0] for r in df.select(chunking.code_language(F.col("t"))).collect()] == ["python", "rust", "go", None]
+    texts = {"def f():\n    import os\n": "python", "fn main() { let x = 1; }": "rust", "package a\nclass B {}": "java", "package a\nfun b() {}": "kotlin", "plain words": "generic", "import React from 'x'\nconst a = 1": "javascript", "import React\ninterface A { b: string }": "typescript", "\n" * 60 + "def f()": "python", "#include <a>": "cpp", "require 'x'\nend": "ruby"}
+    df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
+    assert [r[0] for r in df.select(chunking.code_language(F.col("t"))).collect()] == [*texts.values(), None]
+    rows = chunking.chunked(spark.createDataFrame([(1, code)], "id long, text string"), chunking.code_chunks("python", least=0, with_imports=True)).orderBy("at").collect()
+    assert rows[2].text == "import os\nimport sys\n\ndef f():\n    return 1" and code[rows[2].start : rows[2].end] == "def f():\n    return 1"
     for strategy in ("recursive", "sentence", "paragraph", "semantic", "markdown"):
         assert spark.createDataFrame([(1, "words " * 200)], "id long, text string").transform(lambda d, s=strategy: chunking.chunked(d, chunking.chunker(s))).count() >= 1
     with pytest.raises(ValueError):
