@@ -14,15 +14,19 @@ LINKS_A_TASK = 200_000
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v) of one orderable type: (node, component), the component being its smallest node.
 
-    Alternating large-star and small-star steps; each ends in a checkpoint, and a star forest ends the loop. Links are
-    few beside the rows they come from, so steps run in as many tasks as their counted links need.
-    Nodes without an edge to another node don't appear.
+    Alternating large-star and small-star steps, each ending in a checkpoint, until the links are a star forest; links
+    that are one from the beginning need no step. Links are few beside the rows they come from, so steps run in as many
+    tasks as their counted links need. The links of a hub meet its least neighbour in a join, which adaptive execution
+    splits. Nodes without an edge to another node don't appear.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     links = saved(edges.where(F.col("u") != F.col("v")).select(high, low).distinct())
-    most, mark = shuffle_partitions(edges.sparkSession), None
-    while (now := _mark(links)) != mark:
-        mark, tasks = now, max(1, min(most, now[0] // LINKS_A_TASK))
+    most = shuffle_partitions(edges.sparkSession)
+    while True:
+        n, done = _shape(links)
+        tasks = max(1, min(most, n // LINKS_A_TASK))
+        if done:
+            break
         links = links.coalesce(tasks)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,9 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         links = saved(small.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks))
-    nodes = links.unionByName(links.select(F.col("v").alias("u"), "v")).coalesce(max(1, min(most, (mark[0] or 0) // LINKS_A_TASK)))
-    return saved(nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
+    return saved(links.unionByName(links.select(F.col("v").alias("u"), "v")).coalesce(tasks).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _shape(links: DataFrame) -> tuple[int, bool]:
+    """The number of links, each from a node to a smaller one, and whether they are stars: each node has one link to a smaller one or only links to greater ones."""
+    sides = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, bad = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0), 1))).first()
+    return n, bad == 0

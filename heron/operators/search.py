@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
 
-#: Queries that are sent to the tasks at once (a few MB of floats); more queries take more passes over the vectors.
-QUERY_BLOCK = 4096
+#: Queries that meet the vectors at once (a few MB of floats), and vectors of a block where there are more queries.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1 << 16
 
 
 def ranked(df: DataFrame, k: int, *by: str, score: str = "score", key: str = "id") -> DataFrame:
@@ -48,50 +48,67 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.sqrt(np.maximum(qn + vn - 2 * dots, 0)))
 
 
+def _candidates(metric: str, q: np.ndarray, v: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and vectors, and scores, of the k best vectors of each query; ties at the edge all stay, for the merge."""
+    s = _scores(metric, q, v)
+    n = min(k, len(v))
+    edge = np.partition(s, len(v) - n, axis=1)[:, [len(v) - n]] if n < len(v) else s.min(axis=1, keepdims=True)
+    at = np.nonzero(s >= (edge if threshold is None else np.maximum(edge, threshold)))
+    return at[0], at[1], s[at]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = pc.list_flatten(column)
+    return np.asarray(flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat, np.float64).reshape(n, -1)
+
+
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, id, score): the k best rows for each of `queries` (query_id, vector).
 
-    Queries are a stated set: they are taken to the driver in blocks of QUERY_BLOCK and sent to the tasks, where a
-    block meets the vectors batch by batch in a matrix product that keeps only k candidates for each query; a window
-    with a group limit merges them. Vectors are never shuffled.
+    Up to QUERY_BLOCK queries are sent to the tasks, where they meet the vectors batch by batch in a matrix product
+    that keeps only the k best of each query; a window with a group limit merges them, and vectors are never shuffled.
+    More queries never pass through the driver: queries and vectors are dealt into blocks, and each pair of blocks is a
+    unit of work.
     """
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
-    found, block, query_kind = [], [], "string" if queries.schema["query_id"].dataType.simpleString() == "string" else "long"
-    id_type = rows.select(F.col(id_col).alias("id")).schema["id"]
+    id_kind, query_kind = rows.select(id_col).schema[0].dataType.simpleString(), queries.select("query_id").schema[0].dataType.simpleString()
     slim = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<float>").alias("vector"))
+    out = f"query_id {query_kind}, id {id_kind}, score double"
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()  # a block of queries at most
+    if few.num_rows > QUERY_BLOCK:
+        return ranked(_blocks_met(slim, asked, k, metric, threshold, out), k, "query_id").select("query_id", "rank", "id", "score")
+    ids, q = few["query_id"].combine_chunks(), _matrix(few["vector"], few.num_rows) if few.num_rows else None
 
-    def flush() -> None:
-        ids, q = [r.query_id for r in block], np.array([r.vector for r in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                s = _scores(metric, q, v)
-                n = min(k, b.num_rows)
-                keep = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < b.num_rows else np.tile(np.arange(n), (len(q), 1))
-                edge = np.take_along_axis(s, keep, 1).min(axis=1, keepdims=True)
-                at = np.nonzero(s >= (edge if threshold is None else np.maximum(edge, threshold)))  # ties at the edge stay for the merge
-                yield pa.RecordBatch.from_arrays([known.take(pa.array(at[0])), b.column(0).take(pa.array(at[1])), pa.array(s[at])], names=["query_id", "id", "score"])
-
-        known = pa.array(ids, pa.int64()) if all(isinstance(i, int) for i in ids) else pa.array(ids)
-        found.append(slim.mapInArrow(run, f"query_id {query_kind}, id {id_type.dataType.simpleString()}, score double"))
-        block.clear()
-
-    for row in queries.select("query_id", F.col("vector").cast("array<float>").alias("vector")).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    if block or not found:
-        if not block:
-            return rows.sparkSession.createDataFrame([], f"query_id {query_kind}, rank int, id {id_type.dataType.simpleString()}, score double")
-        flush()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return ranked(out, k, "query_id").select("query_id", "rank", "id", "score")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and q is not None:
+                at, places, scores = _candidates(metric, q, _matrix(b.column(1), b.num_rows), k, threshold)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(0).take(pa.array(places)), pa.array(scores)], names=["query_id", "id", "score"])
+
+    return ranked(slim.mapInArrow(run, out), k, "query_id").select("query_id", "rank", "id", "score")
+
+
+def _blocks_met(rows: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, out: str) -> DataFrame:
+    """Candidates of each pair of a block of queries and a block of rows."""
+    n_rows, n_queries = max(1, -(-rows.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("x", block("query_id", n_queries)).withColumn("y", every(n_rows))
+    right = rows.withColumn("y", block("id", n_rows)).withColumn("x", every(n_queries))
+
+    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
+        q_ids, v_ids = q["query_id"].combine_chunks(), v["id"].combine_chunks()
+        parts = []
+        for i in range(0, q.num_rows, 1024):  # a block may have some more rows than the mean
+            for j in range(0, v.num_rows, 1 << 16):
+                a, b = q.slice(i, 1024), v.slice(j, 1 << 16)
+                at, places, scores = _candidates(metric, _matrix(a["vector"], a.num_rows), _matrix(b["vector"], b.num_rows), k, threshold)
+                parts.append(pa.table({"query_id": q_ids.take(pa.array(at + i)), "id": v_ids.take(pa.array(places + j)), "score": pa.array(scores)}))
+        return pa.concat_tables(parts) if parts else pa.table({"query_id": q_ids.slice(0, 0), "id": v_ids.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, out)
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block: int = 2048) -> DataFrame:

@@ -11,7 +11,7 @@ from heron.functions import chunking, jsontext, models, privacy
 from heron.functions import text as X
 from heron.functions import vectors as V
 from heron.operators import duplicates, fusion, keyword, metrics, search
-from heron.operators.staging import shared_dir, small_side, spread
+from heron.operators.staging import exists, shared_dir, small_side, spread
 from heron.plans.tables import table
 from heron.sources import formats, html
 from heron.streaming import ingest
@@ -33,7 +33,7 @@ def _index(spark, d) -> keyword.Index:
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(20,0)"))).first()
     key = (spark.sparkContext.applicationId, d, *state)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/lengths/_SUCCESS"):
         path = f"{shared_dir(spark)}/keyword-{uuid.uuid4().hex}"
         keyword.write_index(keyword.built(_docs(spark, d)), path)
         _INDEXES[key] = path

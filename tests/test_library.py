@@ -66,7 +66,7 @@ def test_batch_search_of_strings_and_blocks(spark, monkeypatch):
     v, rows = vectors(spark, 120)
     queries = rows.where("id % 20 = 0").select(F.concat(F.lit("q"), F.col("id")).alias("query_id"), "vector")
     whole = search.batch_top_k(rows, queries, 5).collect()
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2), monkeypatch.setattr(search, "ROW_BLOCK", 50)
     key = lambda rows_: sorted((r.query_id, r["rank"], r.id) for r in rows_)
     assert key(search.batch_top_k(rows, queries, 5).collect()) == key(whole) == sorted((f"q{q}", k + 1, int(i)) for q in range(0, 120, 20) for k, i in enumerate(np.argsort(-(v @ v[q]), kind="stable")[:5]))
     assert search.batch_top_k(rows, queries.limit(0), 5).count() == 0
