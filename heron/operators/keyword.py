@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 
 from heron.functions.text import tokens
 from heron.operators.search import ranked
-from heron.operators.staging import small_side, spread
+from heron.operators.staging import saved, small_side, spread
 
 K1, B = 1.2, 0.75
 #: Folders of a stored index, by a hash of the term; more for larger ones.
-BUCKETS = 16
+BUCKETS = 32
 #: Decimals of a score: sums of doubles depend on their order beyond that, and ties must not.
 PLACES = 9
 
 
 @dataclass
 class Index:
-    """postings (bucket, term, id, tf, dl) and lengths (id, dl), a row for each document, also one without terms."""
+    """postings (bucket, term, id, tf, dl), lengths (id, dl), a row for each document, also one without terms, and of a stored index terms (bucket, term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
+    terms: DataFrame | None = None
+
+    def frequencies(self) -> DataFrame:
+        """(bucket, term, df): the documents that have a term."""
+        return self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df")) if self.terms is None else self.terms
 
 
 def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens, buckets: int = BUCKETS) -> Index:
@@ -35,13 +40,15 @@ def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=
 
 
 def write_index(index: Index, path: str) -> None:
-    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts."""
-    index.postings.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts; document frequencies beside them."""
+    index.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    stored = Index(index.postings.sparkSession.read.parquet(f"{path}/postings"), index.lengths)
+    stored.frequencies().repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "lengths", "terms")])
 
 
 def removed(index: Index, ids: DataFrame) -> Index:
@@ -60,7 +67,7 @@ def added(index: Index, docs: DataFrame, id_col: str = "id", text_col: str = "te
 def corpus_stats(index: Index) -> DataFrame:
     """One row: n_docs, avg_dl, vocabulary."""
     sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return sizes.join(F.broadcast(index.postings.agg(F.countDistinct("term").alias("vocabulary"))), F.lit(True))
+    return sizes.join(F.broadcast(index.frequencies().agg(F.count("*").alias("vocabulary"))), F.lit(True))
 
 
 def weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column, k1: float = K1, b: float = B) -> Column:
@@ -71,16 +78,14 @@ def weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column, k
 def search(index: Index, queries: DataFrame, k: int | None = 10, tokenize=tokens, k1: float = K1, b: float = B, buckets: int = BUCKETS) -> DataFrame:
     """(query_id, rank, id, score) of the k best documents for each of queries (query_id, text); without k, all matches.
 
-    A term counts as often as the query has it. Only the folders and terms of the queries are read; document
-    frequencies come from the same postings. Scores have PLACES decimals; ties go to the smaller id.
+    A term counts as often as the query has it. Only the folders and terms of the queries are read. Scores have PLACES decimals; ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = small_side(asked.select(F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term").distinct())
-    hits = index.postings.join(terms, ["bucket", "term"], "left_semi").select("term", "id", "tf", "dl")
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked = saved(asked.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))))
+    terms = small_side(asked.select("bucket", "term").distinct())
+    factors = small_side(asked.join(index.frequencies().join(terms, ["bucket", "term"], "left_semi"), ["bucket", "term"]))
     sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    factors = small_side(asked.join(frequency, "term"))
-    scored = hits.join(factors, "term").join(F.broadcast(sizes), F.lit(True))
+    scored = index.postings.join(factors, ["bucket", "term"]).join(F.broadcast(sizes), F.lit(True))
     scored = scored.withColumn("part", F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"), k1, b))
     found = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), PLACES).alias("score")).where("score > 0")
     return found if k is None else ranked(found, k, "query_id").select("query_id", "rank", "id", "score")
