@@ -40,10 +40,13 @@ def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=
 
 
 def write_index(index: Index, path: str) -> None:
-    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts; document frequencies beside them."""
-    index.postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts; document frequencies beside them.
+
+    Rows are rebalanced by bucket, so adaptive execution splits the bucket of a term that most documents have.
+    """
+    index.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
     stored = Index(index.postings.sparkSession.read.parquet(f"{path}/postings"), index.lengths)
-    stored.frequencies().repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
+    stored.frequencies().hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
