@@ -32,8 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        links = saved(small.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks))
+        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links = saved(small.coalesce(tasks).distinct().coalesce(tasks))
     return saved(links.unionByName(links.select(F.col("v").alias("u"), "v")).coalesce(tasks).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
 
 
