@@ -15,10 +15,11 @@ from heron.llm import (
     op09_near_dedup,
     op10_token_counts,
     op11_merkle,
+    op12_filter_audit,
     op13_exact_dedup,
 )
 
-SQL = {"op1_mixing": op01_mixing.SQL, "op3_sharding": op03_sharding.SQL, "op9_near_dedup": op09_near_dedup.SQL, "op11_merkle": op11_merkle.SQL, "op13_exact_dedup": op13_exact_dedup.SQL}
+SQL = {"op1_mixing": op01_mixing.SQL, "op3_sharding": op03_sharding.SQL, "op9_near_dedup": op09_near_dedup.SQL, "op11_merkle": op11_merkle.SQL, "op12_filter_audit": op12_filter_audit.SQL, "op13_exact_dedup": op13_exact_dedup.SQL}
 
 
 def queries() -> dict:
@@ -34,6 +35,7 @@ def queries() -> dict:
         "op9_near_dedup": op09_near_dedup.query,
         "op10_token_counts": op10_token_counts.query,
         "op11_merkle": op11_merkle.query,
+        "op12_filter_audit": op12_filter_audit.query,
         "op13_exact_dedup": op13_exact_dedup.query,
         "pages_language": op06_language_id.pages_query,
         "pipeline": corpus_pipeline.run,
