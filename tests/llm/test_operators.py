@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heron.llm import op01_mixing, op02_html, op03_sharding, op04_order_minhash, op05_media, op06_language_id, op07_packing, op10_token_counts, registry
+from heron.llm import op01_mixing, op02_html, op03_sharding, op04_order_minhash, op05_media, op06_language_id, op07_packing, op10_token_counts, op11_merkle, op12_filter_audit, op13_exact_dedup, registry
 from heron.llm.common import running_totals
 from heron.llm.tokens import Encoder, public_path
 
@@ -53,6 +53,9 @@ OPERATORS = {
     "lines": lambda d: __import__("heron.llm.op08_line_dedup", fromlist=["x"]).line_duplicates(d),
     "near": lambda d: __import__("heron.llm.op09_near_dedup", fromlist=["x"]).near_duplicates(d),
     "tokens": lambda d: op10_token_counts.token_counts(d),
+    "manifest": lambda d: op11_merkle.audited(d),
+    "masks": lambda d: op12_filter_audit.masks(d, d.sparkSession.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")),
+    "exact": lambda d: op13_exact_dedup.exact_duplicates(d),
 }
 
 
@@ -61,7 +64,7 @@ def test_odd_tables(spark, name):
     apply = OPERATORS[name]
     assert apply(empty(spark)).count() == 0
     plain = apply(odd(spark)).collect()
-    if name in ("html", "sharding", "fingerprints", "compared", "media", "language", "near"):
+    if name in ("html", "sharding", "fingerprints", "compared", "media", "language", "near", "manifest", "masks", "exact"):
         assert len(plain) == len(ODD)
     extra = apply(clashing(odd(spark)))
     if name == "mixing":
@@ -110,7 +113,8 @@ def test_operator_equals_sql(spark, data, name):
     from tests.test_catalog import rows_of
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name_of in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{data}/{name_of}.parquet'")
     cur = con.execute(registry.oracle_sql()[name])
     df = registry.queries()[name](spark, data)
     columns = [x[0] for x in cur.description]
