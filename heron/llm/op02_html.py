@@ -22,9 +22,12 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark menus, sidebars, notices, adverts, forms and reader comments.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|alert|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|disclaimer|dialog|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|pagination|pager|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|adbox|ads|adsbygoogle|adsense|adslot|adunit|advert|adverts|advertisement|advertising|alert|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|disclaimer|dialog|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|pagination|pager|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?=$|[\s_-])",
     re.I,
 )
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Texts of links that lead on from an article and are no part of it.
+PAGER = frozenset("back|continue|continue reading|forward|home|more|newer|next|next article|next page|older|permalink|prev|previous|previous article|previous page|print|read more|reply|share|to top|top".split("|"))
 HEADERS = frozenset(("header", "masthead"))
 ARTICLES, HEADINGS = ("article", "main"), frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD, APART_WHOLLY = 1, 2
@@ -36,19 +39,24 @@ LINKED, FEW = 8, 4
 
 
 class Line(NamedTuple):
-    """A line of a page: its text, the tags it took, whether its text is links for the most part, whether it stands in a part that is never content, and in which article (0: none)."""
+    """A line of a page: its text, the tags it took, whether its text is links for the most part, whether it stands in a part that is never content, in which article (0: none), whether it is a heading, and how many of the tags are inline ones."""
 
     text: str
     tags: int
     linked: bool
     apart: bool
     article: int
+    heading: bool = False
+    inline: int = 0
 
 
-def apartness(tag: str, attrs: dict[str, str | None], in_article: bool) -> int:
-    """0: may be content; HEAD: the header of an article, whose headings may be content; APART_WHOLLY: never content."""
-    marks = set() if tag in ("html", "body", *ARTICLES) else {m[0].strip(" _-\t\n").lower() for k in ("class", "id", "role") for m in MARKS.finditer(attrs.get(k) or "")}
-    if tag in APART - {"header"} or "hidden" in attrs or attrs.get("aria-hidden") == "true" or marks - HEADERS:
+def apartness(tag: str, attrs: dict[str, str | None], in_article: bool, after_article: bool = False) -> int:
+    """0: may be content; HEAD: the header of an article, whose headings may be content; APART_WHOLLY: never content.
+
+    The marks of an article count if it stands in or after another one, as the articles of readers' comments do.
+    """
+    marks = set() if tag in ("html", "body", "main") or tag == "article" and not (in_article or after_article) else {m[0].strip(" _-\t\n").lower() for k in ("class", "id", "role") for m in MARKS.finditer(attrs.get(k) or "")}
+    if tag in APART - {"header"} or "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or "") or marks - HEADERS:
         return APART_WHOLLY
     if tag == "header" or marks:
         return HEAD if in_article else APART_WHOLLY
@@ -56,24 +64,30 @@ def apartness(tag: str, attrs: dict[str, str | None], in_article: bool) -> int:
 
 
 class Lines(HTMLParser):
-    """Streams a page's events into lines. Text in an inline part that is never content, such as an advert inside a paragraph, is no part of the line around it."""
+    """Streams a page's events into lines. Text in an inline part that is never content, such as an advert inside a paragraph, is no part of the line around it.
+
+    The first article of a page may stand behind a menu or head that is never closed: it counts as content unless the
+    part around it is closed after all (shut holds such articles).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.other: list[str] = []  # text of parts that are never content
-        self.tags = 0
-        self.open: list[tuple[str, int, int]] = []  # name, and apartness and article around it
+        self.tags = self.inline = 0
+        self.heading = False
+        self.open: list[tuple[str, int, int, int]] = []  # name, apartness and article around it, articles before it
         self.apart, self.article, self.articles = 0, 0, 0
+        self.shut: set[int] = set()
         self.links = self.linked = 0  # open links, characters in them
 
     def end_line(self) -> None:
         for parts, apart in ((self.text, False), (self.other, True)):
             text = SPACE.sub(" ", "".join(parts)).strip() if parts else ""
             if text:
-                self.lines.append(Line(text, self.tags, not apart and 2 * self.linked > len(text), apart, self.article))
-                self.tags = 0
+                self.lines.append(Line(text, self.tags, not apart and 2 * self.linked > len(text), apart, self.article, self.heading, self.inline))
+                self.tags = self.inline = 0
         if self.text or self.other:
             self.linked, self.text, self.other = 0, [], []
 
@@ -81,6 +95,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
+        self.inline += tag not in BLOCKS
         if tag == "br":
             (self.other if self.apart else self.text).append(" ")
         if tag in VOID:
@@ -88,15 +103,16 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links = 1
         inside = any(name in ARTICLES for name, *_ in self.open)
-        if tag in ARTICLES and self.apart and not inside:
-            self.open = [x for x in self.open if not x[1]]  # a menu or head that was never closed
-        self.open.append((tag, self.apart, self.article))
+        self.open.append((tag, self.apart, self.article, self.articles))
+        self.heading = self.heading or tag in HEADINGS
+        after = self.articles > len(self.shut)
         if tag in ARTICLES:
             if not self.article:
                 self.articles += 1
             self.article = self.article or self.articles
-            self.apart = max(x[1] for x in self.open)
-        self.apart = max(self.apart, apartness(tag, dict(attrs), inside))
+            if not inside and not after:
+                self.apart = 0
+        self.apart = max(self.apart, apartness(tag, dict(attrs), inside, after))
         if inside and tag in HEADINGS and self.apart == HEAD:
             self.apart = 0  # the title of an article may stand in its header
 
@@ -111,9 +127,12 @@ class Lines(HTMLParser):
         if tag == "a":
             self.links = 0
         for i in range(len(self.open) - 1, -1, -1):
-            name, apart, article = self.open[i]
+            name, apart, article, before = self.open[i]
             if name == tag:
-                self.apart, self.article = apart, article
+                within = self.open[i + 1][1] if i + 1 < len(self.open) else self.apart
+                if name not in ARTICLES and within and not apart:  # the part that was apart ends here
+                    self.shut.update(range(before + 1, self.articles + 1))
+                self.apart, self.article, self.heading = apart, article, self.heading and tag not in HEADINGS
                 del self.open[i:]
                 return
             if name in ("article", "main", "body") or name in APART and tag not in BLOCKS:
@@ -130,7 +149,7 @@ def read_lines(html: str) -> list[Line]:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines
+    return [x._replace(apart=True) if x.article in parser.shut else x for x in parser.lines]
 
 
 def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
@@ -150,10 +169,10 @@ def regions(lines: list[Line]) -> list[int]:
 
     Lines in a part that is never content are neither smoothed in nor chosen. Of the others, those with a smoothed ratio
     of at least the threshold (their mean less half a deviation, or the largest) are the content cluster. Where some of
-    it stands in articles, only lines in those articles count, else only lines outside. A region is a run of such lines:
-    in an article from its first to its last line of the cluster, outside articles from the first to the last of all.
-    A run loses lines of links at its ends and is extended there over lines that are no links and have FEW tags, up to a
-    line of links or, outside articles, a part that is never content.
+    it stands in articles, those articles are content from their first to their last line, but for links that lead on
+    (PAGER) at their ends. Else a region is the run from the first to the last line of the cluster; it loses lines of
+    links at its ends, headings never, and is extended there over headings and over lines that are no links and have FEW
+    tags other than inline ones, up to a line of links or a part that is never content.
     """
     if not lines:
         return []
@@ -169,23 +188,28 @@ def regions(lines: list[Line]) -> list[int]:
     chosen: list[int] = []
     for number in within.tolist() or [0]:
         at = np.flatnonzero((article == number) & ~apart) if number else np.flatnonzero(article == 0)
-        inner = np.flatnonzero(core[at])
+        inner = np.flatnonzero(core[at]) if not number else np.array([0, len(at) - 1])
         first, last = int(inner[0]), int(inner[-1])
-        while first < last and linked[at[first]]:
+        while first < last and _leads_on(lines[at[first]]):
             first += 1
-        while last > first and linked[at[last]]:
+        while last > first and _leads_on(lines[at[last]]):
             last -= 1
-        while first > 0 and _plain(lines[at[first - 1]]):
+        while not number and first > 0 and _plain(lines[at[first - 1]]):
             first -= 1
-        while last < len(at) - 1 and _plain(lines[at[last + 1]]):
+        while not number and last < len(at) - 1 and _plain(lines[at[last + 1]]):
             last += 1
         chosen += at[first : last + 1].tolist()
     return [i for i in sorted(chosen) if not apart[i]]
 
 
+def _leads_on(line: Line) -> bool:
+    """Whether a line at the end of a region is a link away from it."""
+    return line.linked and not line.heading and (not line.article or line.text.strip(" .:»«›‹→←>|").lower() in PAGER)
+
+
 def _plain(line: Line) -> bool:
-    """Whether a line at the end of a region may belong to it: a heading, or a short first or last line."""
-    return not line.apart and not line.linked and (line.article > 0 or line.tags <= FEW)
+    """Whether a line at the end of a region outside articles may belong to it: a heading, or a short first or last line."""
+    return not line.apart and (line.heading or not line.linked and line.tags - line.inline <= FEW)
 
 
 def main_text(html: str | None) -> str:

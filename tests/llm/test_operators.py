@@ -166,13 +166,16 @@ def brute_regions(lines):
     out = []
     for number in numbers:
         at = [i for i, x in enumerate(lines) if x.article == number and (number == 0 or not x.apart)]
+        if number:  # an article is whole; no line of this test is a link onwards
+            out += at
+            continue
         ends = [k for k, i in enumerate(at) if i in core]
         first, last = ends[0], ends[-1]
-        while first < last and lines[at[first]].linked:
+        while first < last and lines[at[first]].linked and not lines[at[first]].heading:
             first += 1
-        while last > first and lines[at[last]].linked:
+        while last > first and lines[at[last]].linked and not lines[at[last]].heading:
             last -= 1
-        plain = lambda x: not x.apart and not x.linked and (x.article > 0 or x.tags <= 4)
+        plain = lambda x: not x.apart and (x.heading or not x.linked and x.tags - x.inline <= 4)
         while first > 0 and plain(lines[at[first - 1]]):
             first -= 1
         while last + 1 < len(at) and plain(lines[at[last + 1]]):
@@ -185,7 +188,7 @@ def test_html_regions_equal_brute_force():
     rng = random.Random(5)
     for _ in range(600):
         articles = rng.choice(([0], [0, 1], [0, 1, 2], [1]))
-        lines = [op02_html.Line("x" * rng.choice((3, 20, 80, 400)), rng.randint(0, 9), rng.random() < 0.2, rng.random() < 0.25, rng.choice(articles)) for _ in range(rng.randint(0, 25))]
+        lines = [op02_html.Line("x" * rng.choice((3, 20, 80, 400)), rng.randint(0, 9), rng.random() < 0.2, rng.random() < 0.25, rng.choice(articles), rng.random() < 0.15, rng.randint(0, 3)) for _ in range(rng.randint(0, 25))]
         assert op02_html.regions(lines) == brute_regions(lines)
 
 
@@ -205,6 +208,28 @@ def test_html_inline_parts_and_ends(page, start, end):
     assert text.startswith(start) and text.endswith(end) and "Buy" not in text and "someone" not in text
 
 
+BODY = [f"Paragraph {i} with a good number of words in it, and then some more." for i in range(4)]
+
+
+@pytest.mark.parametrize("page, first, last", [
+    (f"<body><nav><ul><li><a href=/>Home</a><li><a href=/a>News</a></ul><article><h1>Title</h1>{PARAGRAPHS}</article><footer>f</footer>", ["Title"], []),  # a menu that is never closed
+    (f"<body><header><div>Site<article><h1>Title</h1>{PARAGRAPHS}</article></body>", ["Title"], []),
+    (f"<body><aside><article><p>A teaser of some words for another page of this site.</p></article></aside><article>{PARAGRAPHS}</article>", [], []),
+    (f"<body><article>{PARAGRAPHS}</article><aside><article><p>A teaser of some words for another page of this site.</p></article></aside>", [], []),
+    (f"<article><h1><a href=/t>Linked title</a></h1>{PARAGRAPHS}<p><a href=/s>The source of this article</a></p></article>", ["Linked title"], ["The source of this article"]),
+    (f"<div><h1><a href=/t>Linked title</a></h1>{PARAGRAPHS}</div><footer>f</footer>", ["Linked title"], []),
+    (f"<article>{PARAGRAPHS}<ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul></article>", [], ["First source", "Second source"]),
+    (f"<body><div>{PARAGRAPHS}<p><b>The</b> <i>last</i> <em>words</em> <b>are</b> <code>set</code> <u>so</u>.</p></div><footer>f</footer></body>", [], ["The last words are set so."]),
+    (f"<article>{PARAGRAPHS}</article><article class='comment'><p>I like this very much, said a reader of this page, and more.</p></article>", [], []),
+    (f"<article>{PARAGRAPHS}<article class='comment'><p>I like this very much, said a reader of this page, and more.</p></article></article>", [], []),
+    (f"<article class='post comments-open'>{PARAGRAPHS}</article>", [], []),
+    (f"<article>{PARAGRAPHS}<p style='color:red; Display : none'>Nobody sees this long text of many words here.</p><ins class='adsbygoogle'>Buy this, it is cheap, and only today</ins></article>", [], []),
+    (f"<article>{PARAGRAPHS}<p><a href=n>Next page »</a></p></article>", [], []),
+])
+def test_html_malformed_and_linked_pages(page, first, last):
+    assert op02_html.main_text(page).split("\n") == first + BODY + last
+
+
 def test_html_pages(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     import html as h
