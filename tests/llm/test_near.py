@@ -175,19 +175,24 @@ def test_large_signatures_are_dealt_anew(spark, monkeypatch):
     """Many lines share a beginning; some pairs of them are near each other."""
     monkeypatch.setattr(lines, "BLOCK", 8)
     dealt, anew = [], lines.dealt_anew
-    monkeypatch.setattr(lines, "dealt_anew", lambda rows, edits: dealt.append(1) or anew(rows, edits))
+    monkeypatch.setattr(lines, "dealt_anew", lambda *given: dealt.append(1) or anew(*given))
     rng = random.Random(11)
     ends = ["".join(rng.choice("abcdefgh") for _ in range(24)) for _ in range(60)]
     ends += [x[:3] + "z" + x[4:] for x in ends[:10]] + [x[:20] + x[21:] + "y" for x in ends[10:20]] + ["abab" * 6, "baba" * 6]
     rows = [(i, "the same words, " + x) for i, x in enumerate(ends)]
     found = lines.line_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.id, r.at): (r.class_id, r.class_at, r.n_class, r.kept) for r in found} == brute_lines(rows, lines.EDITS, lines.MIN_CHARS) and dealt
+    assert {(r.id, r.at): (r.class_id, r.class_at, r.n_class, r.kept) for r in found} == brute_lines(rows, lines.EDITS, lines.CHARS) and dealt
 
 
-def brute_lines(rows, edits, least):
+def brute_lines(rows, edits, chars):
     places = [(i, at, x) for i, t in rows if t is not None for at, x in enumerate(t.split("\n"))]
-    texts = sorted({x for _, _, x in places if len(x) >= least})
-    comp = groups(range(len(texts)), lambda a, b: abs(len(texts[a]) - len(texts[b])) <= edits and distance(texts[a], texts[b]) <= edits)
+    texts = sorted({x for _, _, x in places if x})
+
+    def linked(a, b):
+        most = min(edits, min(len(texts[a]), len(texts[b])) // chars)
+        return abs(len(texts[a]) - len(texts[b])) <= most and distance(texts[a], texts[b]) <= most
+
+    comp = groups(range(len(texts)), linked)
     of = {texts[i]: c for i, c in comp.items()}
     classes = {}
     for i, at, x in sorted(places):
@@ -216,12 +221,12 @@ def test_line_duplicates_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block)
     rows = line_rows()
     found = lines.line_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.id, r.at): (r.class_id, r.class_at, r.n_class, r.kept) for r in found} == brute_lines(rows, lines.EDITS, lines.MIN_CHARS)
+    assert {(r.id, r.at): (r.class_id, r.class_at, r.n_class, r.kept) for r in found} == brute_lines(rows, lines.EDITS, lines.CHARS)
 
 
 def test_line_dedup_rewrites(spark):
     rows = line_rows()
-    keep = {k for k, v in brute_lines(rows, lines.EDITS, lines.MIN_CHARS).items() if v[3]}
+    keep = {k for k, v in brute_lines(rows, lines.EDITS, lines.CHARS).items() if v[3]}
     want = {}
     for i, t in rows:
         if t is None:
@@ -235,13 +240,13 @@ def test_line_dedup_rewrites(spark):
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text or "") for r in got)
 
 
-def test_line_query_classes_short_lines_by_equality(spark, tmp_path):
-    rows = line_rows() + [(200 + i, f"Read more\n\nShare this page\nown {i}\nRead  more") for i in range(4)]
+def test_line_query_classes_short_lines(spark, tmp_path):
+    """Short lines by equality, those of a few words by one edit, longer ones by two; at the bounds and across them."""
+    rng = random.Random(6)
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 10, 11, 12, 13, 22, 23, 24, 25) for _ in range(3)]
+    changed = [x[: len(x) // 2] + rng.choice(("", "X", "XY", "é")) + x[len(x) // 2 + rng.randint(0, 2) :] for x in ends * 4]
+    rows = line_rows() + [(200 + i, f"Read more\n\nShare this page\nown {i}\nRead  more") for i in range(4)] + [(300 + i, x) for i, x in enumerate(ends + changed)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    want, first = brute_lines(rows, lines.EDITS, lines.MIN_CHARS), {}
-    short = [((i, at), x) for i, t in sorted(rows) if t is not None for at, x in enumerate(t.split("\n")) if 0 < len(x) < lines.MIN_CHARS]
-    n = {x: sum(y == x for _, y in short) for _, x in short}
-    for place, x in short:
-        want[place] = (*first.setdefault(x, place), n[x], first[x] == place)
     found = {(r.doc_id, r.line): (r.class_doc, r.class_line, r.n_class, r.kept) for r in lines.query(spark, str(tmp_path)).collect()}
-    assert found == want and found[203, 2] == (200, 2, 4, False) and found[203, 1] == (203, 1, 1, True)
+    assert found == brute_lines(rows, lines.EDITS, lines.CHARS)
+    assert found[203, 0] == (200, 0, 4, False) and found[203, 2] == (200, 2, 4, False) and found[203, 1] == (203, 1, 1, True) and found[203, 3][3]

@@ -74,7 +74,7 @@ def counts(rows):
 def brute_pipeline(rows, model):
     judged = brute_language([(r[0], r[1], None, r[3], None) for r in rows], model)
     rows = [r for r in rows if judged[r[0]][2]]
-    keep, out = brute_lines([(r[0], r[1]) for r in rows], lines.EDITS, lines.MIN_CHARS), []
+    keep, out = brute_lines([(r[0], r[1]) for r in rows], lines.EDITS, lines.CHARS), []
     for i, t, *rest in rows:
         parts = t.split("\n")
         left = [x for at, x in enumerate(parts) if keep[i, at][3]]
