@@ -594,3 +594,15 @@ def test_pipeline(spark, data):
     out = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert sum(r.n != 2048 for r in out) <= 1
     assert pieces.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
+
+
+def test_language_evidence_grows_smoothly():
+    """A longer text of the same kind is a better witness at every length, in ever smaller steps and without a bound."""
+    model = op06_language_id.TextModel(["a", "b"], np.array([[0.0] * op06_language_id.BUCKETS, [-1.0] * op06_language_id.BUCKETS], np.float32))
+    gaps = []
+    for n in (1, 2, 10, 100, 300, 399, 400, 401, 1000, 10_000, 100_000):
+        (a, b), k = model.score("x" * n)
+        gaps.append((k, float(a - b)))
+    assert all(y > x for (_, x), (_, y) in zip(gaps, gaps[1:]))
+    rates = [y / k for k, y in gaps]
+    assert all(x > y for x, y in zip(rates, rates[1:])) and abs(rates[0] - op06_language_id.TEMPER) < 0.01
