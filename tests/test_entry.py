@@ -20,5 +20,5 @@ def test_every_operator_and_the_pipeline_are_registered():
 
     if __spark_entry__.llm:
         names = __spark_entry__.queries()
-        assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+        assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
