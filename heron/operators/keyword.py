@@ -1,10 +1,10 @@
-"""Keyword search: a stored index of postings, BM25 over it, and its statistics."""
+"""Keyword search in documents that have no stored index: postings, BM25 over them, and their statistics. operators.segments stores an index and maintains it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heron.functions.text import tokens
@@ -20,15 +20,14 @@ PLACES = 9
 
 @dataclass
 class Index:
-    """postings (bucket, term, id, tf, dl), lengths (id, dl), a row for each document, also one without terms, and of a stored index terms (bucket, term, df)."""
+    """postings (bucket, term, id, tf, dl) and lengths (id, dl), a row for each document, also one without terms."""
 
     postings: DataFrame
     lengths: DataFrame
-    terms: DataFrame | None = None
 
     def frequencies(self) -> DataFrame:
         """(bucket, term, df): the documents that have a term."""
-        return self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df")) if self.terms is None else self.terms
+        return self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
 
 
 def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens, buckets: int = BUCKETS) -> Index:
@@ -39,34 +38,6 @@ def built(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=
     return Index(counted.select(F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), "term", "id", "tf", "dl"), words.select("id", F.size("terms").alias("dl")))
 
 
-def write_index(index: Index, path: str) -> None:
-    """The index as Parquet: postings in a folder for each bucket, sorted by term, so that a search reads only its terms' parts; document frequencies beside them.
-
-    Rows are rebalanced by bucket, so adaptive execution splits the bucket of a term that most documents have.
-    """
-    index.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    stored = Index(index.postings.sparkSession.read.parquet(f"{path}/postings"), index.lengths)
-    stored.frequencies().hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "lengths", "terms")])
-
-
-def removed(index: Index, ids: DataFrame) -> Index:
-    """The index without the documents in ids (id)."""
-    gone = ids.select("id").distinct()
-    return Index(index.postings.join(gone, "id", "left_anti"), index.lengths.join(gone, "id", "left_anti"))
-
-
-def added(index: Index, docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenize=tokens, buckets: int = BUCKETS) -> Index:
-    """The index with docs, which replace documents with their ids; `buckets` is that of the index."""
-    new, left = built(docs, id_col, text_col, tokenize, buckets), removed(index, docs.select(F.col(id_col).alias("id")))
-    columns = index.postings.columns
-    return Index(left.postings.unionByName(new.postings.select(*columns)), left.lengths.unionByName(new.lengths))
-
-
 def corpus_stats(index: Index) -> DataFrame:
     """One row: n_docs, avg_dl, vocabulary."""
     sizes = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
@@ -81,7 +52,7 @@ def weight(tf: Column, dl: Column, df: Column, n_docs: Column, avg_dl: Column, k
 def search(index: Index, queries: DataFrame, k: int | None = 10, tokenize=tokens, k1: float = K1, b: float = B, buckets: int = BUCKETS) -> DataFrame:
     """(query_id, rank, id, score) of the k best documents for each of queries (query_id, text); without k, all matches.
 
-    A term counts as often as the query has it. Only the folders and terms of the queries are read. Scores have PLACES decimals; ties go to the smaller id.
+    A term counts as often as the query has it. Scores have PLACES decimals; ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = saved(asked.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))))

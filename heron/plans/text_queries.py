@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heron.functions import chunking, jsontext, models, privacy
 from heron.functions import text as X
 from heron.functions import vectors as V
-from heron.operators import duplicates, fusion, keyword, metrics, search
+from heron.operators import duplicates, fusion, metrics, search, segments
 from heron.operators.staging import exists, shared_dir, small_side, spread
 from heron.plans.tables import table
 from heron.sources import formats, html
@@ -28,16 +28,21 @@ def _text(spark, d) -> DataFrame:
     return spread(_docs(spark, d).select("id", "text"))
 
 
-def _index(spark, d) -> keyword.Index:
+def _store(spark, d) -> segments.Store:
     """The keyword index of the documents, written once in an application for each state of the table's files."""
     files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(20,0)"))).first()
     key = (spark.sparkContext.applicationId, d, *state)
-    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/lengths/_SUCCESS"):
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/log"):
         path = f"{shared_dir(spark)}/keyword-{uuid.uuid4().hex}"
-        keyword.write_index(keyword.built(_docs(spark, d)), path)
+        segments.Store(spark, path).add(_docs(spark, d), "documents")
         _INDEXES[key] = path
-    return keyword.read_index(spark, _INDEXES[key])
+    return segments.Store(spark, _INDEXES[key])
+
+
+def _index(spark, d) -> segments.Snapshot:
+    """The version with all documents of the index."""
+    return _store(spark, d).snapshot(1)
 
 
 def _asked(spark, d) -> DataFrame:
@@ -46,23 +51,54 @@ def _asked(spark, d) -> DataFrame:
 
 
 def bm25(spark, d):
-    return keyword.search(_index(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 6))
+    return _index(spark, d).search(_asked(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 def bm25_stats(spark, d):
-    return keyword.corpus_stats(_index(spark, d)).withColumn("avg_dl", F.round("avg_dl", 6))
+    return _index(spark, d).stats().withColumn("avg_dl", F.round("avg_dl", 6))
 
 
 def maintained(spark, d):
-    """The index after every third document was removed and every sixth one came back with another text: its postings by term."""
-    docs = _docs(spark, d).select("id", "text")
-    index = keyword.removed(_index(spark, d), docs.where("id % 3 = 0"))
-    index = keyword.added(index, docs.where("id % 6 = 0 OR id % 6 = 1").withColumn("text", F.concat("text", F.lit(" newword"))))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """The index after every third document was removed and every sixth one came back with another text, as was each one after them: its postings by term."""
+    postings = _changed(spark, d).postings()
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def _changed(spark, d) -> segments.Snapshot:
+    """A store of its own: all documents but each third one in four writes, then the changes, each under a name and each done twice."""
+    docs, store = _docs(spark, d).select("id", "text"), segments.Store(spark, f"{shared_dir(spark)}/keyword-{uuid.uuid4().hex}")
+    for k in range(4):
+        store.add(docs.where((F.col("id") % 4 == k) & ((F.col("id") % 3 != 0) | (F.col("id") % 4 < 2))), f"part {k}")
+    for _ in range(2):
+        store.remove(docs.where("id % 3 = 0").select("id"), "every third")
+        store.add(docs.where("id % 6 = 0 OR id % 6 = 1").withColumn("text", F.concat("text", F.lit(" newword"))), "every sixth")
+    return store.snapshot()
+
+
+def maintained_search(spark, d):
+    """Hits in the changed index, by the bounds of posting rows."""
+    return _changed(spark, d).search(_asked(spark, d), 10, bounded=True).withColumn("score", F.round("score", 6))
+
+
+def bounded_search(spark, d):
+    """Hits of the whole index by the bounds of posting rows: the rows of bm25_search."""
+    return _index(spark, d).search(_asked(spark, d), 10, bounded=True).withColumn("score", F.round("score", 6))
+
+
+def hybrid_maintained(spark, d):
+    """Fused hits of a store with texts and vectors: documents whose id an embedding has, after every fifth was removed and every tenth came back with its vector turned round."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = _docs(spark, d).select("id", "text").join(vectors, "id")
+    store = segments.Store(spark, f"{shared_dir(spark)}/hybrid-{uuid.uuid4().hex}", with_vectors=True)
+    store.add(docs, "all")
+    store.remove(docs.where("id % 5 = 0").select("id"), "every fifth")
+    store.add(docs.where("id % 10 = 0").withColumn("vector", F.transform("vector", lambda x: -x)), "every tenth")
+    asked = _asked(spark, d).join(vectors.withColumnRenamed("id", "query_id"), "query_id")
+    return store.snapshot().hybrid(asked, 10, "rrf").withColumn("score", F.round("score", 9))
 
 
 def postings(spark, d):
-    p = _index(spark, d).postings
+    p = _index(spark, d).postings()
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -75,7 +111,7 @@ def stems(spark, d):
 def _legs(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-    return search.batch_top_k(rows, queries, 30), keyword.search(_index(spark, d), _asked(spark, d), 30)
+    return search.batch_top_k(rows, queries, 30), _index(spark, d).search(_asked(spark, d), 30)
 
 
 def hybrid_weighted(spark, d):
@@ -89,12 +125,12 @@ def hybrid_rrf(spark, d):
 
 def search_documents(spark, d):
     """Hits joined to their documents."""
-    hits = small_side(keyword.search(_index(spark, d), _asked(spark, d), 10))
+    hits = small_side(_index(spark, d).search(_asked(spark, d), 10))
     return hits.join(_docs(spark, d).select("id", "lang", "source"), "id").select("query_id", "rank", "id", "lang", "source")
 
 
 def reranked(spark, d):
-    hits = small_side(keyword.search(_index(spark, d), _asked(spark, d), 10)).join(_docs(spark, d).select("id", "n_chars"), "id")
+    hits = small_side(_index(spark, d).search(_asked(spark, d), 10)).join(_docs(spark, d).select("id", "n_chars"), "id")
     return models.rerank(hits, -F.col("n_chars").cast("double"), 5).select("query_id", "rank", "id", "score")
 
 
@@ -328,7 +364,7 @@ def ranked_sources(spark, d):
 
 
 QUERIES = {
-    "bm25_search": bm25, "bm25_stats": bm25_stats, "bm25_postings": postings, "bm25_maintained": maintained, "stem_counts": stems, "hybrid_weighted": hybrid_weighted, "hybrid_rrf": hybrid_rrf, "search_documents": search_documents, "search_rerank": reranked, "prompt_cache": prompt_cache,
+    "bm25_search": bm25, "bm25_stats": bm25_stats, "bm25_postings": postings, "bm25_maintained": maintained, "bm25_changed": maintained_search, "bm25_bounded": bounded_search, "hybrid_maintained": hybrid_maintained, "stem_counts": stems, "hybrid_weighted": hybrid_weighted, "hybrid_rrf": hybrid_rrf, "search_documents": search_documents, "search_rerank": reranked, "prompt_cache": prompt_cache,
     "pii_counts": pii_counts, "pii_redact": pii_redact, "pii_mask": pii_mask, "pii_find": pii_find, "dup_exact": dup_exact, "clf_confusion": clf_confusion, "clf_accuracy": clf_accuracy, "clf_scores": clf_scores, "clf_averages": clf_averages,
     "rouge_1": rouge_1, "rouge_2": rouge_2, "rouge_l": rouge_l, "bleu_1": bleu, "html_text": html_text, "html_meta": html_meta, "html_slug": html_slug, "chunk_windows": chunk_windows, "chunk_estimate": chunk_estimate,
     "chunk_recursive": chunk_recursive, "chunk_markdown": chunk_markdown, "chunk_code": chunk_code, "chunk_stats": chunk_stats, "clauses": clause_lists, "code_language": code_languages, "text_language": text_language, "ingest": ingest_documents,
@@ -342,6 +378,8 @@ _BM25 = f"""WITH {_ASKED}, t AS (SELECT doc_id AS id, {_TOKENS} AS terms FROM do
     p AS (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM t), h AS (SELECT id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM asked) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
     b AS (SELECT query_id, id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 9) AS score FROM asked JOIN h USING (term) JOIN f USING (term), s GROUP BY query_id, id HAVING score > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN text || ' newword' ELSE text END AS text FROM documents WHERE doc_id % 6 != 3)"
+_HYBRID = "(SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 5 != 0 OR doc_id % 10 = 0)"
 _VEC = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), vr AS (SELECT q.id AS query_id, e.id, list_cosine_similarity(e.v, q.v) AS score, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(e.v, q.v) DESC, e.id) AS rank FROM e, e q WHERE q.id % 20 = 0)"
 _LABELLED = "p AS (SELECT quality AS label, CASE WHEN length(text) >= 1000 THEN 1 ELSE 0 END AS prediction FROM documents JOIN labels USING (doc_id))"
 _SCORES = f"""WITH {_LABELLED}, c AS (SELECT unnest([0, 1]) AS class), k AS (SELECT class, count(*) FILTER (label = class AND prediction = class) AS tp, count(*) FILTER (label != class AND prediction = class) AS fp,
@@ -385,6 +423,13 @@ _WINDOWS = "w AS (SELECT doc_id AS id, s AS start, trim(substr(text, s + 1, 500)
 
 SQL = {
     "bm25_search": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "bm25_bounded": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "bm25_changed": f"{_BM25.replace('FROM documents', 'FROM ' + _CHANGED)} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "hybrid_maintained": f"""{_BM25.replace('FROM documents', 'FROM ' + _HYBRID)}, q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 20 = 0),
+        e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN vec_id % 10 = 0 THEN -x ELSE x END) AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM {_HYBRID})),
+        vs AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, id) AS rank FROM q, e),
+        u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS p FROM vs WHERE rank <= 30 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM r SEMI JOIN q USING (query_id) WHERE rank <= 30),
+        z AS (SELECT query_id, id, round(sum(p), 9) AS score FROM u GROUP BY ALL) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""",
     "bm25_stats": f"WITH t AS (SELECT {_TOKENS} AS terms FROM documents) SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM t)) AS vocabulary FROM t",
     "bm25_maintained": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS.replace("text", "body")}) AS term FROM (SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN text || ' newword' ELSE text END AS body FROM documents WHERE doc_id % 6 != 3)) GROUP BY term",
     "bm25_postings": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import chunking, jsontext, models
 from heron.functions import text as X
-from heron.operators import duplicates, keyword, logs, metrics, quantize, search
+from heron.operators import duplicates, fusion, keyword, logs, metrics, quantize, search, segments
 from heron.plans import catalog
 from heron.sources import collections, formats, loaders
 from heron.streaming import ingest, limits, voice, windows
@@ -85,17 +86,95 @@ def test_kmeans_inertia(spark):
 # ---- keyword index --------------------------------------------------------------------------------------------------
 
 
-def test_keyword_index_is_maintained(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, None), (4, "green frog in the pond")], "id long, text string")
-    keyword.write_index(keyword.built(docs), str(tmp_path / "i"))
-    index = keyword.read_index(spark, str(tmp_path / "i"))
-    asked = spark.createDataFrame([(0, "red fox"), (1, "unknown"), (2, None)], "query_id long, text string")
-    first = [tuple(r) for r in keyword.search(index, asked).orderBy("query_id", "rank").collect()]
-    assert [r[:3] for r in first] == [(0, 1, 1), (0, 2, 2)] and keyword.corpus_stats(index).first().n_docs == 4
-    changed = keyword.added(keyword.removed(index, spark.createDataFrame([(2,)], "id long")), spark.createDataFrame([(1, "a frog"), (5, "red red red fox")], "id long, text string"))
-    anew = keyword.built(spark.createDataFrame([(1, "a frog"), (3, None), (4, "green frog in the pond"), (5, "red red red fox")], "id long, text string"))
-    rows = lambda i: sorted(tuple(r) for r in keyword.search(i, asked).collect())
-    assert rows(changed) == rows(anew) and [r[2] for r in rows(changed)] == [5]
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*") if p.is_file() and not p.name.startswith(".")}
+
+
+def segment_texts(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    return [(i, rng.choice([None, ""]) if rng.random() < 0.05 else " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randint(1, 60))), [rng.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+
+
+TEXTS = "id long, text string, vector array<float>"
+
+
+def test_segments_equal_a_rebuilt_index(spark, tmp_path, monkeypatch):
+    """Additions, replacements, removals and merges in any order; nothing written is touched, and a failed or repeated write changes nothing twice."""
+    monkeypatch.setattr(segments, "FAN", 3)
+    store = segments.Store(spark, str(tmp_path / "s"), with_vectors=True, window=4, buckets=4)
+    asked = spark.createDataFrame([(0, "w0 w3 w3 w59 w17"), (1, "unknown"), (2, None), (3, "w55 w56 w57 w58")], "query_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (3, [0.0, 1.0, 1.0, 0.0])], "query_id long, vector array<float>")
+    now, rng = {}, random.Random(2)
+    assert store.snapshot().search(asked).count() == 0
+    for step in range(6):
+        before = files_of(tmp_path / "s") if step else {}
+        if step in (2, 4):
+            gone = rng.sample(sorted(now), 5) + [10_000]
+            frame = spark.createDataFrame([(i,) for i in gone], "id long")
+            change = lambda: store.remove(frame, f"step {step}")  # noqa: B023, E731
+            after = {i: r for i, r in now.items() if i not in gone}
+        else:
+            rows = [(i + 7 * step, t, v) for i, t, v in segment_texts(12, step)]
+            frame = spark.createDataFrame(rows, TEXTS)
+            change = lambda: store.add(frame, f"step {step}")  # noqa: B023, E731
+            after = now | {r[0]: r for r in rows}
+        if step in (1, 2):  # the write ends before its version is there
+            commit = segments.Store._commit
+            monkeypatch.setattr(segments.Store, "_commit", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                change()
+            monkeypatch.setattr(segments.Store, "_commit", commit)
+            assert sorted(r.id for r in store.snapshot().documents().collect()) == sorted(now)
+        assert change() == change()
+        now = after
+        assert all(files_of(tmp_path / "s").get(f) == t for f, t in before.items())
+        here, rebuilt = store.snapshot(), keyword.built(spark.createDataFrame(sorted(now.values()), TEXTS))
+        hits = lambda found: sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in found.collect())
+        want = hits(keyword.search(rebuilt, asked, 5))
+        assert hits(here.search(asked, 5)) == want
+        if step not in (2, 5):
+            continue
+        assert hits(here.search(asked, 5, bounded=True)) == want
+        assert sorted(tuple(r)[:2] for r in here.search(asked, None).collect()) == sorted(tuple(r)[:2] for r in keyword.search(rebuilt, asked, None).collect())
+        stats, anew = here.stats().first(), keyword.corpus_stats(rebuilt).first()
+        assert (stats.n_docs, stats.vocabulary) == (anew.n_docs, anew.vocabulary) and abs(stats.avg_dl - anew.avg_dl) < 1e-9
+        legs = search.batch_top_k(spark.createDataFrame(sorted(now.values()), TEXTS), vectors, 15), keyword.search(rebuilt, asked.join(vectors, "query_id").select("query_id", "text"), 15)
+        assert hits(here.hybrid(asked.join(vectors, "query_id"), 5)) == hits(fusion.hybrid(*legs, k=5))
+    assert store.version().number > 6  # merges are versions
+    first = store.snapshot(1)
+    assert sorted(r.id for r in first.documents().collect()) == list(range(12))  # an older version reads as it was
+    store.vacuum()
+    assert hits(store.snapshot().search(asked, 5)) == want and len(store.versions()) == 1
+    kept = {s["name"] for s in store.version().segments}
+    assert {p.name.partition("=")[2] for p in (tmp_path / "s/forward").glob("segment=*")} == kept
+    store.clear("all")
+    assert store.snapshot().search(asked).count() == 0 and store.snapshot().n_docs == 0
+
+
+def test_segments_of_two_writers(spark, tmp_path):
+    store = segments.Store(spark, str(tmp_path / "s"))
+    base = store.version()
+    store.add(spark.createDataFrame([(1, "red fox")], "id long, text string"))
+    with pytest.raises(segments.Conflict):
+        store._commit(base, [], None)
+    assert store.snapshot().n_docs == 1 and not list((tmp_path / "s/log").glob("*.tmp"))
+
+
+def test_segments_read_few_folders_and_blocks(spark, tmp_path):
+    """The scan gets buckets and terms as literals; rare terms in few documents leave most posting rows of a frequent term unread."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["the"] * rng.randint(1, 3) + [f"x{rng.randrange(400)}" for _ in range(20)]) + (" zebra quagga okapi" if i % 97 == 0 else "")) for i in range(1500)]
+    store = segments.Store(spark, str(tmp_path / "s"), window=8)
+    docs, asked = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(0, "the zebra quagga okapi")], "query_id long, text string")
+    store.add(docs)
+    here = store.snapshot()
+    plan = here.blocks(asked, ["zebra", "okapi"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ (IN|=|INSET)", plan) and re.search(r"PushedFilters: \[.*In\(term, \[", plan)
+    hits = lambda found: sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in found.collect())
+    assert hits(here.search(asked, 5, bounded=True)) == hits(keyword.bm25(docs, asked, 5))
+    share = here.blocks_read(asked, 5).first()
+    assert share.blocks > 180 and share.blocks_read < 0.4 * share.blocks
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------
