@@ -16,8 +16,8 @@ from heron.operators.logs import slot_of
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, SIZE = 8, 2, 64
-#: Bits of the hash by which rows without id are cut.
-NULL_BITS = 6
+#: Bits of the hash by which rows without id, and those of a frequent id, are cut; rows of an id that make it frequent at least.
+HOT_BITS, FREQUENT = 6, 1000
 #: Elements that are ranked at once; no image of an element is above this.
 SPAN, MOST = 1024, np.uint32(0xFFFFFFFF)
 
@@ -128,16 +128,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, tail, id, text) in partitions where each row, but those with tail = true, stands right before the next by descending id.
 
-    Ids (integers) are cut into ranges at approximate quantiles, which a scan of the ids alone gives; rows without id are
-    cut by the hash of their text, which also orders rows of one id. The row after a range's last one is the row with the
+    Ids (integers) are cut into ranges at approximate quantiles, which a scan of the ids alone gives. Rows of one id stand
+    in the order of a hash of their text; rows without id, and those of an id that would fill a range by itself, are
+    cut by that hash further. The row after a range's last one is the row with the
     greatest id below the range (for the lowest range, of all): it is added to the range as its tail. So texts are
     shuffled once, and only a row for each range twice.
     """
     text = F.col(text_col).cast("string")
     key, order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(text).alias("order")
     keys, ranges = docs.select(F.col(id_col).cast("long").alias("key")), 4 * shuffle_partitions(docs.sparkSession)
-    cuts = sorted(set(keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first().q or []))
-    bucket = F.when(F.col("key") == -(1 << 63), F.shiftright("order", 64 - NULL_BITS).cast("int") - (1 << NULL_BITS)).otherwise(slot_of(F.col("key"), cuts))
+    known = keys.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q"), F.count("key").alias("n")).first()
+    often = [x.key for x in keys.where("key IS NOT NULL").groupBy("key").count().where(F.col("count") > max(FREQUENT, known.n // ranges)).collect()]  # fewer than ranges
+    lone = [-(1 << 63), *often]  # null, and ids that are ranges of their own
+    cuts = sorted({*(known.q or []), *(x + d for x in lone for d in (0, 1) if -(1 << 63) < x + d < 1 << 63)})
+    part = F.when(F.col("key").isin(lone), F.shiftright("order", 64 - HOT_BITS).cast("int") + (1 << HOT_BITS - 1)).otherwise(F.lit(0))
+    bucket = slot_of(F.col("key"), cuts) * (1 << HOT_BITS) + part
     placed = docs.select(key, order).select("key", "order", bucket.alias("bucket"))
     tops = sorted((x.bucket, x.top.key, x.top.order) for x in placed.groupBy("bucket").agg(F.max(F.struct("key", "order")).alias("top")).collect())  # a row for each range
     rows = docs.select(key, order, F.col(id_col).cast("long").alias("id"), text.alias("text"))

@@ -332,6 +332,18 @@ def test_compared_rows_without_id(spark):
     assert sorted(r.edited_sha256 for r in op04_order_minhash.compared(df).collect()) == want
 
 
+def test_compared_rows_of_a_frequent_id(spark, monkeypatch):
+    """Rows of one id that is a third of all are dealt to many ranges, in the descending order of their texts' hashes; no neighbour is lost."""
+    monkeypatch.setattr(op04_order_minhash, "FREQUENT", 20)
+    rows = [(7 if i % 3 else i, f"text {i} of the table " * (i % 5 + 1)) for i in range(240)] + [(None, f"none {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = op04_order_minhash.followed(df).where("NOT tail AND id = 7").groupBy("bucket").count().collect()
+    assert len(ranges) > 20 and max(r["count"] for r in ranges) < 20
+    order = [r.text for r in df.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()]
+    want = sorted(hashlib.sha256(op04_order_minhash.edited(t, u).encode()).hexdigest() for t, u in zip(order, order[1:] + order[:1]))
+    assert sorted(r.edited_sha256 for r in op04_order_minhash.compared(df).collect()) == want
+
+
 def test_media(spark, data):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     stored = {r.id: bytes(r.media) for r in op05_media.with_media(spark.read.parquet(f"{data}/documents.parquet")).collect()}
