@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,16 +130,24 @@ class ProductQuantizer:
         return cls([np.array([r.centroid for r in books if r.i == i]) for i in range(m)])
 
     def encode(self, vector: Column) -> Column:
+        """The centroid numbers of each sub-vector."""
+        return self._coded(vector, "array<smallint>", lambda codes: list(codes.astype(np.int16)))
+
+    def pack(self, vector: Column) -> Column:
+        """The same as binary, a byte for each."""
+        return self._coded(vector, "binary", lambda codes: [x.tobytes() for x in codes.astype(np.uint8)])
+
+    def _coded(self, vector: Column, kind: str, shown: Callable[[np.ndarray], list]) -> Column:
         books = self.codebooks
 
-        @F.pandas_udf("array<smallint>")
+        @F.pandas_udf(kind)
         def codes(batch: pd.Series) -> pd.Series:
             v, at, out = np.stack(batch.to_numpy()).astype(np.float64), 0, []
             for book in books:
                 x = v[:, at : at + book.shape[1]]
                 out.append(((book**2).sum(axis=1) - 2 * x @ book.T).argmin(axis=1))
                 at += book.shape[1]
-            return pd.Series(list(np.stack(out, axis=1).astype(np.int16)))
+            return pd.Series(shown(np.stack(out, axis=1)))
 
         return codes(vector)
 
@@ -146,20 +156,6 @@ class ProductQuantizer:
         return F.flatten(F.transform(codes, lambda c, i: F.element_at(F.element_at(books, i + 1), c.cast("int") + 1)))
 
 
-def coded_top_k(rows: DataFrame, coder: ProductQuantizer, queries: DataFrame, k: int = 10, wider: int = 20, metric: str = "cosine") -> DataFrame:
-    """(query_id, rank, id, score): the `wider` * k best rows (id, vector) by their product codes, ranked anew by their vectors.
-
-    In a stored table the codes are what is scanned; only the few best rows are read whole.
-    """
-    from heron.operators.search import batch_top_k, ranked
-
-    decoded = rows.select("id", coder.decode(coder.encode(F.col("vector"))).alias("vector"))
-    best = batch_top_k(decoded, queries, wider * k, metric).select("query_id", "id")
-    whole = best.join(rows.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    scored = whole.select("query_id", "id", V.score(metric, F.col("vector"), F.col("asked")).alias("score"))
-    return ranked(scored, k, "query_id").select("query_id", "rank", "id", "score")
-
-
 def inertia(rows: DataFrame, centroids: np.ndarray, vector_col: str = "vector") -> DataFrame:
     """(inertia): the sum of the squared distances of all vectors to their nearest centroids."""
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heron.functions import chunking, privacy
 from heron.functions import vectors as V
-from heron.operators import duplicates, metrics, quantize, search
+from heron.operators import codes, duplicates, metrics, quantize, search
+from heron.operators.staging import shared_dir
 from heron.plans.tables import table
 
 K = 10
@@ -139,11 +142,18 @@ def delta_roundtrip(spark, d):
 
 
 def pq_recall(spark, d):
-    """Recall at 10 of search over product codes, the best of which are ranked anew by their vectors."""
-    rows = _rows(spark, d)
+    """Search over stored product codes: recall at 10, the share of the vectors that a query reads whole, and the bytes of its codes by those of the vectors."""
+    rows, path = _rows(spark, d), f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
     queries = _query(rows, "id % 20 = 0")
-    best, found = search.batch_top_k(rows, queries, K), quantize.coded_top_k(rows, quantize.ProductQuantizer.fit(rows, m=16, k=64), queries, K)
-    return best.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("got")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("got", F.lit(0))).alias("recall"))
+    codes.write_codes(rows, path)
+    stored, n = codes.Codes(spark, path), rows.count()
+    wider = min(20, max(1, n // (50 * K)))  # a fiftieth of the vectors at most
+    found, best = stored.search(queries, K, wider=wider), search.batch_top_k(rows, queries, K)
+    reads = stored.candidates(queries, wider * K).groupBy("query_id").count()
+    hits = best.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("got")), ["query_id", "id"], "left").agg(F.avg(F.coalesce("got", F.lit(0))).alias("recall"))
+    share = reads.agg((F.max("count") / F.lit(n)).alias("vectors_read"))
+    size = stored.codes.join(stored.vectors, "id").agg((F.sum(F.octet_length("code")) / F.sum(4 * F.size("vector"))).alias("code_bytes"))
+    return hits.join(F.broadcast(share)).join(F.broadcast(size))  # one row each
 
 
 def compression(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import chunking, jsontext, models
 from heron.functions import text as X
-from heron.operators import duplicates, fusion, keyword, logs, metrics, quantize, search, segments
+from heron.operators import codes, duplicates, fusion, keyword, logs, metrics, quantize, search, segments
 from heron.plans import catalog
 from heron.sources import collections, formats, loaders
 from heron.streaming import ingest, limits, voice, windows
@@ -83,6 +83,29 @@ def test_kmeans_inertia(spark):
     assert abs(quantize.inertia(rows, x[:1]).first().inertia - ((x - x[0]) ** 2).sum()) < 1e-6 * ((x - x[0]) ** 2).sum()
 
 
+def test_stored_codes(spark, tmp_path):
+    """Rough scores are those of the decoded vectors, for every metric; probes see their lists only; null vectors are left out."""
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((5, 8))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(999, None)], "id long, vector array<float>")
+    asked = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(q)], "query_id long, vector array<float>")
+    codes.write_codes(rows, str(tmp_path / "c"), m=4, k=16, lists=3)
+    stored = codes.Codes(spark, str(tmp_path / "c"))
+    coded = {r.id: (np.concatenate([b[c] for b, c in zip(stored.books, bytes(r.code))]), r.cid) for r in stored.codes.collect()}
+    assert sorted(coded) == list(range(300))
+    for metric in ("cosine", "dot", "euclidean"):
+        for r in stored.candidates(asked, 300, metric).collect():
+            a, b = q[r.query_id], coded[r.id][0]
+            size = np.linalg.norm(x[r.id])
+            want = {"cosine": a @ b / np.linalg.norm(a) / size, "dot": a @ b, "euclidean": -(a @ a + size**2 - 2 * a @ b)}[metric]
+            assert abs(r.rough - want) < 1e-4
+    near = ((stored.centroids**2).sum(axis=1) - 2 * q @ stored.centroids.T).argmin(axis=1)
+    assert all(coded[r.id][1] == near[r.query_id] for r in stored.candidates(asked, 50, probes=1).collect())
+    whole = stored.search(asked, 5, wider=60).collect()  # all rows are read: exact
+    assert sorted((r.query_id, r["rank"], r.id) for r in whole) == sorted((r.query_id, r["rank"], r.id) for r in search.batch_top_k(rows, asked, 5).collect())
+    assert stored.search(asked.limit(0), 5).count() == 0
+
+
 # ---- keyword index --------------------------------------------------------------------------------------------------
 
 
