@@ -120,27 +120,24 @@ CODE = {
     "java": r"(?:public|private|protected|class|interface|enum) ", "go": r"(?:func|type) ", "rust": r"(?:pub )?(?:fn|struct|enum|trait|impl|mod) ", "c": r"\w[\w\s*]+\(", "cpp": r"(?:class|struct|template|namespace) |\w[\w\s*:<>]+\(",
     "csharp": r"(?:public|private|internal|namespace|class) ", "ruby": r"(?:def|class|module) ", "php": r"(?:function|class|interface) ", "swift": r"(?:func|class|struct|enum|protocol|extension) ", "kotlin": r"(?:fun|class|object|interface) ",
 }
-#: What the first lines contain, in lower case, of texts in a language; the first that fits decides. Then what the whole text contains.
-REACT = ("import react", 'from "react"')
-FIRST_LINES = (
-    ("go", ("package main", "func main()")), ("rust", ("fn main()", "impl ")), ("python", ("def __init__", "import numpy")), ("java", ("public static void main", "package ")),
-    ("csharp", ("namespace ", "using System")), ("cpp", ("#include <",)), ("php", ("<?php",)), ("swift", ("import Foundation", "import UIKit")),
+#: Marks of languages in the order in which they decide. A rule holds if each of its parts has one of the marks given for it: `head` is the first 50 lines in lower case, `text` the whole text as it is.
+_REACT, _JAVA = ("head", ("import react", 'from "react"')), ("head", ("public static void main", "package "))
+LANGUAGES = (
+    ("typescript", (_REACT, ("text", (": ",)), ("text", ("interface ", ": React.")))), ("javascript", (_REACT,)),
+    ("go", (("head", ("package main", "func main()")),)), ("rust", (("head", ("fn main()", "impl ")),)), ("python", (("head", ("def __init__", "import numpy")),)),
+    ("kotlin", (_JAVA, ("head", ("fun ", "val ")))), ("java", (_JAVA,)), ("csharp", (("head", ("namespace ", "using system")),)), ("cpp", (("head", ("#include <",)),)),
+    ("php", (("head", ("<?php",)),)), ("swift", (("head", ("import foundation", "import uikit")),)), ("ruby", (("head", ("require ",)), ("head", ("end",)))),
+    ("typescript", (("text", ("interface ", ": ")),)), ("javascript", (("text", ("function ", "=>")),)), ("python", (("text", ("def ", "class ")),)),
 )
-KOTLIN = ("fun ", "val ")
-WHOLE_TEXT = (("typescript", ("interface ", ": ")), ("javascript", ("function ", "=>")), ("python", ("def ", "class ")))
 
 
 def code_language(text: Column) -> Column:
-    """The programming language of a text, by its first 50 lines, then by all of it; generic if nothing fits, null for null."""
-    head = F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n"))
-    some = lambda where, marks: reduce(lambda a, b: a | b, [where.contains(m) for m in marks])
-    typed = text.contains(": ") & some(text, ("interface ", ": React."))
-    out = F.when(text.isNull(), F.lit(None).cast("string")).when(some(head, REACT), F.when(typed, "typescript").otherwise("javascript"))
-    for name, marks in FIRST_LINES:
-        out = out.when(some(head, marks), F.when(some(head, KOTLIN), "kotlin").otherwise(name) if name == "java" else F.lit(name))
-    out = out.when(head.contains("require ") & head.contains("end"), "ruby")
-    for name, marks in WHOLE_TEXT:
-        out = out.when(some(text, marks), name)
+    """The programming language of a text by the first of LANGUAGES' rules that holds; generic if none does, null for null."""
+    parts = {"head": F.lower(F.array_join(F.slice(F.split(text, "\n"), 1, 50), "\n")), "text": text}
+    out = F.when(text.isNull(), F.lit(None).cast("string"))
+    for name, rule in LANGUAGES:
+        held = [reduce(lambda a, b: a | b, [parts[part].contains(m) for m in marks]) for part, marks in rule]
+        out = out.when(reduce(lambda a, b: a & b, held), name)
     return out.otherwise("generic")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heron.operators.ranges import numbered
+from heron.operators.ranges import places
 from heron.operators.search import batch_top_k
 from heron.operators.staging import saved
 
@@ -61,8 +61,8 @@ def touched(entries: DataFrame, found: DataFrame, prompts: DataFrame) -> DataFra
 
 def evicted(entries: DataFrame, most: int) -> DataFrame:
     """The entries that go, least recently used first, until `most` are left."""
-    placed, n = numbered(entries, "accessed_ms", "entry_id")
-    return placed.where(F.col("place") < n - most).drop("place")
+    placed, n = places(entries, "entry_id", "accessed_ms")
+    return entries.join(placed.where(F.col("place") < n - most), "entry_id", "left_semi")
 
 
 def answered(prompts: DataFrame, entries: DataFrame, answer, text_col: str = "text", **options) -> DataFrame:

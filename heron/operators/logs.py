@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heron.operators.ranges import numbered
+from heron.operators.ranges import places
 
 
 def millis(ts: Column) -> Column:
@@ -118,12 +118,13 @@ def slot_of(value: Column, cuts: list) -> Column:
 
 def expired(rows: DataFrame, created: str, key: str, cutoff_ms: int | None = None, usage_percent: float | None = None, keep_least: int = 0) -> DataFrame:
     """Rows to remove, oldest first: those older than the cutoff, or the oldest share beyond usage_percent; keep_least rows stay. The two rules exclude each other."""
-    placed, n = numbered(rows, created, key)
+    placed, n = places(rows, key, created)
     most = max(0, n - keep_least)
     if cutoff_ms is not None:
-        return placed.where((millis(F.col(created)) < cutoff_ms) & (F.col("place") < most)).drop("place")
+        old = rows.where(millis(F.col(created)) < cutoff_ms)
+        return old.join(placed.where(F.col("place") < most), key, "left_semi")
     share = int(n * max(0.0, 100 - (100.0 if usage_percent is None else usage_percent)) / 100)
-    return placed.where(F.col("place") < min(share, most)).drop("place")
+    return rows.join(placed.where(F.col("place") < min(share, most)), key, "left_semi")
 
 
 def truncated(turns: DataFrame, by: str, order: str, text: str, context: int, reserved: int = 0) -> DataFrame:

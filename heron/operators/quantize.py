@@ -39,14 +39,15 @@ def scalar_vector(codes: Column, low: Column, high: Column) -> Column:
 
 
 def step_sample(rows: DataFrame, most: int, order: str = "id") -> DataFrame:
-    """The rows at places floor(i * n / most) in the given order; all rows if they are no more than `most`."""
-    from heron.operators.ranges import numbered
+    """The rows at places floor(i * n / most) in the order of a unique column; all rows if they are no more than `most`. Only that column is sorted; rows are read once more for the few that are wanted."""
+    from heron.operators.ranges import places
 
-    placed, n = numbered(rows, order)
+    placed, n = places(rows, order)
     if n <= most:
-        return placed.drop("place")
+        return rows
     i = F.ceil(F.col("place") * F.lit(most) / F.lit(n))
-    return placed.where((F.floor(i * F.lit(n) / F.lit(most)) == F.col("place")) & (i < most)).drop("place")
+    wanted = placed.where((F.floor(i * F.lit(n) / F.lit(most)) == F.col("place")) & (i < most)).select(order)
+    return rows.join(F.broadcast(wanted), order, "left_semi")  # `most` rows
 
 
 def delta_encode(rows: DataFrame, by: str, order: str, vector_col: str = "vector") -> DataFrame:

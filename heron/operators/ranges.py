@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from heron.operators.staging import saved
 
 
+def places(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, int]:
+    """(key, place) of rows, as `numbered`, and their number: only the key and the columns of the order are sorted and written. The key must be unique; join the few places that are wanted."""
+    placed, n = numbered(rows.select(*dict.fromkeys([*order, key])), *dict.fromkeys([*order, key]))
+    return placed.select(key, "place"), n
+
+
 def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """rows with `place`, gapless from 0 in the given order, and their number.
 

@@ -258,8 +258,14 @@ def clause_lists(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(chunking.clause_list("text")).alias("at", "clause"))
 
 
+#: A line of source code for some of the pages, by page_id % 8, as pages themselves hold little code.
+_CODE = ("", "using System;\nclass Program { }", "import Foundation\nlet x = 1", "package demo\nfun main() { }", "#include <vector>\nint main() { }", "def __init__(self):\n  pass", "require 'json'\nputs 1\nend", "const f = (x) => x")
+
+
 def code_languages(spark, d):
-    return table(spark, d, "pages").select("page_id", chunking.code_language(F.col("html")).alias("language"))
+    """Languages of the pages, which a line of source code precedes."""
+    line = F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("page_id") % len(_CODE)).cast("int") + 1)
+    return table(spark, d, "pages").select("page_id", chunking.code_language(F.concat(line, F.lit("\n"), F.col("html"))).alias("language"))
 
 
 def text_language(spark, d):
@@ -421,6 +427,14 @@ _ROUND = "SELECT vec_id AS id, 'text ' || vec_id AS text, label::BIGINT AS label
 _TITLE = "CASE WHEN regexp_matches(html, '<title[^>]*>.*?</title>', 'is') THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) END"
 _WINDOWS = "w AS (SELECT doc_id AS id, s AS start, trim(substr(text, s + 1, 500), ' ') AS t FROM documents, unnest(range(0, CAST(length(text) AS BIGINT), 450)) u(s))"
 
+def _languages() -> str:
+    held = lambda rule: " AND ".join("(" + " OR ".join(f"contains({part}, '{_re(m)}')" for m in marks) + ")" for part, marks in rule)
+    cases = " ".join(f"WHEN {held(rule)} THEN '{name}'" for name, rule in chunking.LANGUAGES)
+    lines = ", ".join("'" + _re(c) + "'" for c in _CODE)
+    return f"""WITH t AS (SELECT page_id, ([{lines}])[page_id % {len(_CODE)} + 1] || chr(10) || html AS text FROM pages), h AS (SELECT *, lower(array_to_string(string_split(text, chr(10))[1:50], chr(10))) AS head FROM t)
+        SELECT page_id, CASE {cases} ELSE 'generic' END AS language FROM h"""
+
+
 SQL = {
     "bm25_search": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
     "bm25_bounded": f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
@@ -430,6 +444,7 @@ SQL = {
         vs AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e.v, q.v) DESC, id) AS rank FROM q, e),
         u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS p FROM vs WHERE rank <= 30 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM r SEMI JOIN q USING (query_id) WHERE rank <= 30),
         z AS (SELECT query_id, id, round(sum(p), 9) AS score FROM u GROUP BY ALL) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""",
+    "code_language": _languages(),
     "bm25_stats": f"WITH t AS (SELECT {_TOKENS} AS terms FROM documents) SELECT count(*) AS n_docs, round(avg(len(terms)), 6) AS avg_dl, (SELECT count(DISTINCT term) FROM (SELECT unnest(terms) AS term FROM t)) AS vocabulary FROM t",
     "bm25_maintained": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS.replace("text", "body")}) AS term FROM (SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN text || ' newword' ELSE text END AS body FROM documents WHERE doc_id % 6 != 3)) GROUP BY term",
     "bm25_postings": f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term",

@@ -47,7 +47,6 @@ WITHOUT_SQL = {
     "chunk_code": lambda rows, duck: len({r.id for r in rows}) == one(duck, "SELECT count(*) FROM pages"),
     "chunk_stats": lambda rows, duck: rows[0].n_chunks > one(duck, "SELECT count(*) FROM documents WHERE text != ''") and rows[0].min_size <= rows[0].avg_size <= rows[0].max_size,
     "clauses": lambda rows, duck: " ".join(r.clause for r in sorted(rows, key=lambda r: (r.item_id, r.at)) if r.item_id == 0) == " ".join(one(duck, "SELECT text FROM benchmark WHERE item_id = 0").split()),
-    "code_language": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) FROM pages"),
     "text_language": lambda rows, duck: sum(r.n for r in rows if r.lang == r.found) > 0.7 * sum(r.n for r in rows),
     "ingest": lambda rows, duck: len({r.chunk_id for r in rows}) == len(rows) > 0 and all(r.dimensions == 256 for r in rows),
     "ages_and_sizes": lambda rows, duck: len(rows) == one(duck, "SELECT count(*) FROM events") and all(r.ms >= 0 for r in rows),
