@@ -12,7 +12,7 @@ from heron.operators import logs
 from heron.operators.staging import shared_dir
 from heron.plans.tables import table
 from heron.sources import collections
-from heron.streaming import voice, windows
+from heron.streaming import turns, voice, windows
 
 
 def _events(spark, d) -> DataFrame:
@@ -115,6 +115,44 @@ def voice_stream(spark, d):
     return spark.read.schema("key long, at long, kind string, level double").parquet(f"{shared}/{out}")
 
 
+#: Five seconds at most to an utterance, as the events' loud runs last ten.
+_HEARD = turns.Listening(cap_ms=5000)
+_TURN_EVENTS = ["start", "utterance", "response", "spoken", "utterance", "speech", "response", "spoken", "error", "stop", "interrupt"]
+
+
+def _spoken(rows: DataFrame) -> DataFrame:
+    level = F.when(F.floor(F.col("event_id") / 97) % 2 == 0, -20.0 - F.col("event_id") % 5).otherwise(F.lit(-60.0))
+    return rows.select((F.col("user_id") % 7).alias("stream"), F.timestamp_millis(F.col("event_id") * 100 + 1000).alias("at"), level.alias("level"))
+
+
+def _streamed(spark, d, apply) -> DataFrame:
+    """The rows of a query with keyed states over a stream of the events, read to its end."""
+    out = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}"
+    found = apply(spark.readStream.schema(_events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    with turns.state_store(spark):
+        found.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("level", F.round("level", 6))
+
+
+def utterance_rows(spark, d):
+    return _shown(turns.utterances_of(_spoken(_events(spark, d)), "stream", "at", "level", _HEARD))
+
+
+def utterance_stream(spark, d):
+    return _shown(_streamed(spark, d, lambda rows: turns.utterances(_spoken(rows), "stream", "at", "level", _HEARD)))
+
+
+def turn_stream(spark, d):
+    """Moves of seven conversations; a plan that has no response after ten seconds has failed."""
+    event = F.element_at(F.array(*[F.lit(x) for x in _TURN_EVENTS]), (F.col("event_id") * 5 % len(_TURN_EVENTS)).cast("int") + 1)
+    at = F.timestamp_millis(F.col("event_id") * 1000 + 1000)
+    return _streamed(spark, d, lambda rows: turns.turns(rows.select((F.col("user_id") % 7).alias("key"), at.alias("at"), "event_id", event.alias("event")), "key", "at", "event_id", "event", 10_000))
+
+
 def lru_eviction(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes"), ((F.col("doc_id") * 7919) % 100_003).alias("used"))
     return logs.evicted_all(docs, "bytes", "used", "doc_id", 100_000).select("doc_id", "freed_before")
@@ -284,7 +322,7 @@ def above_average(spark, d):
 
 QUERIES = {name: _filter(wanted, column) for name, (wanted, column, _) in FILTERS.items()} | {
     "log_stats": log_stats, "log_status_sets": log_sets, "log_page": log_page, "log_last_minute": last_minute, "rate_limit_sliding": rate_limit, "sessions": sessions, "window_tumbling": tumbling, "window_sliding": sliding, "window_session": session_windows,
-    "voice_activity": voice_batch, "voice_activity_stream": voice_stream, "lru_eviction": lru_eviction, "lru_by_source": lru_by_source, "cleanup_age": cleanup_age, "cleanup_keep_min": cleanup_usage, "conversation_truncate": truncate, "repeated_calls": repeats, "ring_buffer": ring,
+    "voice_activity": voice_batch, "voice_activity_stream": voice_stream, "utterances": utterance_rows, "utterances_stream": utterance_stream, "turns_stream": turn_stream, "lru_eviction": lru_eviction, "lru_by_source": lru_by_source, "cleanup_age": cleanup_age, "cleanup_keep_min": cleanup_usage, "conversation_truncate": truncate, "repeated_calls": repeats, "ring_buffer": ring,
     "audit_chain": audit_chain, "change_log": compacted, "privacy_budget": budget, "table_upsert": upsert, "table_update": update, "table_delete": delete, "table_delete_where": delete_where, "collection_stats": collection_stats,
     "star_pricing": pricing, "star_shipping": shipping, "star_nations": nations, "star_discount": discount, "star_rollup": rollup, "star_cube": cube, "join_anti": without_orders, "join_semi": with_orders, "set_operations": set_operations,
     "join_asof": asof, "join_range": ranges, "pivot": pivoted, "approximate": approximate, "above_average": above_average,
@@ -295,6 +333,26 @@ _VOICE = f"""WITH {_FRAMES}, t AS (SELECT *, level >= -45 AS loud, CASE WHEN (le
     r AS (SELECT *, sum(turn) OVER (PARTITION BY key ORDER BY "at") AS run FROM t), a AS (SELECT *, "at" - min("at") OVER (PARTITION BY key, run) AS age FROM r),
     c AS (SELECT key, run, loud, min("at") AS "at" FROM a WHERE age >= CASE WHEN loud THEN 200 ELSE 900 END GROUP BY key, run, loud), n AS (SELECT *, lag(loud) OVER (PARTITION BY key ORDER BY "at") AS last FROM c)
     SELECT key, "at", CASE WHEN loud THEN 'start' ELSE 'end' END AS kind, level FROM n JOIN f USING (key, "at") WHERE (last IS NULL AND loud) OR last != loud"""
+#: Speech from start to end; cut at each first frame that is five seconds in; frames counted up to each of 800 ms intervals.
+_UTTERANCES = f"""{_VOICE.replace('WITH f AS', 'WITH RECURSIVE f AS').replace('event_id * 100', 'event_id * 100 + 1000').replace('THEN -20.0::DOUBLE', 'THEN -20.0::DOUBLE - event_id % 5').replace('SELECT key, "at", CASE WHEN loud', ', v AS (SELECT key, "at", CASE WHEN loud')}),
+    i AS (SELECT key, s, e FROM (SELECT key, kind, "at" AS s, lead("at") OVER (PARTITION BY key ORDER BY "at") AS e FROM v) WHERE kind = 'start'),
+    x(key, first, s, e) AS (SELECT key, s, s, e FROM i UNION ALL SELECT x.key, first, min(f."at"), x.e FROM x JOIN f ON f.key = x.key AND f."at" >= x.s + 5000 AND (x.e IS NULL OR f."at" < x.e) GROUP BY x.key, first, x.s, x.e),
+    u AS (SELECT key, s, coalesce(lead(s) OVER w, e) AS t, lead(s) OVER w IS NOT NULL AS cut, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS utterance FROM x WINDOW w AS (PARTITION BY key, first ORDER BY s)),
+    g AS (SELECT u.*, f."at" AS a, level, (f."at" - s) // 800 AS part FROM u JOIN f ON f.key = u.key AND f."at" >= s AND (t IS NULL OR f."at" < t)),
+    h AS (SELECT *, count(*) OVER z AS frames, avg(level) OVER z AS mean, row_number() OVER (PARTITION BY key, utterance, part ORDER BY a) AS nth FROM g WINDOW z AS (PARTITION BY key, utterance ORDER BY a)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY key, utterance ORDER BY a) - 1 AS chunk FROM h WHERE part > 0 AND nth = 1)
+    SELECT key, utterance, 'partial' AS kind, chunk, s AS from_ms, a AS to_ms, frames, round(mean, 6) AS level, false AS truncated FROM p
+    UNION ALL SELECT key, utterance, 'final', count(*) FILTER (part > 0 AND nth = 1), any_value(s), any_value(t), count(*), round(avg(level), 6), any_value(cut) FROM h WHERE t IS NOT NULL GROUP BY key, utterance"""
+#: One event after the other, in every conversation at once.
+_TURNS = f"""WITH RECURSIVE e AS (SELECT user_id % 7 AS key, event_id * 1000 + 1000 AS w, ({_TURN_EVENTS})[event_id * 5 % {len(_TURN_EVENTS)} + 1] AS event, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS n FROM events),
+    m(state, event, target) AS (VALUES {', '.join(str((*pair, to)) for pair, to in turns.TURNS.items())}),
+    r(key, n, state, since, w, event, was, target, late) AS (SELECT DISTINCT key, 0::BIGINT, 'idle', 0::BIGINT, 0::BIGINT, '', '', NULL::VARCHAR, NULL::BIGINT FROM e UNION ALL
+        SELECT y.key, y.n, coalesce(m.target, y.was), CASE WHEN m.target IS NOT NULL THEN y.w ELSE coalesce(y.late, y.since) END, y.w, y.event, y.was, m.target, y.late FROM
+        (SELECT e.key, e.n, e.w, e.event, r.since, CASE WHEN r.state = 'planning' AND e.w > r.since + 10000 THEN 'error' ELSE r.state END AS was, CASE WHEN r.state = 'planning' AND e.w > r.since + 10000 THEN r.since + 10000 END AS late FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1) y
+        LEFT JOIN m ON m.state = y.was AND m.event = y.event),
+    o AS (SELECT key, since + 10000 AS late FROM r WHERE state = 'planning' AND n = (SELECT max(n) FROM e WHERE e.key = r.key) AND since + 10000 < (SELECT max(w) - 10000 FROM e))
+    SELECT key, w AS "at", event, was AS from_state, target AS to_state, event IN ('speech', 'interrupt') AS barge_in FROM r WHERE target IS NOT NULL
+    UNION ALL SELECT key, late, 'timeout', 'planning', 'error', false FROM (SELECT key, late FROM r WHERE late IS NOT NULL UNION ALL FROM o)"""
 _LRU = "SELECT doc_id, source, n_chars AS bytes, (doc_id * 7919) % 100003 AS used FROM documents"
 _DISC = "l_extendedprice * (1 - l_discount)"
 
@@ -308,7 +366,7 @@ SQL = {name: f"SELECT event_id FROM events WHERE {where}" for name, (_, _, where
     "window_tumbling": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "window_sliding": "SELECT s AS start_ms, count(*) AS n FROM (SELECT unnest([(epoch_us(ts) // 1000) // 1800000 * 1800000, (epoch_us(ts) // 1000) // 1800000 * 1800000 - 1800000]) AS s FROM events) GROUP BY s",
     "window_session": "WITH s AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events), t AS (SELECT key, ts, sum(b) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT key, (epoch_us(min(ts)) // 1000) AS start_ms, count(*) AS n FROM t GROUP BY key, s",
-    "voice_activity": _VOICE, "voice_activity_stream": _VOICE,
+    "voice_activity": _VOICE, "voice_activity_stream": _VOICE, "utterances": _UTTERANCES, "utterances_stream": _UTTERANCES, "turns_stream": _TURNS,
     "lru_eviction": f"SELECT doc_id, freed_before FROM (SELECT doc_id, CAST(coalesce(sum(bytes) OVER (ORDER BY used, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS freed_before FROM ({_LRU})) WHERE freed_before < 100000",
     "lru_by_source": f"SELECT doc_id, source, freed_before FROM (SELECT doc_id, source, CAST(coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY used, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS freed_before FROM ({_LRU}) WHERE doc_id % 10 != 0) WHERE freed_before < 20000",
     "cleanup_age": "SELECT event_id FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events) WHERE (epoch_us(ts) // 1000) < 1704672000000 AND k <= n - 100",

@@ -13,7 +13,7 @@ from heron.functions import text as X
 from heron.operators import codes, duplicates, fusion, keyword, logs, metrics, quantize, search, segments
 from heron.plans import catalog
 from heron.sources import collections, formats, loaders
-from heron.streaming import ingest, limits, voice, windows
+from heron.streaming import ingest, limits, turns, voice, windows
 
 
 def vectors(spark, n, dims=32, seed=1, planted=()):
@@ -223,6 +223,84 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert {r[0].hour: r[2] for r in found} == {10: 2, 11: 1, 12: 2, 15: 1}
 
 
+def run_twice(spark, tmp_path, batches, schema, apply, between=None):
+    """Rows of a stream of state machines over batches, stopped after the first half of them and started again from its checkpoint."""
+    out, half = None, len(batches) // 2
+    for part in (batches[:half], batches[half:]):
+        for rows in part:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{len(list((tmp_path).glob('in/*'))):03d}"))
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        found = apply(source)
+        with turns.state_store(spark):
+            found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+        out = [tuple(r) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()]
+        if between is not None and part is not batches[half:]:
+            between(out)
+            between = None
+    return out
+
+
+FRAME = "stream long, at timestamp, level double"
+
+
+def test_utterances_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    """Caps, ends, partial rows and silences, over micro-batches with a restart between them; a silence is seen by a timer before the next frame comes."""
+    from datetime import datetime, timedelta, timezone
+
+    rng, how = random.Random(7), turns.Listening(cap_ms=4000, silent_ms=5000)
+    begin, at, batches = datetime(2024, 1, 1, tzinfo=timezone.utc), {k: 0 for k in range(3)}, []
+    for b in range(6):
+        rows = []
+        for k in at:
+            if k == 2 and b in (1, 2, 3, 4):
+                continue  # speaks at the end of the first batch, and then isn't heard for long
+            while at[k] < 20_000 * (b + 1):
+                loud = (at[k] // 3000) % 2 == 0 or k == 1 or k == 2
+                rows.append((k, begin + timedelta(milliseconds=at[k]), -20.0 - rng.random() if loud and rng.random() < 0.98 else -60.0))
+                at[k] += rng.choice((100, 200, 300)) if rng.random() < 0.99 or k == 2 else 7000
+            if k == 2:
+                at[k] = 100_000
+        batches.append(rows)
+    apply = lambda rows: turns.utterances(rows, "stream", "at", "level", how)
+    seen = lambda out: [r for r in out if r[0] == 2 and r[2] == "final" and r[8] and r[5] < 21_000 + begin.timestamp() * 1000]
+    found = run_twice(spark, tmp_path, batches, FRAME, apply, lambda out: seen(out) or pytest.fail("no timer"))
+    want = [tuple(r) for r in turns.utterances_of(spark.createDataFrame([r for b in batches for r in b], FRAME), "stream", "at", "level", how).collect()]
+    # At the end of the stream, timers close what the end of a table leaves open.
+    left = [r for r in found if r not in want]
+    assert sorted(map(repr, want)) == sorted(repr(r) for r in found if r in want) and len(left) <= 3 and all(r[2] == "final" and r[8] for r in left)
+    kinds = {(r[2], r[8]) for r in want}
+    assert {("partial", False), ("final", False), ("final", True)} <= kinds
+
+
+def test_late_frames_change_nothing(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    at = lambda s: datetime.fromtimestamp(1_704_067_200 + s, timezone.utc)
+    batches = [[(1, at(s / 10), -20.0) for s in range(20)], [(1, at(0.55), -60.0), (1, at(2.0), -20.0)], [(1, at(2 + s / 10), -60.0) for s in range(1, 12)], [(1, at(50), -60.0)], [(1, at(51), -60.0)], [(1, at(52), -60.0)], [(1, at(30), -20.0)], [(1, at(53), -60.0)]]
+    found = run_twice(spark, tmp_path, batches, FRAME, lambda rows: turns.utterances(rows, "stream", "at", "level"))
+    finals = [r for r in found if r[2] == "final"]
+    assert [r[2] for r in found].count("late") == 1 and len(finals) == 1 and finals[0][6] == 19 + 9 and not finals[0][8]  # the frame behind the watermark is dropped
+
+
+def test_turns_of_a_stream(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    rng, begin, limit = random.Random(9), datetime(2024, 1, 1, tzinfo=timezone.utc), 3000
+    names = ["start", "utterance", "response", "spoken", "speech", "interrupt", "error", "stop", "utterance", "response", "spoken", "unknown"]
+    rows = [(rng.randrange(3), begin + timedelta(milliseconds=400 * i), i, rng.choice(names)) for i in range(300)] + [(0, begin + timedelta(minutes=5), 300, "stop")]
+    rows[0:2] = [(5, begin, 0, "start"), (5, begin + timedelta(milliseconds=400), 1, "utterance")]  # a plan that nothing follows
+    found = run_twice(spark, tmp_path, [rows[i : i + 60] for i in range(0, 301, 60)], "key long, at timestamp, place long, event string", lambda x: turns.turns(x, "key", "at", "place", "event", limit), lambda out: (5, "timeout") in {(r[0], r[2]) for r in out} or pytest.fail("no timer"))
+    want, states = [], {}
+    for key, at, _, event in rows:
+        state, since = states.get(key, ("idle", 0))
+        state, since, out = turns.moved(state, since, round(at.timestamp() * 1000), event, limit)
+        want += [(key, *r) for r in out]
+        states[key] = state, since
+    end = round(rows[-1][1].timestamp() * 1000) - 10_000
+    want += [(key, since + limit, "timeout", "planning", "error", False) for key, (state, since) in states.items() if state == "planning" and since + limit < end]
+    assert sorted(found) == sorted(want) and {r[2] for r in want} >= {"timeout", "speech", "error", "stop"} and any(r[5] for r in want)
+
+
 def test_token_bucket_of_batch_and_stream(spark, tmp_path):
     rng = random.Random(3)
     rows = sorted((t, i % 3, i) for i, t in enumerate(rng.randrange(20_000) for _ in range(120)))
