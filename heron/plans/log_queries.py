@@ -12,7 +12,7 @@ from heron.operators import logs
 from heron.operators.staging import shared_dir
 from heron.plans.tables import table
 from heron.sources import collections
-from heron.streaming import turns, voice, windows
+from heron.streaming import answers, turns, voice, windows
 
 
 def _events(spark, d) -> DataFrame:
@@ -153,6 +153,15 @@ def turn_stream(spark, d):
     return _streamed(spark, d, lambda rows: turns.turns(rows.select((F.col("user_id") % 7).alias("key"), at.alias("at"), "event_id", event.alias("event")), "key", "at", "event_id", "event", 10_000))
 
 
+def cache_stream(spark, d):
+    """Prompts of three models, a second apart, looked up and stored in one pass; an entry lives for a minute."""
+    angle = F.col("event_id") * 37 % 360
+    vector = F.array(F.cos(F.radians(angle)), F.sin(F.radians(angle)))
+    asked = lambda rows: rows.select((F.col("user_id") % 3).alias("model"), F.timestamp_millis(F.col("event_id") * 1000 + 1000).alias("at"), "event_id", F.concat("event_type", F.lit(" "), (F.col("user_id") % 40).cast("string")).alias("prompt"), vector.alias("vector"))
+    found = _streamed(spark, d, lambda rows: answers.cached(asked(rows), "model", "at", "event_id", "prompt", "vector", 0.9995, 60_000))
+    return found.select("key", "prompt_id", "kind", "entry_id", F.round("score", 6).alias("score"), "entries")
+
+
 def lru_eviction(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("bytes"), ((F.col("doc_id") * 7919) % 100_003).alias("used"))
     return logs.evicted_all(docs, "bytes", "used", "doc_id", 100_000).select("doc_id", "freed_before")
@@ -322,7 +331,7 @@ def above_average(spark, d):
 
 QUERIES = {name: _filter(wanted, column) for name, (wanted, column, _) in FILTERS.items()} | {
     "log_stats": log_stats, "log_status_sets": log_sets, "log_page": log_page, "log_last_minute": last_minute, "rate_limit_sliding": rate_limit, "sessions": sessions, "window_tumbling": tumbling, "window_sliding": sliding, "window_session": session_windows,
-    "voice_activity": voice_batch, "voice_activity_stream": voice_stream, "utterances": utterance_rows, "utterances_stream": utterance_stream, "turns_stream": turn_stream, "lru_eviction": lru_eviction, "lru_by_source": lru_by_source, "cleanup_age": cleanup_age, "cleanup_keep_min": cleanup_usage, "conversation_truncate": truncate, "repeated_calls": repeats, "ring_buffer": ring,
+    "voice_activity": voice_batch, "voice_activity_stream": voice_stream, "utterances": utterance_rows, "utterances_stream": utterance_stream, "turns_stream": turn_stream, "cache_stream": cache_stream, "lru_eviction": lru_eviction, "lru_by_source": lru_by_source, "cleanup_age": cleanup_age, "cleanup_keep_min": cleanup_usage, "conversation_truncate": truncate, "repeated_calls": repeats, "ring_buffer": ring,
     "audit_chain": audit_chain, "change_log": compacted, "privacy_budget": budget, "table_upsert": upsert, "table_update": update, "table_delete": delete, "table_delete_where": delete_where, "collection_stats": collection_stats,
     "star_pricing": pricing, "star_shipping": shipping, "star_nations": nations, "star_discount": discount, "star_rollup": rollup, "star_cube": cube, "join_anti": without_orders, "join_semi": with_orders, "set_operations": set_operations,
     "join_asof": asof, "join_range": ranges, "pivot": pivoted, "approximate": approximate, "above_average": above_average,
@@ -353,6 +362,14 @@ _TURNS = f"""WITH RECURSIVE e AS (SELECT user_id % 7 AS key, event_id * 1000 + 1
     o AS (SELECT key, since + 10000 AS late FROM r WHERE state = 'planning' AND n = (SELECT max(n) FROM e WHERE e.key = r.key) AND since + 10000 < (SELECT max(w) - 10000 FROM e))
     SELECT key, w AS "at", event, was AS from_state, target AS to_state, event IN ('speech', 'interrupt') AS barge_in FROM r WHERE target IS NOT NULL
     UNION ALL SELECT key, late, 'timeout', 'planning', 'error', false FROM (SELECT key, late FROM r WHERE late IS NOT NULL UNION ALL FROM o)"""
+#: A model's entries are a list that goes from one prompt to the next.
+_CACHE = """WITH RECURSIVE q AS (SELECT user_id % 3 AS key, event_id AS id, event_id * 1000 + 1000 AS w, event_type || ' ' || (user_id % 40) AS prompt, cos(radians(event_id * 37 % 360)) AS a, sin(radians(event_id * 37 % 360)) AS b, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events),
+    r(key, n, held, id, kind, entry, score) AS (SELECT DISTINCT key, 0::BIGINT, [{'id': 0::BIGINT, 'w': -100000::BIGINT, 'prompt': '', 'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}], 0::BIGINT, '', 0::BIGINT, 0.0::DOUBLE FROM q UNION ALL
+        SELECT key, n, CASE WHEN exact IS NULL AND coalesce(near.s, -1) < 0.9995 THEN list_append(live, {'id': id, 'w': w, 'prompt': prompt, 'a': a, 'b': b}) ELSE live END, id,
+            CASE WHEN exact IS NOT NULL THEN 'exact' WHEN near.s >= 0.9995 THEN 'similar' ELSE 'miss' END, CASE WHEN exact IS NOT NULL THEN exact WHEN near.s >= 0.9995 THEN -near.i END, CASE WHEN exact IS NOT NULL THEN 1.0 WHEN near.s >= 0.9995 THEN near.s END FROM
+        (SELECT *, list_filter(live, lambda e: e.prompt = y.prompt)[1].id AS exact, list_max(list_transform(live, lambda e: {'s': round(e.a * y.a + e.b * y.b, 9), 'i': -e.id})) AS near FROM
+            (SELECT q.*, list_filter(r.held, lambda e: q.w - e.w <= 60000) AS live FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1) y) z)
+    SELECT key, id AS prompt_id, kind, entry AS entry_id, round(score, 6) AS score, len(held) AS entries FROM r WHERE n > 0"""
 _LRU = "SELECT doc_id, source, n_chars AS bytes, (doc_id * 7919) % 100003 AS used FROM documents"
 _DISC = "l_extendedprice * (1 - l_discount)"
 
@@ -366,7 +383,7 @@ SQL = {name: f"SELECT event_id FROM events WHERE {where}" for name, (_, _, where
     "window_tumbling": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "window_sliding": "SELECT s AS start_ms, count(*) AS n FROM (SELECT unnest([(epoch_us(ts) // 1000) // 1800000 * 1800000, (epoch_us(ts) // 1000) // 1800000 * 1800000 - 1800000]) AS s FROM events) GROUP BY s",
     "window_session": "WITH s AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events), t AS (SELECT key, ts, sum(b) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT key, (epoch_us(min(ts)) // 1000) AS start_ms, count(*) AS n FROM t GROUP BY key, s",
-    "voice_activity": _VOICE, "voice_activity_stream": _VOICE, "utterances": _UTTERANCES, "utterances_stream": _UTTERANCES, "turns_stream": _TURNS,
+    "voice_activity": _VOICE, "voice_activity_stream": _VOICE, "utterances": _UTTERANCES, "utterances_stream": _UTTERANCES, "turns_stream": _TURNS, "cache_stream": _CACHE,
     "lru_eviction": f"SELECT doc_id, freed_before FROM (SELECT doc_id, CAST(coalesce(sum(bytes) OVER (ORDER BY used, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS freed_before FROM ({_LRU})) WHERE freed_before < 100000",
     "lru_by_source": f"SELECT doc_id, source, freed_before FROM (SELECT doc_id, source, CAST(coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY used, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS freed_before FROM ({_LRU}) WHERE doc_id % 10 != 0) WHERE freed_before < 20000",
     "cleanup_age": "SELECT event_id FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events) WHERE (epoch_us(ts) // 1000) < 1704672000000 AND k <= n - 100",

@@ -13,7 +13,7 @@ from heron.functions import text as X
 from heron.operators import codes, duplicates, fusion, keyword, logs, metrics, quantize, search, segments
 from heron.plans import catalog
 from heron.sources import collections, formats, loaders
-from heron.streaming import ingest, limits, turns, voice, windows
+from heron.streaming import answers, ingest, limits, turns, voice, windows
 
 
 def vectors(spark, n, dims=32, seed=1, planted=()):
@@ -301,6 +301,25 @@ def test_turns_of_a_stream(spark, tmp_path):
     assert sorted(found) == sorted(want) and {r[2] for r in want} >= {"timeout", "speech", "error", "stop"} and any(r[5] for r in want)
 
 
+def test_cache_of_a_stream(spark, tmp_path):
+    """Hits, misses, expiry and eviction over micro-batches with a restart equal one pass over the prompts; the state shrinks when entries have lived their time, also of a model that is asked no more."""
+    from datetime import datetime, timedelta, timezone
+
+    rng, begin, options = random.Random(3), datetime(2024, 1, 1, tzinfo=timezone.utc), (0.99, 20_000, 6)
+    rows = [(0 if i < 90 else rng.randrange(1, 3), begin + timedelta(milliseconds=700 * i), i, f"prompt {rng.randrange(40)}", None if rng.random() < 0.1 else [float(np.cos(a := rng.random() * 6)), float(np.sin(a))]) for i in range(240)]
+    rows += [(1, begin + timedelta(minutes=60), 240, "late one", None), (1, begin + timedelta(minutes=61), 241, "last", None)]
+    found = run_twice(spark, tmp_path, [rows[:60], rows[60:120], rows[120:180], rows[180:240], rows[240:241], rows[241:]], "model long, at timestamp, id long, prompt string, vector array<double>", lambda x: answers.cached(x, "model", "at", "id", "prompt", "vector", *options))
+    held, want = {}, []
+    for model, at, i, prompt, vector in rows:
+        ms = round(at.timestamp() * 1000)
+        kind, entry, score = answers.answer(held.setdefault(model, {}), prompt, i, ms, vector, *options)
+        want.append((model, i, ms, kind, entry, score, len(held[model])))
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
+    assert {r[3] for r in want} == {"exact", "similar", "miss"} and max(r[6] for r in want) == 6
+    left = spark.read.format("statestore").option("stateVarName", "entries").load(str(tmp_path / "log")).collect()
+    assert 1 <= len(left) <= 2 and all(r.key[0] == 1 for r in left)
+
+
 def test_token_bucket_of_batch_and_stream(spark, tmp_path):
     rng = random.Random(3)
     rows = sorted((t, i % 3, i) for i, t in enumerate(rng.randrange(20_000) for _ in range(120)))
