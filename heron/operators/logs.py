@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heron.operators.ranges import places
+from heron.operators.ranges import lagged, places
 
 
 def millis(ts: Column) -> Column:
@@ -226,13 +226,13 @@ def logged(df: DataFrame, name: str):
 def chain_verdict(entries: DataFrame, seq: str, previous: str, own: str, recomputed: Column, by: str | None = None) -> DataFrame:
     """(key, checked, broken_at, reason): the first entry of each chain whose link or hash is wrong; null if all is well.
 
-    An entry is checked against the one before it, so a chain is a window by its key; hashes are recomputed row by row.
+    An entry is checked against the one before it, through ranges (ranges.lagged), so one chain of any length is many
+    tasks; hashes are recomputed row by row.
     """
     key = F.col(by) if by else F.lit(0)
-    w = Window.partitionBy("key").orderBy("seq")
     rows = entries.select(key.alias("key"), F.col(seq).alias("seq"), F.col(previous).alias("previous"), F.col(own).alias("own"), (recomputed == F.col(own)).alias("fits"))
-    link = F.col("previous").eqNullSafe(F.lag("own").over(w))
-    rows = rows.withColumn("reason", F.when(~link, "previous hash").when(~F.col("fits"), "hash"))
+    link = F.col("previous").eqNullSafe(F.col("before"))
+    rows = lagged(rows, "own", "before", "key", "seq").withColumn("reason", F.when(~link, "previous hash").when(~F.col("fits"), "hash"))
     broken = F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason")))
     return rows.groupBy("key").agg(F.count("*").alias("checked"), broken.alias("b")).select("key", "checked", F.col("b.seq").alias("broken_at"), F.col("b.reason").alias("reason"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
+from heron.operators.ranges import lagged, places, running_vectors
 
 
 def calibrate(rows: DataFrame, vector_col: str = "vector") -> DataFrame:
@@ -40,8 +41,6 @@ def scalar_vector(codes: Column, low: Column, high: Column) -> Column:
 
 def step_sample(rows: DataFrame, most: int, order: str = "id") -> DataFrame:
     """The rows at places floor(i * n / most) in the order of a unique column; all rows if they are no more than `most`. Only that column is sorted; rows are read once more for the few that are wanted."""
-    from heron.operators.ranges import places
-
     placed, n = places(rows, order)
     if n <= most:
         return rows
@@ -50,17 +49,15 @@ def step_sample(rows: DataFrame, most: int, order: str = "id") -> DataFrame:
     return rows.join(F.broadcast(wanted), order, "left_semi")  # `most` rows
 
 
-def delta_encode(rows: DataFrame, by: str, order: str, vector_col: str = "vector") -> DataFrame:
-    """Each vector less the one before it in its group; the first stays. One group is one sequence, so give a key that bounds it."""
-    before = F.lag(vector_col).over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("delta", F.when(before.isNull(), F.transform(vector_col, lambda x: x.cast("double"))).otherwise(F.zip_with(vector_col, before, lambda x, y: x.cast("double") - y.cast("double"))))
+def delta_encode(rows: DataFrame, by: str | None, order: str, vector_col: str = "vector") -> DataFrame:
+    """Each vector less the one before it in its group (without by: in the whole table); the first stays. A sequence of any length is dealt into ranges."""
+    met, before = lagged(rows, vector_col, "__vector", by, order), F.col("__vector")
+    return met.withColumn("delta", F.when(before.isNull(), F.transform(vector_col, lambda x: x.cast("double"))).otherwise(F.zip_with(vector_col, before, lambda x, y: x.cast("double") - y.cast("double")))).drop("__vector")
 
 
-def delta_decode(rows: DataFrame, by: str, order: str, delta_col: str = "delta") -> DataFrame:
-    """The vectors again: running sums of each dimension."""
-    parts = rows.select(by, order, F.posexplode(delta_col).alias("i", "d"))
-    running = F.sum("d").over(Window.partitionBy(by, "i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("x", running).groupBy(by, order).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("vector"))
+def delta_decode(rows: DataFrame, by: str | None, order: str, delta_col: str = "delta") -> DataFrame:
+    """The vectors again: running sums of each dimension, handed from range to range."""
+    return running_vectors(rows, delta_col, by, order)
 
 
 def delta_codes(rows: DataFrame, by: str, order: str, vector_col: str = "vector") -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
-"""Global row numbers without a window over everything."""
+"""Global row numbers, predecessors and running sums without a window over everything: ranges, and what they hand to the next one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.operators.staging import saved
@@ -29,3 +29,41 @@ def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
         n += count
     sums = rows.sparkSession.createDataFrame(starts, "__part int, __start long")
     return placed.join(F.broadcast(sums), "__part").withColumn("place", F.col("__at") + F.col("__start")).drop("__part", "__at", "__start"), n
+
+
+def ranged(rows: DataFrame, by: str | None, order: str) -> DataFrame:
+    """rows with `__key` (that of by, or 0 for one sequence) and `__part`, the number of their range of key and order; a checkpoint, so that ranges stay the same."""
+    keyed = rows.withColumn("__key", F.col(by) if by else F.lit(0))
+    return saved(keyed.repartitionByRange("__key", order).withColumn("__part", F.spark_partition_id()))
+
+
+def lagged(rows: DataFrame, value: str, name: str, by: str | None, order: str) -> DataFrame:
+    """rows with `name`, the value of the row before in the order (unique within by); null for the first of a sequence.
+
+    A sequence of any length is dealt into ranges. Within a range a window finds the row before; the last value of each
+    range, a row for each, goes to the first row of the next range of the same sequence.
+    """
+    placed = ranged(rows, by, order)
+    inside = Window.partitionBy("__key", "__part").orderBy(order)
+    ends = placed.groupBy("__key", "__part").agg(F.max_by(F.struct(value), order).alias("__end"))
+    handed = ends.select(F.col("__key").alias("__of"), F.col("__part").alias("__at"), F.lag("__end").over(Window.partitionBy("__key").orderBy("__part")).alias("__end"))
+    met = placed.withColumns({"__before": F.lag(F.struct(value)).over(inside), "__first": F.row_number().over(inside) == 1})
+    met = met.join(handed, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__at")))
+    return met.withColumn(name, F.when(F.col("__first"), F.col("__end")).otherwise(F.col("__before"))[value]).drop("__key", "__part", "__before", "__first", "__end", "__of", "__at")
+
+
+def running_vectors(rows: DataFrame, vector: str, by: str | None, order: str) -> DataFrame:
+    """(by, order, vector): for each row the sum of its vector and of all before it in the order.
+
+    Each range sums by itself, a window for each dimension; the sums of whole ranges, a row for each range and dimension, are added up and
+    handed on.
+    """
+    columns = [by, order] if by else [order]
+    parts = ranged(rows.select(*columns, vector), by, order).select(*columns, "__key", "__part", F.posexplode(vector).alias("__i", "__d"))
+    totals = parts.groupBy("__key", "__part", "__i").agg(F.sum("__d").alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy("__key", "__i").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    handed = totals.select(F.col("__key").alias("__of"), F.col("__part").alias("__at"), F.col("__i").alias("__dim"), F.coalesce(before, F.lit(0.0)).alias("__start"))
+    running = F.sum("__d").over(Window.partitionBy("__key", "__part", "__i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    met = parts.withColumn("__x", running).join(handed, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__at")) & (F.col("__i") == F.col("__dim")))
+    met = met.select(*columns, F.col("__i").alias("i"), (F.col("__x") + F.col("__start")).alias("x"))
+    return met.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("vector"))

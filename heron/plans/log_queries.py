@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import filters, privacy
 from heron.operators import logs
+from heron.operators.ranges import lagged
 from heron.operators.staging import shared_dir
 from heron.plans.tables import table
 from heron.sources import collections
@@ -201,6 +202,15 @@ def _chain(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", "event_id", "event_type", "props", body.alias("body"), own.alias("own"), F.lag(own).over(Window.partitionBy("user_id").orderBy("event_id")).alias("previous")).withColumn("body", F.when(F.col("event_id") % 501 == 500, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
 
 
+def audit_global(spark, d):
+    """One chain over all events, each 401st entry of which was written anew, so that the one after it does not fit."""
+    rows = _events(spark, d).select("event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("body"))
+    linked = lagged(rows.withColumn("own", F.sha2("body", 256)), "own", "previous", None, "event_id")
+    changed = linked.withColumn("own", F.when(F.col("event_id") % 401 == 400, F.sha2(F.concat("body", F.lit("!")), 256)).otherwise(F.col("own")))
+    v = logs.chain_verdict(changed, "event_id", "previous", "own", F.sha2(F.when(F.col("event_id") % 401 == 400, F.concat("body", F.lit("!"))).otherwise(F.col("body")), 256))
+    return v.select("checked", F.col("broken_at").alias("broken_at"), "reason")
+
+
 def audit_chain(spark, d):
     v = logs.chain_verdict(_chain(_events(spark, d)), "event_id", "previous", "own", F.sha2("body", 256), "user_id")
     return v.withColumnRenamed("key", "user_id")
@@ -332,7 +342,7 @@ def above_average(spark, d):
 QUERIES = {name: _filter(wanted, column) for name, (wanted, column, _) in FILTERS.items()} | {
     "log_stats": log_stats, "log_status_sets": log_sets, "log_page": log_page, "log_last_minute": last_minute, "rate_limit_sliding": rate_limit, "sessions": sessions, "window_tumbling": tumbling, "window_sliding": sliding, "window_session": session_windows,
     "voice_activity": voice_batch, "voice_activity_stream": voice_stream, "utterances": utterance_rows, "utterances_stream": utterance_stream, "turns_stream": turn_stream, "cache_stream": cache_stream, "lru_eviction": lru_eviction, "lru_by_source": lru_by_source, "cleanup_age": cleanup_age, "cleanup_keep_min": cleanup_usage, "conversation_truncate": truncate, "repeated_calls": repeats, "ring_buffer": ring,
-    "audit_chain": audit_chain, "change_log": compacted, "privacy_budget": budget, "table_upsert": upsert, "table_update": update, "table_delete": delete, "table_delete_where": delete_where, "collection_stats": collection_stats,
+    "audit_chain": audit_chain, "audit_global": audit_global, "change_log": compacted, "privacy_budget": budget, "table_upsert": upsert, "table_update": update, "table_delete": delete, "table_delete_where": delete_where, "collection_stats": collection_stats,
     "star_pricing": pricing, "star_shipping": shipping, "star_nations": nations, "star_discount": discount, "star_rollup": rollup, "star_cube": cube, "join_anti": without_orders, "join_semi": with_orders, "set_operations": set_operations,
     "join_asof": asof, "join_range": ranges, "pivot": pivoted, "approximate": approximate, "above_average": above_average,
 }
@@ -391,6 +401,7 @@ SQL = {name: f"SELECT event_id FROM events WHERE {where}" for name, (_, _, where
     "conversation_truncate": "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, CAST(sum(ceil(length(text) / 4.0)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS used FROM conversations) WHERE used <= 309",
     "repeated_calls": "WITH r AS (SELECT user_id AS key, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events) SELECT key, event_type AS value, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY key, event_type, g HAVING count(*) >= 2",
     "ring_buffer": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5",
+    "audit_global": """SELECT count(*) AS checked, min(event_id) FILTER (before % 401 = 400) AS broken_at, CASE WHEN count(*) FILTER (before % 401 = 400) > 0 THEN 'previous hash' END AS reason FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events)""",
     "audit_chain": "SELECT user_id, count(*) AS checked, min(event_id) FILTER (event_id % 501 = 500) AS broken_at, CASE WHEN count(*) FILTER (event_id % 501 = 500) > 0 THEN 'hash' END AS reason FROM events GROUP BY user_id",
     "change_log": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type != 'error'",
     "privacy_budget": "SELECT event_id, s AS spent, s < 10 AS allowed FROM (SELECT event_id, sum(round(value) / 64) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)",

@@ -134,6 +134,15 @@ def sq8_error(spark, d):
     return _coded(spark, d).select(V.euclidean(F.col("vector"), back).alias("e")).agg(F.round(F.avg("e"), 6).alias("mean_error"), F.round(F.max("e"), 6).alias("max_error"))
 
 
+def delta_global(spark, d):
+    """All vectors as one sequence of deltas, and back: what the deltas hold by dimension, and whether the vectors are the same again."""
+    rows = _rows(spark, d).select("id", "vector")
+    coded = quantize.delta_encode(rows, None, "id")
+    back = quantize.delta_decode(coded, None, "id").select("id", F.posexplode("vector").alias("dim", "back"))
+    both = coded.select("id", F.posexplode(F.arrays_zip("vector", "delta")).alias("dim", "x")).join(back, ["id", "dim"])
+    return both.groupBy("dim").agg(F.count("*").alias("n"), F.round(F.sum("x.delta"), 6).alias("last"), F.round(F.sum(F.abs("x.delta")), 6).alias("way"), F.round(F.sum("back"), 6).alias("total"))
+
+
 def delta_roundtrip(spark, d):
     """Delta codes by label, decoded again: the greatest difference."""
     rows = _rows(spark, d)
@@ -223,7 +232,7 @@ def centroids(spark, d):
 QUERIES = {
     "vec_topk_cosine": topk, "vec_topk_filtered": topk_filtered, "vec_euclidean": topk_euclidean, "vec_dot": topk_dot, "vec_threshold": threshold, "vec_batch_topk": batch_topk, "vec_neighbours": neighbours,
     "vec_distances": distances, "vec_normalize": normalized, "vec_ivf_recall": ivf_recall, "pairwise_distribution": pairwise, "auto_threshold": auto_threshold, "semantic_groups": adjacent, "sq8_calibration": calibration,
-    "sq8_codes": sq8_codes, "sq8_roundtrip_error": sq8_error, "delta_roundtrip": delta_roundtrip, "pq_recall": pq_recall, "compression_stats": compression, "step_sample": stepped, "dup_pairs": similar_pairs,
+    "sq8_codes": sq8_codes, "sq8_roundtrip_error": sq8_error, "delta_roundtrip": delta_roundtrip, "delta_global": delta_global, "pq_recall": pq_recall, "compression_stats": compression, "step_sample": stepped, "dup_pairs": similar_pairs,
     "dup_components": similar_groups, "dup_components_lsh": similar_groups_lsh, "rank_mrr": mrr, "rank_ndcg": ndcg, "dp_sensitivity": sensitivity, "dp_noise": noisy, "kmeans_centroids": centroids,
 }
 
@@ -258,6 +267,8 @@ SQL = {
     "sq8_calibration": f"WITH {_CAL} SELECT dim, round(low, 6) AS low, round(high, 6) AS high FROM c",
     "sq8_codes": f"{_CODES} SELECT id, dim, code FROM k",
     "sq8_roundtrip_error": f"{_CODES}, r AS (SELECT id, sqrt(sum((x - (code / 255.0::DOUBLE * (high - low) + low)) ** 2)) AS e FROM k GROUP BY id) SELECT round(avg(e), 6) AS mean_error, round(max(e), 6) AS max_error FROM r",
+    "delta_global": """SELECT (dim - 1)::INTEGER AS dim, count(*) AS n, round(sum(x - coalesce(before, 0)), 6) AS last, round(sum(abs(x - coalesce(before, 0))), 6) AS way, round(sum(x), 6) AS total FROM
+        (SELECT dim, x, lag(x) OVER (PARTITION BY dim ORDER BY id) AS before FROM (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)) GROUP BY dim""",
     "delta_roundtrip": "SELECT count(*) AS n, 0.0::DOUBLE AS max_error FROM embeddings",
     "compression_stats": "SELECT count(*) AS n_vectors, CAST(sum(len(embedding)) * 4 AS BIGINT) AS original_bytes, CAST(sum(len(embedding)) AS BIGINT) AS compressed_bytes, 4.0::DOUBLE AS ratio FROM embeddings",
     "step_sample": _STEPS.format(n=100),
