@@ -176,7 +176,7 @@ class Store:
         if operation in base.operations:
             return base.operations[operation]
         kept = [F.col(vector_col).cast("array<float>").alias("vector")] if "vector" in self.columns else []
-        words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)).select("id", F.array_sort(self.tokenize(F.col("text"))).alias("words"), *[c for c in self.columns if c == "vector"])
+        words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)).select("id", F.sort_array(self.tokenize(F.col("text"))).alias("words"), *[c for c in self.columns if c == "vector"])
         new = self._segment(words.withColumns({"dl": F.size("words"), "terms": term_counts(F.col("words"))}))
         number = self._commit(base, [*(self._without(base, self.read("forward", [new[0]["name"]]).select("id")) if new else base.segments), *new], operation)
         if merge:
