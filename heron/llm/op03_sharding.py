@@ -20,6 +20,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
 
     Null ids come first; rows that repeat an id stand together in the order of checksum and size. A shard that no
     document's middle falls into stays empty. An empty table gives no rows. Other columns are ignored.
+    A very long text is only measured: no row but its own ever holds it.
     """
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))

@@ -165,7 +165,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Fingerprints of each text and of its edited text, with their likeness to each other and to the next document's.
 
     The next document is that with the next lower id (ties by a hash of the text; null ids stand below all others); after the last
-    comes the first. A lone document is its own next one. A null text is empty.
+    comes the first. A lone document is its own next one. A null text is empty. Two very long texts, which follow each
+    other, and their edit are in memory at once, about 50 bytes for each of their characters. An empty table gives no
+    rows. Other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
 

@@ -87,7 +87,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     global sort of slim rows; token ids are encoded once, kept in a table and joined to their places by row.
 
     A null text is empty: one piece with the end id. Rows that repeat an id or a text are packed each; ties on the curve
-    take any order. An empty table gives no rows. Other columns, whatever their names, are ignored.
+    take any order. A very long text is encoded whole, in one task. An empty table gives no rows. Other columns,
+    whatever their names, are ignored.
     """
     path = path or public_path()
     tokens = written(encoded(docs, id_col, text_col, path, end_id).withColumn("at", F.monotonically_increasing_id()))

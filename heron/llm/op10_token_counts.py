@@ -41,7 +41,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
     counts those that reach into a later section. Spans are in code points of the joined text.
 
     Null fields are empty; an empty field is one section without tokens, so every row of docs gives rows. Rows that
-    repeat an id are counted each. An empty table gives no rows. Other columns are ignored.
+    repeat an id are counted each. A very long text is encoded whole, in one task. An empty table gives no rows. Other
+    columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
