@@ -13,7 +13,7 @@ from heron.functions import vectors as V
 from heron.operators import cache, capacity, logs, metrics, quantize, search
 from heron.operators.staging import shared_dir, spread
 from heron.plans.tables import table
-from heron.sources import collections, formats, loaders
+from heron.sources import collections, formats, loaders, records
 from heron.streaming import ingest, limits
 
 KEY = privacy.derived_key("password", b"salt-of-the-table", 1000)
@@ -143,6 +143,33 @@ def load_text(spark, d):
     return parts.select(conv.alias("conv_id"), F.element_at("metadata", "totalParts").cast("long").alias("parts")).groupBy("conv_id").agg(F.max("parts").alias("parts"), F.count("*").alias("n"))
 
 
+def load_source(spark, d):
+    """Documents as files of JSON lines, read in byte ranges by the data source."""
+    path = _fresh(spark)
+    table(spark, d, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("id"), "text", "lang", "n_chars")).alias("value")).write.text(path)
+    spark.dataSource.register(records.Documents)
+    docs = spark.read.format("heron_documents").option("rangeBytes", 1 << 20).load(path)
+    return docs.select(F.col("id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), F.element_at("metadata", "lang").alias("lang"), F.element_at("metadata", "n_chars").cast("long").alias("n_chars"))
+
+
+def stream_source(spark, d):
+    """Documents as a table that grows by two commits, streamed into a second one that is written twice under one name."""
+    first, second = _fresh(spark), _fresh(spark)
+    spark.dataSource.register(records.Documents)
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source"), F.create_map(F.lit("lang"), F.coalesce("lang", F.lit(""))).alias("metadata"))
+    docs.where("doc_id % 2 = 0").write.format("heron_documents").mode("append").save(first)
+
+    def copied():
+        stream = spark.readStream.format("heron_documents").load(first)
+        stream.writeStream.format("heron_documents").option("path", second).option("writeName", "copy").option("checkpointLocation", f"{second}-state").trigger(availableNow=True).start().awaitTermination()
+
+    copied()
+    docs.where("doc_id % 2 = 1 OR doc_id IS NULL").write.format("heron_documents").mode("append").save(first)
+    copied()
+    rows = spark.read.format("heron_documents").load(second)
+    return rows.select(F.col("id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"), "source", F.element_at("metadata", "lang").alias("lang"))
+
+
 def converted(spark, d):
     """Vectors as JSON lines, converted to nested and from there to CSV, and read again."""
     rows = _vectors(spark, d).select(F.col("id").cast("string").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
@@ -398,7 +425,7 @@ def stepped(spark, d):
 
 QUERIES = {
     "cache_lookup": cache_lookup, "cache_stats": cache_stats, "cache_eviction": cache_eviction, "cache_expiry": cache_expiry, "chain_heads": chain_heads, "chain_links": chain_links, "token_bucket": buckets, "token_bucket_stream": buckets_stream, "rate_limit_admitted": admitted, "log_replay": replayed,
-    "load_csv": load_csv, "load_json": load_json, "load_text": load_text, "convert_formats": converted, "import_report": import_report, "import_table": import_table, "table_export": exported, "table_migrate": migrated, "table_copy": copied,
+    "load_csv": load_csv, "load_json": load_json, "load_text": load_text, "load_source": load_source, "stream_source": stream_source, "convert_formats": converted, "import_report": import_report, "import_table": import_table, "table_export": exported, "table_migrate": migrated, "table_copy": copied,
     "table_encrypt": encrypted, "table_redact": redacted, "filter_lists": lists, "json_fits": fitting, "validate": validated, "text_field": text_fields, "vec_include": with_vectors, "vec_index_file": indexed, "sq8_merge": merged_calibration,
     "sq8_recalibrate": recalibrated, "delta_sq8": delta_sq8, "dp_sensitivity_scaled": scaled_sensitivity, "dp_laplace": laplace_noise, "classify_vectors": classified, "model_check": compatible, "recommend_models": recommended, "pii_masks": masks,
     "language_names": language_names, "default_thresholds": thresholds, "quota_ages": quota_ages, "message_text": contents, "bleu_4": bleu_4, "distinct_labels": labels, "evaluate": evaluated, "ingest_estimate": windows_estimate, "pipeline_steps": stepped,
@@ -456,6 +483,8 @@ SQL = {
         SELECT user_id, seq, value FROM (SELECT user_id, event_id * 2 AS seq, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM e JOIN g USING (txn) WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type != 'signup'""",
     "load_csv": "SELECT doc_id AS id, md5(lang || CASE WHEN trim(text, ' ') = '' THEN '' ELSE ': ' || trim(text, ' ') END) AS text_md5, lang FROM documents",
     "load_json": "SELECT event_id AS id, event_type || coalesce(' ' || user_id, '') AS text, event_type AS title FROM events",
+    "load_source": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
+    "stream_source": "SELECT doc_id, md5(text) AS text_md5, source, coalesce(lang, '') AS lang FROM documents",
     "load_text": "SELECT conv_id, count(*) AS parts, count(*) AS n FROM conversations WHERE regexp_replace(text, '\\s+', '', 'g') != '' GROUP BY conv_id",
     "convert_formats": f"WITH {_E} SELECT id, 'text ' || id AS text, label::BIGINT AS label, round({_NORM}, 6) AS norm FROM e",
     "import_report": f"SELECT count(*) FILTER (vec_id % 97 != 96 AND vec_id % 5 > 1) AS imported, count(*) FILTER (NOT ({_KEPT})) AS skipped, count(*) FILTER ({_KEPT} AND vec_id % 5 <= 1) AS re_embedded FROM embeddings",

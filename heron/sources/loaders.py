@@ -24,9 +24,9 @@ def csv_documents(spark: SparkSession, paths: str | list[str], **options) -> Dat
     return formats.read_csv(spark, paths, **options).select("id", "text", F.lit(None).cast("string").alias("source"), "metadata")
 
 
-def json_documents(spark: SparkSession, paths: str | list[str], records: str | None = None, text_fields: list[str] | None = None, all_strings: bool = False) -> DataFrame:
-    """A document for each record; its text is that of text_fields, of all strings, of a usual field, or the record as JSON. Short scalar fields are its metadata."""
-    rows = formats.read_json_records(spark, paths, records)
+def json_documents(spark: SparkSession, paths: str | list[str], records: str | None = None, text_fields: list[str] | None = None, all_strings: bool = False, lines: bool = False) -> DataFrame:
+    """A document for each record; its text is that of text_fields, of all strings, of a usual field, or the record as JSON. Short scalar fields are its metadata. With lines=True each line that isn't blank is a record."""
+    rows = spark.read.text(paths).where(F.trim("value") != "").select(F.parse_json("value").alias("record")) if lines else formats.read_json_records(spark, paths, records)
     text = F.array_join(formats.strings_udf()(F.to_json("record")), " ") if all_strings else formats.record_text("record", text_fields)
     fields = F.try_variant_get("record", "$", "map<string,variant>")
     scalars = F.map_filter(F.transform_values(fields, lambda _, v: F.try_variant_get(v, "$", "string")), lambda _, v: v.isNotNull() & (F.length(v) < 200))
