@@ -1,13 +1,17 @@
-"""Chunks of texts: fixed windows as SQL, structure-aware splitting as Arrow UDFs, semantic groups as windows over segments."""
+"""Chunks of texts: fixed windows as SQL, structure-aware chunks as folds over the parts of a text, semantic groups as windows over segments."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import chain, groupby, islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,89 +33,169 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.filter(cut, lambda c: F.length(c["text"]) > 0)
 
 
-def pieces(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
-    """Parts of at most `size` characters, cut behind the coarsest separator that serves."""
-    if len(text) <= size or not separators:
-        yield text
-    elif not separators[0]:
-        yield from (text[i : i + size] for i in range(0, len(text), size))
-    else:
-        for part in re.split(f"(?<={re.escape(separators[0])})", text):
-            if part:
-                yield from pieces(part, size, separators[1:])
+#: White space as Python's str.isspace has it, for regular expressions.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+IMPORT = r"(import|from|#include|using|use|require|package)\b"
+
+
+def split_behind(text: Column, separators: tuple[str, ...] = SEPARATORS, size: int = SIZE) -> Column:
+    """array<string> of parts of at most `size` characters that together are the text, each cut behind the coarsest separator that serves."""
+    parts = F.array(text)
+    for s in separators:
+        if s:
+            cut = lambda p, s=s: F.filter(F.split(p, f"(?<={re.escape(s)})", -1), lambda x: x != "")
+        else:
+            cut = lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p))))  # noqa: B023
+    return parts
+
+
+# ---- texts that know where they come from ---------------------------------------------------------------------------
+
+
+@dataclass
+class Placed:
+    """A text and, for each of its parts, (where it begins here, where it begins in the document)."""
+
+    text: str
+    parts: list[tuple[int, int]]
+
+    def source(self, at: int) -> int:
+        i = bisect_right(self.parts, at, key=lambda p: p[0]) - 1
+        return self.parts[i][1] + at - self.parts[i][0]
+
+    def between(self, start: int, end: int) -> Placed:
+        first = max(bisect_right(self.parts, start, key=lambda p: p[0]) - 1, 0)
+        last = max(bisect_left(self.parts, end, key=lambda p: p[0]), first + 1)
+        return Placed(self.text[start:end], [(max(a - start, 0), b + max(start - a, 0)) for a, b in self.parts[first:last]])
 
+    def stripped(self, of: str | None = None) -> Placed:
+        left, right = len(self.text) - len(self.text.lstrip(of)), len(self.text.rstrip(of))
+        return self if right - left == len(self.text) else self.between(left, max(right, left))
 
-def tail(text: str, overlap: int) -> str:
+    def span(self) -> tuple[int, int]:
+        """Where it begins and ends in the document, white space at its ends apart."""
+        left, right = len(self.text) - len(self.text.lstrip()), len(self.text.rstrip())
+        return (self.source(left), self.source(right - 1) + 1) if right > left else (self.source(0),) * 2
+
+
+def joined(parts: list[Placed], by: str) -> Placed:
+    places, at = [], 0
+    for p in parts:
+        places += [(at + a, b) for a, b in p.parts]
+        at += len(p.text) + len(by)
+    return Placed(by.join(p.text for p in parts), places)
+
+
+#: A block or chunk: its text, its kind, and what stands above it.
+Block = tuple[Placed, str, tuple[str, ...]]
+
+
+# ---- folds: the parts of a document in, its chunks out; none holds more than the block at hand ------------------------
+
+
+def tail(now: Placed, overlap: int) -> Placed:
     """The last `overlap` characters, from the next word on."""
-    if len(text) <= overlap:
-        return text
-    cut = text.find(" ", len(text) - overlap)
-    return text[cut + 1 :] if cut >= 0 else text[-overlap:]
-
-
-def recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
-    """Greedy chunks of pieces, joined by blanks, each beginning with the tail of the one before; a short last one joins its neighbour."""
-    text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    out, now = [], ""
-    for part in filter(None, map(str.strip, pieces(text, size))):
-        if now and len(now) + len(part) + 1 > size:
-            out.append(now)
-            now = " ".join(filter(None, [tail(now, overlap) if overlap else "", part]))
+    if len(now.text) <= overlap:
+        return now
+    cut = now.text.find(" ", len(now.text) - overlap)
+    return now.between(cut + 1 if cut >= 0 else len(now.text) - overlap, len(now.text))
+
+
+def merged(pieces: Iterable[Placed], size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[Placed]:
+    """Greedy chunks of pieces, joined by blanks, each beginning with the tail of the one before; a short last one joins its neighbour. A lone piece stays as it is."""
+    n, now, held = 0, None, None
+    for part in (p.stripped() for p in pieces):
+        if not part.text:
+            continue
+        n += 1
+        if now is not None and len(now.text) + len(part.text) + 1 > size:
+            if held is not None:
+                yield _evened(held)
+            held, rest = now, tail(now, overlap) if overlap else None
+            now = joined([rest, part], " ") if rest is not None and rest.text else part
         else:
-            now = f"{now} {part}" if now else part
-    if now and len(now) < least and out:
-        out[-1] += " " + now
-    elif now:
-        out.append(now)
-    return [" ".join(x.split()) for x in out]
+            now = part if now is None else joined([now, part], " ")
+    if now is None:
+        return
+    if held is None:
+        yield now if n == 1 else _evened(now)
+    elif len(now.text) < least:
+        yield _evened(joined([held, now], " "))
+    else:
+        yield _evened(held)
+        yield _evened(now)
+
+
+def _evened(chunk: Placed) -> Placed:
+    """White space made single blanks; only its span is asked for from here on."""
+    a, b = chunk.span()
+    text = " ".join(chunk.text.split())
+    return Placed(text, [(0, a), (len(text) - 1, b - 1)] if len(text) > 1 else [(0, a)])
 
 
-def _pack(blocks: Iterator[tuple[str, str, tuple[str, ...]]], size: int, least: int) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+def _cut(block: Placed, size: int) -> list[Placed]:
+    """merged() without overlap of a block that is larger than `size`."""
+
+    def parts(p: Placed, separators: tuple[str, ...]) -> Iterator[Placed]:
+        if len(p.text) <= size or not separators:
+            yield p
+            return
+        s = separators[0]
+        ends = [m.end() for m in re.finditer(f"(?<={re.escape(s)})", p.text)] if s else list(range(size, len(p.text), size))
+        for a, b in pairwise([0, *ends, len(p.text)]):
+            if b > a:
+                yield from parts(p.between(a, b), separators[1:])
+
+    return list(merged(parts(block.stripped(), SEPARATORS), size, 0, 0))
+
+
+def packed(blocks: Iterable[Block], size: int, least: int) -> Iterator[Block]:
     """Neighbouring blocks of one kind and path joined up to `size`; larger ones are cut. Chunks under `least` characters are dropped, by definition of these chunkers; least=0 keeps all."""
-    now: list[str] = []
-    key = None
-    for text, kind, path in [*blocks, ("", "end", ())]:
+    now: list[Placed] = []
+    held, key = 0, ("", ())
+    for block, kind, path in chain(blocks, [(Placed("", [(0, 0)]), "end", ())]):
         whole = kind in ("fence", "table")
-        if now and (key != (kind, path) or whole or sum(map(len, now)) + len(text) > size):
-            joined = "\n".join(now)
-            for x in [joined] if key[0] in ("fence", "table") else recursive(joined, size, 0, 0) if len(joined) > size else [joined]:
-                if len(x) >= least:
+        if now and (key != (kind, path) or whole or held + len(block.text) > size):
+            full = joined(now, "\n")
+            for x in _cut(full, size) if len(full.text) > size and key[0] not in ("fence", "table") else [full]:
+                if len(x.text) >= least:
                     yield x, *key
-            now = []
+            now, held = [], 0
         key = (kind, path)
-        if text:
-            now.append(text)
+        if block.text:
+            now.append(block)
+            held += len(block.text)
 
 
-def markdown_blocks(text: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+def markdown_blocks(lines: Iterable[Placed]) -> Iterator[Block]:
     """Blocks of Markdown with their kind and the headers above them."""
-    path: list[tuple[int, str]] = []
+    headers: list[tuple[int, str]] = []
     fence, rows = None, []
-    for line in text.split("\n"):
-        mark = re.match(r"\s*(```|~~~)", line)
+    for line in lines:
+        text, path = line.text, tuple(t for _, t in headers)
+        mark = re.match(r"\s*(```|~~~)", text)
         if fence:
             rows.append(line)
             if mark and mark[1] == fence:
-                yield "\n".join(rows), "fence", tuple(t for _, t in path)
+                yield joined(rows, "\n"), "fence", path
                 fence, rows = None, []
             continue
-        kind = "fence" if mark else "table" if line.lstrip().startswith("|") else "header" if re.match(r"#{1,6} ", line) else "list" if re.match(r"\s*([-*+]|\d+[.)]) ", line) else "quote" if line.startswith(">") else "text" if line.strip() else "blank"
+        kind = "fence" if mark else "table" if text.lstrip().startswith("|") else "header" if re.match(r"#{1,6} ", text) else "list" if re.match(r"\s*([-*+]|\d+[.)]) ", text) else "quote" if text.startswith(">") else "text" if text.strip() else "blank"
         if rows and kind != "table":
-            yield "\n".join(rows), "table", tuple(t for _, t in path)
+            yield joined(rows, "\n"), "table", path
             rows = []
         if kind == "fence":
             fence, rows = mark[1], [line]
         elif kind == "table":
             rows.append(line)
         elif kind == "header":
-            level = len(line) - len(line.lstrip("#"))
-            path = [x for x in path if x[0] < level] + [(level, line.lstrip("#").strip())]
+            level = len(text) - len(text.lstrip("#"))
+            headers = [x for x in headers if x[0] < level] + [(level, text.lstrip("#").strip())]
         elif kind != "blank":
-            yield line, kind, tuple(t for _, t in path)
+            yield line, kind, path
     if rows:
-        yield "\n".join(rows), "fence" if fence else "table", tuple(t for _, t in path)
+        yield joined(rows, "\n"), "fence" if fence else "table", tuple(t for _, t in headers)
 
 
 #: What begins a definition, by language; rules of our own.
@@ -141,58 +225,44 @@ def code_language(text: Column) -> Column:
     return out.otherwise("generic")
 
 
-def code_blocks(text: str, language: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+def code_blocks(lines: Iterable[Placed], language: str) -> Iterator[Block]:
     """Blocks of code: imports, definitions (from their first line to the next at the margin), and the rest."""
     begins, now, kind, name = re.compile(CODE[language]), [], "code", ()
-    for line in text.split("\n"):
-        imports = re.match(r"(import|from|#include|using|use|require|package)\b", line)
-        starts = begins.match(line)
-        if (imports and kind != "import") or starts or (kind == "import" and not imports and line.strip()):
-            if any(x.strip() for x in now):
-                yield "\n".join(now).strip("\n"), kind, name
+    for line in chain(lines, [None]):
+        imports, starts = (re.match(IMPORT, line.text), begins.match(line.text)) if line else (None, None)
+        if line is None or (imports and kind != "import") or starts or (kind == "import" and not imports and line.text.strip()):
+            if any(x.text.strip() for x in now):
+                yield joined(now, "\n").stripped("\n"), kind, name
             now, kind = [], "import" if imports else "definition" if starts else "code"
-            name = (line.strip()[:80],) if starts else ()
-        now.append(line)
-    if any(x.strip() for x in now):
-        yield "\n".join(now).strip("\n"), kind, name
-
+            name = (line.text.strip()[:80],) if starts else ()
+        if line is not None:
+            now.append(line)
 
-def placed(text: str, chunks: Iterator[tuple[str, str, tuple[str, ...]]], overlap: int = 0) -> Iterator[tuple[tuple[str, str, tuple[str, ...]], tuple[int, int]]]:
-    """Chunks with the places (start, end) of the text that they were made of, white space apart.
 
-    A chunk differs from its text in white space only, so it is looked for among the text's other characters; it begins
-    at most `overlap` characters before the end of the one before.
-    """
-    solid = [i for i, c in enumerate(text) if not c.isspace()]
-    squeezed, after = "".join(text[i] for i in solid), 0
-    for chunk in chunks:
-        own = "".join(chunk[0].split())
-        found = squeezed.find(own, after) if own else -1
-        if found < 0:
-            yield chunk, (0, 0) if not solid else (solid[min(after, len(solid) - 1)],) * 2
-            continue
-        after = found + max(0, len(own) - overlap)
-        yield chunk, (solid[found], solid[found + len(own) - 1] + 1)
+# ---- chunkers of tables ---------------------------------------------------------------------------------------------
 
 
-def _chunker(split: Callable[[str], Iterator[tuple[str, str, tuple[str, ...]]]], overlap: int = 0, context: Callable[[str, str], str] = lambda text, kind: "") -> Callable[[Column], Column]:
-    @F.pandas_udf(CHUNKS)
-    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: [{"at": i, "text": context(t or "", kind) + x, "start": a, "end": b, "kind": kind, "path": list(path)} for i, ((x, kind, path), (a, b)) in enumerate(placed(t or "", split(t or ""), overlap))])
+@dataclass(frozen=True)
+class Chunker:
+    """parts: an expression that cuts a text into an array of strings, which in order are the text (but for `gap`
+    characters between two); fold: a generator from the parts of one document to its blocks; head: an expression of the
+    text that is put in front of chunks of kind `definition`."""
 
-    return chunks
+    parts: Callable[[Column], Column]
+    fold: Callable[[Iterable[Placed]], Iterable[Block]]
+    gap: int = 0
+    head: Callable[[Column], Column] | None = None
 
 
-def recursive_chunks(size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Callable[[Column], Column]:
-    return _chunker(lambda t: ((x, "text", ()) for x in recursive(t, size, overlap, least)), overlap)
+def recursive_chunks(size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Chunker:
+    return Chunker(lambda t: split_behind(t, SEPARATORS, size), lambda parts: ((x, "text", ()) for x in merged(parts, size, overlap, least)))
 
 
-def markdown_chunks(size: int = SIZE, least: int = LEAST) -> Callable[[Column], Column]:
-    return _chunker(lambda t: _pack(markdown_blocks(t), size, least))
+def markdown_chunks(size: int = SIZE, least: int = LEAST) -> Chunker:
+    return Chunker(lambda t: F.split(t, "\n", -1), lambda lines: packed(markdown_blocks(lines), size, least), gap=1)
 
 
-def chunker(strategy: str, **options) -> Callable[[Column], Column]:
+def chunker(strategy: str, **options) -> Chunker:
     """The chunker of a strategy: markdown, code (with language=), else recursive, which sentence, paragraph and semantic also mean."""
     made = {"markdown": markdown_chunks, "code": code_chunks, **dict.fromkeys(("recursive", "sentence", "paragraph", "semantic"), recursive_chunks)}
     if strategy not in made:
@@ -200,14 +270,45 @@ def chunker(strategy: str, **options) -> Callable[[Column], Column]:
     return made[strategy](**options)
 
 
-def code_chunks(language: str, size: int = 1000, least: int = LEAST, with_imports: bool = False) -> Callable[[Column], Column]:
-    """Chunks of code; with_imports puts a text's imports in front of each chunk of a definition (its place is that of the definition)."""
+def code_chunks(language: str, size: int = 1000, least: int = LEAST, with_imports: bool = False) -> Chunker:
+    """Chunks of code; with_imports puts a text's lines of imports in front of each chunk of a definition (its place is that of the definition)."""
+    imports = lambda t: F.array_join(F.filter(F.split(t, "\n", -1), lambda x: x.rlike("^" + IMPORT)), "\n")
+    return Chunker(lambda t: F.split(t, "\n", -1), lambda lines: packed(code_blocks(lines, language), size, least), gap=1, head=imports if with_imports else None)
 
-    def imports(text: str, kind: str) -> str:
-        found = "\n".join(x for x, k, _ in code_blocks(text, language) if k == "import") if with_imports and kind == "definition" else ""
-        return f"{found}\n\n" if found else ""
 
-    return _chunker(lambda t: _pack(code_blocks(t, language), size, least), context=imports)
+def _folded(batches: Iterator[pa.RecordBatch], how: Chunker) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows (id, lead, head, at, part), in which a document is a run that begins with at = 0."""
+    kept: dict[str, pa.DataType] = {}
+
+    def stream() -> Iterator[tuple]:
+        for batch in batches:
+            kept["id"] = batch.schema.field("id").type
+            yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
+
+    def chunks() -> Iterator[tuple]:
+        number = 0
+
+        def counted(row: tuple) -> int:
+            nonlocal number
+            number += row[3] == 0
+            return number
+
+        for _, run in groupby(stream(), counted):
+            name, lead, head, _, part = next(run)
+
+            def placed(first: str = part, offset: int = lead, rest: Iterator[tuple] = run) -> Iterator[Placed]:
+                for text in chain([first], (r[4] for r in rest)):
+                    yield Placed(text, [(0, offset)])
+                    offset += len(text) + how.gap
+
+            for at, (x, kind, path) in enumerate(how.fold(placed())):
+                yield name, at, (f"{head}\n\n" if head and kind == "definition" else "") + x.text, *x.span(), kind, list(path)
+
+    made = chunks()
+    while rows := list(islice(made, 1000)):
+        columns = list(zip(*rows))
+        types = [kept["id"], pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "at", "text", "start", "end", "kind", "path"])
 
 
 #: Abbreviations that end no sentence.
@@ -321,7 +422,22 @@ def semantic_chunks(segments: DataFrame, by: str, at: str, text: str, vector: st
     return grouped.groupBy(by).applyInPandas(build, schema)
 
 
-def chunked(docs: DataFrame, chunker: Callable[[Column], Column], id_col: str = "id", text_col: str = "text", prefix: str = "chunk") -> DataFrame:
-    """(chunk_id, id, at, text, kind, path): a row for each chunk of each document."""
-    c = docs.select(F.col(id_col).alias("id"), F.explode(chunker(F.col(text_col))).alias("c"))
-    return c.select(F.concat_ws("_", F.lit(prefix), F.col("id").cast("string"), F.col("c.at").cast("string")).alias("chunk_id"), "id", "c.*")
+def chunked(docs: DataFrame, how: Chunker | Callable[[Column], Column], id_col: str = "id", text_col: str = "text", prefix: str = "chunk") -> DataFrame:
+    """(chunk_id, id, at, text, start, end, kind, path): a row for each chunk of each document.
+
+    Spark cuts the texts into parts, and the parts of a document, which stay together and in order, are folded as they
+    come: nothing is shuffled, and Python holds a batch of parts and a block, however long the text is. A chunker of one's
+    own is a Chunker, or a function from the text to an array of CHUNKS. Null, empty and blank texts have no chunks; rows
+    that repeat an id are documents of their own; other columns are left out.
+    """
+    if isinstance(how, Chunker):
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        lead = F.length(F.regexp_extract(text, f"^{WHITE}*", 0)) if not how.gap else F.lit(0)
+        inner = F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "") if not how.gap else text
+        head = how.head(text) if how.head else F.lit(None).cast("string")
+        parts = docs.where(text != "").select(F.col(id_col).alias("id"), lead.alias("lead"), head.alias("head"), F.posexplode(how.parts(inner)).alias("at", "part"))
+        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("at int, text string, start int, `end` int, kind string, path array<string>").fields])
+        found = parts.mapInArrow(lambda batches: _folded(batches, how), schema)
+    else:
+        found = docs.select(F.col(id_col).alias("id"), F.explode(how(F.col(text_col))).alias("c")).select("id", "c.*")
+    return found.select(F.concat_ws("_", F.lit(prefix), F.col("id").cast("string"), F.col("at").cast("string")).alias("chunk_id"), *found.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -426,6 +427,29 @@ def _html() -> str:
 _ROUND = "SELECT vec_id AS id, 'text ' || vec_id AS text, label::BIGINT AS label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings"
 _TITLE = "CASE WHEN regexp_matches(html, '<title[^>]*>.*?</title>', 'is') THEN trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) END"
 _WINDOWS = "w AS (SELECT doc_id AS id, s AS start, trim(substr(text, s + 1, 500), ' ') AS t FROM documents, unnest(range(0, CAST(length(text) AS BIGINT), 450)) u(s))"
+_BLANK = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def _chunks() -> str:
+    """Common tables up to c(id, at, text, start, finish): pieces by nested cuts, then a greedy walk over them, piece by piece; a place is that of the n-th character that isn't white."""
+    pieces = "[t]"
+    for separator in chunking.SEPARATORS:
+        pattern = f"(?s).*?{re.escape(separator)}|.+" if separator else f"(?s).{{1,{chunking.SIZE}}}"
+        pieces = f"flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) <= {chunking.SIZE} THEN [p] ELSE regexp_extract_all(p, '{pattern}') END))"
+    solid = lambda x: f"length(regexp_replace({x}, '{_BLANK}+', '', 'g'))"
+    full, last = f"length(now) + length(piece) + 1 > {chunking.SIZE}", f"right(now, {chunking.OVERLAP})"
+    tail = f"CASE WHEN length(now) <= {chunking.OVERLAP} THEN now WHEN strpos({last}, ' ') > 0 THEN substr({last}, strpos({last}, ' ') + 1) ELSE {last} END"
+    return f"""d AS (SELECT doc_id AS id, text, regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS t FROM documents), e AS (SELECT id, unnest({pieces}) AS x, generate_subscripts({pieces}, 1) AS i FROM d WHERE t <> ''),
+        p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS k, piece, sum({solid("piece")}) OVER (PARTITION BY id ORDER BY i) AS seen FROM (SELECT id, i, regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS piece FROM e) WHERE piece <> ''),
+        f AS (SELECT id, k, piece AS now, 0 AS nth, NULL::VARCHAR AS done FROM p WHERE k = 1
+            UNION ALL SELECT f.id, p.k, CASE WHEN NOT {full} THEN now || ' ' || piece WHEN ({tail}) = '' THEN piece ELSE ({tail}) || ' ' || piece END, CASE WHEN {full} THEN nth + 1 ELSE nth END, CASE WHEN {full} THEN now END FROM f JOIN p ON p.id = f.id AND p.k = f.k + 1),
+        n AS (SELECT id, max(k) AS n, arg_max(now, k) AS rest, max(nth) AS top FROM f GROUP BY id),
+        g AS (SELECT id, nth - 1 AS nth, done AS text, k - 1 AS k FROM f WHERE done IS NOT NULL UNION ALL SELECT id, top, rest, n FROM n),
+        h AS (SELECT g.id, g.nth, CASE WHEN top > 0 AND g.nth = top - 1 AND length(rest) < {chunking.LEAST} THEN g.text || ' ' || rest ELSE g.text END AS text, CASE WHEN top > 0 AND g.nth = top - 1 AND length(rest) < {chunking.LEAST} THEN n ELSE g.k END AS k, n, (top = 0 OR g.nth < top OR length(rest) >= {chunking.LEAST}) AS stays, g.k AS own, {solid("g.text")} AS own_size FROM g JOIN n USING (id)),
+        s AS (SELECT id, list_transform(list_filter(list_zip(string_split(text, ''), range(length(text))), lambda z: NOT regexp_full_match(z[1], '{_BLANK}')), lambda z: z[2]) AS places FROM d WHERE t <> ''),
+        c AS (SELECT h.id, CAST(h.nth AS INTEGER) AS nth, CASE WHEN h.n = 1 THEN h.text ELSE trim(regexp_replace(h.text, '{_BLANK}+', ' ', 'g'), ' ') END AS text, CAST(places[CAST(q.seen - own_size + 1 AS BIGINT)] AS INTEGER) AS start, CAST(places[CAST(r.seen AS BIGINT)] + 1 AS INTEGER) AS finish
+            FROM h JOIN p r ON r.id = h.id AND r.k = h.k JOIN p q ON q.id = h.id AND q.k = h.own JOIN s ON s.id = h.id WHERE stays)"""
+
 
 def _languages() -> str:
     held = lambda rule: " AND ".join("(" + " OR ".join(f"contains({part}, '{_re(m)}')" for m in marks) + ")" for part, marks in rule)
@@ -475,6 +499,9 @@ SQL = {
     "html_meta": "SELECT 'author' AS name, 'a' || page_id % 3 AS content, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT 'og:kind', 'k' || page_id % 2, count(*) FROM pages GROUP BY ALL",
     "html_slug": f"SELECT page_id, left(regexp_replace(regexp_replace(lower({_TITLE}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 50) AS slug FROM pages",
     "chunk_windows": f"WITH {_WINDOWS} SELECT id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, max(start)::BIGINT AS last FROM w WHERE length(t) > 0 GROUP BY id",
+    "chunk_recursive": f"""WITH RECURSIVE {_chunks()} SELECT 'chunk_' || id || '_' || nth AS chunk_id, id, nth AS "at", start, finish AS "end", text FROM c""",
+    "chunk_stats": f"WITH RECURSIVE {_chunks()} SELECT count(*) AS n_chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars, CAST(coalesce(floor(avg(length(text)) + 0.5), 0) AS BIGINT) AS avg_size, CAST(coalesce(min(length(text)), 0) AS INTEGER) AS min_size, CAST(coalesce(max(length(text)), 0) AS INTEGER) AS max_size FROM c",
+    "ingest": f"WITH RECURSIVE {_chunks()} SELECT 'chunk_' || id || '_' || nth AS chunk_id, id, nth AS \"at\", 256 AS dimensions, 1.0::DOUBLE AS norm FROM c",
     "chunk_estimate": "SELECT doc_id AS id, CAST(CASE WHEN length(text) <= 0 THEN 0 WHEN length(text) <= 500 THEN 1 ELSE ceil(length(text) / 450.0) END AS BIGINT) AS chunks FROM documents",
     "zero_shot": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT e.vec_id, l.vec_id::VARCHAR AS label, list_cosine_similarity(e.v, l.v) AS score FROM e, e l WHERE l.vec_id < 4) SELECT vec_id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label DESC) AS k FROM s) WHERE k = 1",
     "prompt_keys": "SELECT conv_id, turn, md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS key FROM conversations",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from heron.functions.chunking import chunked, chunker, recursive_chunks, semantic_chunks
+from heron.functions.chunking import Chunker, chunked, chunker, recursive_chunks, semantic_chunks
 from heron.functions.models import embed, rerank
 from heron.operators import search
 
@@ -81,7 +81,7 @@ def reindexed(rows: DataFrame, model: str, embedder: Callable[[Column], Column],
     return rows.where(mine).unionByName(anew.select(*rows.columns))
 
 
-def ingested(docs: DataFrame, split: Callable[[Column], Column] | None = None, embedder: Callable[[Column], Column] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def ingested(docs: DataFrame, split: Chunker | Callable[[Column], Column] | None = None, embedder: Callable[[Column], Column] | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(chunk_id, id, at, text, kind, path, vector): a row for each chunk. Without an embedder the vectors are hashed word counts."""
     chunks = chunked(docs, split or recursive_chunks(), id_col, text_col)
     return chunks.withColumn("vector", (embedder or embed())(F.col("text")))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import plain_chunks
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,22 +440,64 @@ def test_chunkers_keep_the_text(spark, data):
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()] + ["", "x", "word " * 300, "a" * 1700, "A.\n\n\nB. C? D! E; f, g\n" * 60]
     for text in texts:
         for size, overlap in ((500, 50), (80, 0)):
-            chunks = chunking.recursive(text, size, overlap, 20)
-            placed = [(x, a, b) for (x, _, _), (a, b) in chunking.placed(text, ((c, "text", ()) for c in chunks), overlap)]
+            chunks = plain_chunks.recursive(text, size, overlap, 20)
+            placed = [(x, a, b) for (x, _, _), (a, b) in plain_chunks.placed(text, ((c, "text", ()) for c in chunks), overlap)]
             assert all(len(x) <= size + overlap + 21 for x in chunks) and all(squeeze(text[a:b]) == squeeze(x) for x, a, b in placed)
             assert all(p[1] <= q[1] and q[1] - p[2] <= 200 for p, q in zip(placed, placed[1:]))
             if not overlap:
                 assert "".join(map(squeeze, chunks)) == squeeze(text)
-        blocks = list(chunking._pack(chunking.markdown_blocks(text), 300, 0))
+        blocks = list(plain_chunks._pack(plain_chunks.markdown_blocks(text), 300, 0))
         assert all(len(x) <= 321 for x, _, _ in blocks) and "".join(squeeze(x) for x, _, _ in blocks) == squeeze(text) or "#" in text
 
 
+def chunk_texts(spark, data):
+    """Texts of the tables and odd ones."""
+    rng = random.Random(11)
+    marks = ["# A", "## B b", "#", "- x", "1. y", "```", "~~~", "| a | b |", "> q", "", "  ", "\tword", "words and words " * 9, "ä. ö? ü! ", "x" * 700, "import os", "def f():", "    return 1", "class A:", "\u00a0"]
+    mixed = ["\n".join(rng.choice(marks) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    odd = ["", " ", "\n\n", "x", "word " * 300, "a" * 1700, "\u00a0 lead and tail \u3000", "A.\n\n\nB. C? D! E; f, g\n" * 60, "tail " * 100 + "\n\n\n\n\nend", "😀 " * 400, "😀" * 1200]
+    return [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()] + odd + mixed
+
+
+def test_chunks_of_tables_equal_those_of_whole_texts(spark, data):
+    """Every chunker against plain Python on whole texts; the parts of a document fall into many small batches."""
+    texts = chunk_texts(spark, data)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    squeeze = lambda t: "".join(t.split())
+    try:
+        ways = [(chunking.recursive_chunks(size, overlap, least), lambda t, a=(size, overlap, least): [(x, "text", ()) for x in plain_chunks.recursive(t, *a)]) for size, overlap, least in ((500, 50, 50), (80, 0, 20), (60, 30, 0))]
+        ways += [(chunking.markdown_chunks(300, least), lambda t, least=least: list(plain_chunks._pack(plain_chunks.markdown_blocks(t), 300, least))) for least in (0, 50)]
+        ways.append((chunking.code_chunks("python", 300, 0), lambda t: list(plain_chunks._pack(plain_chunks.code_blocks(t, "python"), 300, 0))))
+        for how, plain in ways:
+            got = {}
+            for r in sorted(chunking.chunked(docs, how).collect(), key=lambda r: (r.id, r.at)):
+                got.setdefault(r.id, []).append((r.text, r.kind, tuple(r.path)))
+                place, own = squeeze(texts[r.id][r.start : r.end]), squeeze(r.text)
+                assert r.at == len(got[r.id]) - 1 and (place == own or how.gap and (place[:1], place[-1:]) == (own[:1], own[-1:]))  # Markdown's headers stand between lines and in no chunk
+            assert got == {i: found for i, t in enumerate(texts) if (found := plain(t))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_chunks_of_odd_tables(spark):
+    same = spark.createDataFrame([("a", "one", 1), ("a", "one", 1), ("a", "two", 2), (None, "three", 3)], "id string, text string, kind int").coalesce(1)
+    assert sorted((r.chunk_id, r.id, r.at, r.text) for r in chunking.chunked(same, chunking.recursive_chunks()).where("id IS NOT NULL").collect()) == [("chunk_a_0", "a", 0, "one"), ("chunk_a_0", "a", 0, "one"), ("chunk_a_0", "a", 0, "two")]
+    assert chunking.chunked(same, chunking.markdown_chunks(least=0)).count() == 4 and chunking.chunked(same.limit(0), chunking.markdown_chunks()).count() == 0
+    long = spark.range(1).select("id", F.expr("repeat('some words. ', 400000)").alias("text"))
+    found = chunking.chunked(long, chunking.recursive_chunks(500, 0)).agg(F.count("*").alias("n"), F.max("end").alias("end"), F.max(F.length("text")).alias("longest")).first()
+    assert found.end == 4_799_999 and found.longest <= 551 and found.n == 9_756
+    own = lambda t: F.array(F.struct(F.lit(0).alias("at"), F.upper(t).alias("text"), F.lit(0).alias("start"), F.length(t).alias("end"), F.lit("own").alias("kind"), F.array().cast("array<string>").alias("path")))
+    assert [r.text for r in chunking.chunked(same.limit(1), own).collect()] == ["ONE"]
+
+
 def test_markdown_and_code_chunks(spark):
     text = "# Top\nintro words\n\n## Sub\n- one\n- two\n\n```py\nx = 1\n\n# no header\n```\n| a | b |\n|---|---|\n> said\n# Next\nend"
-    found = [(kind, list(path), x) for x, kind, path in chunking._pack(chunking.markdown_blocks(text), 300, 0)]
+    found = [(kind, list(path), x) for x, kind, path in plain_chunks._pack(plain_chunks.markdown_blocks(text), 300, 0)]
     assert found == [("text", ["Top"], "intro words"), ("list", ["Top", "Sub"], "- one\n- two"), ("fence", ["Top", "Sub"], "```py\nx = 1\n\n# no header\n```"), ("table", ["Top", "Sub"], "| a | b |\n|---|---|"), ("quote", ["Top", "Sub"], "> said"), ("text", ["Next"], "end")]
     code = "import os\nimport sys\n\nX = 1\n\ndef f():\n    return 1\n\nclass A:\n    def g(self):\n        pass\n"
-    kinds = [(kind, path) for _, kind, path in chunking.code_blocks(code, "python")]
+    kinds = [(kind, path) for _, kind, path in plain_chunks.code_blocks(code, "python")]
     assert kinds == [("import", ()), ("code", ()), ("definition", ("def f():",)), ("definition", ("class A:",))]
     texts = {"def f():\n    import os\n": "python", "fn main() { let x = 1; }": "rust", "package a\nclass B {}": "java", "package a\nfun b() {}": "kotlin", "plain words": "generic", "import React from 'x'\nconst a = 1": "javascript", "import React\ninterface A { b: string }": "typescript", "\n" * 60 + "def f()": "python", "#include <a>": "cpp", "require 'x'\nend": "ruby"}
     df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
