@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
+from heron.operators.staging import saved
 
-#: Queries that meet the vectors at once (a few MB of floats), and vectors of a block where there are more queries.
-QUERY_BLOCK, ROW_BLOCK = 4096, 1 << 16
+#: Queries that the driver sends to the tasks; more are dealt into blocks of BLOCKS times as many. Rows of a block, at least.
+QUERY_BLOCK, BLOCKS, ROW_BLOCK = 4096, 8, 1 << 14
+#: Scores that a task holds at once, and queries whose best rows are merged at once.
+SCORES, MERGED = 1 << 20, 256
 
 
 def ranked(df: DataFrame, k: int, *by: str, score: str = "score", key: str = "id") -> DataFrame:
@@ -36,25 +39,89 @@ def top_k(rows: DataFrame, query: list[float], k: int = 10, metric: str = "cosin
     return out.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
-def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Scores of all queries against a batch of vectors, by one matrix product."""
-    dots = q @ v.T
-    if metric == "dot":
-        return dots
-    qn, vn = (q * q).sum(axis=1)[:, None], (v * v).sum(axis=1)[None, :]
-    if metric == "cosine":
-        size = np.sqrt(qn) * np.sqrt(vn)
-        return np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
-    return 1 / (1 + np.sqrt(np.maximum(qn + vn - 2 * dots, 0)))
-
+class VectorScores:
+    """Scores of queries against rows (vectors, squared norms): rough ones of all pairs by a matrix product, and those of single pairs, which don't hang on a row's place in its batch."""
+
+    def __init__(self, metric: str, q: np.ndarray):
+        self.metric, self.q, self.sizes = metric, q, (q * q).sum(axis=1)
+
+    @staticmethod
+    def columns(v: np.ndarray) -> tuple[np.ndarray, ...]:
+        return v, (v * v).sum(axis=1)
+
+    def rough(self, at: slice, rows: tuple[np.ndarray, ...], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers that rise with the scores, the least of them that a score from `edges` on may have, and their possible error."""
+        (v, sizes), q, own = rows, self.q[at], self.sizes[at]
+        dots = q @ v.T
+        if self.metric == "cosine":
+            dots *= np.divide(1, np.sqrt(own), out=np.zeros_like(own), where=own > 0)[:, None]
+            dots *= np.divide(1, np.sqrt(sizes), out=np.zeros_like(sizes), where=sizes > 0)[None, :]
+            return dots, edges, np.full(len(q), 1e-9)
+        if self.metric == "dot":
+            return dots, edges, 1e-9 * np.sqrt(own * sizes.max())
+        dots *= 2
+        dots -= own[:, None]
+        dots -= sizes[None, :]
+        far = np.divide(1, edges * (1 - 1e-12), out=np.full_like(edges, np.inf), where=edges > 0) - 1
+        return dots, -(far**2), 1e-9 * (own + sizes.max())
+
+    def exact(self, at: np.ndarray, rows: tuple[np.ndarray, ...], places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
+        for i in range(0, len(at), 1 << 14):
+            q, v, own, sizes = self.q[x := at[i : i + (1 << 14)]], rows[0][y := places[i : i + (1 << 14)]], self.sizes[x], rows[1][y]
+            if self.metric == "euclidean":
+                out[i : i + len(x)] = 1 / (1 + np.sqrt(((q - v) ** 2).sum(axis=1)))
+                continue
+            dots = (q * v).sum(axis=1)
+            size = np.sqrt(own) * np.sqrt(sizes)
+            out[i : i + len(x)] = dots if self.metric == "dot" else np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
+        return out
+
+
+class Best:
+    """The k best rows so far of each of a task's queries, by score and then the smaller id; rows come in batches of any number and size.
+
+    Scores are made for MERGED queries and SCORES / MERGED rows at once, so the memory of a task follows its queries and
+    k, but neither its rows nor their ties.
+    """
 
-def _candidates(metric: str, q: np.ndarray, v: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries and vectors, and scores, of the k best vectors of each query; ties at the edge all stay, for the merge."""
-    s = _scores(metric, q, v)
-    n = min(k, len(v))
-    edge = np.partition(s, len(v) - n, axis=1)[:, [len(v) - n]] if n < len(v) else s.min(axis=1, keepdims=True)
-    at = np.nonzero(s >= (edge if threshold is None else np.maximum(edge, threshold)))
-    return at[0], at[1], s[at]
+    def __init__(self, query_ids: pa.Array, scores, k: int, threshold: float | None = None):
+        self.query_ids, self.scores, self.k = query_ids, scores, k
+        self.edges = np.full(len(query_ids), -np.inf if threshold is None else threshold, np.float64)
+        self.kept: dict[int, pa.Table] = {}
+
+    def add(self, ids: pa.Array, columns: tuple[np.ndarray, ...]) -> None:
+        step = max(1, SCORES // MERGED)
+        for j in range(0, len(ids), step):
+            for i in range(0, len(self.query_ids), MERGED):
+                self._meet(i, ids.slice(j, step), tuple(c[j : j + step] for c in columns))
+
+    def _meet(self, i: int, ids: pa.Array, rows: tuple[np.ndarray, ...]) -> None:
+        edges = self.edges[i : i + MERGED]
+        s, least, slack = self.scores.rough(slice(i, i + MERGED), rows, edges)
+        found = s >= (least - slack)[:, None]
+        if np.count_nonzero(found) > 4 * self.k * len(edges) and self.k < s.shape[1]:
+            cut = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+            found &= s >= (cut - 2 * slack)[:, None]
+        at, places = np.nonzero(found & (s > -np.inf))
+        if not len(at):
+            return
+        scores = self.scores.exact(at + i, rows, places)
+        keep = scores >= edges[at]
+        new = pa.table({"at": pa.array(at[keep]), "score": pa.array(scores[keep]), "id": ids.take(pa.array(places[keep]))})
+        both = pa.concat_tables([self.kept[i], new]) if i in self.kept else new
+        both = both.take(pc.sort_indices(both, sort_keys=[("at", "ascending"), ("score", "descending"), ("id", "ascending")])).combine_chunks()
+        at = both["at"].to_numpy()
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        last = rank == self.k - 1
+        edges[at[last]] = both["score"].to_numpy()[last]
+        self.kept[i] = both.filter(pa.array(rank < self.k))
+
+    def found(self, score: str = "score") -> Iterator[pa.RecordBatch]:
+        for i, rows in self.kept.items():
+            if rows.num_rows:
+                whole = rows.combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([self.query_ids.take(pc.add(whole["at"], i)), whole["id"], whole["score"]], names=["query_id", "id", score])
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
@@ -65,50 +132,99 @@ def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(query_id, rank, id, score): the k best rows for each of `queries` (query_id, vector).
 
-    Up to QUERY_BLOCK queries are sent to the tasks, where they meet the vectors batch by batch in a matrix product
-    that keeps only the k best of each query; a window with a group limit merges them, and vectors are never shuffled.
-    More queries never pass through the driver: queries and vectors are dealt into blocks, and each pair of blocks is a
-    unit of work.
+    Up to QUERY_BLOCK queries are sent to the tasks, where they meet the vectors batch by batch in a matrix product; a
+    task keeps only the k best of each query, a window merges those of the tasks, and vectors are never shuffled. More
+    queries never pass through the driver: see met.
     """
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
     id_kind, query_kind = rows.select(id_col).schema[0].dataType.simpleString(), queries.select("query_id").schema[0].dataType.simpleString()
     slim = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<float>").alias("vector"))
-    out = f"query_id {query_kind}, id {id_kind}, score double"
     few = asked.limit(QUERY_BLOCK + 1).toArrow()  # a block of queries at most
     if few.num_rows > QUERY_BLOCK:
-        return ranked(_blocks_met(slim, asked, k, metric, threshold, out), k, "query_id").select("query_id", "rank", "id", "score")
+        met_rows = _vectors_met(asked.withColumn("part", F.lit(0)), slim.withColumn("part", F.lit(0)), k, metric, threshold)
+        return ranked(met_rows, k, "query_id").select("query_id", "rank", "id", "score")
     ids, q = few["query_id"].combine_chunks(), _matrix(few["vector"], few.num_rows) if few.num_rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if q is None:
+            return
+        best = Best(ids, VectorScores(metric, q), k, threshold)
         for b in batches:
-            if b.num_rows and q is not None:
-                at, places, scores = _candidates(metric, q, _matrix(b.column(1), b.num_rows), k, threshold)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(0).take(pa.array(places)), pa.array(scores)], names=["query_id", "id", "score"])
+            if b.num_rows:
+                best.add(b.column(0), VectorScores.columns(_matrix(b.column(1), b.num_rows)))
+        yield from best.found()
+
+    return ranked(slim.mapInArrow(run, f"query_id {query_kind}, id {id_kind}, score double"), k, "query_id").select("query_id", "rank", "id", "score")
+
 
-    return ranked(slim.mapInArrow(run, out), k, "query_id").select("query_id", "rank", "id", "score")
+def _vectors_met(queries: DataFrame, rows: DataFrame, k: int, metric: str, threshold: float | None = None) -> DataFrame:
+    """met() by whole vectors: queries (part, query_id, vector), rows (part, id, vector)."""
 
+    def scores(asked: pa.Table) -> VectorScores:
+        return VectorScores(metric, _matrix(asked["vector"], asked.num_rows))
 
-def _blocks_met(rows: DataFrame, queries: DataFrame, k: int, metric: str, threshold: float | None, out: str) -> DataFrame:
-    """Candidates of each pair of a block of queries and a block of rows."""
-    n_rows, n_queries = max(1, -(-rows.count() // ROW_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("x", block("query_id", n_queries)).withColumn("y", every(n_rows))
-    right = rows.withColumn("y", block("id", n_rows)).withColumn("x", every(n_queries))
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return VectorScores.columns(_matrix(batch["row"].field("vector"), batch.num_rows))
 
-    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
-        q_ids, v_ids = q["query_id"].combine_chunks(), v["id"].combine_chunks()
-        parts = []
-        for i in range(0, q.num_rows, 1024):  # a block may have some more rows than the mean
-            for j in range(0, v.num_rows, 1 << 16):
-                a, b = q.slice(i, 1024), v.slice(j, 1 << 16)
-                at, places, scores = _candidates(metric, _matrix(a["vector"], a.num_rows), _matrix(b["vector"], b.num_rows), k, threshold)
-                parts.append(pa.table({"query_id": q_ids.take(pa.array(at + i)), "id": v_ids.take(pa.array(places + j)), "score": pa.array(scores)}))
-        return pa.concat_tables(parts) if parts else pa.table({"query_id": q_ids.slice(0, 0), "id": v_ids.slice(0, 0), "score": pa.array([], pa.float64())})
+    return met(queries, rows, k, scores, columns, threshold=threshold)
 
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(meet, out)
+
+def met(queries: DataFrame, rows: DataFrame, k: int, scores: Callable[[pa.Table], object], columns: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], score: str = "score", threshold: float | None = None, block: int | None = None) -> DataFrame:
+    """(query_id, id, score): candidates for the k best rows of the same `part` (an integer) for each query, the k best of each unit of work.
+
+    queries (part, query_id, ...) are dealt into blocks (of `block`, or BLOCKS * QUERY_BLOCK), the rows (part, id, ...)
+    of a part into as many blocks as keep all cores busy. A unit is a pair of blocks: its queries come first and are
+    held, its rows stream past them (see Best). scores(queries of a unit) gives what rates them, columns(batch) what it
+    needs of rows.
+    """
+    query_kind, kind = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    block, cores = block or BLOCKS * QUERY_BLOCK, rows.sparkSession.sparkContext.defaultParallelism
+    n_queries, n_rows = (dict(df.groupBy("part").count().collect()) for df in (queries, rows))  # a row for each part
+    total, first, xs, ys = max(1, sum(n_rows.values())), {}, {}, {}
+    n_units = 0
+    for part in sorted(n_queries.keys() & n_rows.keys()):
+        xs[part] = -(-n_queries[part] // block)
+        ys[part] = min(-(-n_rows[part] // ROW_BLOCK), max(1, round(2 * cores * n_rows[part] / total)))
+        first[part], n_units = n_units, n_units + xs[part] * ys[part]
+    if not n_units:
+        return rows.sparkSession.createDataFrame([], f"query_id {query_kind}, id {kind}, {score} double")
+    of = lambda by: F.create_map(*(F.lit(z).cast("int") for pair in by.items() for z in pair))[F.col("part")]
+    home = lambda c, n: F.pmod(F.xxhash64(c, F.lit(29)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    whole = lambda df: F.struct(*[c for c in df.columns if c != "part"])
+    none = lambda df: F.lit(None).cast(df.select(whole(df)).schema[0].dataType)
+    known = F.col("part").isin(list(first))
+    left = queries.where(known).select("part", home("query_id", of(xs)).alias("x"), every(of(ys)).alias("y"), F.lit(False).alias("is_row"), whole(queries).alias("query"), none(rows).alias("row"))
+    right = rows.where(known).select("part", every(of(xs)).alias("x"), home("id", of(ys)).alias("y"), F.lit(True).alias("is_row"), none(queries).alias("query"), whole(rows).alias("row"))
+    units = left.unionByName(right).select((of(first) + F.col("x") * of(ys) + F.col("y")).cast("int").alias("unit"), "is_row", "query", "row")
+    units = units.repartitionById(n_units, F.col("unit")).sortWithinPartitions("unit", "is_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: list[pa.RecordBatch] = []
+        best, unit = None, None
+        for batch in batches:
+            key = batch["unit"].to_numpy().astype(np.int64) * 2 + batch["is_row"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if key[lo] // 2 != unit:
+                    yield from best.found(score) if best else ()
+                    asked, best, unit = [], None, key[lo] // 2
+                part = batch.slice(lo, hi - lo)
+                if key[lo] % 2 == 0:
+                    asked.append(pa.RecordBatch.from_struct_array(pc.take(part["query"], pa.array(np.arange(hi - lo)))))
+                elif asked or best:
+                    if best is None:
+                        held = pa.Table.from_batches(asked).combine_chunks()
+                        best, asked = Best(held["query_id"].combine_chunks(), scores(held), k, threshold), []
+                    part = part.take(pa.array(np.arange(hi - lo)))
+                    best.add(part["row"].field("id"), columns(part))
+        yield from best.found(score) if best else ()
+
+    return units.mapInArrow(run, f"query_id {query_kind}, id {kind}, {score} double")
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "vector", block: int = 2048) -> DataFrame:
@@ -237,10 +353,12 @@ def read_index(spark, path: str) -> tuple[DataFrame, np.ndarray]:
 
 
 def probe(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 4, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """Approximate batch_top_k: each query meets only the rows of its `probes` nearest centroids, by a join on the centroid."""
+    """Approximate batch_top_k: each query meets only the rows of its `probes` nearest centroids, list by list (see met). Lists that no query probes are not read."""
     near = F.lit([[float(x) for x in c] for c in centroids])
     d = F.transform(near, lambda c: V.euclidean(F.col("vector").cast("array<double>"), c))
     best = F.slice(F.array_sort(F.transform(d, lambda x, i: F.struct(x.alias("d"), i.alias("cid")))), 1, probes)
-    asked = queries.select("query_id", F.col("vector").alias("__query"), F.explode(best["cid"]).alias("cid"))
-    pairs = index.join(asked, "cid")
-    return ranked(pairs.select("query_id", F.col(id_col).alias("id"), V.score(metric, F.col(vector_col), F.col("__query")).alias("score")), k, "query_id").select("query_id", "rank", "id", "score")
+    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<float>").alias("vector"))
+    asked = saved(asked.withColumn("part", F.explode(best["cid"])))
+    wanted = [r.part for r in asked.select("part").distinct().collect()]  # lists at most
+    rows = index.where(F.col("cid").isin(wanted) & F.col(vector_col).isNotNull()).select(F.col("cid").cast("int").alias("part"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    return ranked(_vectors_met(asked, rows, k, metric), k, "query_id").select("query_id", "rank", "id", "score")

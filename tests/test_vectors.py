@@ -1,7 +1,10 @@
 """Vector queries beyond the sizes of the small tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from heron.operators import search
 from heron.plans import catalog
 
 
@@ -14,3 +17,35 @@ def test_kmeans_uses_all_vectors(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(type(rows), "sample", sampled)
     assert sum(r.n for r in catalog.QUERIES["kmeans_centroids"](spark, str(tmp_path)).collect()) == 50_010
+
+
+def test_search_in_bounded_memory(spark, monkeypatch):
+    """Queries in several blocks, lists of any size and many ties: the k best by score and id, with few scores at once."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, (400, 3)).astype(np.float64)  # 27 different vectors
+    v[0] = 1, 0, 1
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "id long, vector array<float>").repartition(3)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    held = []
+    rough = search.VectorScores.rough
+
+    def wanted(metric):
+        out = []
+        for i in range(0, 400, 20):
+            dots, sizes = v @ v[i], np.linalg.norm(v, axis=1) * np.linalg.norm(v[i])
+            s = {"dot": dots, "cosine": np.divide(dots, sizes, out=np.zeros(400), where=sizes > 0), "euclidean": 1 / (1 + np.linalg.norm(v - v[i], axis=1))}[metric]
+            out += [(i, r + 1, j) for r, j in enumerate(sorted(range(400), key=lambda j: (-round(s[j], 9), j))[:30])]
+        return out
+
+    best = search.Best(pa.array([1, 2, 3]), search.VectorScores("dot", v[:3]), 5)
+    monkeypatch.setattr(search.VectorScores, "rough", lambda self, *x: held.append((out := rough(self, *x))[0].size) or out)
+    best.add(pa.array(range(60_000)), search.VectorScores.columns(np.tile(v, (150, 1))))
+    assert max(held) <= search.SCORES and sum(b.num_rows for b in best.found()) == 15
+    monkeypatch.undo()
+    key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    for block in (4096, 1):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block), monkeypatch.setattr(search, "ROW_BLOCK", 50)
+        for metric in ("cosine", "dot", "euclidean"):
+            assert key(search.batch_top_k(rows, queries, 30, metric)) == wanted(metric), (block, metric)
+    centroids = search.fit_centroids(rows, 4)
+    assert key(search.probe(search.assign(rows, centroids), centroids, queries, 30, probes=4)) == wanted("cosine")
