@@ -16,14 +16,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
+from heron.operators import search
 from heron.operators.quantize import ProductQuantizer
-from heron.operators.search import QUERY_BLOCK, assign, fit_centroids, ranked
+from heron.operators.search import _matrix, assign, fit_centroids, ranked
 from heron.operators.staging import saved, small_side
 
 #: Ids up to which the read of whole vectors gets them as literals, so that the scan skips what has none of them; more are joined.
 LITERALS = 20_000
-#: Scores that are held at once for a batch of codes.
-HELD = 1 << 22
+
+
+class CodeScores:
+    """Scores of queries against coded rows (codes, norms, lists).
+
+    A query's table holds its products with all centroids of each sub-space, so a row's score is m look-ups in it: the
+    query is not coded, only rows are. Tables are made for the queries that meet rows at the moment.
+    """
+
+    def __init__(self, metric: str, q: np.ndarray, books: list[np.ndarray], centroids: np.ndarray, probes: int | None):
+        self.metric, self.q, self.books, self.sizes = metric, q, books, (q**2).sum(axis=1)
+        self.cuts = np.cumsum([0, *(b.shape[1] for b in books)])
+        self.seen = None
+        if probes:
+            near = ((centroids**2).sum(axis=1) - 2 * q @ centroids.T).argsort(axis=1)[:, :probes]
+            self.seen = np.zeros((len(q), len(centroids)), bool)
+            np.put_along_axis(self.seen, near, True, axis=1)
+
+    @staticmethod
+    def columns(rows: pa.StructArray | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        code, norm, cid = (rows.field(c) if isinstance(rows, pa.StructArray) else rows[c] for c in ("code", "norm", "cid"))
+        return np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(code), -1), norm.to_numpy().astype(np.float64), cid.to_numpy()
+
+    def rough(self, at: slice, rows: tuple[np.ndarray, ...], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (codes, norms, cids), q, sizes, cuts = rows, self.q[at], self.sizes[at], self.cuts
+        dots = np.zeros((len(q), len(codes)), np.float32)
+        for j, book in enumerate(self.books):
+            dots += (q[:, cuts[j] : cuts[j + 1]] @ book.T).astype(np.float32).take(codes[:, j], axis=1)
+        scores = dots.astype(np.float64)
+        if self.metric == "cosine":
+            size = np.sqrt(sizes)[:, None] * norms[None, :]
+            scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
+        elif self.metric == "euclidean":
+            scores = -(sizes[:, None] + norms[None, :] ** 2 - 2 * scores)
+        if self.seen is not None:
+            scores[~self.seen[at][:, cids]] = -np.inf
+        self.last = scores, at.start
+        return scores, edges, np.zeros(len(q))
+
+    def exact(self, at: np.ndarray, rows: tuple[np.ndarray, ...], places: np.ndarray) -> np.ndarray:
+        return self.last[0][at - self.last[1], places]
 
 
 def write_codes(rows: DataFrame, path: str, m: int = 32, k: int = 256, lists: int = 16, sample: int = 20_000, id_col: str = "id", vector_col: str = "vector") -> None:
@@ -48,54 +88,40 @@ class Codes:
         self.codes, self.vectors = spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors")
 
     def candidates(self, queries: DataFrame, n: int, metric: str = "cosine", probes: int | None = None) -> DataFrame:
-        """(query_id, id, rough): the n rows with the best scores by their codes, for each of queries (query_id, vector), QUERY_BLOCK at most.
+        """(query_id, id, rough): the n rows with the best scores by their codes, for each of queries (query_id, vector). With probes, a query sees the lists of its nearest centroids only.
 
-        A query's table holds its products with all centroids of each sub-space, so a row's score is m look-ups in it:
-        the query is not coded, only rows are. With probes, a query sees the lists of its nearest centroids only.
+        Up to QUERY_BLOCK queries are sent to the tasks; more are dealt into blocks of that size, which meet blocks of
+        the codes (see search.met).
         """
-        asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(QUERY_BLOCK + 1).collect()
-        if len(asked) > QUERY_BLOCK:
-            raise ValueError(f"ask at most {QUERY_BLOCK} queries at once")
+        asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
         kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": self.codes.schema["id"].dataType.simpleString()}
-        schema = f"query_id {kinds['query_id']}, id {kinds['id']}, rough double"
-        if not asked:
-            return self.spark.createDataFrame([], schema)
-        q, ids, books = np.array([r.vector for r in asked]), [r.query_id for r in asked], self.books
-        near = ((self.centroids**2).sum(axis=1) - 2 * q @ self.centroids.T).argsort(axis=1)[:, : probes or len(self.centroids)]
-        cuts = np.cumsum([0, *(b.shape[1] for b in books)])
-        tables = np.stack([q[:, cuts[j] : cuts[j + 1]] @ b.T for j, b in enumerate(books)], axis=1).astype(np.float32)  # query, sub-space, centroid
-        sizes = (q**2).sum(axis=1)
-        seen = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(seen, near, True, axis=1)
+        rows, books, centroids = self.codes.select("id", "code", "norm", "cid"), self.books, self.centroids
+        few = asked.limit(search.QUERY_BLOCK + 1).toArrow()  # a block of queries at most
+
+        def scores(block: pa.Table) -> CodeScores:
+            return CodeScores(metric, _matrix(block["vector"], block.num_rows), books, centroids, probes)
+
+        if few.num_rows > search.QUERY_BLOCK:
+            met = search.met(asked.withColumn("part", F.lit(0)), rows.withColumn("part", F.lit(0)), n, scores, lambda batch: CodeScores.columns(batch["row"]), "rough", block=search.QUERY_BLOCK)
+            return ranked(met, n, "query_id", score="rough").select("query_id", "id", "rough")
+        if probes and few.num_rows:
+            near = ((centroids**2).sum(axis=1) - 2 * _matrix(few["vector"], few.num_rows) @ centroids.T).argsort(axis=1)[:, :probes]
+            rows = rows.where(F.col("cid").isin(sorted(set(near.ravel().tolist()))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, HELD // len(q))
+            if not few.num_rows:
+                return
+            best = search.Best(few["query_id"].combine_chunks(), scores(few), n)
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    norms, cids = part.column(2).to_numpy().astype(np.float64), part.column(3).to_numpy()
-                    dots = sum(tables[:, j, :].take(codes[:, j], axis=1) for j in range(codes.shape[1])).astype(np.float64)
-                    if metric == "cosine":
-                        size = np.sqrt(sizes)[:, None] * norms[None, :]
-                        scores = np.divide(dots, size, out=np.zeros_like(dots), where=size > 0)
-                    else:
-                        scores = dots if metric == "dot" else -(sizes[:, None] + norms[None, :] ** 2 - 2 * dots)
-                    scores[~seen[:, cids]] = -np.inf
-                    take = min(n, part.num_rows)
-                    best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                    kept = np.take_along_axis(scores, best, axis=1)
-                    who, where = np.nonzero(kept > -np.inf)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who]), part.column(0).take(pa.array(best[who, where])), pa.array(kept[who, where])], names=["query_id", "id", "rough"])
-
-        rows = self.codes.select("id", "code", "norm", "cid")
-        if probes:
-            rows = rows.where(F.col("cid").isin(sorted(set(near.ravel().tolist()))))
-        return ranked(rows.mapInArrow(run, schema), n, "query_id", score="rough").select("query_id", "id", "rough")
+                if batch.num_rows:
+                    best.add(batch.column(0), CodeScores.columns(batch))
+            yield from best.found("rough")
+
+        return ranked(rows.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, rough double"), n, "query_id", score="rough").select("query_id", "id", "rough")
 
-    def search(self, queries: DataFrame, k: int = 10, wider: int = 1, metric: str = "cosine", probes: int | None = None) -> DataFrame:
-        """(query_id, rank, id, score): of the `wider` * k best rows by their codes, the k best by their vectors. Nothing else of the vectors is read."""
-        best = saved(self.candidates(queries, wider * k, metric, probes))
+    def search(self, queries: DataFrame, k: int = 10, wider: int = 1, metric: str = "cosine", probes: int | None = None, best: DataFrame | None = None) -> DataFrame:
+        """(query_id, rank, id, score): of the `wider` * k best rows by their codes, the k best by their vectors. Nothing else of the vectors is read. best: these candidates, if they are there already (saved)."""
+        best = saved(self.candidates(queries, wider * k, metric, probes)) if best is None else best
         rows, wanted = self.vectors, best.select("id").distinct()
         few = [r[0] for r in wanted.limit(LITERALS + 1).collect()]
         rows = rows.where(F.col("id").isin(few)) if len(few) <= LITERALS else rows

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from heron.operators import search
+from heron.operators import codes, search
 from heron.plans import catalog
 
 
@@ -49,3 +49,17 @@ def test_search_in_bounded_memory(spark, monkeypatch):
             assert key(search.batch_top_k(rows, queries, 30, metric)) == wanted(metric), (block, metric)
     centroids = search.fit_centroids(rows, 4)
     assert key(search.probe(search.assign(rows, centroids), centroids, queries, 30, probes=4)) == wanted("cosine")
+
+
+def test_codes_take_any_number_of_queries(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(c) for c in rng.standard_normal(8)]) for i in range(300)], "id long, vector array<float>")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    codes.write_codes(rows, str(tmp_path / "c"), m=4, k=16, lists=3)
+    stored = codes.Codes(spark, str(tmp_path / "c"))
+    for probes in (None, 2):
+        one = sorted(map(tuple, stored.candidates(queries, 20, probes=probes).collect()))
+        monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+        assert sorted(map(tuple, stored.candidates(queries, 20, probes=probes).collect())) == one and len(one) == 300
+        assert stored.search(queries, 5, wider=4, probes=probes).count() == 75
+        monkeypatch.undo()
