@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from heron.operators import codes, search
+from heron.operators import codes, duplicates, search
 from heron.plans import catalog
 
 
@@ -63,3 +63,17 @@ def test_codes_take_any_number_of_queries(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, stored.candidates(queries, 20, probes=probes).collect())) == one and len(one) == 300
         assert stored.search(queries, 5, wider=4, probes=probes).count() == 75
         monkeypatch.undo()
+
+
+def test_families_of_similar_vectors_leave_few_rows(spark, monkeypatch):
+    """A family of near copies is one group, joined by links in proportion to its size, in buckets of one block or of many."""
+    rng = np.random.default_rng(8)
+    base = np.concatenate([np.tile(rng.standard_normal(16), (600, 1)), rng.standard_normal((300, 16))])
+    rows = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(base + rng.normal(0, 0.01, base.shape))], "id long, vector array<float>")
+    seen, plain = [], duplicates.components
+    monkeypatch.setattr(duplicates, "components", lambda df: seen.append(df.count()) or plain(df))
+    for bucket in (512, 64):
+        monkeypatch.setattr(duplicates, "BUCKET", bucket)
+        family = [r.id for r in duplicates.similar_groups(rows, 0.9).where("component = 0").collect()]
+        assert sorted(family)[:600] == list(range(600))
+        assert seen[-1] < 30_000  # of 179,700 pairs
