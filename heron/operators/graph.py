@@ -2,26 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heron.operators.staging import saved, shuffle_partitions
 
-#: Links that a task of the component search handles at least.
-LINKS_A_TASK = 200_000
+#: Links that a task of the component search handles at least, and those that it joins at once.
+LINKS_A_TASK, LINKS_AT_ONCE = 200_000, 1 << 20
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """links (u, v) of integers or strings with as many links as it takes: each task names what its own links join by its smallest node, (node, smallest), so links that repeat or close a circle go before any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            both = pa.Table.from_batches(held)
+            nodes = pa.concat_arrays([c for name in ("u", "v") for c in both[name].chunks]).dictionary_encode()
+            order = pc.sort_indices(nodes.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            ends = place[nodes.indices.to_numpy()]
+            root = list(range(len(order)))
+            for a, b in zip(ends[: len(ends) // 2].tolist(), ends[len(ends) // 2 :].tolist()):
+                while root[a] != a:
+                    root[a] = a = root[root[a]]
+                while root[b] != b:
+                    root[b] = b = root[root[b]]
+                root[max(a, b)] = min(a, b)
+            for a in range(len(root)):  # a root is smaller than its nodes, so it is settled before them
+                root[a] = root[root[a]]
+            least, names = np.array(root), nodes.dictionary.take(order)
+            of = np.flatnonzero(least != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(of)), names.take(pa.array(least[of]))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LINKS_AT_ONCE:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return links.mapInArrow(run, links.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v) of one orderable type: (node, component), the component being its smallest node.
 
-    Alternating large-star and small-star steps, each ending in a checkpoint, until the links are a star forest; links
+    Links of integers and strings are joined inside tasks first (see joined). Alternating large-star and small-star steps, each ending in a checkpoint, until the links are a star forest; links
     that are one from the beginning need no step. Links are few beside the rows they come from, so steps run in as many
     tasks as their counted links need. The links of a hub meet its least neighbour in a join, which adaptive execution
     splits. Nodes without an edge to another node don't appear.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    links = saved(edges.where(F.col("u") != F.col("v")).select(high, low).distinct())
-    most = shuffle_partitions(edges.sparkSession)
+    links, most = edges.where(F.col("u") != F.col("v")).select(high, low), shuffle_partitions(edges.sparkSession)
+    if isinstance(links.schema["u"].dataType, T.IntegralType | T.StringType):
+        links = saved(links)
+        links = joined(links.coalesce(max(1, min(most, links.count() // LINKS_A_TASK))))
+    links = saved(links.distinct())
     while True:
         n, done = _shape(links)
         tasks = max(1, min(most, n // LINKS_A_TASK))

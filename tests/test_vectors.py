@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from heron.operators import codes, duplicates, search
+from heron.operators import codes, duplicates, graph, search
 from heron.plans import catalog
 
 
@@ -77,3 +77,14 @@ def test_families_of_similar_vectors_leave_few_rows(spark, monkeypatch):
         family = [r.id for r in duplicates.similar_groups(rows, 0.9).where("component = 0").collect()]
         assert sorted(family)[:600] == list(range(600))
         assert seen[-1] < 30_000  # of 179,700 pairs
+
+
+def test_links_are_joined_in_tasks_first(spark):
+    """What tasks make of links joins the same nodes, with one link for each node of a task at most."""
+    rng = np.random.default_rng(1)
+    hub = [(0, i) for i in range(1, 200)] + [(int(a), int(b)) for a, b in rng.integers(1, 200, (3000, 2)) if a != b] + [(i, i + 1) for i in range(300, 340)]
+    for kind, named in (("long", lambda i: i), ("string", str)):
+        edges = spark.createDataFrame([(named(a), named(b)) for a, b in hub], f"u {kind}, v {kind}")
+        assert graph.joined(edges.coalesce(1)).count() == 199 + 40
+        found = {r.node: r.component for r in graph.components(edges.repartition(3)).collect()}
+        assert found == {named(i): named(0) for i in range(200)} | {named(i): named(300) for i in range(300, 341)}
