@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import astuple, dataclass, replace
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROWS = "utterance long, kind string, chunk long, from_ms long, to_ms long, frames long, level double, truncated boolean"
+#: Rows of a key that become Python objects at once.
+STEP = 1 << 14
 MOVES = "at long, event string, from_state string, to_state string, barge_in boolean"
 
 
@@ -117,9 +122,17 @@ def heard(v: Voice, u: Utterance, frames: Iterator[tuple[int, float]], how: List
     return v, u, out
 
 
-def _frames(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, float]]:
-    table = pd.concat(list(rows)).sort_values("at_ms", kind="stable")
-    return zip(table["at_ms"].tolist(), table["level"].tolist())
+def in_order(rows: Iterator[pd.DataFrame], kinds: dict[str, pa.DataType], *by: str, step: int = STEP) -> Iterator[list[tuple]]:
+    """Rows of a key in a micro-batch, sorted (equal ones stay in their order) and `step` at a time. They are held as the bytes of the columns in `kinds`, never as Python objects or whole frames."""
+    held: dict[str, list[pa.Array]] = {c: [] for c in kinds}
+    for frame in rows:
+        for c, kind in kinds.items():
+            held[c].append(pa.array(frame[c].to_numpy(), kind))
+    table = pa.table({c: pa.chunked_array(held.pop(c), kind).combine_chunks() for c, kind in kinds.items()})
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in by])
+    for i in range(0, len(order), step):
+        part = table.take(order[i : i + step])
+        yield list(zip(*(part[c].to_pylist() for c in kinds)))
 
 
 def _named(key: tuple, rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -139,12 +152,14 @@ class _Utterances(StatefulProcessor):
         return Voice(*self.voice.get()) if self.voice.exists() else Voice(), Utterance(*self.open.get()) if self.open.exists() else Utterance()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        v, u, out = heard(*self._states(), _frames(rows), self.how)
+        v, u = self._states()
+        for frames in in_order(rows, {"at_ms": pa.int64(), "level": pa.float64()}, "at_ms"):
+            v, u, out = heard(v, u, iter(frames), self.how)
+            yield _named(key, out, ROWS)
         self.voice.update(astuple(v)), self.open.update(astuple(u))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(v.last + self.how.silent_ms)
-        yield _named(key, out, ROWS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         v, u, out = silent(*self._states())
@@ -171,9 +186,25 @@ def utterances(frames: DataFrame, by: str, at: str, level: str, how: Listening =
 
 
 def utterances_of(frames: DataFrame, by: str, at: str, level: str, how: Listening = Listening()) -> DataFrame:
-    """The same of a table; an utterance that is open at its end has no final row. The frames of a key are one sequence and one task."""
-    rows = frames.select(F.col(by).alias("key"), F.unix_millis(at).alias("at_ms"), F.col(level).cast("double").alias("level"))
-    return rows.groupBy("key").applyInPandas(lambda key, group: _named(key, heard(Voice(), Utterance(), _frames([group]), how)[2], ROWS), f"key {_kind(frames, by)}, {ROWS}")
+    """The same of a table; an utterance that is open at its end has no final row. The frames of a key are one sequence and one task, which Spark sorts and Python reads batch by batch. Frames without a time are left out."""
+    rows = frames.where(F.col(at).isNotNull()).select(F.col(by).alias("key"), F.unix_millis(at).alias("at_ms"), F.col(level).cast("double").alias("level"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, u, before = Voice(), Utterance(), None
+        for batch in batches:
+            keys = batch["key"].to_pylist()
+            levels = batch["level"].to_numpy(zero_copy_only=False)
+            pairs = zip(keys, batch["at_ms"].to_pylist(), levels.tolist())
+            for key, run_of in groupby(pairs, lambda x: x[0]):
+                if (key,) != before:
+                    v, u, before = Voice(), Utterance(), (key,)
+                v, u, out = heard(v, u, ((t, x) for _, t, x in run_of), how)
+                if out:
+                    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.bool_()]
+                    columns = [pa.array([key] * len(out), batch.schema.field("key").type), *[pa.array(c, t) for c, t in zip(zip(*out), kinds)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", *[x.split()[0] for x in ROWS.split(", ")]])
+
+    return rows.repartition("key").sortWithinPartitions("key", "at_ms").mapInArrow(run, f"key {_kind(frames, by)}, {ROWS}")
 
 
 # ---- turns ----------------------------------------------------------------------------------------------------------
@@ -205,16 +236,17 @@ class _Turns(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, since = self.state.get() if self.state.exists() else ("idle", 0)
-        table, out = pd.concat(list(rows)).sort_values(["at_ms", "place"]), []
-        for at, event in zip(table["at_ms"].tolist(), table["event"].tolist()):
-            state, since, found = moved(state, since, at, event, self.limit_ms)
-            out += found
+        for events in in_order(rows, {"at_ms": pa.int64(), "place": pa.int64(), "event": pa.large_string()}, "at_ms", "place"):
+            out = []
+            for at, _, event in events:
+                state, since, found = moved(state, since, at, event, self.limit_ms)
+                out += found
+            yield _named(key, out, MOVES)
         self.state.update((state, since))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if state == "planning":
             self.handle.registerTimer(since + self.limit_ms)
-        yield _named(key, out, MOVES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, since, out = moved(*self.state.get(), timerValues.getCurrentWatermarkInMs() + 1, "", self.limit_ms)
