@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from heron.operators.cache import THRESHOLD, TTL_MS
+from heron.streaming.turns import in_order
 
 FOUND = "prompt_id long, at long, kind string, entry_id long, score double, entries long"
 
@@ -75,14 +77,15 @@ class _Cache(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._held()
-        before, out = {p: (e.entry_id, e.used) for p, e in held.items()}, []
-        table = pd.concat(list(rows)).sort_values(["at_ms", "prompt_id"])
-        for at, i, prompt, vector in zip(table["at_ms"].tolist(), table["prompt_id"].tolist(), table["prompt"].tolist(), table["vector"].tolist()):
-            kind, entry, score = answer(held, prompt, i, at, None if vector is None else [float(x) for x in vector], self.threshold, self.ttl_ms, self.most)
-            out.append((key[0], i, at, kind, entry, score, len(held)))
-        self._keep(before, held)
+        before = {p: (e.entry_id, e.used) for p, e in held.items()}
         names = ["key", *[x.split()[0] for x in FOUND.split(", ")]]
-        yield pd.DataFrame(out, columns=names).astype({"entry_id": "Int64"})
+        for asked in in_order(rows, {"at_ms": pa.int64(), "prompt_id": pa.int64(), "prompt": pa.large_string(), "vector": pa.large_list(pa.float64())}, "at_ms", "prompt_id"):
+            out = []
+            for at, i, prompt, vector in asked:
+                kind, entry, score = answer(held, prompt, i, at, vector, self.threshold, self.ttl_ms, self.most)
+                out.append((key[0], i, at, kind, entry, score, len(held)))
+            yield pd.DataFrame(out, columns=names).astype({"entry_id": "Int64"})
+        self._keep(before, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, now = self._held(), timerValues.getCurrentWatermarkInMs()
