@@ -14,9 +14,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heron.functions.text import tokens
@@ -41,11 +45,54 @@ class Conflict(RuntimeError):
     """Another writer has made the version that this one was to become; read again and repeat the operation."""
 
 
-def term_counts(s: Column) -> Column:
-    """(term, tf) of a sorted array of terms, a column of its own: its runs."""
-    starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(s)), F.array(F.size(s)))
-    return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("tf"))), lambda x: x["tf"] > 0)
+def _pairs(names: tuple[str, str], left: pa.Array, right: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Lists of (left, right) structs, cut at the offsets."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([left, pa.array(right, pa.int32())], names=list(names)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, dl, words, ...) with their sorted terms (term, tf) in place of the words."""
+    for batch in batches:
+        words, n = batch["words"], batch.num_rows
+        found = words.flatten().dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        keys, tf = np.unique(row * max(1, len(order)) + rank[found.indices.to_numpy()], return_counts=True)
+        terms = found.dictionary.take(order).take(pa.array(keys % max(1, len(order))))
+        offsets = np.searchsorted(keys, np.arange(n + 1) * max(1, len(order)))
+        columns = {**{c: batch[c] for c in batch.schema.names}, "words": _pairs(("term", "tf"), terms, tf, offsets)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=["terms" if c == "words" else c for c in columns])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of rows (bucket, term, window, id, tf, dl) sorted by term, window and id: a run of one term and window is a row. A batch and the run that it may break are held."""
+
+    def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        tf, dl, ends = rows["tf"].to_numpy(), rows["dl"].to_numpy(), np.append(starts, rows.num_rows)
+        run = np.repeat(np.arange(len(starts)), np.diff(ends))
+        order = np.lexsort((dl, tf, run))  # the shortest document of each tf is the first
+        new = np.append(True, (np.diff(run[order]) != 0) | (np.diff(tf[order]) != 0))
+        best = order[new]
+        postings = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in ("id", "tf", "dl")], names=["id", "tf", "dl"])
+        columns = {c: rows[c].combine_chunks().take(pa.array(starts)) for c in ("bucket", "term", "window")}
+        columns |= {"n": pa.array(np.diff(ends), pa.int32()), "top": _pairs(("tf", "dl"), pa.array(tf[best], pa.int32()), dl[best], np.searchsorted(run[best], np.arange(len(starts) + 1)))}
+        columns["postings"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        term, window = rows["term"].combine_chunks(), rows["window"].to_numpy()
+        starts = np.append(0, np.flatnonzero((np.diff(window) != 0) | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)) + 1)
+        if len(starts) > 1:
+            yield made(rows.slice(0, starts[-1]), starts[:-1])
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield made(held, np.zeros(1, np.int64))
 
 
 @dataclass(frozen=True)
@@ -144,11 +191,10 @@ class Store:
         if not n:
             return []
         windows, parts = math.ceil(n / self.window), math.ceil(n / PART)
-        rows = stored.select("id", "dl", F.explode("terms").alias("t")).select(F.pmod(F.hash("t.term"), F.lit(self.buckets)).alias("bucket"), "t.term", F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int").alias("window"), "id", "t.tf", "dl")
-        dealt = rows.withColumn("part", F.pmod("window", F.lit(parts))).repartition("bucket", "part")
-        blocks = dealt.groupBy("bucket", "part", "term", "window").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings"))
-        counts, shortest = F.array_distinct(F.col("postings.tf")), lambda tf: F.array_min(F.transform(F.filter("postings", lambda p: p["tf"] == tf), lambda p: p["dl"]))
-        blocks = blocks.select("bucket", "term", "window", F.size("postings").alias("n"), F.transform(counts, lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("dl"))).alias("top"), "postings")
+        bucket, window = F.pmod(F.hash("term"), F.lit(self.buckets)), F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")
+        dealt = stored.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl").repartition(bucket, F.pmod(window, F.lit(parts)))
+        rows = dealt.select(bucket.alias("bucket"), "term", window.alias("window"), "id", "tf", "dl").sortWithinPartitions("term", "window", "id")
+        blocks = rows.mapInArrow(_blocks, "bucket int, " + self.schemas["postings"].replace(", segment string, bucket int", ""))
         blocks.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
         return [{"name": name, "docs": n, "dl": total, "windows": windows, "dead": []}]
 
@@ -176,8 +222,9 @@ class Store:
         if operation in base.operations:
             return base.operations[operation]
         kept = [F.col(vector_col).cast("array<float>").alias("vector")] if "vector" in self.columns else []
-        words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)).select("id", F.sort_array(self.tokenize(F.col("text"))).alias("words"), *[c for c in self.columns if c == "vector"])
-        new = self._segment(words.withColumns({"dl": F.size("words"), "terms": term_counts(F.col("words"))}))
+        words = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)).select("id", self.tokenize(F.col("text")).alias("words"), *[c for c in self.columns if c == "vector"])
+        sized = words.select("id", F.size("words").alias("dl"), *words.columns[1:])
+        new = self._segment(sized.mapInArrow(_counted, self.schemas["forward"].replace(", segment string", "")))
         number = self._commit(base, [*(self._without(base, self.read("forward", [new[0]["name"]]).select("id")) if new else base.segments), *new], operation)
         if merge:
             self.merge()

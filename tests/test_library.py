@@ -5,13 +5,15 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import plain_chunks
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from heron.functions import chunking, jsontext, models
 from heron.functions import text as X
-from heron.operators import codes, duplicates, fusion, keyword, logs, metrics, quantize, search, segments
+from heron.operators import codes, duplicates, fusion, keyword, logs, metrics, quantize, ranges, search, segments
 from heron.plans import catalog
 from heron.sources import collections, formats, loaders
 from heron.streaming import answers, ingest, limits, turns, voice, windows
@@ -619,3 +621,49 @@ def test_cache_answers(spark):
     assert [r.entry_id for r in cache.evicted(entries, 1).collect()] == ["e1"]
     none = cache.lookup(entries.limit(0), prompts)
     assert none.count() == 5 and cache.stats(entries.limit(0), none).first().hit_rate == 0
+
+
+def test_median_by_ranges(spark):
+    for values in ([], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, None], [float(i * 7919 % 1000) for i in range(3001)], [1.0] * 50 + [9.0] * 50):
+        rows = spark.createDataFrame([(x,) for x in values], "x double")
+        assert ranges.median(rows, "x").collect() == rows.agg(F.percentile("x", 0.5).alias("median")).collect()
+
+
+def test_rows_of_a_key_come_in_steps():
+    """Sorted over all frames, a few at a time; equal ones keep their order, and missing values stay."""
+    frames = [pd.DataFrame({"at_ms": [5, 1], "prompt": ["a", "b"], "vector": [[1.0, 2.0], None]}), pd.DataFrame({"at_ms": [3, 1, 5], "prompt": ["c", "d", "e"], "vector": [None, None, np.array([0.5])]})]
+    steps = list(turns.in_order(iter(frames), {"at_ms": pa.int64(), "prompt": pa.large_string(), "vector": pa.large_list(pa.float64())}, "at_ms", step=2))
+    assert [len(x) for x in steps] == [2, 2, 1]
+    assert [x for step in steps for x in step] == [(1, "b", None), (1, "d", None), (3, "c", None), (5, "a", [1.0, 2.0]), (5, "e", [0.5])]
+
+
+def test_utterances_of_a_table_hold_no_whole_key(spark, monkeypatch):
+    """Batches of three frames give the rows of one pass, also where a key is null and where keys meet in a batch."""
+    frames = [(k, i * 100, -20.0 if i // 30 % 2 == 0 else -60.0) for k in (None, 1, 2) for i in range(200)]
+    rows = spark.createDataFrame(frames, "stream int, at long, level double").withColumn("at", F.timestamp_millis("at")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = turns.utterances_of(rows, "stream", "at", "level")
+        got = sorted((tuple(r) for r in out.collect()), key=str)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, *r) for k in (None, 1, 2) for r in turns.heard(turns.Voice(), turns.Utterance(), iter([f[1:] for f in frames if f[0] == k]), turns.Listening())[2]]
+    assert got == sorted(want, key=str) and len(got) > 9
+
+
+def test_postings_are_folded_from_sorted_rows():
+    """Runs that batches break are one posting row each, with the shortest document of each count; words of documents are counted."""
+    rows = [(0, t, w, i, 1 + i % 3, 10 - i) for t in ("a", "b") for w in (0, 2) for i in range(5)] + [(1, "c", 2, 9, 1, 4)]
+    columns = ["bucket", "term", "window", "id", "tf", "dl"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=columns)
+    want = {}
+    for b, t, w, *p in rows:
+        want.setdefault((b, t, w), []).append(dict(zip(("id", "tf", "dl"), p)))
+    for size in (1, 2, 7, len(rows)):
+        got = [r for x in segments._blocks(whole.slice(i, size) for i in range(0, len(rows), size)) for r in x.to_pylist()]
+        assert [((r["bucket"], r["term"], r["window"]), r["postings"]) for r in got] == list(want.items())
+        assert all(r["n"] == len(r["postings"]) and {x["tf"]: x["dl"] for x in r["top"]} == {p["tf"]: min(q["dl"] for q in r["postings"] if q["tf"] == p["tf"]) for p in r["postings"]} for r in got)
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 0, 1], pa.int32()), pa.array([["b", "a", "b", "\u00e9"], [], ["a"]], pa.list_(pa.string()))], names=["id", "dl", "words"])
+    assert [r["terms"] for x in segments._counted(iter([docs, docs.slice(1, 1)])) for r in x.to_pylist()] == [[{"term": "a", "tf": 1}, {"term": "b", "tf": 2}, {"term": "\u00e9", "tf": 1}], [], [{"term": "a", "tf": 1}], []]
