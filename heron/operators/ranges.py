@@ -67,3 +67,19 @@ def running_vectors(rows: DataFrame, vector: str, by: str | None, order: str) ->
     met = parts.withColumn("__x", running).join(handed, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__at")) & (F.col("__i") == F.col("__dim")))
     met = met.select(*columns, F.col("__i").alias("i"), (F.col("__x") + F.col("__start")).alias("x"))
     return met.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("vector"))
+
+
+def median(rows: DataFrame, column: str) -> DataFrame:
+    """One row (median): the exact one, the mean of the two middle values of an even number; null without values. Values are counted, then dealt into ranges, of which only those that hold the middle are numbered."""
+    counted = ranged(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__value")).agg(F.count("*").alias("__n")), None, "__value")
+    sums, starts, n = sorted(tuple(r) for r in counted.groupBy("__part").agg(F.sum("__n")).collect()), [], 0  # a row for each range
+    total = sum(x for _, x in sums)
+    low, high = (total - 1) // 2, total // 2
+    for part, x in sums:
+        if n <= high and n + x > low:
+            starts.append((part, n))
+        n += x
+    middle = counted.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "__part int, __start long")), "__part")
+    end = F.col("__start") + F.sum("__n").over(Window.partitionBy("__part").orderBy("__value"))
+    middle = middle.withColumn("__end", end).where((F.col("__end") > low) & (F.col("__end") - F.col("__n") <= high))
+    return middle.agg(((F.min("__value") + F.max("__value")) / 2).alias("median"))
