@@ -193,12 +193,15 @@ def identified(rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_c
 
 
 def documents_identified(docs: DataFrame) -> DataFrame:
-    """Languages of documents: the text, and source as the host it comes from.
+    """Languages of documents by all kinds of evidence that they carry: the text, the markup language of a text that is a page, and source as the host it comes from, with its suffix; of a source that is an address, its host.
 
-    lang is what the text model is fitted on, so it is no evidence of its own here: documents declare nothing and have
-    no address. Pages have all three kinds of evidence (pages_query).
+    lang is what the text model is fitted on, so it is no declaration of its own here. A source without a dot has no
+    suffix, and a text that doesn't begin as a page declares nothing, whatever markup it quotes.
     """
-    return identified(docs, fit(docs), host=F.col("source"))
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    host = F.when(host_of(source) != "", host_of(source)).otherwise(source)
+    declared = F.when(text.rlike(r"(?i)\A\s*<(!doctype\s+html|html)\b"), declared_of(text))
+    return identified(docs, fit(docs), declared=declared, host=host, suffix=suffix_of(host))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

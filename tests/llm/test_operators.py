@@ -420,6 +420,17 @@ def test_language_evidence_is_fused(spark):
     assert found["z"].language is None and not found["z"].kept
 
 
+def test_documents_carry_all_evidence(spark):
+    words = {"de": "das ist der hund und die katze im haus", "en": "this is the dog and the cat in the house"}
+    rows = [(f"{lang}{i}", text, lang, f"https://h{i}.example.{at}/page") for lang, text, at in (("de", words["de"], "de"), ("en", words["en"], "com")) for i in range(30)]
+    page = '<!DOCTYPE html>\n<html lang="{}">{}'
+    rows += [(f"page-{lang}{i}", page.format(lang, text), lang, "crawl") for lang, text in words.items() for i in range(30)]
+    unsure = [("suffix-de", "ok", None, "http://new.example.de/x"), ("suffix-com", "ok", None, "http://new.example.com/x"), ("plain-de", page.format("de", "ok"), None, "crawl"), ("plain-en", page.format("en", "ok"), None, "crawl")]
+    found = {r.id: r for r in op06_language_id.documents_identified(spark.createDataFrame(rows + unsure, "doc_id string, text string, lang string, source string")).collect()}
+    assert [found[x].language for x in ("suffix-de", "suffix-com", "plain-de", "plain-en")] == ["de", "en", "de", "en"]
+    assert all(found[r[0]].language == r[2] for r in rows)
+
+
 def brute_language(rows, model):
     """rows (id, text, declared, host, suffix) to {id: (language, posterior, kept)}, the fusion in plain Python."""
     from collections import Counter
