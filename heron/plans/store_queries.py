@@ -137,9 +137,9 @@ def load_text(spark, d):
     """Conversations as text files, a file for each, split at a separator."""
     path = _fresh(spark)
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", F.regexp_replace("text", "---", "").alias("t"))))["t"], "\n---\n").alias("value"))
-    turns.repartition("conv_id").write.partitionBy("conv_id").option("lineSep", "\u0001").text(path)
-    parts = loaders.load(spark, f"{path}/conv_id=*", "text", separator="---")
-    conv = F.regexp_extract("source", r"conv_id=(\d+)", 1).cast("long")
+    loaders.write_texts(turns, path, "conv_id", "value")
+    parts = loaders.load(spark, path, "text", separator="---")
+    conv = F.nullif(F.regexp_extract("source", r"/text-(-?\d+)\.txt$", 1), F.lit("")).cast("long")
     return parts.select(conv.alias("conv_id"), F.element_at("metadata", "totalParts").cast("long").alias("parts")).groupBy("conv_id").agg(F.max("parts").alias("parts"), F.count("*").alias("n"))
 
 

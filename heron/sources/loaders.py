@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.sources import formats, html
+from heron.sources.records import opened
 
 #: A loader reads paths into (id, text, source, metadata map<string,string>).
 Loader = Callable[..., DataFrame]
@@ -20,6 +23,25 @@ def text_documents(spark: SparkSession, paths: str | list[str], separator: str |
     return parts.select(F.concat_ws("#", "source", "part").alias("id"), "text", "source", metadata.alias("metadata"))
 
 
+def write_texts(rows: DataFrame, path: str, key_col: str, text_col: str = "text") -> int:
+    """Writes a file text-<key>.txt for each row into one folder, and gives their number. Keys differ; other characters than letters, digits and -._~ are percent-encoded. A null text is an empty file, a null key the file text.txt.
+
+    Tasks write their files under the names that they keep, so a task that runs again writes the same ones, and no file is moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = opened(path)
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                with system.open_output_stream(f"{folder}/text{'' if key is None else '-' + quote(key, safe='')}.txt") as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    keyed = rows.select(F.col(key_col).cast("string"), F.col(text_col).cast("string"))
+    return keyed.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def csv_documents(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     return formats.read_csv(spark, paths, **options).select("id", "text", F.lit(None).cast("string").alias("source"), "metadata")
 

@@ -359,6 +359,21 @@ def test_voice_of_a_stream_keeps_state_and_marks_late_frames(spark, tmp_path):
     assert sorted(found) == sorted([*want, (1, 100, "late", -10.0)])
 
 
+def test_texts_are_files_under_their_names(spark, tmp_path):
+    texts = {"a/b": "one\n---\ntwo", "_c.d é": "", None: "x\u0001"}
+    rows = spark.createDataFrame(list(texts.items()), "key string, value string")
+    assert [loaders.write_texts(rows, f"file:{tmp_path}/texts", "key", "value") for _ in range(2)] == [3, 3]  # a repeated write changes nothing
+    assert {f.name: f.read_bytes().decode() for f in (tmp_path / "texts").iterdir()} == {"text-a%2Fb.txt": texts["a/b"], "text-_c.d%20%C3%A9.txt": "", "text.txt": texts[None]}
+    assert sorted(r.text for r in loaders.load(spark, str(tmp_path / "texts"), "text", separator="---").collect()) == ["one", "two", "x\u0001"]
+
+
+def test_load_text_leaves_out_a_blank_last_turn(spark, tmp_path):
+    turns = [(1, 0, "user", "a --- b"), (1, 1, "assistant", " \n "), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (None, 0, "user", "e"), (-3, 0, "user", " ")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = catalog.QUERIES["load_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=str) == [(1, 1, 1), (2, 2, 2), (None, 1, 1)]
+
+
 def test_ingest_and_search_streams(spark, tmp_path):
     docs = [(i, f"document {i} " + " ".join(random.Random(i).choice(("apple", "pear", "plum", "fig")) + str(i % 7) for _ in range(20))) for i in range(30)]
     spark.createDataFrame(docs, "id long, text string").write.parquet(str(tmp_path / "docs"))
