@@ -7,7 +7,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain, groupby, islice, pairwise
+from itertools import chain, groupby, islice, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,9 @@ class Placed:
         return self.parts[i][1] + at - self.parts[i][0]
 
     def between(self, start: int, end: int) -> Placed:
+        if len(self.parts) == 1:
+            ((a, b),) = self.parts
+            return Placed(self.text[start:end], [(max(a - start, 0), b + max(start - a, 0))])
         first = max(bisect_right(self.parts, start, key=lambda p: p[0]) - 1, 0)
         last = max(bisect_left(self.parts, end, key=lambda p: p[0]), first + 1)
         return Placed(self.text[start:end], [(max(a - start, 0), b + max(start - a, 0)) for a, b in self.parts[first:last]])
@@ -82,7 +85,11 @@ class Placed:
 def joined(parts: list[Placed], by: str) -> Placed:
     places, at = [], 0
     for p in parts:
-        places += [(at + a, b) for a, b in p.parts]
+        if len(p.parts) == 1:
+            ((a, b),) = p.parts
+            places.append((at + a, b))
+        else:
+            places += [(at + a, b) for a, b in p.parts]
         at += len(p.text) + len(by)
     return Placed(by.join(p.text for p in parts), places)
 
@@ -104,27 +111,35 @@ def tail(now: Placed, overlap: int) -> Placed:
 
 def merged(pieces: Iterable[Placed], size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[Placed]:
     """Greedy chunks of pieces, joined by blanks, each beginning with the tail of the one before; a short last one joins its neighbour. A lone piece stays as it is."""
-    n, now, held = 0, None, None
-    for part in (p.stripped() for p in pieces):
-        if not part.text:
+    n, now, length, held = 0, [], 0, None  # now: parts of the open chunk, whose text with blanks between them has `length` characters
+    for part in pieces:
+        text = part.text.strip()
+        if not text:
             continue
         n += 1
-        if now is not None and len(now.text) + len(part.text) + 1 > size:
+        if len(text) < len(part.text):
+            left = len(part.text) - len(part.text.lstrip())
+            part = part.between(left, left + len(text))
+        if now and length + len(text) + 1 > size:
             if held is not None:
                 yield _evened(held)
-            held, rest = now, tail(now, overlap) if overlap else None
-            now = joined([rest, part], " ") if rest is not None and rest.text else part
+            held = joined(now, " ")
+            rest = tail(held, overlap) if overlap else None
+            now = [rest, part] if rest is not None and rest.text else [part]
+            length = len(text) + (len(rest.text) + 1 if len(now) > 1 else 0)
         else:
-            now = part if now is None else joined([now, part], " ")
-    if now is None:
+            length += len(text) + (1 if now else 0)
+            now.append(part)
+    if not now:
         return
+    last = joined(now, " ") if n > 1 else now[0]
     if held is None:
-        yield now if n == 1 else _evened(now)
-    elif len(now.text) < least:
-        yield _evened(joined([held, now], " "))
+        yield last if n == 1 else _evened(last)
+    elif length < least:
+        yield _evened(joined([held, last], " "))
     else:
         yield _evened(held)
-        yield _evened(now)
+        yield _evened(last)
 
 
 def _evened(chunk: Placed) -> Placed:
@@ -283,7 +298,7 @@ def _folded(batches: Iterator[pa.RecordBatch], how: Chunker) -> Iterator[pa.Reco
     def stream() -> Iterator[tuple]:
         for batch in batches:
             kept["id"] = batch.schema.field("id").type
-            yield from zip(*(batch.column(i).to_pylist() for i in range(5)))
+            yield from zip(*(batch.column(i).to_pylist() if batch.column(i).null_count < batch.num_rows else repeat(None, batch.num_rows) for i in range(5)))
 
     def chunks() -> Iterator[tuple]:
         number = 0

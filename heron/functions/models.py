@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,12 @@ Embed = Callable[[list[str]], np.ndarray]
 
 def hashing_embedding(texts: list[str], dimensions: int = 256) -> np.ndarray:
     """Unit vectors of signed hashed word counts: the deterministic default of embed()."""
-    out = np.zeros((len(texts), dimensions), np.float32)
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = xxhash.xxh64_intdigest(word)
-            out[i, (h >> 1) % dimensions] += 1 if h & 1 else -1
+    words = [text.lower().split() for text in texts]
+    new = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+    at = np.fromiter(map(new.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+    slot = np.repeat(np.arange(len(texts)) * dimensions, list(map(len, words))) + ((h >> np.uint64(1)) % np.uint64(dimensions)).astype(np.int64)[at]
+    out = np.bincount(slot, np.where(h & np.uint64(1), 1.0, -1.0)[at], len(texts) * dimensions).reshape(len(texts), dimensions).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -359,6 +359,27 @@ def test_voice_of_a_stream_keeps_state_and_marks_late_frames(spark, tmp_path):
     assert sorted(found) == sorted([*want, (1, 100, "late", -10.0)])
 
 
+def test_an_open_chunk_is_joined_once(monkeypatch):
+    calls, plain = [], chunking.joined
+    monkeypatch.setattr(chunking, "joined", lambda parts, by: calls.append(len(parts)) or plain(parts, by))
+    pieces = [chunking.Placed(f"word{i % 10} ", [(0, 6 * i)]) for i in range(400)]
+    found = list(chunking.merged(pieces, 500, 50, 50))
+    assert len(calls) <= 2 * len(found) + 1  # not once for each piece
+    assert found[0].span()[0] == 0 and found[-1].span()[1] == 6 * 400 - 1 and all(b.span()[0] < a.span()[1] for a, b in zip(found, found[1:]))
+
+
+def test_hashed_counts_equal_word_by_word():
+    texts = ["One two one", "", "ONE  zwei\ndrei é", "   ", "two"]
+    want = np.zeros((len(texts), 16), np.float32)
+    for i, text in enumerate(texts):
+        for word in text.lower().split():
+            h = models.xxhash.xxh64_intdigest(word)
+            want[i, (h >> 1) % 16] += 1 if h & 1 else -1
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    found = models.hashing_embedding(texts, 16)
+    assert found.dtype == np.float32 and (found == want).all() and models.hashing_embedding([], 16).shape == (0, 16)
+
+
 def test_texts_are_files_under_their_names(spark, tmp_path):
     texts = {"a/b": "one\n---\ntwo", "_c.d é": "", None: "x\u0001"}
     rows = spark.createDataFrame(list(texts.items()), "key string, value string")
