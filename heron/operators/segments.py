@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from heron.operators.keyword import BUCKETS, K1, PLACES, B, weight
 from heron.operators.search import batch_top_k, ranked
 from heron.operators.staging import BROADCAST_ROWS, remove, saved, small_side, spread
 
-#: Documents of a window, about; documents of a segment for each part of a bucket.
-WINDOW, PART = 64, 1 << 20
+#: Documents of a window, at most; documents of a segment for each part of a bucket; postings that a task sorts at once, about.
+WINDOW, PART, SORTED = 64, 1 << 20, 1 << 18
 #: Segments of one size class that are merged; a class spans sizes up to so many times its least.
 FAN = 8
 #: Terms of a query set, or windows, up to which they are literals in the scan; more are joined.
@@ -50,9 +51,18 @@ def _pairs(names: tuple[str, str], left: pa.Array, right: np.ndarray, offsets: n
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([left, pa.array(right, pa.int32())], names=list(names)))
 
 
+def _parts(batch: pa.RecordBatch, column: str, step: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SORTED elements of a list column, each a multiple of `step` rows but for the last."""
+    before, lo = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy())), 0
+    while lo < batch.num_rows:
+        many = int(np.searchsorted(before, before[lo] + SORTED, "right")) - 1 - lo
+        yield batch.slice(lo, max(step, many // step * step))
+        lo += max(step, many // step * step)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, dl, words, ...) with their sorted terms (term, tf) in place of the words."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole, "words")):
         words, n = batch["words"], batch.num_rows
         found = words.flatten().dictionary_encode()
         order = pc.sort_indices(found.dictionary)
@@ -66,8 +76,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=["terms" if c == "words" else c for c in columns])
 
 
+def _postings(batches: Iterator[pa.RecordBatch], size: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (term, window, id, tf, dl) of documents (id, dl, terms), those of a term and a window together: `size` documents of a batch that follow each other are a window, numbered from `window`."""
+    for part in (part for whole in batches for part in _parts(whole, "terms", size)):
+        terms, n = pc.list_flatten(part["terms"]), part.num_rows
+        found = pc.struct_field(terms, "term").dictionary_encode()
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(part["terms"]), 0).to_numpy())
+        windows = -(-n // size)
+        order = np.argsort(found.indices.to_numpy().astype(np.int64) * windows + row // size, kind="stable")
+        at, of = pa.array(order), pa.array(row[order])
+        columns = {"term": found.dictionary.take(found.indices.take(at)), "window": pa.array(row[order] // size + window)}
+        columns |= {"id": part["id"].take(of), "tf": pc.struct_field(terms, "tf").take(at), "dl": part["dl"].take(of)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        window += windows
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting rows of rows (bucket, term, window, id, tf, dl) sorted by term, window and id: a run of one term and window is a row. A batch and the run that it may break are held."""
+    """Posting rows of rows ([bucket,] term, window, id, tf, dl) that stand together by term and window: a run of one term and window is a row. A batch and the run that it may break are held."""
 
     def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         tf, dl, ends = rows["tf"].to_numpy(), rows["dl"].to_numpy(), np.append(starts, rows.num_rows)
@@ -76,7 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (np.diff(run[order]) != 0) | (np.diff(tf[order]) != 0))
         best = order[new]
         postings = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in ("id", "tf", "dl")], names=["id", "tf", "dl"])
-        columns = {c: rows[c].combine_chunks().take(pa.array(starts)) for c in ("bucket", "term", "window")}
+        columns = {c: rows[c].combine_chunks().take(pa.array(starts)) for c in rows.column_names if c in ("bucket", "term", "window")}
         columns |= {"n": pa.array(np.diff(ends), pa.int32()), "top": _pairs(("tf", "dl"), pa.array(tf[best], pa.int32()), dl[best], np.searchsorted(run[best], np.arange(len(starts) + 1)))}
         columns["postings"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), postings)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -97,7 +122,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Version:
-    """segments: name, docs, dl (sum of lengths), windows, and dead: batch, docs, dl for each batch that has documents of it."""
+    """segments: name, docs, dl (sum of lengths), and dead: batch, docs, dl for each batch that has documents of it."""
 
     number: int
     segments: list[dict]
@@ -116,7 +141,7 @@ class Store:
         terms = "terms array<struct<term: string, tf: int>>"
         self.schemas = {
             "forward": f"id {id_type}, dl int, {terms}" + (", vector array<float>" if with_vectors else "") + ", segment string",
-            "postings": f"term string, window int, n int, top array<struct<tf: int, dl: int>>, postings array<struct<id: {id_type}, tf: int, dl: int>>, segment string, bucket int",
+            "postings": f"term string, window bigint, n int, top array<struct<tf: int, dl: int>>, postings array<struct<id: {id_type}, tf: int, dl: int>>, segment string, bucket int",
             "dead": f"of string, id {id_type}, dl int, {terms}, batch string",
         }
         self.columns = ["id", "dl", "terms", *(["vector"] if with_vectors else [])]
@@ -183,20 +208,22 @@ class Store:
     # -- writing --
 
     def _segment(self, forward: DataFrame) -> list[dict]:
-        """A segment of the documents, or none if there are none. The text is read and cut into terms once; postings are made of the stored terms by one shuffle."""
+        """A segment of the documents, or none if there are none. The text is read and cut into terms once. Posting rows are made inside the tasks that read the stored terms, as a window is documents that stand together there, and only whole ones are shuffled, to their buckets."""
         name = uuid.uuid4().hex
         forward.select(*self.columns).write.parquet(f"{self.path}/forward/segment={name}")
         stored = self.read("forward", [name])
         n, total = stored.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if not n:
             return []
-        windows, parts = math.ceil(n / self.window), math.ceil(n / PART)
-        bucket, window = F.pmod(F.hash("term"), F.lit(self.buckets)), F.pmod(F.xxhash64("id"), F.lit(windows)).cast("int")
-        dealt = stored.select("id", "dl", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "dl").repartition(bucket, F.pmod(window, F.lit(parts)))
-        rows = dealt.select(bucket.alias("bucket"), "term", window.alias("window"), "id", "tf", "dl").sortWithinPartitions("term", "window", "id")
-        blocks = rows.mapInArrow(_blocks, "bucket int, " + self.schemas["postings"].replace(", segment string, bucket int", ""))
-        blocks.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
-        return [{"name": name, "docs": n, "dl": total, "windows": windows, "dead": []}]
+        size, parts = self.window, math.ceil(n / PART)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _blocks(_postings(batches, size, TaskContext.get().partitionId() << 32))  # a task's windows are its own
+
+        blocks = stored.select("id", "dl", "terms").mapInArrow(run, self.schemas["postings"].replace(", segment string, bucket int", ""))
+        dealt = blocks.withColumn("bucket", F.pmod(F.hash("term"), F.lit(self.buckets))).repartition("bucket", F.pmod(F.xxhash64("window"), F.lit(parts)))
+        dealt.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
+        return [{"name": name, "docs": n, "dl": total, "dead": []}]
 
     def _without(self, base: Version, ids: DataFrame) -> list[dict]:
         """The segments of base with the ids (id) marked as removed."""

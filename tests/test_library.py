@@ -703,3 +703,28 @@ def test_postings_are_folded_from_sorted_rows():
         assert all(r["n"] == len(r["postings"]) and {x["tf"]: x["dl"] for x in r["top"]} == {p["tf"]: min(q["dl"] for q in r["postings"] if q["tf"] == p["tf"]) for p in r["postings"]} for r in got)
     docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 0, 1], pa.int32()), pa.array([["b", "a", "b", "\u00e9"], [], ["a"]], pa.list_(pa.string()))], names=["id", "dl", "words"])
     assert [r["terms"] for x in segments._counted(iter([docs, docs.slice(1, 1)])) for r in x.to_pylist()] == [[{"term": "a", "tf": 1}, {"term": "b", "tf": 2}, {"term": "\u00e9", "tf": 1}], [], [{"term": "a", "tf": 1}], []]
+
+
+def test_postings_are_made_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """Documents that stand together are a window, of which none has more than its size; parts of a few postings give what whole batches give."""
+    rng, size = random.Random(9), 4
+    docs = [(i, [{"term": t, "tf": rng.randint(1, 3)} for t in sorted(rng.sample("abcdefgh", rng.randint(0, 8)))]) for i in range(50)]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    whole = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([sum(t["tf"] for t in x) for _, x in docs], pa.int32()), pa.array([x for _, x in docs], kind)], names=["id", "dl", "terms"])
+    want = {}
+    for i, terms in docs:
+        for t in terms:
+            want.setdefault((t["term"], 7 + i // size), []).append({"id": i, "tf": t["tf"], "dl": sum(x["tf"] for x in terms)})
+    for most in (1, 20, 1 << 18):
+        monkeypatch.setattr(segments, "SORTED", most)
+        rows = list(segments._postings(iter([whole.slice(0, 20), whole.slice(20)]), size, 7))
+        assert all(x.num_rows <= max(most, 8 * size) for x in rows)
+        got = [r for x in segments._blocks(iter(rows)) for r in x.to_pylist()]
+        assert {(r["term"], r["window"]): r["postings"] for r in got} == want and len(got) == len(want)
+        words = pa.RecordBatch.from_arrays([whole["id"], whole["dl"], pa.array([[t["term"] for t in x for _ in range(t["tf"])] for _, x in docs], pa.list_(pa.string()))], names=["id", "dl", "words"])
+        counted = list(segments._counted(iter([words])))
+        assert [x for b in counted for x in b["terms"].to_pylist()] == [x for _, x in docs] and (len(counted) > 1) == (most < 100)
+    store = segments.Store(spark, str(tmp_path / "s"), window=8, buckets=2)
+    store.add(spark.createDataFrame([(i, f"the word{i}") for i in range(200)], "id long, text string"))
+    the = store.read("postings", [store.version().segments[0]["name"]]).where("term = 'the'").collect()
+    assert all(r.n == len(r.postings) <= 8 for r in the) and sorted(p.id for r in the for p in r.postings) == list(range(200)) and len({r.window for r in the}) == len(the)
